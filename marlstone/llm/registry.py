@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe_tree, jaccard_join, language_mix, lattice_lm, token_files, toxicity
+from marlstone.llm import bpe_tree, jaccard_join, language_mix, lattice_lm, mix_schedule, token_files, toxicity
 
-_MODULES = (token_files, lattice_lm, language_mix, jaccard_join, toxicity, bpe_tree)
+_MODULES = (token_files, lattice_lm, language_mix, mix_schedule, jaccard_join, toxicity, bpe_tree)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
