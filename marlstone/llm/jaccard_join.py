@@ -277,11 +277,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Brute force over all pairs of documents that share a shingle; quick enough on the whole small tables.
 ORACLE = """
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), w -> w <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, s FROM (
-    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> concat_ws(' ', w[i], w[i + 1], w[i + 2])) WHEN len(w) > 0 THEN [concat_ws(' ', array_to_string(w, ' '), '#')] ELSE [] END) AS s
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) WHEN len(w) > 0 THEN [concat_ws(' ', array_to_string(w, ' '), '#')] ELSE [] END) AS s
     FROM words)
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 pairs AS (
@@ -289,10 +289,10 @@ pairs AS (
 ), links AS (
   SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
 ), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.at)
+reach AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.node)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.c AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
-JOIN (SELECT doc_id, min(at) AS c FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(node) AS c FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
 """
 
 QUERIES = {"op5_jaccard_join": op5_jaccard_join}
