@@ -16,6 +16,8 @@ columns other than the id and the text are left out.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache, partial
@@ -28,13 +30,13 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import chunks, shared_path, table
 
-STRIPE_BYTES = 64 << 20
+STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
 #: A file for about so many bytes of text on average.
 FILE_BYTES = 64 << 20
 #: Words whose ids a Python worker remembers at most.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 
 _known: dict[str, dict[bytes, bytes]] = {}
 
@@ -50,14 +52,52 @@ def _tokenizer(path: str):
     return out
 
 
+#: A run of these letters is one pre-token of the model, and so are the marks after it.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Byte-level models write a byte as the character of its number, where that is printable.
+_BYTE_LETTERS = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
+_BYTE_LETTERS |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTE_LETTERS)}
+
+
+def _plain(tokenizer) -> bool:
+    """Whether a plain word goes to the model as it is, but for its bytes' letters."""
+    try:
+        return all(tokenizer.pre_tokenizer.pre_tokenize_str(w) and len(tokenizer.pre_tokenizer.pre_tokenize_str(w)) == 1 and tokenizer.normalizer.normalize_str(w) == w for w in ("abcz", "ßöøÿé")) and len(tokenizer.pre_tokenizer.pre_tokenize_str("ab,")) == 2
+    except AttributeError:
+        return False
+
+
+@cache
+def _model(path: str):
+    """The library's model behind the tokenizer, where plain words can go to it directly."""
+    return _tokenizer(path).model if _plain(_tokenizer(path)) else None
+
+
 def encoded(words: list[bytes], path: str) -> dict[bytes, bytes]:
-    """The ids of words, each as little-endian unsigned 32-bit integers, among others known before."""
-    known = _known.setdefault(path, {})
-    if new := list(dict.fromkeys(w for w in words if w not in known)):
+    """The ids of words, each as little-endian unsigned 32-bit integers, among others known before.
+
+    Most new words are plain letters, with marks after them at times: the library's model takes both
+    as they are, which spares its pipeline for each; the pipeline takes all others."""
+    known, model = _known.setdefault(path, {}), _model(path)
+    if new := set(words).difference(known):
         if len(known) + len(new) > KNOWN_WORDS:
             known.clear()
-            new = list(dict.fromkeys(words))
-        known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in _tokenizer(path).encode_batch([w.decode() for w in new], add_special_tokens=False)), strict=True))
+            new = set(words)
+        others, tokenize = [], model and model.tokenize
+        for w in new:
+            found = _PLAIN.fullmatch(w.decode().lower()) if model else None
+            if not found:
+                others.append(w)
+                continue
+            ids = b""
+            for part in found.groups():
+                key = part.encode()
+                if part and (got := known.get(key)) is None:
+                    got = [x.id for x in tokenize(part if part.isascii() else key.decode("latin-1").translate(_BYTE_LETTERS))]
+                    got = known[key] = struct.pack(f"<{len(got)}I", *got)
+                ids += got if part else b""
+            known[w] = ids
+        known.update(zip(others, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in _tokenizer(path).encode_batch([w.decode() for w in others], add_special_tokens=False)), strict=True))
     return known
 
 
