@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a Python worker works on at a time; bounds its memory whatever the batch size.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: A word is a run of anything but these bytes.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -72,6 +72,11 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             i = j
 
 
+def numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs' columns under the names _0, _1, ... so that more columns can't clash with them."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)), *more)
+
+
 _MIX = np.random.Generator(np.random.PCG64(20240131)).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,6 +88,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _powers(n: int) -> np.ndarray:
     out = np.full(n, _BASE, np.uint64)
     out[0] = 1
@@ -99,8 +110,10 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """64-bit hashes of the words (A-Z lowered) of the texts in data, and the n + 1 places in them
     where each text's words begin and end. Equal words have equal hashes, wherever they stand."""
     solid = ~_WHITE[data]
-    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
-    cuts = np.unique(np.concatenate([edge, at]))
+    marks = np.zeros(len(data) + 1, bool)
+    marks[1:-1] = solid[1:] != solid[:-1]
+    marks[at] = True
+    cuts = np.flatnonzero(marks)
     begin = cuts[:-1][solid[cuts[:-1]]] if len(cuts) > 1 else cuts[:0]
     end = cuts[np.searchsorted(cuts, begin, "right")] if len(begin) else begin
     values = _MIX[_LOWER[data]]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bucket_of, chunks, table
+from marlstone.llm.common import bucket_of, chunks, numbered, table
 
 BUCKETS, SLICES = 1 << 15, 8
 SMOOTHING = 0.5
@@ -147,16 +147,19 @@ def mixtures(log_likelihood: np.ndarray, text: np.ndarray, texts: int) -> np.nda
     return out
 
 
+def _shares(data: np.ndarray, at: np.ndarray, lettered: np.ndarray, langs: list[str], logp: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The texts' proportions and predicted languages."""
+    bins, begin, text = trigrams(data, at)
+    ll = np.stack([np.add.reduceat(row[bins], begin) for row in logp], axis=1).astype(np.float64) if len(begin) and langs else np.zeros((0, max(1, len(langs))))
+    share = mixtures(ll, text if len(ll) else text[:0], len(at) - 1)
+    return share, [langs[i] if ok else UNDETERMINED for i, ok in zip(share.argmax(axis=1), lettered, strict=True)]
+
+
 def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], logp: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch, data, at in chunks(batches):
-        texts = len(at) - 1
-        bins, begin, text = trigrams(data, at)
-        ll = np.stack([np.add.reduceat(row[bins], begin) for row in logp], axis=1).astype(np.float64) if len(begin) and langs else np.zeros((0, max(1, len(langs))))
-        share = mixtures(ll, text if len(ll) else text[:0], texts)
         lettered = np.array(batch.column("lettered").to_pylist(), bool) & bool(langs)
-        k = share.argmax(axis=1)
-        lang = [langs[i] if ok else UNDETERMINED for i, ok in zip(k, lettered, strict=True)]
-        score = np.where(lettered, np.clip(share[np.arange(texts), k], 0, 1), 0.0)
+        share, lang = _shares(data, at, lettered, langs, logp)
+        score = np.where(lettered, np.clip(share.max(axis=1), 0, 1), 0.0)
         found = [[{"lang": langs[i], "share": float(s[i])} for i in np.flatnonzero(s > 0)] if ok else [] for s, ok in zip(share, lettered, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))],
@@ -164,17 +167,33 @@ def _predict(batches: Iterator[pa.RecordBatch], langs: list[str], logp: np.ndarr
         )
 
 
+def _keep(batches: Iterator[pa.RecordBatch], text: str, langs: list[str], logp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch, data, at in chunks(batches, text):
+        lettered = np.array(batch.column("lettered").to_pylist(), bool) & bool(langs)
+        lang = _shares(data, at, lettered, langs, logp)[1]
+        yield batch.select(batch.schema.names[:-1]).filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+
+
+def _learned(train: DataFrame, id_col: str, text_col: str, lang_col: str, modulus: int, held_out: int) -> tuple[list[str], np.ndarray]:
+    return learn(train.filter(bucket_of(id_col, modulus) != held_out).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
+
+
+def _lettered(text_col: str):
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2) -> DataFrame:
+    """docs without the documents whose language is undetermined."""
+    langs, logp = _learned(docs, id_col, text_col, lang_col, modulus, held_out)
+    rows = numbered(docs, _lettered(text_col))
+    return rows.mapInArrow(partial(_keep, text=f"_{docs.columns.index(text_col)}", langs=langs, logp=logp), rows.drop("lettered").schema).toDF(*docs.columns)
+
+
 def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score and mixture of each document. Learns from train's rows (or
     docs') with a language whose crc32(id) mod `modulus` is not `held_out`."""
-    train = docs if train is None else train
-    langs, logp = learn(train.filter(bucket_of(id_col, modulus) != held_out).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
-        (bucket_of(id_col, modulus) == held_out).alias("held_out"),
-        F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
-    )
+    langs, logp = _learned(docs if train is None else train, id_col, text_col, lang_col, modulus, held_out)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (bucket_of(id_col, modulus) == held_out).alias("held_out"), _lettered(text_col))
     return rows.mapInArrow(partial(_predict, langs=langs, logp=logp), "doc_id long, held_out boolean, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
 

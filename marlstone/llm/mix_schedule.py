@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table, written
+from marlstone.llm.common import numbered, table, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -121,6 +121,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     return known.select("row", "doc_id", "key", "size", "source_size", "target"), taken.select("slot", "row", "round", "first", "n")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
+    """docs as the slots take them: a row for each pass over a document, its text cut after the words
+    taken where that is not all (and length_col, where there is one, set to the cut text's length).
+
+    Rows of one id and size are alike in the mix, so they meet their passes in any fixed order."""
+    facts, taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    rounds = [F.sum(F.when(F.col("round") == k, F.col("n"))).alias(f"t{k}") for k in range(MOST)]
+    passes = facts.select("row", F.col("doc_id").alias("id"), F.col("size").alias("words")).join(taken.groupBy("row").agg(*rounds), "row")
+    passes = passes.withColumn("nth", F.row_number().over(Window.partitionBy("id", "words").orderBy("row"))).select("id", "words", "nth", F.array(*(f"t{k}" for k in range(MOST))).alias("passes"))
+    id_, text, length = (f"_{docs.columns.index(c)}" if c in docs.columns else None for c in (id_col, text_col, length_col))
+    rows = numbered(docs, F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = rows.filter("size > 0").withColumn("own", F.row_number().over(Window.partitionBy(id_, "size").orderBy(F.xxhash64(*rows.columns))))
+    rows = rows.join(passes, F.col(id_).eqNullSafe(F.col("id")) & (F.col("size") == F.col("words")) & (F.col("own") - F.col("nth") == 0))
+    rows = rows.withColumn("taken", F.explode("passes")).filter("taken > 0")
+    white = r"[\x20\x09-\x0D]"
+    pieces = F.split(F.regexp_replace(text, f"^{white}+", ""), f"(?<={white})(?={white.replace('[', '[^')})")
+    cut = F.when(F.col("taken") == F.col("size"), F.col(text)).otherwise(F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), F.col("taken").cast("int")), ""), f"{white}+$", ""))
+    rows = rows.withColumn("cut", cut)
+    out = [F.col("cut") if f"_{k}" == text else F.char_length("cut").cast(docs.schema[c].dataType) if f"_{k}" == length else F.col(f"_{k}") for k, c in enumerate(docs.columns)]
+    return rows.select(*out).toDF(*docs.columns)
+
+
 def op4_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, taken = mix(table(spark, sf_dir, "documents"))
     facts = docs.select("row", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("n"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bucket_of, chunks, table
+from marlstone.llm.common import bucket_of, chunks, distinct, numbered, table
 
 SIZES = (3, 4, 5, 6)
 BUCKETS, SLICES = 1 << 20, 32
@@ -103,7 +103,7 @@ def _hits(data: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndar
         f = number[bins]
         got = np.flatnonzero(f >= 0)
         pairs.append((np.searchsorted(at, where[got], "right") - 1) * KEPT + f[got])
-    pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+    pairs = distinct(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
     return pairs // KEPT, pairs % KEPT
 
 
@@ -156,12 +156,20 @@ def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: f
 
 def _score(batches: Iterator[pa.RecordBatch], number: np.ndarray, weight: np.ndarray, bias: float, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch, data, at in chunks(batches):
-        text, feature = _hits(data, at, number)
-        s = bias + np.bincount(text, weight[feature], len(at) - 1)
-        p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+        p = _probability(data, at, number, weight, bias)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
+def _probability(data: np.ndarray, at: np.ndarray, number: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
+    text, feature = _hits(data, at, number)
+    return 1 / (1 + np.exp(-np.clip(bias + np.bincount(text, weight[feature], len(at) - 1), -40, 40)))
+
+
+def _keep(batches: Iterator[pa.RecordBatch], text: str, number: np.ndarray, weight: np.ndarray, bias: float, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch, data, at in chunks(batches, text):
+        yield batch.filter(pa.array(_probability(data, at, number, weight, bias) < threshold))
+
+
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> tuple[np.ndarray, np.ndarray, float]:
     """The kept features' numbers by bin, their weights (r times w), and the bias."""
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket_of("doc_id", modulus) != held_out)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -184,14 +192,28 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
     return number, weight, float(w[-1])
 
 
+def _two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _labels(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("toxic"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, score and predicted of each document. Learns from train's texts (or docs')."""
-    two = lambda df: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    number, weight, bias = learn(two(docs if train is None else train), labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("toxic")), modulus, held_out)
-    rows = two(docs).withColumn("held_out", bucket_of("doc_id", modulus) == held_out)
+    number, weight, bias = learn(_two(docs if train is None else train, id_col, text_col), _labels(labels), modulus, held_out)
+    rows = _two(docs, id_col, text_col).withColumn("held_out", bucket_of("doc_id", modulus) == held_out)
     return rows.mapInArrow(partial(_score, number=number, weight=weight, bias=bias, threshold=threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held_out: int = 2) -> DataFrame:
+    """docs without the documents that are predicted toxic."""
+    number, weight, bias = learn(_two(docs, id_col, text_col), _labels(labels), modulus, held_out)
+    rows = numbered(docs)
+    return rows.mapInArrow(partial(_keep, text=f"_{docs.columns.index(text_col)}", number=number, weight=weight, bias=bias, threshold=threshold), rows.schema).toDF(*docs.columns)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
