@@ -36,7 +36,7 @@ from marlstone.llm.common import table, written
 K = 20
 SAMPLE = 20_000
 THRESHOLD = 0.2
-RERANK = 128
+RERANK = 256
 BLOCK, BLOCKS, LARGEST_BLOCK = 8192, 128, 65536
 CENTROIDS = 16
 _ROUNDS, _SWEEPS, _QUERIES = 6, 2, 256
