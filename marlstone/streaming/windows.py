@@ -14,7 +14,8 @@ from marlstone.session import load
 
 
 def _marked(rows: DataFrame, ts: str, delay: str | None) -> DataFrame:
-    return rows.withWatermark(ts, delay) if delay else rows
+    """A watermark needs an instant: a time without zone counts as the session's."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if delay else rows
 
 
 def windowed(rows: DataFrame, ts: str, key: str, size: str, slide: str | None = None, delay: str | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def late(rows: DataFrame, ts: str, order: str, delay_seconds: int, parts: str) -
 
 def once(rows: DataFrame, keys: list[str], ts: str | None = None, delay: str | None = None) -> DataFrame:
     """The first effect of each terminal event. A stream forgets keys behind the watermark."""
-    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if delay else rows.dropDuplicates(keys)
+    return _marked(rows, ts, delay).dropDuplicatesWithinWatermark(keys) if delay else rows.dropDuplicates(keys)
 
 
 def fenced(rows: DataFrame, current: DataFrame, key: str, generation: str) -> DataFrame:
