@@ -10,8 +10,12 @@ share a level), and each breaks ties by a hash of its own. Classes that share a
 the first order, and whose sizes allow the similarity, are candidates; they must also share one under
 each other order before their sets are fetched and compared exactly.
 
-Copies need no pair each. First every class meets only the least and the greatest class of each list
-(the classes with a shingle in their prefix). Links found so make components; after that a list whose
+From their first common shingle on, two sets share no more than what is left of either; with rare
+shingles first, that bound leaves out copies that have gone too far from what they were copied from.
+
+Copies need no pair each. First every class meets only the pivot of each list (of the classes with a
+shingle in their prefix and sizes near each other): the class in which the shingle stands earliest,
+which has the fewest shingles of its own. Links found so make components; after that a list whose
 classes lie in one component holds nothing new, and only pairs of classes of different components
 meet. So no link between components is missed, and a group of near copies costs a few pairs a member.
 
@@ -23,22 +27,23 @@ empty table gives an empty result; other columns are left out.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, drop, mixed, table, word_hashes, written
+from marlstone.llm.common import chunks, distinct, drop, mixed, numbered, table, word_hashes, written
 
 SHINGLE = 3
 #: Least similarity, as a whole number of hundredths.
 PERCENT = 90
 ORDERS = 3
-BINS, SLICES = 1 << 22, 64
+BIN_BITS, SLICES = 24, 64
 #: Sets that a task remembers so as not to send a copy's prefix again.
 SEEN = 500_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -53,7 +58,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> list[
     grams, out = mixed(grams), []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         if b - a >= size:
-            out.append(np.unique(grams[a : b - size + 1]))
+            out.append(distinct(grams[a : b - size + 1]))
         elif b > a:
             short = np.uint64(b - a)
             for w in words[a:b]:
@@ -78,20 +83,38 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def _bin(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """A task's counts: a byte for each bin, and what goes beyond a byte as (bin, rest)."""
+    far = np.flatnonzero(counts > 255)
+    low = zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+    return len(low).to_bytes(8, "little") + low + np.stack([far, counts[far] - 255]).astype("<i8").tobytes()
+
+
+def _unpack(packed: bytes, into: np.ndarray) -> None:
+    """Add packed counts."""
+    cut = 8 + int.from_bytes(packed[:8], "little")
+    into += np.frombuffer(zlib.decompress(packed[8:cut]), np.uint8)
+    far, rest = np.frombuffer(packed[cut:], "<i8").reshape(2, -1)
+    into[far] += rest
+
+
 def _summaries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """A row for each document with its set's size and digest; then the task's shingle counts."""
     names = ["doc_id", "n", "d1", "d2", "slice", "counts"]
-    bins = np.zeros(BINS, np.int32)
+    bins = np.zeros(1 << BIN_BITS, np.int32)
     with _errs():
         for batch, data, at in chunks(batches):
             sets = shingle_sets(data, at, size)
-            flat = np.concatenate(sets)
-            np.add(bins, np.bincount((flat >> np.uint64(42)).astype(np.int64), minlength=BINS), out=bins, casting="unsafe")
+            np.add.at(bins, _bin(np.concatenate(sets)), 1)
             d = [_digest(s) for s in sets]
             m = len(d)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
     if bins.any():
-        counts = [zlib.compress(x.tobytes(), 1) for x in bins.reshape(SLICES, -1)]
+        counts = [_pack(x) for x in bins.reshape(SLICES, -1)]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], names)
 
 
@@ -100,26 +123,27 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
-            sums[k] = sums[k] + x if k in sums else x
+            x = sums.setdefault(k, np.zeros((1 << BIN_BITS) // SLICES, np.int64))
+            _unpack(counts, x)
     if sums:
         levels = [np.floor(np.log2(np.maximum(x, 1)) * 4).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["slice", "levels"])
 
 
 def _prefix(s: np.ndarray, order: int, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set under one of the orders."""
-    level = levels[(s >> np.uint64(42)).astype(np.int64)].astype(np.uint64)
+    """The first shingles of a set under one of the orders, in that order."""
+    level = levels[_bin(s)].astype(np.uint64)
     key = level << np.uint64(56) | mixed(s ^ _FACTORS[order]) >> np.uint64(8)
     m = prefix_length(len(s), percent)
-    return s[np.argpartition(key, m - 1)[:m]] if len(s) > m else s
+    first = np.argpartition(key, m - 1)[:m] if len(s) > m else np.arange(len(s))
+    return s[first[np.argsort(key[first])]]
 
 
 def _postings(batches: Iterator[pa.RecordBatch], levels: np.ndarray, size: int, percent: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     with _errs():
         for _, data, at in chunks(batches):
-            tokens, classes, sizes = [], [], []
+            tokens, classes, sizes, places = [], [], [], []
             for s in shingle_sets(data, at, size):
                 if not len(s) or (d := _digest(s)[0]) in seen:
                     continue
@@ -130,16 +154,24 @@ def _postings(batches: Iterator[pa.RecordBatch], levels: np.ndarray, size: int,
                 tokens.append(p)
                 classes.append(np.full(len(p), d, np.int64))
                 sizes.append(np.full(len(p), len(s), np.int64))
+                places.append(np.arange(len(p)))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, classes, sizes)], ["token", "c", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, classes, sizes, places)], ["token", "c", "n", "place"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], levels: np.ndarray, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The sets of class representatives. Rows come sorted by (doc_id, c); a row whose set is not the
+    class's (another row of that doc_id) goes, and so does a repeated one."""
+    last = None
     with _errs():
         for batch, data, at in chunks(batches):
-            sets = shingle_sets(data, at, size)
-            prefixes = [b"".join(np.sort(_prefix(s, k, levels, percent)).tobytes() for k in range(1, ORDERS)) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s)[0] for s in sets], pa.int64()), batch.column("doc_id"), pa.array(prefixes, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["c", "rep", "prefixes", "grams"])
+            out: list[tuple] = []
+            for s, rep, c in zip(shingle_sets(data, at, size), batch.column("doc_id").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                if (rep, c) != last and _digest(s)[0] == c:
+                    out.append((c, rep, b"".join(np.sort(_prefix(s, k, levels, percent)).tobytes() for k in range(1, ORDERS)), s.tobytes()))
+                    last = rep, c
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["c", "rep", "prefixes", "grams"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -215,8 +247,10 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _compatible(m: str, n: str, percent: int):
-    return (100 * F.least(m, n)) >= (percent * F.greatest(m, n))
+def _possible(m: str, p: str, n: str, q: str, percent: int) -> Column:
+    """Whether sets of sizes m and n whose first common shingle stands at places p and q can be similar
+    enough: what they share is at most what is left from there in either."""
+    return (F.least(F.col(m) - F.col(p), F.col(n) - F.col(q)) * (100 + percent)) >= ((F.col(m) + F.col(n)) * percent)
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -225,34 +259,40 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     summaries = written(docs.mapInArrow(partial(_summaries, size=size), "doc_id long, n long, d1 long, d2 long, slice int, counts binary"), "summaries")
     got = summaries.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_levels, "slice int, levels binary").toPandas()
-    levels = np.zeros((SLICES, BINS // SLICES), np.uint8)
+    levels = np.zeros((SLICES, (1 << BIN_BITS) // SLICES), np.uint8)
     for k, x in got.itertuples(index=False):
         levels[k] = np.frombuffer(x, np.uint8)
     levels = docs.sparkSession.sparkContext.broadcast(levels.ravel())
     rows = summaries.filter("slice is null").select("doc_id", "n", "d1", "d2")
     classes = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
 
-    postings = written(docs.filter("doc_id is not null").mapInArrow(_with(_postings, levels, size, percent), "token long, c long, n long"), "postings")
-    lists = postings.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most")
-    shared = written(postings.join(lists, "token").select("token", "c", "n", "least", "most").distinct(), "shared")
+    postings = written(docs.filter("doc_id is not null").mapInArrow(_with(_postings, levels, size, percent), "token long, c long, n long, place long"), "postings")
+    many = postings.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("token")
+    # sets of a similarity that allows a link lie in one size class or in neighbours, so share one of two
+    width = -math.log(percent / 100) * (1 + 1e-9) if percent < 100 else 1e-9
+    size_class = F.floor(F.log("n") / width)
+    keyed = written(postings.join(many, "token").distinct().select("token", "c", "n", "place", F.explode(F.array(size_class, size_class + 1)).alias("k")), "keyed")
     drop(postings)
-    needed = shared.select("c").distinct().join(classes.select(F.col("d1").alias("c"), "rep"), "c").select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(docs.join(needed, "doc_id").mapInArrow(_with(_sets, levels, size, percent), "c long, rep long, prefixes binary, grams binary").join(classes.select(F.col("d1").alias("c"), "rep"), ["c", "rep"]).select("c", "rep", "prefixes", "grams").dropDuplicates(["c", "rep"]), "sets")
-
-    sizes = shared.select("c", "n").distinct()
-    ends = shared.select("c", "n", F.explode(F.array("least", "most")).alias("pivot")).filter("c <> pivot").select(F.least("c", "pivot").alias("a"), F.greatest("c", "pivot").alias("b")).distinct()
-    both = lambda pairs: pairs.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("c").alias("b"), "n"), "b").filter(_compatible("m", "n", percent)).select("a", "b")
-    first = written(both(ends), "candidates")
+    pivot = F.min(F.struct("place", "c", "n"))
+    lists = keyed.groupBy("token", "k").agg(F.min("c").alias("least"), F.max("c").alias("most"), pivot.alias("pivot")).filter("least <> most").select("token", "k", "pivot")
+    shared = written(keyed.join(lists, ["token", "k"]), "shared")
+    drop(keyed)
+    needed = shared.select("c").distinct().join(classes.select(F.col("d1").alias("c"), "rep"), "c").select(F.col("rep").alias("doc_id"), "c").distinct()
+    sets = written(docs.join(needed, "doc_id").sortWithinPartitions("doc_id", "c").mapInArrow(_with(_sets, levels, size, percent), "c long, rep long, prefixes binary, grams binary"), "sets")
+
+    met = shared.select("c", "n", "place", F.col("pivot.c").alias("d"), F.col("pivot.n").alias("m"), F.col("pivot.place").alias("q"))
+    first = written(met.filter((F.col("c") != F.col("d")) & _possible("n", "place", "m", "q", percent)).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "candidates")
     near = written(_links(first, sets, percent), "links")
     found = written(components(near), "components")
 
     reps = sets.select("c", "rep").distinct()
-    where = shared.join(reps, "c").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "c", "n", F.coalesce("component", "rep").alias("k"))
-    apart = where.groupBy("token").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("token")
-    open_ = written(where.join(apart, "token"), "open")
-    other = open_.select("token", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-    rest = open_.select("token", F.col("c").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka")).join(other, "token")
-    rest = rest.filter((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & _compatible("na", "nb", percent)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    where = shared.select("token", "k", "c", "n", "place").join(reps, "c").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "k", "c", "n", "place", F.coalesce("component", "rep").alias("comp"))
+    apart = where.groupBy("token", "k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token", "k")
+    open_ = written(where.join(apart, ["token", "k"]), "open")
+    drop(shared)
+    other = open_.select("token", "k", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("place").alias("q"), F.col("comp").alias("compb"))
+    rest = open_.select("token", "k", F.col("c").alias("a"), F.col("n").alias("na"), F.col("place").alias("p"), F.col("comp").alias("compa")).join(other, ["token", "k"])
+    rest = rest.filter((F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & _possible("na", "p", "nb", "q", percent)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     far = written(_links(rest, sets, percent), "links")
     links = near.unionByName(far)
     joined = written(components(links), "components") if not far.isEmpty() else found
@@ -263,6 +303,16 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     return out, links
 
 
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component (the least doc_id's) and every document without id."""
+    found = join(docs, size, percent, id_col, text_col)[0]
+    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows, key = numbered(docs), f"_{docs.columns.index(id_col)}"
+    named = rows.filter(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("gone"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*rows.columns)))
+    return named.withColumn("nth", nth).filter("nth = 1").drop("nth").unionByName(rows.filter(F.col(key).isNull())).toDF(*docs.columns)
+
+
 def _with(f, levels, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return f(batches, levels=levels.value, size=size, percent=percent)

@@ -32,7 +32,7 @@ from marlstone.llm.common import bucket_of, chunks, distinct, numbered, table
 SIZES = (3, 4, 5, 6)
 BUCKETS, SLICES = 1 << 20, 32
 KEPT = 1 << 13
-SAMPLE = 20_000
+SAMPLE = 12_000
 THRESHOLD = 0.3
 L2 = 1.0
 _SMOOTH = 1.0
@@ -173,7 +173,7 @@ def _keep(batches: Iterator[pa.RecordBatch], text: str, number: np.ndarray, weig
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> tuple[np.ndarray, np.ndarray, float]:
     """The kept features' numbers by bin, their weights (r times w), and the bias."""
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket_of("doc_id", modulus) != held_out)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = docs.select("doc_id", "text").filter(bucket_of("doc_id", modulus) != held_out).join(labels, "doc_id").select("text", "toxic")
+    labelled = docs.select("doc_id", "text").filter(bucket_of("doc_id", modulus) != held_out).join(labels.hint("merge"), "doc_id").select("text", "toxic")
     counted = labelled.mapInArrow(_presence, "slice int, counts binary, n0 long, n1 long").repartition(SLICES, "slice").mapInArrow(_ratios, "bin long, r double, z double, n0 long, n1 long")
     top = counted.orderBy(F.desc("z"), "bin").limit(KEPT).toPandas()
     number = np.full(BUCKETS, -1, np.int32)
