@@ -46,6 +46,8 @@ ORDERS = 3
 BIN_BITS, SLICES = 24, 64
 #: Sets that a task remembers so as not to send a copy's prefix again.
 SEEN = 500_000
+#: Bits of the table that keeps most texts that need no comparison out of a shuffle.
+FILTER_BITS = 24
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -247,6 +249,15 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def _likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id is not needed, so that their texts need no shuffle: a
+    table of 2 ** FILTER_BITS bits, at most 2 ** (FILTER_BITS - 6) rows to broadcast, says which may be."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = needed.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(h & 63)))").alias("bits"))
+    placed = docs.withColumn("h", h).withColumn("w", F.shiftright("h", 6))
+    return placed.join(F.broadcast(words), "w").filter("(shiftright(bits, int(h & 63)) & 1) = 1").select(*docs.columns)
+
+
 def _possible(m: str, p: str, n: str, q: str, percent: int) -> Column:
     """Whether sets of sizes m and n whose first common shingle stands at places p and q can be similar
     enough: what they share is at most what is left from there in either."""
@@ -263,7 +274,8 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     for k, x in got.itertuples(index=False):
         levels[k] = np.frombuffer(x, np.uint8)
     levels = docs.sparkSession.sparkContext.broadcast(levels.ravel())
-    rows = summaries.filter("slice is null").select("doc_id", "n", "d1", "d2")
+    rows = written(summaries.filter("slice is null").select("doc_id", "n", "d1", "d2"), "rows")
+    drop(summaries)
     classes = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
 
     postings = written(docs.filter("doc_id is not null").mapInArrow(_with(_postings, levels, size, percent), "token long, c long, n long, place long"), "postings")
@@ -277,8 +289,8 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     lists = keyed.groupBy("token", "k").agg(F.min("c").alias("least"), F.max("c").alias("most"), pivot.alias("pivot")).filter("least <> most").select("token", "k", "pivot")
     shared = written(keyed.join(lists, ["token", "k"]), "shared")
     drop(keyed)
-    needed = shared.select("c").distinct().join(classes.select(F.col("d1").alias("c"), "rep"), "c").select(F.col("rep").alias("doc_id"), "c").distinct()
-    sets = written(docs.join(needed, "doc_id").sortWithinPartitions("doc_id", "c").mapInArrow(_with(_sets, levels, size, percent), "c long, rep long, prefixes binary, grams binary"), "sets")
+    needed = written(shared.select("c").distinct().join(classes.select(F.col("d1").alias("c"), "rep"), "c").select(F.col("rep").alias("doc_id"), "c").distinct(), "needed")
+    sets = written(_likely(docs, needed).join(needed, "doc_id").sortWithinPartitions("doc_id", "c").mapInArrow(_with(_sets, levels, size, percent), "c long, rep long, prefixes binary, grams binary"), "sets")
 
     met = shared.select("c", "n", "place", F.col("pivot.c").alias("d"), F.col("pivot.n").alias("m"), F.col("pivot.place").alias("q"))
     first = written(met.filter((F.col("c") != F.col("d")) & _possible("n", "place", "m", "q", percent)).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "candidates")
