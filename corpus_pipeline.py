@@ -6,7 +6,7 @@ columns of documents.
 
 1. language ID: documents whose language is undetermined go.
 2. toxicity: documents that are predicted toxic go.
-3. n-gram Jaccard join: one document of each group of near duplicates stays.
+3. n-gram Jaccard join: one document of each group of near duplicates (SHINGLE words, PERCENT) stays.
 4. mixing: a row for each pass that the schedule makes over a document, cut where the mix ends.
 5. BPE: token counts and digests of ids and of the text decoded from them.
 """
@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import bpe_tree, common, jaccard_join, language_mix, mix_schedule, toxicity
 
+#: What counts as a near duplicate here; op5_jaccard_join has values of its own.
+SHINGLE, PERCENT = 5, 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_mix.keep_identified(docs)
@@ -28,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, size=SHINGLE, percent=PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
