@@ -119,8 +119,16 @@ def norm_key_resolve(s: SparkSession, d: str) -> DataFrame:
 
 
 def halfwidth(s: SparkSession, d: str) -> DataFrame:
-    wide = F.translate(F.substring("text", 1, 200), T.HALF_WIDTH, T.FULL_WIDTH)
-    return _docs(s, d).select("doc_id", F.sha2(T.half_width(wide), 256).alias("digest"))
+    return _folded(_docs(s, d), F.substring("text", 1, 200))
+
+
+def halfwidth_whole(s: SparkSession, d: str) -> DataFrame:
+    """As halfwidth, whose SQL ends at character 200, over whole texts."""
+    return _folded(_docs(s, d), F.col("text"))
+
+
+def _folded(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.select("doc_id", F.sha2(T.half_width(F.translate(text, T.HALF_WIDTH, T.FULL_WIDTH)), 256).alias("digest"))
 
 
 TERMS = ["idiot", "clown", "license", "the", "les", "von"]
@@ -212,7 +220,7 @@ def part_offsets(s: SparkSession, d: str) -> DataFrame:
 
 
 def quantity_tokens(s: SparkSession, d: str) -> DataFrame:
-    q = F.array_join(T.quantities(F.substring("text", 1, 1000)), ";")
+    q = F.array_join(T.quantities(F.col("text")), ";")
     return _docs(s, d).select("doc_id", q.alias("quantities")).filter("quantities <> ''")
 
 
@@ -258,7 +266,7 @@ def stable_ids(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     **{
         f.__name__: f
-        for f in (norm_key_resolve, halfwidth, url_native_ids, url_redact, lineage_keys, source_class, secret_scan, html_links, html_title_meta, html_text, html_blocks, page_quality, markdown_index_text, cue_windows_60, beat_timeline, part_offsets, quantity_tokens, negation_polarity, exact_quote_match, quote_anchor, body_fingerprint_dups, suspicious_title, heading_fill, stable_ids)
+        for f in (norm_key_resolve, halfwidth, halfwidth_whole, url_native_ids, url_redact, lineage_keys, source_class, secret_scan, html_links, html_title_meta, html_text, html_blocks, page_quality, markdown_index_text, cue_windows_60, beat_timeline, part_offsets, quantity_tokens, negation_polarity, exact_quote_match, quote_anchor, body_fingerprint_dups, suspicious_title, heading_fill, stable_ids)
     },
     "hit_terms": hit_terms_query,
     "note_chunks": note_chunks_query,
@@ -274,6 +282,7 @@ _KEYS = ", ".join(f"'{k}'" for k in T.SECRET_KEYS)
 ORACLES = {
     "norm_key_resolve": "SELECT p.p_partkey, m.entity FROM part p JOIN (SELECT p_name, min(p_partkey) AS entity FROM part GROUP BY p_name) m ON m.p_name = p.p_name",
     "halfwidth": "SELECT doc_id, sha256(substring(text, 1, 200)) AS digest FROM documents",
+    "halfwidth_whole": "SELECT doc_id, sha256(text) AS digest FROM documents",
     "hit_terms": "WITH t AS (SELECT doc_id, u.term, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w IN (u.term, u.term || 's', u.term || 'es'))) AS n FROM documents, (VALUES "
     + ", ".join(f"('{t}')" for t in TERMS)
     + ") u(term)) SELECT doc_id, term, n::BIGINT AS n, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term))::INT AS place FROM t WHERE n > 0",
