@@ -235,12 +235,19 @@ def exact_quote_match(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).join(items, F.contains("text", F.col("quote"))).select("doc_id", "item_id")
 
 
+def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Where a quotation stands in a document, if it stands just once; occurrences may overlap."""
+    hits = docs.join(items.filter("quote <> ''"), F.contains("text", F.col("quote"))).withColumn("place", F.instr("text", F.col("quote")))
+    return hits.filter(F.expr("locate(quote, text, place + 1) = 0")).select("doc_id", "item_id", F.col("place").cast("long").alias("place"))
+
+
 def quote_anchor(s: SparkSession, d: str) -> DataFrame:
-    """Where a quotation stands, if it stands just once."""
-    items = load(s, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote"))
-    hits = _docs(s, d).join(items, F.contains("text", F.col("quote")))
-    times = ((F.char_length("text") - F.char_length(F.replace("text", F.col("quote"), F.lit("")))) / F.char_length("quote")).cast("long")
-    return hits.withColumn("times", times).filter("times = 1").select("doc_id", "item_id", F.instr("text", F.col("quote")).cast("long").alias("place"))
+    return anchors(_docs(s, d), load(s, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote")))
+
+
+def quote_anchor_whole(s: SparkSession, d: str) -> DataFrame:
+    """As quote_anchor, whose SQL ends at character 40, with the whole text of each item."""
+    return anchors(_docs(s, d), load(s, d, "benchmark").select("item_id", F.col("text").alias("quote")))
 
 
 def body_fingerprint_dups(s: SparkSession, d: str) -> DataFrame:
@@ -266,7 +273,7 @@ def stable_ids(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     **{
         f.__name__: f
-        for f in (norm_key_resolve, halfwidth, halfwidth_whole, url_native_ids, url_redact, lineage_keys, source_class, secret_scan, html_links, html_title_meta, html_text, html_blocks, page_quality, markdown_index_text, cue_windows_60, beat_timeline, part_offsets, quantity_tokens, negation_polarity, exact_quote_match, quote_anchor, body_fingerprint_dups, suspicious_title, heading_fill, stable_ids)
+        for f in (norm_key_resolve, halfwidth, halfwidth_whole, url_native_ids, url_redact, lineage_keys, source_class, secret_scan, html_links, html_title_meta, html_text, html_blocks, page_quality, markdown_index_text, cue_windows_60, beat_timeline, part_offsets, quantity_tokens, negation_polarity, exact_quote_match, quote_anchor, quote_anchor_whole, body_fingerprint_dups, suspicious_title, heading_fill, stable_ids)
     },
     "hit_terms": hit_terms_query,
     "note_chunks": note_chunks_query,
@@ -310,6 +317,7 @@ SELECT conv_id, w AS window_start, count(*) AS cues, max(s) AS last_start FROM w
     "negation_polarity": "WITH n AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w IN ('not', 'no', 'never', 'nicht', 'kein', 'ne', 'pas', 'sin', 'nunca'))) AS n FROM documents) SELECT doc_id, n::BIGINT AS negations, (n % 2)::BIGINT AS polarity FROM n WHERE n > 0",
     "exact_quote_match": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "quote_anchor": "WITH i AS (SELECT item_id, substring(text, 1, 40) AS q FROM benchmark) SELECT doc_id, item_id, instr(text, q)::BIGINT AS place FROM documents JOIN i ON contains(text, q) WHERE (length(text) - length(replace(text, q, ''))) // length(q) = 1",
+    "quote_anchor_whole": "SELECT doc_id, item_id, instr(d.text, b.text)::BIGINT AS place FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> '' AND NOT contains(substring(d.text, instr(d.text, b.text) + 1), b.text)",
     "body_fingerprint_dups": "WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\s+$', ''), '^\\s+', '') AS h FROM documents) SELECT min(doc_id) AS first, count(*) AS copies FROM h GROUP BY h HAVING count(*) > 1",
     "suspicious_title": "WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages) SELECT page_id, regexp_matches(t, '(?i)\\.(pdf|docx?|html?)$') OR regexp_matches(t, '(?i)^(untitled|document|img_|scan)') OR (length(t) < 6 AND NOT contains(t, ' ')) OR regexp_matches(t, '%%%|###|\\$\\$\\$') AS suspicious FROM t",
     "heading_fill": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS under FROM conversations",

@@ -24,3 +24,10 @@ def test_halfwidth_after_character_200(spark, tmp_path):
     got = {r.doc_id: r.digest for r in textops.halfwidth_whole(spark, d).collect()}
     want = {1: "a" * 300, 2: "a" * 300 + "B", 3: "a" * 300 + T.HALF_WIDTH[-1]}
     assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_anchor_is_the_whole_item_found_once(spark, tmp_path):
+    head = "h" * 20 + "-" * 20
+    d = tables(spark, tmp_path, documents=[(1, f"{head} a, {head} b"), (2, f"{head} c"), (3, "banana"), (4, None)], benchmark=[(1, f"{head} b"), (2, "ana"), (3, "nan"), (4, ""), (5, None)])
+    assert {tuple(r) for r in textops.quote_anchor_whole(spark, d).collect()} == {(1, 1, 45), (3, 3, 3)}
+    assert (3, 2) not in {(r.doc_id, r.item_id) for r in textops.quote_anchor(spark, d).collect()}  # overlaps count
