@@ -70,12 +70,30 @@ def fuse(rows: DataFrame, queries: list[str], fields: tuple[str, ...], key: str,
 STOP_WORDS = ("about", "and", "are", "for", "from", "how", "is", "the", "this", "that", "what", "when", "which", "with")
 
 
-def derived_queries(questions: DataFrame, key: str, text: str, most: int = 6) -> DataFrame:
-    """The search queries of a question: its distinct words (runs of letters and digits or of Chinese
-    characters) of two characters and more, no stop words, longest first, then in order; `most` of them."""
-    words = questions.select(F.col(key), F.posexplode(F.regexp_extract_all(F.lower(text), F.lit("([一-鿿]+|[a-z0-9]+)"), F.lit(1))).alias("pos", "query"))
-    words = words.filter((F.length("query") >= 2) & ~F.col("query").isin(*STOP_WORDS)).groupBy(key, "query").agg(F.min("pos").alias("pos"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("query")), "pos"))
+#: Of Chinese characters; shorter ones are left out by their length.
+CJK_STOP_WORDS = ("一个", "什么", "怎么", "如何", "为什么", "哪些", "这个", "那个", "可以", "他们", "我们", "你们", "以及", "或者", "还是", "因为", "所以", "但是", "关于", "对于", "通过", "进行", "区别", "差异", "比较", "之间")
+CJK_WINDOWS = (4, 3, 2)
+
+
+def derived_queries(questions: DataFrame, key: str, text: str, most: int = 6, glossary: DataFrame | None = None) -> DataFrame:
+    """The search queries of a question, `most` of them: first the glossary's terms (column term) that it
+    holds, by name; then its distinct words of two characters and more, no stop words, longest first, then
+    in order. Words are runs of letters and digits, and of runs of Chinese characters the whole, if no
+    longer than the longest window, and the windows shorter than the run."""
+    runs = questions.select(F.col(key), F.posexplode(F.regexp_extract_all(F.lower(text), F.lit("([一-鿿]+|[a-z0-9]+)"), F.lit(1))).alias("pos", "run"))
+    n = F.length("run")
+    sizes = F.filter(F.array(*(F.lit(w) for w in CJK_WINDOWS)), lambda w: w < n)
+    sizes = F.when(F.col("run").rlike("^[a-z0-9]"), F.array(n)).when(n <= max(CJK_WINDOWS), F.concat(F.array(n), sizes)).otherwise(sizes)
+    cut = runs.select(key, "pos", "run", F.explode(sizes).alias("size"))
+    cut = cut.select(key, "pos", "run", "size", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("size") + 1)).alias("at"))
+    words = cut.select(key, F.substring("run", F.col("at"), F.col("size")).alias("query"), F.struct("pos", (-F.col("size")).alias("size"), "at").alias("pos"))
+    words = words.filter((F.length("query") >= 2) & ~F.col("query").isin(*STOP_WORDS, *CJK_STOP_WORDS)).groupBy(key, "query").agg(F.min("pos").alias("pos")).withColumn("term", F.lit(1))
+    if glossary is not None:
+        terms = glossary.select(F.trim("term").alias("_term")).filter("_term <> ''").distinct()
+        held = questions.join(terms, F.contains(text, F.col("_term"))).select(key, F.lower("_term").alias("query")).distinct()
+        words = words.join(held, [key, "query"], "left_anti").unionByName(held.withColumn("term", F.lit(0)), allowMissingColumns=True)
+    length = F.when(F.col("term") == 1, F.length("query"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("term", F.desc(length), "pos", "query"))
     return words.withColumn("place", place).filter(F.col("place") <= most).select(key, "place", "query")
 
 
