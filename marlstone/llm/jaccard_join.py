@@ -4,11 +4,18 @@ A document's set holds its distinct SHINGLE-word shingles (A-Z lowered) as 64-bi
 with equal sets form one class; only classes are compared.
 
 Under any global order of the shingles, two sets of Jaccard similarity t or more share one of the
-first n - ceil(t n) + 1 shingles of each. All orders here put rare shingles first, by the level of
-their count over all documents (a table of counts with a fixed number of bins, so shingles of one bin
-share a level), and each breaks ties by a hash of its own. Classes that share a prefix shingle under
-the first order, and whose sizes allow the similarity, are candidates; they must also share one under
-each other order before their sets are fetched and compared exactly.
+first n - ceil(t n) + 1 shingles of each, their prefixes. The first order puts a fixed share of all
+shingles, chosen by their hashes, before the others, and sorts that share by how many classes hold a
+shingle. Those counts are exact and made where the shingles meet, in slices as many as the data needs:
+a shingle that no other class holds goes no further, so only shared ones travel back to their classes,
+and a class whose prefix holds none of them can link with nothing and is done. The other orders put
+shingles of rarer bins first (a table of bins of fixed size) and break ties by hashes of their own; so
+do the places after the counted share. The table only saves work: results don't depend on it. A
+shingle of a crowded bin stands last in every order and is not counted, so that slices stay small.
+
+Classes that share a prefix shingle under the first order, and whose sizes allow the similarity, are
+candidates; they must also share one under each other order before their sets are fetched and compared
+exactly.
 
 From their first common shingle on, two sets share no more than what is left of either; with rare
 shingles first, that bound leaves out copies that have gone too far from what they were copied from.
@@ -34,6 +41,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +51,12 @@ SHINGLE = 3
 #: Least similarity, as a whole number of hundredths.
 PERCENT = 90
 ORDERS = 3
-BIN_BITS, SLICES = 24, 64
+#: Bins of the table of rarity (a power of two), and the slices in which they are summed.
+BIN_BITS, SLICES = 22, 64
+#: Shingles that a slice of the exact counts holds, about; a worker holds one slice at a time.
+SLICE_TOKENS = 2_000_000
+#: Shingles that a task holds before it sends them to their slices.
+FLUSH = 2_000_000
 #: Sets that a task remembers so as not to send a copy's prefix again.
 SEEN = 500_000
 #: Bits of the table that keeps most texts that need no comparison out of a shuffle.
@@ -85,8 +98,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _bin(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+def counted_share(percent: int) -> int:
+    """How many in 1024 shingles are counted: over twice a prefix's share, all at most."""
+    return min(1024, (100 - percent) * 23)
+
+
+def _bin(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -104,14 +122,14 @@ def _unpack(packed: bytes, into: np.ndarray) -> None:
     into[far] += rest
 
 
-def _summaries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _summaries(batches: Iterator[pa.RecordBatch], size: int, bits: int) -> Iterator[pa.RecordBatch]:
     """A row for each document with its set's size and digest; then the task's shingle counts."""
     names = ["doc_id", "n", "d1", "d2", "slice", "counts"]
-    bins = np.zeros(1 << BIN_BITS, np.int32)
+    bins = np.zeros(1 << bits, np.int32)
     with _errs():
         for batch, data, at in chunks(batches):
             sets = shingle_sets(data, at, size)
-            np.add.at(bins, _bin(np.concatenate(sets)), 1)
+            np.add.at(bins, _bin(np.concatenate(sets), bits), 1)
             d = [_digest(s) for s in sets]
             m = len(d)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
@@ -120,45 +138,156 @@ def _summaries(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, pa.int64()) for _ in range(4)), pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], names)
 
 
-def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _levels(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """The summed counts of the slices that arrive, as levels: four to a doubling."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            x = sums.setdefault(k, np.zeros((1 << BIN_BITS) // SLICES, np.int64))
+            x = sums.setdefault(k, np.zeros((1 << bits) // SLICES, np.int64))
             _unpack(counts, x)
     if sums:
         levels = [np.floor(np.log2(np.maximum(x, 1)) * 4).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["slice", "levels"])
 
 
-def _prefix(s: np.ndarray, order: int, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set under one of the orders, in that order."""
-    level = levels[_bin(s)].astype(np.uint64)
-    key = level << np.uint64(56) | mixed(s ^ _FACTORS[order]) >> np.uint64(8)
-    m = prefix_length(len(s), percent)
+def _order(s: np.ndarray, order: int, levels: np.ndarray) -> np.ndarray:
+    """Sort keys of shingles under one of the orders by levels."""
+    return levels[_bin(s, len(levels).bit_length() - 1)].astype(np.uint64) << np.uint64(56) | mixed(s ^ _FACTORS[order]) >> np.uint64(8)
+
+
+def _first(s: np.ndarray, key: np.ndarray, m: int) -> np.ndarray:
+    """The m shingles of the least keys, in their order."""
     first = np.argpartition(key, m - 1)[:m] if len(s) > m else np.arange(len(s))
     return s[first[np.argsort(key[first])]]
 
 
-def _postings(batches: Iterator[pa.RecordBatch], levels: np.ndarray, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _prefix(s: np.ndarray, order: int, levels: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set under one of the orders by levels, in that order."""
+    return _first(s, _order(s, order, levels), prefix_length(len(s), percent))
+
+
+#: Rows of three kinds: shingles to count (slice, task, blob); sets (owner, class, size, counted
+#: shingles); prefix shingles that are not counted (owner, shingle, place).
+_EMITTED = "kind int, x long, y long, z long, w long, blob binary"
+_TOKENS, _CLASS, _PLACED = range(3)
+
+
+def _emitted(kind: int, *columns: np.ndarray, blobs: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(columns[0])
+    longs = [pa.array(np.asarray(c).astype(np.int64)) for c in columns] + [pa.nulls(n, pa.int64())] * (4 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *longs, pa.array(blobs, pa.binary()) if blobs else pa.nulls(n, pa.binary())], ["kind", "x", "y", "z", "w", "blob"])
+
+
+def _sliced(tokens: list[np.ndarray], owners: list[np.ndarray], slices: int, task: int) -> pa.RecordBatch:
+    """The shingles held, a row for each slice: count, deflated steps between owners, shingles."""
+    s, o = np.concatenate(tokens), np.concatenate(owners)
+    k = ((s >> np.uint64(11) & np.uint64(0xFFFFFFFF)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(k, kind="stable")
+    s, o, k = s[by], o[by], k[by]
+    cuts = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
+    blobs = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        steps = zlib.compress(np.diff(o[a:b], prepend=0).astype("<u4").tobytes(), 1)
+        blobs.append(int(b - a).to_bytes(8, "little") + s[a:b].astype("<u8").tobytes() + steps)
+    return _emitted(_TOKENS, k[cuts[:-1]], np.full(len(blobs), task), blobs=blobs)
+
+
+def _emit(batches: Iterator[pa.RecordBatch], levels: np.ndarray, size: int, percent: int, crowded: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """What the sets of a task's documents send on; a set of which the task has sent a copy sends nothing."""
+    task, owner, held = TaskContext.get().partitionId(), 0, 0
     seen: set[int] = set()
+    tokens: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    share, bits = np.uint64(counted_share(percent)), len(levels).bit_length() - 1
     with _errs():
         for _, data, at in chunks(batches):
-            tokens, classes, sizes, places = [], [], [], []
+            sets, c = [], []
             for s in shingle_sets(data, at, size):
                 if not len(s) or (d := _digest(s)[0]) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(d)
-                p = _prefix(s, 0, levels, percent)
-                tokens.append(p)
-                classes.append(np.full(len(p), d, np.int64))
-                sizes.append(np.full(len(p), len(s), np.int64))
-                places.append(np.arange(len(p)))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (tokens, classes, sizes, places)], ["token", "c", "n", "place"])
+                sets.append(s)
+                c.append(d)
+            if not sets:
+                continue
+            n = np.array([len(s) for s in sets])
+            begin = np.append(0, np.cumsum(n))
+            every = np.concatenate(sets)
+            counted = ((every & np.uint64(1023)) < share) & (levels[_bin(every, bits)] < crowded)
+            a = np.add.reduceat(counted.astype(np.int64), begin[:-1])
+            ids = owner + np.arange(len(sets))
+            tokens.append(every[counted])
+            owners.append(np.repeat(ids, n)[counted])
+            held += len(tokens[-1])
+            placed = []
+            for k in np.flatnonzero(a < [prefix_length(x, percent) for x in n]):
+                rest = sets[k][~counted[begin[k] : begin[k + 1]]]
+                more = _first(rest, _order(rest, 0, levels), prefix_length(int(n[k]), percent) - int(a[k]))
+                placed.append((np.full(len(more), ids[k]), more.astype(np.int64), a[k] + np.arange(len(more))))
+            base = task << 32
+            yield _emitted(_CLASS, base + ids, np.array(c, np.int64), n, a)
+            if placed:
+                o, t, p = (np.concatenate(x) for x in zip(*placed, strict=True))
+                yield _emitted(_PLACED, base + o, t, p)
+            owner += len(sets)
+            if held >= FLUSH:
+                yield _sliced(tokens, owners, slices, task)
+                tokens, owners, held = [], [], 0
+    if held:
+        yield _sliced(tokens, owners, slices, task)
+
+
+def _held_by_more(parts: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Of a slice's shingles those with more than one owner, with their owners and how many they are."""
+    tokens, owners = [], []
+    for task, blob in parts:
+        n = int.from_bytes(blob[:8], "little")
+        tokens.append(np.frombuffer(blob, "<u8", n, 8))
+        owners.append((task << 32) + np.cumsum(np.frombuffer(zlib.decompress(blob[8 + 8 * n :]), "<u4").astype(np.int64)))
+    s, o = np.concatenate(tokens), np.concatenate(owners)
+    by = np.argsort(s)
+    s, o = s[by], o[by]
+    count = np.diff(np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s)))
+    count = np.repeat(count, count)
+    keep = np.flatnonzero(count > 1)
+    for k in range(0, len(keep), 100_000):
+        at = keep[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(o[at]), pa.array(s[at].astype(np.int64)), pa.array(count[at])], ["owner", "token", "held"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by slice; a slice at a time is held."""
+    parts: list[tuple[int, bytes]] = []
+    at = None
+    for batch in batches:
+        for k, task, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if k != at and parts:
+                yield from _held_by_more(parts)
+                parts = []
+            at = k
+            parts.append((task, blob))
+    if parts:
+        yield from _held_by_more(parts)
+
+
+def _postings(docs: DataFrame, levels, size: int, percent: int, total: int, bits: int, slice_tokens: int) -> DataFrame:
+    """token, c, n and place: the prefixes of the classes under the first order, without shingles that
+    no other class holds. What is left out before a place is counted, so places are those of whole sets."""
+    slices = max(1, total * counted_share(percent) // 1024 // slice_tokens)
+    crowded = math.ceil(math.log2(4 * total / (1 << bits) + 64) * 4)
+    emitted = written(docs.mapInArrow(_with(_emit, levels, size=size, percent=percent, crowded=crowded, slices=slices), _EMITTED), "emitted")
+    sets = emitted.filter(f"kind = {_CLASS}").groupBy(F.col("y").alias("c")).agg(F.min("x").alias("owner"), F.min("z").alias("n"), F.min("w").alias("counted"))
+    counts = emitted.filter(f"kind = {_TOKENS}").select("x", "y", "blob").repartition(slices, "x").sortWithinPartitions("x").mapInArrow(_shared, "owner long, token long, held long")
+    w = Window.partitionBy("owner")
+    place = F.col("counted") - F.count("*").over(w) + F.row_number().over(w.orderBy("held", "token")) - 1
+    prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    first = counts.join(sets, "owner").withColumn("place", place).filter(F.col("place") < prefix)
+    rest = emitted.filter(f"kind = {_PLACED}").select(F.col("x").alias("owner"), F.col("y").alias("token"), F.col("z").alias("place")).join(sets, "owner")
+    out = written(first.select("token", "c", "n", "place").unionByName(rest.select("token", "c", "n", "place")), "postings")
+    drop(emitted)
+    return out
 
 
 def _sets(batches: Iterator[pa.RecordBatch], levels: np.ndarray, size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -230,8 +359,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every node onto its least neighbour, if that is less, and moves the edges along;
     the hooks of all rounds, one after another, lead from a node to its component."""
-    edges = written(edges.filter("a <> b").select("a", "b"), "edges")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = edges = written(edges.filter("a <> b").select("a", "b"), "edges")
     hooks: list[DataFrame] = []
     while not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
@@ -241,11 +369,15 @@ def components(edges: DataFrame) -> DataFrame:
         y = hook.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).filter("a <> b")
         old, edges = edges, written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        if len(hooks) > 1:
+        if old is not first:
             drop(old)
+    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     out = nodes.select("node", F.col("node").alias("component"))
     for hook in hooks:
         out = out.join(hook.select(F.col("a").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = written(out, "components")
+    for made in {id(x): x for x in (first, edges, *hooks)}.values():
+        drop(made)
     return out
 
 
@@ -264,38 +396,41 @@ def _possible(m: str, p: str, n: str, q: str, percent: int) -> Column:
     return (F.least(F.col(m) - F.col(p), F.col(n) - F.col(q)) * (100 + percent)) >= ((F.col(m) + F.col(n)) * percent)
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bits: int = BIN_BITS, slice_tokens: int = SLICE_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) of each document, and the links found between the
-    representatives (least doc_ids) of classes of equal sets."""
+    representatives (least doc_ids) of classes of equal sets. bits and slice_tokens only change the work."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    summaries = written(docs.mapInArrow(partial(_summaries, size=size), "doc_id long, n long, d1 long, d2 long, slice int, counts binary"), "summaries")
-    got = summaries.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(_levels, "slice int, levels binary").toPandas()
-    levels = np.zeros((SLICES, (1 << BIN_BITS) // SLICES), np.uint8)
+    summaries = written(docs.mapInArrow(partial(_summaries, size=size, bits=bits), "doc_id long, n long, d1 long, d2 long, slice int, counts binary"), "summaries")
+    got = summaries.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(partial(_levels, bits=bits), "slice int, levels binary").toPandas()
+    levels = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for k, x in got.itertuples(index=False):
         levels[k] = np.frombuffer(x, np.uint8)
     levels = docs.sparkSession.sparkContext.broadcast(levels.ravel())
     rows = written(summaries.filter("slice is null").select("doc_id", "n", "d1", "d2"), "rows")
     drop(summaries)
-    classes = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
+    classes = written(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "classes")
+    total = classes.agg(F.sum("n")).first()[0] or 0
 
-    postings = written(docs.filter("doc_id is not null").mapInArrow(_with(_postings, levels, size, percent), "token long, c long, n long, place long"), "postings")
-    many = postings.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("token")
+    postings = _postings(docs.filter("doc_id is not null"), levels, size, percent, total, bits, slice_tokens)
     # sets of a similarity that allows a link lie in one size class or in neighbours, so share one of two
     width = -math.log(percent / 100) * (1 + 1e-9) if percent < 100 else 1e-9
     size_class = F.floor(F.log("n") / width)
-    keyed = written(postings.join(many, "token").distinct().select("token", "c", "n", "place", F.explode(F.array(size_class, size_class + 1)).alias("k")), "keyed")
-    drop(postings)
+    keyed = postings.select("token", "c", "n", "place", F.explode(F.array(size_class, size_class + 1)).alias("k"))
     pivot = F.min(F.struct("place", "c", "n"))
     lists = keyed.groupBy("token", "k").agg(F.min("c").alias("least"), F.max("c").alias("most"), pivot.alias("pivot")).filter("least <> most").select("token", "k", "pivot")
     shared = written(keyed.join(lists, ["token", "k"]), "shared")
-    drop(keyed)
+    drop(postings)
     needed = written(shared.select("c").distinct().join(classes.select(F.col("d1").alias("c"), "rep"), "c").select(F.col("rep").alias("doc_id"), "c").distinct(), "needed")
-    sets = written(_likely(docs, needed).join(needed, "doc_id").sortWithinPartitions("doc_id", "c").mapInArrow(_with(_sets, levels, size, percent), "c long, rep long, prefixes binary, grams binary"), "sets")
+    sets = written(_likely(docs, needed).join(needed, "doc_id").sortWithinPartitions("doc_id", "c").mapInArrow(_with(_sets, levels, size=size, percent=percent), "c long, rep long, prefixes binary, grams binary"), "sets")
+    drop(needed)
 
     met = shared.select("c", "n", "place", F.col("pivot.c").alias("d"), F.col("pivot.n").alias("m"), F.col("pivot.place").alias("q"))
     first = written(met.filter((F.col("c") != F.col("d")) & _possible("n", "place", "m", "q", percent)).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "candidates")
+    # a doc_id whose rows have different texts is one node: it joins their classes
+    several = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).filter("least <> most").select("doc_id")
+    same = rows.join(several, "doc_id").join(classes, ["n", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
     near = written(_links(first, sets, percent), "links")
-    found = written(components(near), "components")
+    found = components(near.unionByName(same))
 
     reps = sets.select("c", "rep").distinct()
     where = shared.select("token", "k", "c", "n", "place").join(reps, "c").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("token", "k", "c", "n", "place", F.coalesce("component", "rep").alias("comp"))
@@ -304,14 +439,24 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     drop(shared)
     other = open_.select("token", "k", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("place").alias("q"), F.col("comp").alias("compb"))
     rest = open_.select("token", "k", F.col("c").alias("a"), F.col("n").alias("na"), F.col("place").alias("p"), F.col("comp").alias("compa")).join(other, ["token", "k"])
-    rest = rest.filter((F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & _possible("na", "p", "nb", "q", percent)).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    far = written(_links(rest, sets, percent), "links")
-    links = near.unionByName(far)
-    joined = written(components(links), "components") if not far.isEmpty() else found
-
-    keyed = rows.join(classes, ["n", "d1", "d2"], "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    # rows that share a doc_id are one node: the least component of theirs holds for all
-    out = keyed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    rest = rest.filter((F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & _possible("na", "p", "nb", "q", percent)).select("a", "b").distinct()
+    rest = written(rest.join(first, ["a", "b"], "left_anti"), "candidates")
+    drop(open_)
+    drop(first)
+    links, joined = near, found
+    if not rest.isEmpty():
+        links = written(near.unionByName(_links(rest, sets, percent)), "links")
+        joined = components(links.unionByName(same))
+        drop(near)
+        drop(found)
+    drop(rest)
+    drop(sets)
+
+    # rows meet their classes in one join of two tables, which Spark splits where many rows have one class
+    placed = written(classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "placed")
+    drop(classes)
+    drop(joined)
+    out = rows.join(placed, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out, links
 
 
@@ -325,9 +470,9 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_co
     return named.withColumn("nth", nth).filter("nth = 1").drop("nth").unionByName(rows.filter(F.col(key).isNull())).toDF(*docs.columns)
 
 
-def _with(f, levels, size: int, percent: int):
+def _with(f, levels, **more):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return f(batches, levels=levels.value, size=size, percent=percent)
+        return f(batches, levels=levels.value, **more)
 
     return run
 
