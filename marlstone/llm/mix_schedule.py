@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import numbered, table, written
@@ -34,6 +34,8 @@ M, A = 2_147_483_647, 1_327_217_885
 #: A pass over the sources' shares finds a point's source by cell.
 CELLS = 1 << 14
 SLOTS_A_CHUNK, ROWS_A_RANGE = 4096, 2048
+#: Chunks that are summed together before the sums of a source are.
+CHUNKS_A_SPAN = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,6 +71,17 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     return x.withColumn("hi", upto.cast("double") / total * M).withColumn("lo", (upto - F.col("words")).cast("double") / total * M).select("key", "source", "source_size", "target", "words", "lo", "hi")
 
 
+def offsets(sums: DataFrame, order: str, span: Column, value: str) -> DataFrame:
+    """sums (one row a key and order) with start, the value of the key's rows before this one. In two
+    levels: within spans of neighbours, then over the spans, so that no task holds all rows of a key."""
+    sums = sums.withColumn("span", span)
+    spans = sums.groupBy("key", "span").agg(F.sum(value).alias("whole"))
+    before = F.sum("whole").over(Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)) - F.col("whole")
+    within = F.sum(value).over(Window.partitionBy("key", "span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    out = sums.withColumn("within", within).join(spans.select("key", "span", before.alias("before")), ["key", "span"])
+    return out.withColumn("start", F.col("before") + F.col("within")).drop("span", "within", "before")
+
+
 def slots(spark: SparkSession, sources: DataFrame, n: int) -> DataFrame:
     """slot, key, rank, n_slots (of the source), words: the schedule of n slots."""
     k = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") % M * A) % M).alias("u"))
@@ -77,21 +90,21 @@ def slots(spark: SparkSession, sources: DataFrame, n: int) -> DataFrame:
     cells = sources.filter("words > 0").select("key", "lo", "hi", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
     k = k.join(cells, "cell").filter("u >= lo and u < hi").select("slot", "key", F.floor(F.col("slot") / SLOTS_A_CHUNK).alias("chunk"))
     chunk = k.groupBy("key", "chunk").agg(F.count("*").alias("in_chunk"))
-    done = F.sum("in_chunk").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_chunk")
-    chunk = chunk.select("key", "chunk", done.alias("done"), F.sum("in_chunk").over(Window.partitionBy("key")).alias("n_slots"))
+    n_slots = chunk.groupBy("key").agg(F.sum("in_chunk").alias("n_slots"))
+    chunk = offsets(chunk, "chunk", F.floor(F.col("chunk") / CHUNKS_A_SPAN), "in_chunk").join(n_slots, "key").select("key", "chunk", F.col("start").alias("done"), "n_slots")
     here = F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot"))
     ranked = k.withColumn("here", here).join(chunk, ["key", "chunk"]).select("slot", "key", (F.col("done") + F.col("here") - 1).alias("rank"), "n_slots")
-    missed = sources.filter("words > 0").join(chunk.select("key").distinct(), "key", "left_anti")
+    missed = sources.filter("words > 0").join(n_slots, "key", "left_anti")
     return ranked.unionByName(missed.select(F.lit(n).cast("long").alias("slot"), "key", F.lit(0).cast("long").alias("rank"), F.lit(1).cast("long").alias("n_slots")))
 
 
-def places(rows: DataFrame, n_rows: int) -> DataFrame:
-    """rows with place: the words of the source's documents before this one, in shuffled order."""
+def places(rows: DataFrame, n_rows: int, info: DataFrame) -> DataFrame:
+    """rows with place (the words of the source's documents before this one, in shuffled order) and
+    their source's info, which joins the ranges, few and even, before those join the rows."""
     digits = max(1, math.ceil(math.log(max(1, n_rows / ROWS_A_RANGE), 16)))
     rows = rows.withColumn("range", F.substring("digest", 1, digits))
     ranges = rows.groupBy("key", "range").agg(F.sum("size").alias("in_range"))
-    start = F.sum("in_range").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_range")
-    ranges = ranges.select("key", "range", start.alias("start"))
+    ranges = offsets(ranges, "range", F.substring("range", 1, max(1, digits // 2)), "in_range").drop("in_range").join(info, "key")
     here = F.sum("size").over(Window.partitionBy("key", "range").orderBy("digest", "size", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return rows.withColumn("here", here).join(ranges, ["key", "range"]).withColumn("place", F.col("start") + F.col("here")).drop("range", "start", "here", "digest")
 
@@ -105,10 +118,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     n_words, n_rows = sources.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0], rows.count()
     plan = slots(spark, sources, -(-n_words // block))
     per_source = plan.groupBy("key").agg(F.max("n_slots").alias("n_slots"))
-    # the sources' facts join the ranges' rows, few and even, before the documents do
     info = sources.join(per_source, "key", "left").select("key", "source_size", "target", "words", F.coalesce("n_slots", F.lit(1)).alias("n_slots"))
     info = info.withColumn("base", F.floor(F.col("words") / F.col("n_slots"))).withColumn("extra", F.col("words") % F.col("n_slots"))
-    known = written(places(rows, n_rows).join(info, "key"), "places")
+    known = written(places(rows, n_rows, info), "places")
     rounds = F.when((F.col("size") > 0) & (F.col("place") < F.col("words")), F.sequence(F.lit(0).cast("long"), F.least(F.lit(most - 1).cast("long"), F.floor((F.col("words") - F.col("place") - 1) / F.col("source_size")))))
     passes = known.withColumn("round", F.explode(rounds)).withColumn("p", F.col("round") * F.col("source_size") + F.col("place")).withColumn("q", F.least(F.col("p") + F.col("size"), "words"))
     longer = F.col("extra") * (F.col("base") + 1)
