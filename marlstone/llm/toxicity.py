@@ -1,19 +1,19 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presences of byte n-grams (SIZES long, A-Z lowered, hashed into BUCKETS bins). For
-each bin, r = log of (documents of label 1 with it / documents of label 0 with it), both smoothed and
-relative to the labels' totals. The KEPT bins whose r is largest against its own standard error are
-features of value r. A logistic regression with an L2 penalty is fitted on them by limited-memory
+Features are the presences of n-grams of UTF-8 bytes (SIZES long, A-Z lowered, hashed into BUCKETS
+bins). For each bin that a labelled training document holds, r = log of (documents of label 1 with it /
+documents of label 0 with it), both smoothed and relative to the labels' totals; every such bin is a
+feature of value r. A logistic regression with an L2 penalty is fitted on them by limited-memory
 quasi-Newton steps (L-BFGS), and gives the score.
 
 Counts cover every labelled training document, one row for each range of bins and task; the regression
-is fitted on SAMPLE labelled documents at most (the smallest hashes of their ids).
+is fitted on SAMPLE_BYTES of labelled texts at most (the smallest hashes of the ids that documents have).
 
 Defined results: a null or empty text has no feature and gets the score of the bias alone; a null
 label teaches nothing; several labels of one id count as their greatest; with labels of one kind only
 (or none), every score is that kind's share (0 without any); null doc_ids meet no label and are not
-held out; repeated rows each get a row; an empty table gives an empty result; other columns are left
-out.
+held out; repeated rows each get a row; texts of any length count whole, one that alone exceeds the
+fit's sample counts in the ratios only; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bucket_of, chunks, distinct, numbered, table
+from marlstone.llm.common import bucket_of, chunks, numbered, table
 
 SIZES = (3, 4, 5, 6)
 BUCKETS, SLICES = 1 << 20, 32
-KEPT = 1 << 13
-SAMPLE = 12_000
+#: Text that the regression is fitted on; the driver holds a number of 4 bytes for each n-gram of it at most.
+SAMPLE_BYTES = 8 << 20
+#: Parts of the ids' hashes by which the sample is cut off, and features that a step works on at a time.
+PARTS, STRIDE = 1 << 14, 1 << 21
 THRESHOLD = 0.3
 L2 = 1.0
 _SMOOTH = 1.0
@@ -57,17 +59,23 @@ def gram_bins(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np
             yield (y * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int32), ok
 
 
+def _present(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct bins of each text."""
+    grams = [*gram_bins(data, at)]
+    cuts = [np.searchsorted(where, at) for _, where in grams]
+    last = np.zeros(BUCKETS, np.int32)
+    for k in range(len(at) - 1):
+        mine = np.concatenate([np.empty(0, np.int32), *(bins[c[k] : c[k + 1]] for (bins, _), c in zip(grams, cuts, strict=True))])
+        order = np.arange(len(mine), dtype=np.int32)
+        last[mine] = order  # of a bin's places the last one written stays
+        yield mine[last[mine] == order]
+
+
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums, first = np.zeros((2, BUCKETS), np.int32), np.zeros(BUCKETS, np.int64)
-    totals = np.zeros(2, np.int64)
+    sums, totals = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
     for batch, data, at in chunks(batches):
-        grams = [*gram_bins(data, at)]
-        cuts = [np.searchsorted(where, at) for _, where in grams]
-        for k, label in enumerate(batch.column("toxic").to_pylist()):
-            mine = np.concatenate([np.empty(0, np.int32), *(bins[c[k] : c[k + 1]] for (bins, _), c in zip(grams, cuts, strict=True))])
-            order = np.arange(len(mine))
-            first[mine] = order  # of a bin's places the last one written stays
-            sums[label, mine[first[mine] == order]] += 1
+        for bins, label in zip(_present(data, at), batch.column("toxic").to_pylist(), strict=True):
+            sums[label, bins] += 1
             totals[label] += 1
     if totals.any():
         rows = [(k, zlib.compress(np.ascontiguousarray(sums[:, k * (BUCKETS // SLICES) : (k + 1) * (BUCKETS // SLICES)]).tobytes(), 1), *map(int, totals)) for k in range(SLICES)]
@@ -75,7 +83,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each slice that arrives, the sums, and of those the KEPT bins of the largest ratios."""
+    """Of each slice that arrives, the ratio of every bin; 0 where no document holds it."""
     sums: dict[int, np.ndarray] = {}
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -85,44 +93,36 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals[k] = totals.get(k, 0) + np.array([n0, n1])
     for k, x in sums.items():
         c0, c1 = x.reshape(2, -1)
-        n0, n1 = totals[k]
-        if not n0 or not n1:
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0.0]), pa.array([0.0]), pa.array([int(n0)]), pa.array([int(n1)])], ["bin", "r", "z", "n0", "n1"])
-            continue
+        n0, n1 = map(int, totals[k])
         r = np.log((c1 + _SMOOTH) / (n1 + 2 * _SMOOTH)) - np.log((c0 + _SMOOTH) / (n0 + 2 * _SMOOTH))
-        z = np.abs(r) / np.sqrt(1 / (c1 + _SMOOTH) + 1 / (c0 + _SMOOTH))
-        top = np.argsort(-z, kind="stable")[:KEPT]
-        m = len(top)
-        yield pa.RecordBatch.from_arrays([pa.array(top + k * len(r)), pa.array(r[top]), pa.array(z[top]), pa.array(np.full(m, n0)), pa.array(np.full(m, n1))], ["bin", "r", "z", "n0", "n1"])
-
+        r[c0 + c1 == 0] = 0
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([r.tobytes()], pa.binary()), pa.array([n0]), pa.array([n1])], ["slice", "r", "n0", "n1"])
 
-def _hits(data: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts and kept features that meet, each pair once, in order."""
-    pairs = []
-    for bins, where in gram_bins(data, at):
-        f = number[bins]
-        got = np.flatnonzero(f >= 0)
-        pairs.append((np.searchsorted(at, where[got], "right") - 1) * KEPT + f[got])
-    pairs = distinct(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-    return pairs // KEPT, pairs % KEPT
 
-
-def _features(batches: Iterator[pa.RecordBatch], number: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, at in chunks(batches):
-        text, feature = _hits(data, at, number)
-        cuts = np.searchsorted(text, np.arange(len(at)))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(feature.astype(np.int32)))], ["toxic", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([*_present(data, at)], pa.list_(pa.int32()))], ["toxic", "features"])
 
 
 def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: float = L2, steps: int = 60) -> np.ndarray:
     """Weights and, last, the bias of the logistic regression on r-scaled presences. at: n + 1 row starts."""
-    row, m = np.repeat(np.arange(len(y)), np.diff(at)), len(r)
-    value = r[feature]
+    m, cuts, i = len(r), [0], 0
+    while i < len(y):  # whole rows, about STRIDE features at a time
+        i = max(i + 1, int(np.searchsorted(at, at[i] + STRIDE, "right")) - 1)
+        cuts.append(i)
+    spans = [*zip(cuts[:-1], cuts[1:], strict=True)]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        s = np.bincount(row, value * w[feature], len(y)) + w[-1]
+        v, s = r * w[:-1], np.empty(len(y))
+        for a, b in spans:
+            total = np.append(0, np.cumsum(v[feature[at[a] : at[b]]]))
+            s[a:b] = total[at[a + 1 : b + 1] - at[a]] - total[at[a:b] - at[a]]
+        s += w[-1]
         p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-        grad = np.append(np.bincount(feature, value * (p - y)[row], m) + l2 * w[:-1], (p - y).sum())
+        grad = np.zeros(m)
+        for a, b in spans:
+            grad += np.bincount(feature[at[a] : at[b]], np.repeat((p - y)[a:b], np.diff(at[a : b + 1])), m)
+        grad = np.append(r * grad + l2 * w[:-1], (p - y).sum())
         return float(np.logaddexp(0, s).sum() - (y * s).sum() + l2 / 2 * (w[:-1] ** 2).sum()), grad
 
     w = np.zeros(m + 1)
@@ -146,50 +146,60 @@ def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: f
             t /= 2
         s, d = -t * q, new_g - g
         if s @ d > 1e-12:
-            past = [*past[-9:], (s, d)]
-        done = abs(f - new_f) < 1e-7 * max(1, abs(f))
+            past = [*past[-4:], (s, d)]
+        done = abs(f - new_f) < 1e-6 * max(1, abs(f))
         w, f, g = w - t * q, new_f, new_g
         if done:
             break
     return w
 
 
-def _score(batches: Iterator[pa.RecordBatch], number: np.ndarray, weight: np.ndarray, bias: float, threshold: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], weight, bias: float, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch, data, at in chunks(batches):
-        p = _probability(data, at, number, weight, bias)
+        p = _probability(data, at, weight.value, bias)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
 
-def _probability(data: np.ndarray, at: np.ndarray, number: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
-    text, feature = _hits(data, at, number)
-    return 1 / (1 + np.exp(-np.clip(bias + np.bincount(text, weight[feature], len(at) - 1), -40, 40)))
+def _probability(data: np.ndarray, at: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(bias + np.array([weight[bins].sum() for bins in _present(data, at)]), -40, 40)))
 
 
-def _keep(batches: Iterator[pa.RecordBatch], text: str, number: np.ndarray, weight: np.ndarray, bias: float, threshold: float) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], text: str, weight, bias: float, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch, data, at in chunks(batches, text):
-        yield batch.filter(pa.array(_probability(data, at, number, weight, bias) < threshold))
+        yield batch.filter(pa.array(_probability(data, at, weight.value, bias) < threshold))
+
+
+def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """doc_id and toxic of the labelled ids whose texts, by parts of the ids' hashes from the first on,
+    are limit bytes together at most; a part that doesn't fit any more is passed over."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    known = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(labels.hint("merge"), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("size").alias("size")).withColumn("part", part)
+    took, room = [], limit
+    for k, size in sorted((r.part, r.size) for r in known.groupBy("part").agg(F.sum("size").alias("size")).collect()):  # PARTS rows at most
+        if size <= room:
+            took.append(k)
+            room -= size
+    return known.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in took], "part long")), "part").select("doc_id", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> tuple[np.ndarray, np.ndarray, float]:
-    """The kept features' numbers by bin, their weights (r times w), and the bias."""
+def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    """The weights of the bins (r times w), and the bias."""
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket_of("doc_id", modulus) != held_out)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = docs.select("doc_id", "text").filter(bucket_of("doc_id", modulus) != held_out).join(labels.hint("merge"), "doc_id").select("text", "toxic")
-    counted = labelled.mapInArrow(_presence, "slice int, counts binary, n0 long, n1 long").repartition(SLICES, "slice").mapInArrow(_ratios, "bin long, r double, z double, n0 long, n1 long")
-    top = counted.orderBy(F.desc("z"), "bin").limit(KEPT).toPandas()
-    number = np.full(BUCKETS, -1, np.int32)
-    n0, n1 = (int(top[c].max()) if len(top) else 0 for c in ("n0", "n1"))
+    docs = docs.select("doc_id", "text").filter(bucket_of("doc_id", modulus) != held_out)
+    labelled = docs.join(labels.hint("merge"), "doc_id").select("text", "toxic")
+    got = labelled.mapInArrow(_presence, "slice int, counts binary, n0 long, n1 long").repartition(SLICES, "slice").mapInArrow(_ratios, "slice int, r binary, n0 long, n1 long").toPandas()
+    n0, n1 = (int(got[c].max()) if len(got) else 0 for c in ("n0", "n1"))
     if not n0 or not n1:
-        share = n1 / max(1, n0 + n1)
-        return number, np.zeros(KEPT), 40.0 if share == 1 else -40.0
-    number[top.bin] = np.arange(len(top))
-    sample = labels.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(partial(_features, number=number), "toxic int, features array<int>").toArrow()
+        return np.zeros(BUCKETS), 40.0 if n1 and not n0 else -40.0
+    r = np.zeros((SLICES, BUCKETS // SLICES))
+    for k, x in zip(got["slice"], got["r"], strict=True):
+        r[k] = np.frombuffer(x)
+    r = r.ravel()
+    rows = docs.join(F.broadcast(_sample(docs, labels, sample_bytes)), "doc_id").select("text", "toxic").mapInArrow(_features, "toxic int, features array<int>").toArrow()
     lists = rows.column("features").combine_chunks()
-    y, r = rows.column("toxic").to_numpy().astype(float), top.r.to_numpy()
+    y = rows.column("toxic").to_numpy().astype(float)
     w = fit(lists.offsets.to_numpy().astype(np.int64) if len(y) else np.zeros(1, np.int64), lists.values.to_numpy(), y, r)
-    weight = np.zeros(KEPT)
-    weight[: len(r)] = w[:-1] * r
-    return number, weight, float(w[-1])
+    return w[:-1] * r, float(w[-1])
 
 
 def _two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -202,16 +212,17 @@ def _labels(labels: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, train: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, score and predicted of each document. Learns from train's texts (or docs')."""
-    number, weight, bias = learn(_two(docs if train is None else train, id_col, text_col), _labels(labels), modulus, held_out)
+    weight, bias = learn(_two(docs if train is None else train, id_col, text_col), _labels(labels), modulus, held_out)
+    weight = docs.sparkSession.sparkContext.broadcast(weight)
     rows = _two(docs, id_col, text_col).withColumn("held_out", bucket_of("doc_id", modulus) == held_out)
-    return rows.mapInArrow(partial(_score, number=number, weight=weight, bias=bias, threshold=threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(partial(_score, weight=weight, bias=bias, threshold=threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held_out: int = 2) -> DataFrame:
     """docs without the documents that are predicted toxic."""
-    number, weight, bias = learn(_two(docs, id_col, text_col), _labels(labels), modulus, held_out)
-    rows = numbered(docs)
-    return rows.mapInArrow(partial(_keep, text=f"_{docs.columns.index(text_col)}", number=number, weight=weight, bias=bias, threshold=threshold), rows.schema).toDF(*docs.columns)
+    weight, bias = learn(_two(docs, id_col, text_col), _labels(labels), modulus, held_out)
+    weight, rows = docs.sparkSession.sparkContext.broadcast(weight), numbered(docs)
+    return rows.mapInArrow(partial(_keep, text=f"_{docs.columns.index(text_col)}", weight=weight, bias=bias, threshold=threshold), rows.schema).toDF(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
