@@ -11,8 +11,8 @@ unigram scores, and one unit for each training word that crosses the word's whol
 
 Both add up to one over all words, so scores are those of a proper distribution. The pieces' scores
 are expected counts over the distinct training words (expectation-maximisation with the same lattice,
-from scores that fall with a piece's rank); one sum per piece comes to the driver, as many as the
-vocabulary has. Token counts cover every training document. The commonest words (HEAD at most, by a
+from scores that fall with a piece's rank, as public tokenizers here have ranks, no probabilities); one
+sum per piece comes to the driver, as many as the vocabulary has. Token counts cover every training document. The commonest words (HEAD at most, by a
 threshold on their counts) are looked up in each task; all others meet their counts in a join.
 
 Defined results: a null text counts as empty (the end token alone); a null doc_id counts as
@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import bucket_of, chunks, mixed, table, written
 
 HEAD = 1 << 16
-LONGEST_PIECE = 16
 EM_ROUNDS = 3
 #: Distinct words that a task counts before it hands the counts on.
 COUNTED = 200_000
@@ -46,22 +45,23 @@ _LN10 = float(np.log(10))
 
 
 class Pieces:
-    """A tokenizer's pieces without white space and capitals, and every single byte."""
+    """A tokenizer's pieces without white space, A-Z lowered, and every single byte."""
 
     def __init__(self, path: str):
         ranks: dict[bytes, int] = {}
         with open(path, "rb") as f:
             for line in f:
                 piece, rank = line.split()
-                piece = base64.b64decode(piece).removeprefix(b" ")
-                if piece and len(piece) <= LONGEST_PIECE and piece == piece.lower() and len(piece.split()) == 1 and not piece[:1].isspace() and not piece[-1:].isspace():
-                    ranks.setdefault(piece, int(rank))
+                piece = base64.b64decode(piece).removeprefix(b" ").lower()
+                if piece.split() == [piece]:
+                    ranks[piece] = min(int(rank), ranks.get(piece, int(rank)))
         for b in range(256):
             ranks.setdefault(bytes([b]), len(ranks))
         self.pieces = list(ranks)
         self.ranks = np.array(list(ranks.values()))
         self.at = {p: i for i, p in enumerate(self.pieces)}
-        self.longest = max(map(len, self.pieces))
+        #: Lengths that pieces have, the longest first.
+        self.lengths = np.array(sorted({len(p) for p in self.pieces}, reverse=True))
         rng = np.random.Generator(np.random.PCG64(7))
         self.letters = rng.integers(1, 2**63, 256, dtype=np.uint64)
         self.base = np.uint64(0x9E3779B97F4A7C15)
@@ -96,8 +96,13 @@ class Pieces:
             far, slot = far[go], slot[go]
         return out
 
+    def starts(self, j: int) -> np.ndarray:
+        """Where pieces that end at j may begin, nearest last."""
+        i = j - self.lengths
+        return i[i >= 0]
+
     def edges(self, words: np.ndarray) -> list[np.ndarray]:
-        """words: (n, length) bytes. For each end j, the numbers of the pieces s[i:j], (n, width), nearest i last."""
+        """words: (n, length) bytes. For each end j, the numbers of the pieces s[i:j], (n, len(starts(j)))."""
         n, length = words.shape
         powers = np.full(length, self.base, np.uint64)
         powers[0] = 1
@@ -109,7 +114,7 @@ class Pieces:
         np.cumsum(self.letters[words] * powers, axis=1, out=total[:, 1:])
         out = []
         for j in range(1, length + 1):
-            i = np.arange(max(0, j - self.longest), j)
+            i = self.starts(j)
             keys = mixed((total[:, j : j + 1] - total[:, i]) * back[i] + (j - i).astype(np.uint64))
             keys[keys == 0] = 1
             out.append(self.find(keys.ravel()).reshape(n, len(i)))
@@ -133,11 +138,11 @@ def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = j
 
 
-def _forward(edges: list[np.ndarray], logq: np.ndarray) -> np.ndarray:
+def _forward(pieces: Pieces, edges: list[np.ndarray], logq: np.ndarray) -> np.ndarray:
     n = len(edges[0])
     alpha = np.zeros((n, len(edges) + 1))
     for j, ids in enumerate(edges, 1):
-        x = alpha[:, j - ids.shape[1] : j] + logq[ids]
+        x = alpha[:, pieces.starts(j)] + logq[ids]
         most = x.max(axis=1)
         alpha[:, j] = most + np.log(np.exp(x - most[:, None]).sum(axis=1))
     return alpha
@@ -147,7 +152,7 @@ def spelled(words: list[bytes], pieces: Pieces, logq: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability over all segmentations; logq: of the pieces, then the stop."""
     out, logq, stop = np.zeros(len(words)), np.append(logq[:-1], -np.inf), logq[-1]
     for at, group in _groups(words):
-        out[at] = _forward(pieces.edges(group), logq)[:, -1] + stop
+        out[at] = _forward(pieces, pieces.edges(group), logq)[:, -1] + stop
     return out
 
 
@@ -156,11 +161,11 @@ def expected(words: list[bytes], pieces: Pieces, logq: np.ndarray) -> np.ndarray
     out, logq = np.zeros(len(pieces.pieces) + 1), np.append(logq[:-1], -np.inf)
     for _, group in _groups(words):
         edges = pieces.edges(group)
-        alpha = _forward(edges, logq)
+        alpha = _forward(pieces, edges, logq)
         beta = np.full_like(alpha, -np.inf)
         beta[:, -1] = 0
         for j in range(len(edges), 0, -1):
-            i = slice(j - edges[j - 1].shape[1], j)
+            i = pieces.starts(j)
             step = logq[edges[j - 1]] + beta[:, j : j + 1]
             found = edges[j - 1] >= 0
             out[:-1] += np.bincount(edges[j - 1][found], np.exp(alpha[:, i] + step - alpha[:, -1:])[found], len(pieces.pieces))

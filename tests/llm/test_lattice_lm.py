@@ -74,3 +74,65 @@ def test_empty_and_untrained(spark):
     only = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     r = L.score(only, PATH).first()
     assert r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and r.score < 0
+
+
+def test_every_piece_of_the_vocabulary_counts():
+    import base64
+
+    pieces = L.pieces_of(PATH)
+    with open(PATH, "rb") as f:
+        whole = [base64.b64decode(line.split()[0]).removeprefix(b" ").lower() for line in f]
+    assert all(p in pieces.at for p in whole if p and not any(x in b" \t\n\x0b\x0c\r" for x in p))
+    assert pieces.lengths[0] == max(map(len, pieces.pieces)) > 16
+    longest = max(pieces.pieces, key=len)
+    logq = np.full(len(pieces.pieces) + 1, -1.0)
+    logq[pieces.at[longest]] = 50.0  # so heavy that the sum is next to that one segmentation's
+    assert math.isclose(L.spelled([longest], pieces, logq)[0], 50.0 + logq[-1], rel_tol=1e-6)
+
+
+def by_hand(word, pieces, logq):
+    """The sum over all segmentations, and each piece's share of it."""
+    total, counts = 0.0, Counter()
+
+    def go(rest, p, used):
+        nonlocal total
+        if not rest:
+            total += p
+            for u in used:
+                counts[u] += p
+            return
+        for k in range(1, len(rest) + 1):
+            if (i := pieces.at.get(rest[:k])) is not None:
+                go(rest[k:], p * math.exp(logq[i]), [*used, i])
+
+    go(word, 1.0, [])
+    return total * math.exp(logq[-1]), {k: v / total for k, v in counts.items()}
+
+
+def test_whole_documents_against_a_sum_by_hand(spark):
+    """Known and unknown words apart: a known word has its unit and its spellings, an unknown one these alone."""
+    rows = [(i, t) for i, t in enumerate(["a cat sat", "the cat", "hats sat on", "a bat", "The mat", "cats", "on on a", "mash", "that cat", "sat", "at bat tea", "zap cab"] * 2)]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    assert any(held) and not all(held)
+    pieces, tokens = L.pieces_of(PATH), [[*t.lower().encode().split(), None] for _, t in rows]
+    c = Counter(w for x, h in zip(tokens, held) if not h for w in x)
+    n, v = sum(c.values()), len(c)
+    logq = L.start_scores(pieces)
+    for _ in range(L.EM_ROUNDS):
+        q = np.full(len(logq), L._FLOOR)
+        for w in c:
+            if w is not None:
+                q[-1] += 1
+                for i, x in by_hand(w, pieces, logq)[1].items():
+                    q[i] += x
+        logq = np.log(q / q.sum())
+    n1, n2 = (sum(x == k for w, x in c.items() if w is not None) for k in (1, 2))
+    d = min(0.95, max(0.05, n1 / (n1 + 2 * n2)))
+
+    def p(w):
+        unit = max(0.0, c[w] - d) / n if c[w] else 0.0
+        return unit if w is None else unit + d * v / n * by_hand(w, pieces, logq)[0]
+
+    got = {r.doc_id: r for r in L.score(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    for (i, _), x in zip(rows, tokens):
+        assert math.isclose(got[i].score, sum(math.log10(p(w)) for w in x), rel_tol=1e-9)
