@@ -14,8 +14,8 @@ the start of their piece. Everything runs on DataFrame functions.
 Defined results: rows without conv_id belong to no conversation and are left out; rows without turn
 have no place in theirs: they are counted in n_unplaced of the pair's first piece and not rendered;
 repeated rows (same conversation, turn, role and text) are one turn; different rows of one turn number
-all count, by role, then text; a null role is "unknown" and a null text empty; "<|" in a text becomes
-"< |", so that no text can forge a marker; equal conversations are all prompt, and completions are
+all count, by role, then text; a null role is "unknown" and a null text empty; "<|" in a text or a role
+becomes "< |", so that neither can forge a marker; equal conversations are all prompt, and completions are
 empty; a conversation without partner has an empty prompt and paired false; an empty table gives an
 empty result; other columns are left out.
 """
@@ -71,7 +71,7 @@ def _pieces(rows: DataFrame, piece: int) -> DataFrame:
 
 
 def _head(x: Column) -> Column:
-    return F.concat(F.lit(OPEN), x["role"], F.lit("\n"))
+    return F.concat(F.lit(OPEN), F.replace(x["role"], F.lit("<|"), F.lit("< |")), F.lit("\n"))
 
 
 def _body(x: Column) -> Column:
@@ -131,7 +131,7 @@ WITH t AS (
 ), pieces AS (SELECT DISTINCT pair_id, coalesce(turn // {PIECE}, 0) AS piece FROM t),
 segments AS (
   SELECT pair_id, turn // {PIECE} AS piece, turn, role, text, CASE WHEN cut IS NULL OR turn < cut THEN 'p' WHEN side = 0 THEN 'c' ELSE 'r' END AS part,
-    '{OPEN}' || role || chr(10) AS head, replace(text, '<|', '< |') || '{CLOSE}' AS body
+    '{OPEN}' || replace(role, '<|', '< |') || chr(10) AS head, replace(text, '<|', '< |') || '{CLOSE}' AS body
   FROM t JOIN cuts USING (pair_id) WHERE turn IS NOT NULL AND (side = 0 OR turn >= cut)
 ), placed AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY pair_id, piece, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(head) AS pos FROM segments
