@@ -9,7 +9,9 @@ places eight codes on are had by composing that map with itself, so that Python
 The encoder can apply every transform, the colour cache and several prefix-code groups. A document's
 payload (its UTF-8 and zeros up to a multiple of 64) is one grey sample a pixel in green: with 16
 distinct samples or fewer it uses a palette and packs pixels, else plain prefix codes with
-back-references for lines that come again.
+back-references for lines that come again, or, where the entropy of the residuals promises less, a
+predictor; the smaller file stays. A colour cache can save nothing there, as grey samples have one
+coded channel. A payload of over 2^28 bytes, the largest image, is a row of files one after another.
 
 Defined results: a null text counts as empty (64 zeros); equal texts give equal bytes and features;
 repeated rows each get a row; null ids stay; an empty table gives an empty result; other columns are
@@ -44,6 +46,8 @@ PLANE = (
     (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
+#: Predictors of a pixel by the one before it and the one above it.
+LEFT, TOP = 1, 2
 LARGEST_SIDE = 1 << 14
 BLACK = 0xFF000000
 
@@ -673,6 +677,13 @@ def _repeats(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def _entropy(values: np.ndarray) -> float:
+    """Bits that prefix codes need for bytes, about."""
+    counts = np.bincount(values, minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(counts.sum() / counts)).sum())
+
+
 def payload_image(payload: bytes) -> bytes:
     """The image of a payload whose length is a positive multiple of 64."""
     samples = np.frombuffer(payload, np.uint8)
@@ -682,7 +693,31 @@ def payload_image(payload: bytes) -> bytes:
     samples = np.pad(samples, (0, -len(samples) % width))
     argb = samples.reshape(-1, width).astype(np.uint32) << np.uint32(8) | np.uint32(BLACK)
     few = np.count_nonzero(np.bincount(samples, minlength=256)) <= 16
-    return encode(argb, palette=True) if few else encode(argb, copies=_repeats(payload))
+    if few:
+        return encode(argb, palette=True)
+    copies = _repeats(payload)
+    out, literal = encode(argb, copies=copies), np.ones(len(samples), bool)
+    for p, n, _ in copies:
+        literal[p : p + n] = False
+    bits, mode = min((_entropy(samples[k:] - samples[:-k]) if len(samples) > k else np.inf, mode) for mode, k in ((LEFT, 1), (TOP, width)))
+    if bits < _entropy(samples[literal]) + 24 * len(copies):
+        blocks = -(-len(argb) >> 9), -(-width >> 9)
+        out = min(out, encode(argb, predictor=(9, np.full(blocks, mode))), key=len)
+    return out
+
+
+def payload_images(payload: bytes, most: int = LARGEST_SIDE**2) -> bytes:
+    """The images of a payload, of at most `most` bytes (a multiple of 64) each."""
+    return b"".join(payload_image(payload[k : k + most]) for k in range(0, len(payload), most))
+
+
+def images_of(media: bytes) -> Iterator[np.ndarray]:
+    """The pixels of files one after another."""
+    at = 0
+    while at < len(media):
+        n = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        yield decode(media[at : at + n])
+        at += n
 
 
 def padded(raw: bytes) -> bytes:
@@ -700,7 +735,7 @@ def describe(green: np.ndarray, width: int, height: int) -> str:
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, at in chunks(batches):
         raw = data.tobytes()
-        media = [payload_image(padded(raw[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
+        media = [payload_images(padded(raw[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
@@ -709,10 +744,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for media, n in zip(batch.column("media").to_pylist(), batch.column("n_bytes").to_pylist(), strict=True):
-            pixels = decode(media)
-            green = (pixels >> np.uint32(8) & np.uint32(255)).astype(np.uint8).ravel()[: max(64, n + -n % 64)]
+            images = [*images_of(media)]
+            green = np.concatenate([(x >> np.uint32(8) & np.uint32(255)).astype(np.uint8).ravel() for x in images])[: max(64, n + -n % 64)]
             payload = green.tobytes()
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(green, pixels.shape[1], pixels.shape[0])))
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(green, images[0].shape[1], sum(len(x) for x in images))))
         if rows:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 

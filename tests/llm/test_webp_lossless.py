@@ -99,3 +99,21 @@ def test_query(spark):
         assert r.media_sha256 == hashlib.sha256(W.payload_image(p)).hexdigest()
     assert W.features(W.store(docs)).count() == len(rows)
     assert W.features(W.store(docs.limit(0))).count() == 0
+
+
+def test_the_smaller_of_predictor_and_plain_codes_stays():
+    rng = np.random.default_rng(3)
+    row = rng.integers(0, 256, 64, dtype=np.uint8)
+    steps = b"".join(((row.astype(int) + k) % 256).astype(np.uint8).tobytes() for k in range(200))
+    plain = W.encode(np.frombuffer(steps, np.uint8).reshape(-1, 64).astype(np.uint32) << np.uint32(8) | np.uint32(W.BLACK))
+    image = W.payload_image(steps)
+    assert len(image) < len(plain) / 3
+    assert ((W.decode(image) >> np.uint32(8)).astype(np.uint8)).tobytes() == steps
+
+
+def test_long_payloads_are_several_files():
+    payload = W.padded("".join(f"line {k} of a long text\n" for k in range(900)).encode())
+    media = W.payload_images(payload, most=1 << 12)
+    assert media.count(b"RIFF") == -(-len(payload) >> 12)
+    got = b"".join((x >> np.uint32(8)).astype(np.uint8).tobytes() for x in W.images_of(media))
+    assert got == payload
