@@ -54,9 +54,9 @@ ORDERS = 3
 #: Bins of the table of rarity (a power of two), and the slices in which they are summed.
 BIN_BITS, SLICES = 22, 64
 #: Shingles that a slice of the exact counts holds, about; a worker holds one slice at a time.
-SLICE_TOKENS = 2_000_000
+SLICE_TOKENS = 1_000_000
 #: Shingles that a task holds before it sends them to their slices.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Sets that a task remembers so as not to send a copy's prefix again.
 SEEN = 500_000
 #: Bits of the table that keeps most texts that need no comparison out of a shuffle.
