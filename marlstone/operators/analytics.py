@@ -1,4 +1,4 @@
-"""Timelines, radar, mastery, co-occurrence graphs, components and DAG queries.
+"""Timelines, radar, mastery, co-occurrence, statuses.
 
 Events stand for concept occurrences and reviews (event type: term, user: card), line items for
 occurrences of terms (part) in jobs (order).
@@ -46,53 +46,6 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
 
 
-def downstream(spark: SparkSession, edges: DataFrame, roots: list[str]) -> DataFrame:
-    """Every step that (indirectly) needs one of the roots, with the least distance."""
-    edges.createOrReplaceTempView("_dag_edges")
-    spark.createDataFrame([(r,) for r in roots], "node string").createOrReplaceTempView("_dag_roots")
-    return spark.sql("""
-WITH RECURSIVE reach(node, depth) AS (
-  SELECT node, 0 FROM _dag_roots
-  UNION ALL
-  SELECT e.dst, r.depth + 1 FROM reach r JOIN _dag_edges e ON e.src = r.node WHERE r.depth < 50
-) SELECT node, min(depth) AS depth FROM reach WHERE depth > 0 GROUP BY node""")
-
-
-def levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Topological levels: the longest way from a step that needs nothing; ties by name."""
-    nodes.createOrReplaceTempView("_dag_nodes")
-    edges.createOrReplaceTempView("_dag_edges")
-    found = spark.sql("""
-WITH RECURSIVE walk(node, depth) AS (
-  SELECT n.node, 0 FROM _dag_nodes n LEFT ANTI JOIN _dag_edges e ON e.dst = n.node
-  UNION ALL
-  SELECT e.dst, w.depth + 1 FROM walk w JOIN _dag_edges e ON e.src = w.node WHERE w.depth < 50
-) SELECT node, max(depth) AS level FROM walk GROUP BY node""")
-    return found.withColumn("place", F.row_number().over(Window.orderBy("level", "node")))  # as many rows as steps
-
-
-#: A template of steps and what each needs, as the sample DAG of the graph queries.
-STEPS = (
-    ("download", ()), ("transcribe", ("download",)), ("scene", ("download",)), ("frames", ("scene",)), ("dedup", ("frames",)), ("ocr", ("dedup",)), ("punctuate", ("transcribe",)),
-    ("merge", ("punctuate", "ocr")), ("mechanical", ("merge",)), ("evidence", ("merge",)), ("smart", ("mechanical", "evidence")), ("review", ("smart",)), ("concepts", ("smart",)), ("publish", ("review", "concepts")),
-)
-DONE = ("download", "transcribe", "scene", "punctuate", "frames")
-
-
-def step_edges(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(d, n) for n, deps in STEPS for d in deps], "src string, dst string")
-
-
-def step_nodes(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(n,) for n, _ in STEPS], "node string")
-
-
-def ready(nodes: DataFrame, edges: DataFrame, done: list[str]) -> DataFrame:
-    """Steps that are not done and whose needs all are."""
-    waits = edges.groupBy(F.col("dst").alias("node")).agg(F.bool_and(F.col("src").isin(done)).alias("met"))
-    return nodes.filter(~F.col("node").isin(done)).join(waits, "node", "left").filter(F.coalesce("met", F.lit(True))).select("node")
-
-
 def _events(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "events")
 
@@ -134,7 +87,7 @@ def mastery_by_concept(s: SparkSession, d: str) -> DataFrame:
     last = Window.partitionBy("user_id", F.col("event_id") % 12).orderBy(F.desc("ts"), F.desc("event_id"))
     latest = _events(s, d).withColumn("concept", (F.col("event_id") % 12)).withColumn("grade", grade).withColumn("place", F.row_number().over(last)).filter("place = 1")
     out = latest.groupBy("concept").agg(F.count("*").alias("cards"), F.round(F.avg("grade"), 0).cast("int").alias("score"), F.max("ts").alias("last_review"))
-    return out.withColumn("level", F.when(F.col("score") >= 85, "mastered").when(F.col("score") >= 45, "learning").otherwise("fragile"))
+    return out.withColumn("level", F.when(F.col("score") >= 85, "mastered").when(F.col("score") >= 60, "learning").otherwise("fragile"))
 
 
 def study_stats(s: SparkSession, d: str) -> DataFrame:
@@ -158,53 +111,69 @@ def graph_degree_stats(s: SparkSession, d: str) -> DataFrame:
     return degrees(cooccurrence(load(s, d, "lineitem"), "l_orderkey", "l_suppkey", 12))
 
 
-def term_components(s: SparkSession, d: str) -> DataFrame:
-    """Connected parts by shared names: every part's component is the least key with one of its keys
-    (name, or brand and size); joined by rounds of the least neighbour until nothing changes."""
-    keys = load(s, d, "part").select(F.col("p_partkey").alias("node"), F.explode(F.array(F.concat(F.lit("n"), F.col("p_brand"), F.lit("/"), F.col("p_size").cast("string"), F.lit("/"), F.col("p_type")), F.concat(F.lit("m"), (F.col("p_partkey") / 3).cast("long").cast("string")))).alias("key"))
-    label = keys.select("node", F.col("node").alias("component")).distinct()
-    before = None
-    while True:
-        by_key = keys.join(label, "node").groupBy("key").agg(F.min("component").alias("least"))
-        label = _kept(keys.join(by_key, "key").groupBy("node").agg(F.min("least").alias("component")))
-        total = label.agg(F.sum("component")).first()[0]
-        if total == before:
-            return label
-        before = total
+def counter_rates(s: SparkSession, d: str) -> DataFrame:
+    """Rates of a counter sampled by day: its growth over the seconds since the sample before, 0 at least."""
+    day = _events(s, d).groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.round(F.sum(F.col("value") * 100)).cast("long").alias("x"))
+    w = Window.partitionBy("event_type").orderBy("day")
+    dt = F.unix_seconds(F.col("day").cast("timestamp")) - F.unix_seconds(F.lag("day").over(w).cast("timestamp"))
+    out = day.withColumn("before", F.lag("x").over(w)).withColumn("rate", F.greatest(F.lit(0.0), (F.col("x") - F.col("before")) / dt))
+    return out.filter("before is not null").select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("rate", 6).alias("rate"))
 
 
-def dag_downstream(s: SparkSession, d: str) -> DataFrame:
-    return downstream(s, step_edges(s), ["scene", "punctuate"])
+ONLINE_SECONDS, STALE_SECONDS = 30, 900
 
 
-def topological_order(s: SparkSession, d: str) -> DataFrame:
-    return levels(s, step_nodes(s), step_edges(s))
+def worker_status(last: Column, now: Column, job: Column, paused: Column, online: int = ONLINE_SECONDS, stale: int = STALE_SECONDS) -> Column:
+    """A worker's state by the age of its last sign: paused while it is online and held, stale without a
+    sign or behind the longer limit, offline behind the shorter, else busy with a job or idle."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
+    here = F.coalesce(age <= online * 1_000_000, F.lit(False))
+    return F.when(here & F.coalesce(paused, F.lit(False)), "paused").when(age.isNull() | (age > stale * 1_000_000), "stale").when(~here, "offline").when(job.isNotNull() & (job != ""), "busy").otherwise("idle")
 
 
-def ready_steps(s: SparkSession, d: str) -> DataFrame:
-    return ready(step_nodes(s), step_edges(s), list(DONE))
+def component_status(last: Column, now: Column, online: int = ONLINE_SECONDS, stale: int = STALE_SECONDS) -> Column:
+    """A component's state: unknown without a sign, up, degraded or down."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
+    return F.when(age.isNull(), "unknown").when(age <= online * 1_000_000, "up").when(age <= stale * 1_000_000, "degraded").otherwise("down")
 
 
-def counter_rates(s: SparkSession, d: str) -> DataFrame:
-    """Rates of a counter sampled by day: its growth over the seconds since the sample before, 0 at least."""
-    day = _events(s, d).groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.round(F.sum(F.col("value") * 100)).cast("long").alias("x"))
-    w = Window.partitionBy("event_type").orderBy("day")
-    dt = F.unix_seconds(F.col("day").cast("timestamp")) - F.unix_seconds(F.lag("day").over(w).cast("timestamp"))
-    out = day.withColumn("before", F.lag("x").over(w)).withColumn("rate", F.greatest(F.lit(0.0), (F.col("x") - F.col("before")) / dt))
-    return out.filter("before is not null").select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("rate", 6).alias("rate"))
+def _signs(s: SparkSession, d: str) -> DataFrame:
+    """Each user as a worker: its last event is its last sign, looked at some seconds later; one in eleven
+    never gave one. What it did last is its job, unless that was a view; one in five is held."""
+    last = _events(s, d).groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_type", F.struct("ts", "event_id")).alias("doing"))
+    late = F.expr("make_dt_interval(0, 0, 0, user_id * 37 % 1000)")
+    return last.select("user_id", F.when(F.col("user_id") % 11 != 0, F.col("ts")).alias("last"), (F.col("ts") + late).alias("now"), F.when(F.col("doing") != "view", F.col("doing")).alias("job"), (F.col("user_id") % 5 == 0).alias("paused"))
 
 
 def status_from_heartbeat(s: SparkSession, d: str) -> DataFrame:
-    """A worker's state by the age of its last sign: offline, stale, busy or idle."""
-    last = _events(s, d).groupBy("user_id").agg(F.max("ts").alias("last"), F.max_by("event_type", F.struct("ts", "event_id")).alias("doing"))
-    age = F.unix_micros(F.lit("2024-01-31 00:00:00").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))
-    status = F.when(age > 24 * 3600 * 1000000, "offline").when(age > 8 * 3600 * 1000000, "stale").when(F.col("doing") == "click", "busy").otherwise("idle")
-    return last.select("user_id", status.alias("status"))
+    return _signs(s, d).select("user_id", worker_status(F.col("last"), F.col("now"), F.col("job"), F.col("paused")).alias("status"))
+
+
+def component_states(s: SparkSession, d: str) -> DataFrame:
+    return _signs(s, d).select("user_id", component_status(F.col("last"), F.col("now")).alias("status"))
+
+
+def readiness(checks: DataFrame, *by: str) -> DataFrame:
+    """not_ready where a required check is in error, else degraded where any is not ok, else ready; and
+    the checks that are not ok, those in the way as blocking. checks: name, required, status."""
+    bad = F.coalesce(F.col("status") != "ok", F.lit(True))
+    block = F.coalesce(F.col("required"), F.lit(False)) & F.coalesce(F.col("status") == "error", F.lit(False))
+    found = F.array_sort(F.collect_list(F.when(bad, F.concat(F.col("name"), F.lit(":"), F.when(block, "blocking").otherwise("degraded")))))
+    out = checks.groupBy(*by).agg(F.bool_or(block).alias("_block"), F.bool_or(bad).alias("_bad"), F.array_join(found, ",").alias("reasons"))
+    return out.select(*by, F.when(F.col("_block"), "not_ready").when(F.col("_bad"), "degraded").otherwise("ready").alias("status"), "reasons")
+
+
+def readiness_by_segment(s: SparkSession, d: str) -> DataFrame:
+    """Nations as systems; their customers' segments as checks, required but for HOUSEHOLD: in error from
+    a debt of 900 on, degraded from any debt on."""
+    per = load(s, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_acctbal").alias("least"))
+    checks = per.select("c_nationkey", F.col("c_mktsegment").alias("name"), (F.col("c_mktsegment") != "HOUSEHOLD").alias("required"), F.when(F.col("least") <= -900, "error").when(F.col("least") < 0, "degraded").otherwise("ok").alias("status"))
+    return readiness(checks, "c_nationkey")
 
 
 def pool_summary(s: SparkSession, d: str) -> DataFrame:
     pools = F.array_distinct(F.array((F.col("user_id") % 3), (F.col("user_id") % 5)))
-    return status_from_heartbeat(s, d).select(F.explode(pools).alias("pool"), "status").groupBy("pool").agg(F.count(F.when(F.col("status") != "offline", 1)).alias("online"), F.count(F.when(F.col("status") == "busy", 1)).alias("busy"))
+    return status_from_heartbeat(s, d).select(F.explode(pools).alias("pool"), "status").groupBy("pool").agg(F.count(F.when(F.col("status").isin("busy", "idle", "paused"), 1)).alias("online"), F.count(F.when(F.col("status") == "busy", 1)).alias("busy"), F.count(F.when(F.col("status") == "paused", 1)).alias("paused"))
 
 
 def term_conflicts(s: SparkSession, d: str) -> DataFrame:
@@ -223,27 +192,15 @@ def set_fingerprint(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "lineitem").groupBy("l_partkey").agg(F.sha2(ids, 256).alias("digest"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names, or a temporary one where it names none."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
-    return df.checkpoint()
-
-
 QUERIES = {
     f.__name__: f
-    for f in (concept_timeline_day, concept_timeline_week, concept_timeline_month, timeline_rollup, concept_radar, top_terms, tag_frequency, mastery_by_concept, study_stats, due_cards, concept_cooccurrence_graph, graph_degree_stats, term_components, dag_downstream, topological_order, ready_steps, counter_rates, status_from_heartbeat, pool_summary, term_conflicts, nearest_rank, set_fingerprint)
+    for f in (concept_timeline_day, concept_timeline_week, concept_timeline_month, timeline_rollup, concept_radar, top_terms, tag_frequency, mastery_by_concept, study_stats, due_cards, concept_cooccurrence_graph, graph_degree_stats, counter_rates, status_from_heartbeat, component_states, readiness_by_segment, pool_summary, term_conflicts, nearest_rank, set_fingerprint)
 }
 
-_EDGES = "edges(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{n}')" for n, deps in STEPS for a in deps) + ")"
-_NODES = "nodes(node) AS (VALUES " + ", ".join(f"('{n}')" for n, _ in STEPS) + ")"
-_DONE = ", ".join(f"'{x}'" for x in DONE)
 _GRAPH = "WITH p AS (SELECT DISTINCT l_orderkey AS job, l_suppkey AS term FROM lineitem), e AS (SELECT a.term AS src, b.term AS tgt, count(*) AS weight FROM p a JOIN p b ON a.job = b.job AND a.term < b.term GROUP BY ALL HAVING count(*) >= 12)"
-_STATUS = """WITH w AS (SELECT user_id, max(ts) AS last, arg_max(event_type, ts) AS doing FROM events GROUP BY user_id),
-st AS (SELECT user_id, CASE WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last) > 86400000000 THEN 'offline' WHEN epoch_us(TIMESTAMP '2024-01-31') - epoch_us(last) > 28800000000 THEN 'stale' WHEN doing = 'click' THEN 'busy' ELSE 'idle' END AS status FROM w)"""
+_STATUS = """WITH w AS (SELECT user_id, CASE WHEN user_id % 11 <> 0 THEN max(ts) END AS last, max(ts) + to_seconds(user_id * 37 % 1000) AS now, arg_max(event_type, (ts, event_id)) AS doing FROM events GROUP BY user_id),
+a AS (SELECT *, epoch_us(now) - epoch_us(last) AS age FROM w),
+st AS (SELECT user_id, CASE WHEN age <= 30000000 AND user_id % 5 = 0 THEN 'paused' WHEN age IS NULL OR age > 900000000 THEN 'stale' WHEN age > 30000000 THEN 'offline' WHEN doing <> 'view' THEN 'busy' ELSE 'idle' END AS status FROM a)"""
 
 ORACLES = {
     "concept_timeline_day": "SELECT event_type AS term, strftime(ts, '%Y-%m-%d') AS bucket, count(*) AS n FROM events GROUP BY ALL",
@@ -256,25 +213,23 @@ ORACLES = {
     "mastery_by_concept": """
 WITH g AS (SELECT event_id % 12 AS concept, user_id, ts, CASE event_type WHEN 'purchase' THEN 100 WHEN 'signup' THEN 70 WHEN 'click' THEN 40 ELSE 0 END AS grade FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 12 ORDER BY ts DESC, event_id DESC) = 1),
 c AS (SELECT concept, count(*) AS cards, round(avg(grade), 0)::INT AS score, max(ts) AS last_review FROM g GROUP BY concept)
-SELECT *, CASE WHEN score >= 85 THEN 'mastered' WHEN score >= 45 THEN 'learning' ELSE 'fragile' END AS level FROM c""",
+SELECT *, CASE WHEN score >= 85 THEN 'mastered' WHEN score >= 60 THEN 'learning' ELSE 'fragile' END AS level FROM c""",
     "study_stats": "SELECT count(DISTINCT user_id) AS cards, count(*) AS reviews, count(*) FILTER (event_type IN ('purchase', 'signup')) AS kept, round(count(*) FILTER (event_type IN ('purchase', 'signup'))::DOUBLE / count(*), 4) AS retention FROM events",
     "due_cards": "WITH l AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY o_custkey) SELECT c_custkey, strftime(last, '%Y-%m-%d') AS last FROM customer LEFT JOIN l ON o_custkey = c_custkey WHERE last IS NULL OR last < TIMESTAMP '2000-06-01'",
     "concept_cooccurrence_graph": _GRAPH + " SELECT * FROM e",
     "graph_degree_stats": _GRAPH + " SELECT node, count(*) AS degree, sum(weight)::BIGINT AS strength FROM (SELECT src AS node, weight FROM e UNION ALL SELECT tgt, weight FROM e) GROUP BY node",
-    "term_components": """
-WITH RECURSIVE k AS (SELECT p_partkey AS node, 'n' || p_brand || '/' || p_size || '/' || p_type AS key FROM part UNION ALL SELECT p_partkey, 'm' || (p_partkey // 3) FROM part),
-e AS (SELECT DISTINCT a.node AS a, b.node AS b FROM k a JOIN k b ON a.key = b.key),
-r AS (SELECT node, node AS other FROM k UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other)
-SELECT node, min(other) AS component FROM r GROUP BY node""",
-    "dag_downstream": f"WITH RECURSIVE {_EDGES}, r(node, depth) AS (VALUES ('scene', 0), ('punctuate', 0) UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node) SELECT node, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY node",
-    "topological_order": f"WITH RECURSIVE {_EDGES}, {_NODES}, r(node, depth) AS (SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node), l AS (SELECT node, max(depth) AS level FROM r GROUP BY node) SELECT node, level, (row_number() OVER (ORDER BY level, node))::INT AS place FROM l",
-    "ready_steps": f"WITH {_EDGES}, {_NODES} SELECT node FROM nodes WHERE node NOT IN ({_DONE}) AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = node AND src NOT IN ({_DONE}))",
     "counter_rates": """
 WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, round(sum(value * 100))::BIGINT AS x FROM events GROUP BY ALL),
 r AS (SELECT event_type, day, greatest(0.0::DOUBLE, (x - lag(x) OVER w)::DOUBLE / (epoch(day) - epoch(lag(day) OVER w))) AS rate, lag(x) OVER w AS px FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day))
 SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(rate, 6) AS rate FROM r WHERE px IS NOT NULL""",
     "status_from_heartbeat": _STATUS + " SELECT * FROM st",
-    "pool_summary": _STATUS + ", p AS (SELECT unnest(list_distinct([user_id % 3, user_id % 5])) AS pool, status FROM st) SELECT pool, count(*) FILTER (status <> 'offline') AS online, count(*) FILTER (status = 'busy') AS busy FROM p GROUP BY pool",
+    "component_states": _STATUS + " SELECT user_id, CASE WHEN age IS NULL THEN 'unknown' WHEN age <= 30000000 THEN 'up' WHEN age <= 900000000 THEN 'degraded' ELSE 'down' END AS status FROM a",
+    "readiness_by_segment": """
+WITH c AS (SELECT c_nationkey, c_mktsegment AS name, CASE WHEN min(c_acctbal) <= -900 THEN 'error' WHEN min(c_acctbal) < 0 THEN 'degraded' ELSE 'ok' END AS status FROM customer GROUP BY ALL),
+f AS (SELECT *, status = 'error' AND name <> 'HOUSEHOLD' AS block FROM c)
+SELECT c_nationkey, CASE WHEN bool_or(block) THEN 'not_ready' WHEN bool_or(status <> 'ok') THEN 'degraded' ELSE 'ready' END AS status,
+       coalesce(string_agg(name || CASE WHEN block THEN ':blocking' ELSE ':degraded' END, ',' ORDER BY name) FILTER (status <> 'ok'), '') AS reasons FROM f GROUP BY c_nationkey""",
+    "pool_summary": _STATUS + ", p AS (SELECT unnest(list_distinct([user_id % 3, user_id % 5])) AS pool, status FROM st) SELECT pool, count(*) FILTER (status IN ('busy', 'idle', 'paused')) AS online, count(*) FILTER (status = 'busy') AS busy, count(*) FILTER (status = 'paused') AS paused FROM p GROUP BY pool",
     "term_conflicts": "SELECT p_name, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS types FROM part GROUP BY p_name HAVING count(DISTINCT p_type) > 2",
     "nearest_rank": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
     "set_fingerprint": "SELECT l_partkey, sha256(array_to_string(list_sort(list(DISTINCT l_suppkey)), ',')) AS digest FROM lineitem GROUP BY l_partkey",

@@ -61,8 +61,9 @@ def jobs_window_strict(s: SparkSession, d: str) -> DataFrame:
 
 
 def lineage_current(s: SparkSession, d: str) -> DataFrame:
-    v = current_versions(_orders(s, d), "o_custkey", F.desc("o_orderdate"), F.asc("o_orderkey"))
-    return v.filter("is_current").select("o_custkey", "o_orderkey")
+    """One aggregate: no lineage is sorted whole."""
+    newest = F.max_by("o_orderkey", F.struct("o_orderdate", (-F.col("o_orderkey")).alias("k")))
+    return _orders(s, d).groupBy("o_custkey").agg(newest.alias("o_orderkey"))
 
 
 def lineage_counts(s: SparkSession, d: str) -> DataFrame:
