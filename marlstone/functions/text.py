@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 #: Full-width characters and the half-width ones they stand for.
 FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 HALF_WIDTH = "".join(map(chr, range(0x21, 0x7F))) + " "
-#: Query keys whose values are secrets.
-SECRET_KEYS = ("access_token", "api_key", "apikey", "auth", "key", "password", "secret", "sig", "signature", "token")
+#: Parameter names whose values are secrets, by a part of the name, the whole or its beginning.
+SECRET_PARTS = ("token", "sign", "sig", "auth", "secret", "key", "session", "credential", "cookie", "passwd", "password")
+SECRET_NAMES = ("sid", "policy", "expire", "expires", "expiration", "wstime", "uparams", "hdnts")
+SECRET_PREFIXES = ("x-amz-", "x-goog-")
 
 
 def fold(c: Column) -> Column:
     """Case folding by code point; both forms of the small sigma are one."""
-    return F.translate(F.lower(c), "ς", "σ")
+    return F.replace(F.lower(c), F.lit("ς"), F.lit("σ"))
 
 
 def clean_query(c: Column) -> Column:
@@ -70,27 +72,45 @@ def snippet(body: Column, query: str, around: int = 60) -> Column:
     return F.when(at > 0, F.concat(F.when(begin > 1, F.lit("…")).otherwise(""), marked, F.when(begin + size - 1 < F.char_length(body), F.lit("…")).otherwise("")))
 
 
+def secret_name(c: Column) -> Column:
+    """Whether a parameter of that name (percent-encoded, any case) holds a secret."""
+    name = F.lower(F.coalesce(F.try_url_decode(c), c))
+    return name.isin(*SECRET_NAMES) | name.rlike("^(?:" + "|".join(SECRET_PREFIXES) + ")") | name.rlike("|".join(SECRET_PARTS))
+
+
 def redacted_url(c: Column) -> Column:
-    """A URL without user info, fragment and default port, host in lower case, secret values dropped."""
+    """A URL without user info, fragment and default port, host in lower case, without parameters whose
+    name is a secret's or whose value looks like one. Parameters end at & and ; alike."""
     scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
     host = F.lower(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     host = F.regexp_replace(host, F.when(scheme == "https", F.lit(":443$")).otherwise(F.lit(":80$")), F.lit(""))
     path = F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     pairs = F.split(F.regexp_extract(c, r"\?([^#]*)", 1), "[&;]")
-    kept = F.filter(pairs, lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*SECRET_KEYS))
+    value = lambda p: F.coalesce(F.try_url_decode(F.substring(p, F.instr(p, "=") + 1, F.length(p))), p)
+    kept = F.filter(pairs, lambda p: (p != "") & ~secret_name(F.substring_index(p, "=", 1)) & ~((F.instr(p, "=") > 0) & has_secret(value(p))))
     query = F.array_join(kept, "&")
     return F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-#: Patterns of secrets: (name, pattern); all are read by Java and RE2 alike.
+#: Patterns of secrets: (name, pattern); all are read by Java and RE2 alike. A header's or parameter's name
+#: begins a line or follows a separator.
+_BEFORE = r"(?:^|[\s;,?&#\"'{(\[])"
 SECRETS = (
     ("bearer", r"(?i)bearer\s+[A-Za-z0-9._\-]{16,}"),
     ("cloud_key", r"AKIA[0-9A-Z]{16}"),
     ("assignment", r"(?i)(api[_-]?key|password|secret|token)\s*[=:]\s*[^\s]{6,}"),
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("signed_url", r"(?i)[?&](sig|signature|token)=[A-Za-z0-9%._\-]{8,}"),
+    ("signed_url", r"(?i)[?&;#]\s*(?:[a-z0-9_.\-]*(?:" + "|".join(SECRET_PARTS) + r")[a-z0-9_.\-]*|" + "|".join(SECRET_NAMES) + r"|(?:" + "|".join(SECRET_PREFIXES) + r")[a-z0-9_.\-]*)=[^&;\s\"']{8,}"),
+    ("cookie", r"(?i)" + _BEFORE + r"(?:set-)?cookie\s*[:=]\s*\S"),
+    ("authorization", r"(?i)" + _BEFORE + r"authorization\s*[:=]\s*\S"),
+    ("control", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"),
 )
 
+
+def has_secret(c: Column) -> Column:
+    return c.rlike("|".join(f"(?:{p})" for _, p in SECRETS))
+
+
 QUANTITY = r"([+-]?)([$€£]?)([0-9]+(?:\.[0-9]+)?)(%|kg|km|mb|gb|ms|usd|eur|s)?"
 
 

@@ -10,43 +10,66 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
+from marlstone.operators.textops import holding
 from marlstone.session import load
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
 
 
-def bm25(rows: DataFrame, query: str, fields: tuple[str, ...]) -> DataFrame:
-    """rows with a hit of the query as a contiguous, case-folded substring, and rank (least is best)."""
-    q = T.fold(F.lit(query))
+def _route(query: str) -> tuple[str, str]:
+    """The cleaned query and how it is searched: not at all under two characters, two Chinese ones by
+    plain containment in the order of keys, other ones under three not at all, else by BM25."""
+    q = " ".join(query.replace("\0", "").split())
+    if len(q) == 2 and all("一" <= c <= "鿿" for c in q):
+        return q, "plain"
+    return q, "none" if len(q) < 3 else "bm25"
+
+
+def _hits(c: str, query: str, route: str) -> Column:
+    """Overlapping occurrences of the query in a column; under the plain route 1 if there is any."""
+    if route == "plain":
+        return F.contains(c, F.lit(query)).cast("long")
     folded = query.lower().replace("ς", "σ")
-    hits = sum((T.occurrences(T.fold(F.col(c)), folded) for c in fields[1:]), T.occurrences(T.fold(F.col(fields[0])), folded))
-    length = sum((F.greatest(F.char_length(c) - 2, F.lit(0)) for c in fields[1:]), F.greatest(F.char_length(fields[0]) - 2, F.lit(0)))
-    found = F.lit(False)
-    for c in fields:
-        found = found | F.contains(T.fold(F.col(c)), q)
-    stats = rows.agg(F.count("*").alias("_n"), F.count(F.when(found, 1)).alias("_df"), F.avg(length).alias("_avg"))
-    scored = rows.filter(found).withColumn("_f", hits).withColumn("_dl", length).crossJoin(F.broadcast(stats))  # stats: one row
-    idf = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(IDF_FLOOR)
+    if any(folded.startswith(folded[k:]) for k in range(1, len(folded))):
+        return T.occurrences(T.fold(F.col(c)), folded)
+    # occurrences that can't overlap are as many as cutting them out takes lengths of the query
+    text = T.fold(F.col(c))
+    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(folded), F.lit("")))) / len(folded)).cast("long")
+
+
+def ranks(rows: DataFrame, queries: list[str], fields: tuple[str, ...]) -> DataFrame:
+    """rows with ranks: an array of each query's rank of the row (least is best), null where it has no hit.
+
+    One pass over the texts counts the hits of all queries for the statistics, one ranks; statistics are
+    those of all rows."""
+    routes = [_route(q) for q in queries]
+    total = lambda parts: sum(parts[1:], parts[0])
+    hits = [total([F.coalesce(_hits(c, q, how), F.lit(0)) for c in fields]) if how != "none" else F.lit(0).cast("long") for q, how in routes]
+    length = total([F.greatest(F.coalesce(F.char_length(c), F.lit(0)) - 2, F.lit(0)) for c in fields])
+    counted = rows.withColumns({"_h": F.array(*hits), "_dl": length})
+    of = F.array(*(F.count(F.when(F.col("_h")[k] > 0, 1)) for k in range(len(queries))))
+    stats = counted.agg(F.count("*").alias("_n"), of.alias("_df"), F.avg("_dl").alias("_avg"))
+    scored = counted.filter(F.exists("_h", lambda h: h > 0)).crossJoin(F.broadcast(stats))  # stats: one row
     norm = K1 * (1 - B + B * F.col("_dl") / F.col("_avg"))
-    return scored.withColumn("rank", F.round(-idf * F.col("_f") * (K1 + 1) / (F.col("_f") + norm), 9)).drop("_f", "_dl", "_n", "_df", "_avg")
+
+    def rank(k: int) -> Column:
+        f, df = F.col("_h")[k], F.col("_df")[k]
+        idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
+        score = F.round(-F.when(idf > 0, idf).otherwise(IDF_FLOOR) * f * (K1 + 1) / (f + norm), 9)
+        return F.when(f > 0, score if routes[k][1] == "bm25" else F.lit(0.0))
+
+    return scored.withColumn("ranks", F.array(*map(rank, range(len(queries))))).drop("_h", "_dl", "_n", "_df", "_avg")
+
+
+def bm25(rows: DataFrame, query: str, fields: tuple[str, ...]) -> DataFrame:
+    """rows with a hit of the query as a contiguous, case-folded substring, and rank (least is best)."""
+    return ranks(rows, [query], fields).withColumn("rank", F.col("ranks")[0]).drop("ranks")
 
 
 def search(rows: DataFrame, query: str, fields: tuple[str, ...], key: str, where: Column | None = None) -> DataFrame:
-    """Ranked rows of a query by its route: under two characters nothing, two Chinese characters by
-    plain containment in the order of keys, under three others nothing, else BM25."""
-    q = " ".join(query.replace("\0", "").split())
-    cjk = len(q) == 2 and all("一" <= c <= "鿿" for c in q)
-    if cjk:
-        found = F.lit(False)
-        for c in fields:
-            found = found | F.contains(c, F.lit(q))
-        out = rows.filter(found).withColumn("rank", F.lit(0.0))
-    elif len(q) < 3:
-        out = rows.limit(0).withColumn("rank", F.lit(0.0))
-    else:
-        out = bm25(rows, q, fields)
+    """Ranked rows of a query by its route."""
+    out = rows.limit(0).withColumn("rank", F.lit(0.0)) if _route(query)[1] == "none" else bm25(rows, query, fields)
     return out if where is None else out.filter(where)
 
 
@@ -54,23 +77,22 @@ def top(ranked: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
     return ranked.orderBy("rank", key).offset(offset).limit(limit)
 
 
-def fuse(rows: DataFrame, queries: list[str], fields: tuple[str, ...], key: str, k: int) -> DataFrame:
-    """Reciprocal rank fusion over the queries' pools: sum of 1 / (60 + rank), best first."""
-    pool = min(100, max(k, 4 * k))
-    parts = []
-    for n, q in enumerate(queries):
-        best = top(search(rows, q, fields, key), key, pool)
-        parts.append(best.select(F.col(key), F.lit(n).alias("query"), F.row_number().over(Window.orderBy("rank", key)).alias("place")))  # at most 100 rows
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(key).agg(F.round(F.sum(1.0 / (RRF_K + F.col("place"))), 9).alias("score"), F.count("*").alias("n_queries")).orderBy(F.desc("score"), key).limit(k)
+def pools(rows: DataFrame, queries: list[str], fields: tuple[str, ...], key: str, pool: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key (and the columns to keep), query (its number) and place of each query's `pool` best rows."""
+    found = ranks(rows, queries, fields).select(key, *keep, F.posexplode("ranks").alias("query", "rank")).filter("rank is not null")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("rank", key))
+    return found.withColumn("place", place).filter(F.col("place") <= pool).drop("rank")
 
 
-STOP_WORDS = ("about", "and", "are", "for", "from", "how", "is", "the", "this", "that", "what", "when", "which", "with")
+def fuse(rows: DataFrame, queries: list[str], fields: tuple[str, ...], key: str, k: int) -> DataFrame:
+    """Reciprocal rank fusion over the queries' pools: sum of 1 / (60 + rank), best first."""
+    found = pools(rows, queries, fields, key, min(100, max(k, 4 * k)))
+    return found.groupBy(key).agg(F.round(F.sum(1.0 / (RRF_K + F.col("place"))), 9).alias("score"), F.count("*").alias("n_queries")).orderBy(F.desc("score"), key).limit(k)
 
 
-#: Of Chinese characters; shorter ones are left out by their length.
+#: Words that are no query.
+STOP_WORDS = ("the", "a", "an", "of", "to", "in", "is", "are", "and", "or", "for", "what", "how", "why", "which", "this", "that", "with", "about", "between", "do", "does", "can", "vs", "versus", "compare", "difference")
+#: The same of Chinese characters; shorter ones are left out by their length.
 CJK_STOP_WORDS = ("一个", "什么", "怎么", "如何", "为什么", "哪些", "这个", "那个", "可以", "他们", "我们", "你们", "以及", "或者", "还是", "因为", "所以", "但是", "关于", "对于", "通过", "进行", "区别", "差异", "比较", "之间")
 CJK_WINDOWS = (4, 3, 2)
 
@@ -139,16 +161,52 @@ def ask_rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fuse(_documents(spark, d), ["tion", "ment", "idiot", "ening"], FIELDS, "doc_id", 20)
 
 
+def quality(ranked: DataFrame, truth: DataFrame, questions: DataFrame, *by: str) -> DataFrame:
+    """Measures of ranked lists against what is relevant, over all questions and by each of `by`.
+
+    questions: q and the columns of by; ranked: q, id, place, body (a text's digest); truth: q, id.
+    n, answerable (questions with relevant texts), recall at 1, 3, 5 and 10 (share of the relevant that is
+    found, averaged over answerable questions), mrr_at_10, no_hit (answerable questions without any
+    result), false_positive (other questions with one), coverage_at_8 (answerable questions whose first
+    eight hold a relevant text) and duplicates (results whose text stands higher in the list)."""
+    hits = ranked.join(truth.withColumn("good", F.lit(1)), ["q", "id"], "left")
+    again = F.row_number().over(Window.partitionBy("q", "body").orderBy("place")) > 1
+    hits = hits.withColumn("again", again)
+    at = [F.count(F.when(F.col("place") <= k, F.col("good"))).alias(f"at_{k}") for k in (1, 3, 5, 8, 10)]
+    per = hits.groupBy("q").agg(*at, F.min(F.when(F.col("good") == 1, F.col("place"))).alias("first"), F.count("*").alias("results"), F.count(F.when(F.col("again"), 1)).alias("repeats"))
+    all_ = questions.join(truth.groupBy("q").agg(F.count("*").alias("relevant")), "q", "left").join(per, "q", "left").na.fill(0, ["relevant", "results", "repeats", *(f"at_{k}" for k in (1, 3, 5, 8, 10))])
+    known = F.col("relevant") > 0
+    part = lambda x: F.round(F.avg(F.when(known, x)), 6)
+    measures = [
+        F.count("*").alias("n"), F.count(F.when(known, 1)).alias("answerable"),
+        *(part(F.col(f"at_{k}") / F.col("relevant")).alias(f"recall_at_{k}") for k in (1, 3, 5, 10)),
+        part(F.when(F.col("first") <= 10, 1.0 / F.col("first")).otherwise(0.0)).alias("mrr_at_10"),
+        part(F.when(F.col("results") == 0, 1.0).otherwise(0.0)).alias("no_hit"),
+        F.round(F.avg(F.when(~known, F.when(F.col("results") > 0, 1.0).otherwise(0.0))), 6).alias("false_positive"),
+        part(F.when(F.col("at_8") > 0, 1.0).otherwise(0.0)).alias("coverage_at_8"),
+        F.round(F.sum("repeats") / F.sum("results"), 6).alias("duplicates"),
+    ]
+    cuts = [F.lit("all").alias("cut"), *(F.concat_ws("=", F.lit(c), F.col(c).cast("string")).alias("cut") for c in by)]
+    return all_.withColumn("cut", F.explode(F.array(*cuts))).groupBy("cut").agg(*measures)
+
+
+def word_ranks(questions: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """q, id, place and body of the `most` best texts for each question's derived queries as whole words:
+    those with more of them first, then shorter ones, then by id. questions: q, text; docs: id, text."""
+    asked = derived_queries(questions, "q", "text").select("q", F.col("query").alias("word"))
+    words = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([一-鿿]+|[a-z0-9]+)"), F.lit(1)))).alias("word"))
+    found = words.join(asked, "word").groupBy("q", "id").agg(F.count("*").alias("n")).join(docs.select("id", F.length("text").alias("size"), F.sha2("text", 256).alias("body")), "id")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("n"), "size", "id"))
+    return found.withColumn("place", place).filter(F.col("place") <= most).select("q", "id", "place", "body")
+
+
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Recall at 1, 3, 5 and mean reciprocal rank of finding, for each benchmark item's first 30
-    characters, the documents that hold the item; by word of whether any document holds it."""
-    items = load(spark, d, "benchmark").select("item_id", F.substring("text", 1, 30).alias("q"), F.col("text").alias("whole"))
-    docs = _documents(spark, d).select("doc_id", "body")
-    ranked = items.join(docs, F.contains("body", F.col("q")))
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.char_length("body"), "doc_id"))).withColumn("good", F.contains("body", F.col("whole")))
-    per = items.join(ranked.groupBy("item_id").agg(F.min(F.when(F.col("good"), F.col("place"))).alias("first")), "item_id", "left")
-    at = [F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_at_{k}") for k in (1, 3, 5)]
-    return per.agg(F.count("*").alias("n"), *at, F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    """For each benchmark item the ten best documents for the queries derived from its whole text, against
+    the documents that hold it word for word; over all and by the item's number, even or odd."""
+    items = load(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text", (F.col("item_id") % 2).alias("parity"))
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    truth = holding(docs, items.select("q", F.col("text").alias("quote")), "text", "quote").select("q", "id")
+    return quality(word_ranks(items, docs, 10), truth, items.select("q", "parity"), "parity")
 
 
 def citation_check(spark: SparkSession, d: str) -> DataFrame:
@@ -217,12 +275,23 @@ g AS (SELECT item_id, query, min(pos) AS pos FROM w WHERE length(query) >= 2 AND
 r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY length(query) DESC, pos))::INT AS place, query FROM g)
 SELECT * FROM r WHERE place <= 6""",
     "ask_rrf_fusion": _RRF,
-    "retrieval_metrics": """
-WITH i AS (SELECT item_id, substring(text, 1, 30) AS q, text AS whole FROM benchmark),
-r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY length(d.text), doc_id) AS place, contains(d.text, whole) AS good FROM i JOIN documents d ON contains(d.text, q)),
-p AS (SELECT i.item_id, f.first FROM i LEFT JOIN (SELECT item_id, min(place) FILTER (good) AS first FROM r GROUP BY item_id) f ON f.item_id = i.item_id)
-SELECT count(*) AS n, round(avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN first <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_3,
-       round(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM p""",
+    "retrieval_metrics": f"""
+WITH w AS (SELECT item_id AS q, unnest(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9]+'), 1) AS pos FROM benchmark),
+g AS (SELECT q, word, min(pos) AS pos FROM w WHERE length(word) >= 2 AND word NOT IN ({', '.join(f"'{x}'" for x in STOP_WORDS)}) GROUP BY ALL),
+a AS (SELECT q, word FROM g QUALIFY row_number() OVER (PARTITION BY q ORDER BY length(word) DESC, pos) <= 6),
+t AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[一-鿿]+|[a-z0-9]+')) AS word FROM documents),
+h AS (SELECT q, id, count(*) AS n FROM t JOIN a USING (word) GROUP BY ALL),
+r AS (SELECT q, id, text, row_number() OVER (PARTITION BY q ORDER BY n DESC, length(text), id) AS place FROM h JOIN documents ON doc_id = id QUALIFY place <= 10),
+v AS (SELECT b.item_id AS q, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+x AS (SELECT r.*, v.id IS NOT NULL AS good, row_number() OVER (PARTITION BY r.q, text ORDER BY place) > 1 AS again FROM r LEFT JOIN v ON v.q = r.q AND v.id = r.id),
+p AS (SELECT b.item_id AS q, b.item_id % 2 AS parity, (SELECT count(*) FROM v WHERE v.q = b.item_id) AS relevant, coalesce(s.results, 0) AS results, coalesce(s.repeats, 0) AS repeats, s.first, coalesce(a1, 0) AS a1, coalesce(a3, 0) AS a3, coalesce(a5, 0) AS a5, coalesce(a8, 0) AS a8, coalesce(a10, 0) AS a10
+      FROM benchmark b LEFT JOIN (SELECT q, count(*) AS results, count(*) FILTER (again) AS repeats, min(place) FILTER (good) AS first, count(*) FILTER (good AND place <= 1) AS a1, count(*) FILTER (good AND place <= 3) AS a3, count(*) FILTER (good AND place <= 5) AS a5, count(*) FILTER (good AND place <= 8) AS a8, count(*) FILTER (good AND place <= 10) AS a10 FROM x GROUP BY q) s ON s.q = b.item_id),
+c AS (SELECT *, unnest(['all', 'parity=' || parity]) AS cut FROM p)
+SELECT cut, count(*) AS n, count(*) FILTER (relevant > 0) AS answerable,
+  round(avg(a1::DOUBLE / relevant) FILTER (relevant > 0), 6) AS recall_at_1, round(avg(a3::DOUBLE / relevant) FILTER (relevant > 0), 6) AS recall_at_3, round(avg(a5::DOUBLE / relevant) FILTER (relevant > 0), 6) AS recall_at_5, round(avg(a10::DOUBLE / relevant) FILTER (relevant > 0), 6) AS recall_at_10,
+  round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE / first ELSE 0 END) FILTER (relevant > 0), 6) AS mrr_at_10, round(avg(CASE WHEN results = 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (relevant > 0), 6) AS no_hit,
+  round(avg(CASE WHEN results > 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (relevant = 0), 6) AS false_positive, round(avg(CASE WHEN a8 > 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (relevant > 0), 6) AS coverage_at_8,
+  round(sum(repeats)::DOUBLE / sum(results), 6) AS duplicates FROM c GROUP BY cut""",
     "citation_check": """
 WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS claim, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM conversations WHERE role = 'assistant'),
 c AS (SELECT * FROM l WHERE length(claim) >= 12),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +25,12 @@ NEGATIONS = ("not", "no", "never", "nicht", "kein", "ne", "pas", "sin", "nunca")
 
 
 def hit_terms(texts: DataFrame, key: str, text: str, terms: list[str], limit: int = 40) -> DataFrame:
-    """Terms of a fixed list found in a text (any case, as whole words, plural endings allowed), the
-    most frequent first, then by name."""
-    texts = texts.select(key, _words(text).alias("_words"))
-    among = lambda *forms: F.size(F.filter("_words", lambda w: w.isin(*forms))).cast("long")
-    counts = [F.struct(F.lit(t).alias("term"), among(t.lower(), t.lower() + "s", t.lower() + "es").alias("n")) for t in terms]
+    """Terms of a fixed list found in a text, the most frequent first, then by name: in any case, no
+    letter or digit of ASCII next to them, and with the endings s, es and 's."""
+    pattern = lambda t: "(?i)(?<![A-Za-z0-9])" + re.escape(t) + "(?:'s|es|s)?(?![A-Za-z0-9])"
+    counts = [F.struct(F.lit(t).alias("term"), F.regexp_count(text, F.lit(pattern(t))).cast("long").alias("n")) for t in terms]
     found = texts.select(F.col(key), F.explode(F.array(*counts)).alias("x")).select(key, "x.term", "x.n").filter("n > 0")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.lower("term")))
     return found.withColumn("place", place).filter(F.col("place") <= limit)
 
 
@@ -40,35 +42,41 @@ def resolve(names: DataFrame, name: Column, entities: DataFrame, entity: str, la
 
 
 def chunk_note(text: str) -> list[tuple[str, int, int, str]]:
-    """(section, start, end, body): lines with text are paragraphs; a heading closes a chunk; a long
-    paragraph goes in windows of CHUNK every STEP; others fill chunks of CHUNK characters."""
+    """(section, start, end, body): lines with text are paragraphs, and end where the next line begins; a
+    heading closes a chunk and, unless it is empty, names the section; a long paragraph goes in windows of
+    CHUNK every STEP; others fill chunks of CHUNK characters."""
     out: list[tuple[str, int, int, str]] = []
-    section, held, at = "", [], 0
+    held: list[tuple[int, int, str]] = []
+    section = of = ""
+    size = at = 0
 
     def close() -> None:
-        if held:
-            body = "\n".join(p for _, p in held).strip()
-            if body:
-                out.append((section, held[0][0], held[-1][0] + len(held[-1][1]), body))
-            held.clear()
-
-    for line in text.split("\n"):
-        begin, at = at, at + len(line) + 1
+        nonlocal size
+        if body := "\n".join(p for *_, p in held).strip():
+            out.append((of, held[0][0], held[-1][1], body))
+        held.clear()
+        size = 0
+
+    for line in text.splitlines(keepends=True):
+        begin, at = at, at + len(line)
         if not line.strip():
             continue
-        if line.startswith("#"):
+        line = line.rstrip("\n")
+        if line.lstrip().startswith("#"):
             close()
-            section = line.lstrip("#").strip()
+            section = line.lstrip("#").strip() or section
         if len(line) > CHUNK:
             close()
             for k in range(0, len(line), STEP):
-                out.append((section, begin + k, begin + min(len(line), k + CHUNK), line[k : k + CHUNK].strip()))
-                if k + CHUNK >= len(line):
-                    break
+                if part := line[k : k + CHUNK].strip():
+                    out.append((section, begin + k, min(begin + k + len(part), at), part))
             continue
-        if held and sum(len(p) for _, p in held) + len(held) + len(line) > CHUNK:
+        if held and size + len(held) + len(line) > CHUNK:
             close()
-        held.append((begin, line))
+        if not held:
+            of = section
+        held.append((begin, at, line))
+        size += len(line)
     close()
     return out
 
@@ -85,23 +93,71 @@ def note_chunks(notes: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumnRenamed("k", key)
 
 
-def index_text(c: Column) -> Column:
-    """Markdown as text to be indexed: no fences, tags, link targets, bullets, quotes and emphasis."""
-    for pattern, to in ((r"(?m)^```.*$", ""), (r"<[^<>]+>", " "), (r"!?\[([^\[\]]*)\]\([^()]*\)", "$1"), (r"(?m)^\s*(?:[-*+]|\d+\.)\s+", ""), (r"(?m)^>\s?", ""), (r"[*_`]+", ""), (r"\n{3,}", "\n\n")):
-        c = F.regexp_replace(c, pattern, to)
-    return F.trim(c)
+_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
+_TAG = re.compile(r"<[^>]+>")
+_MARKS = tuple((re.compile(p), to) for p, to in ((r"`([^`]*)`", r"\1"), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), (r"^(\s{0,3})[-*+]\s+", r"\1"), (r"^(\s{0,3})>\s?", r"\1"), (r"[*_~]+", "")))
 
 
-def windows_by_fold(cues: DataFrame, key: str, start: str, text: str, seconds: float) -> DataFrame:
-    """Greedy windows: a cue opens a new one when it begins `seconds` or more after the window's first."""
-    ordered = cues.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("double").alias("s"), F.col(text).alias("t")))).alias("cues"))
-    begin = F.aggregate(
-        "cues",
-        F.expr("cast(array() as array<struct<w:double,s:double,t:string>>)"),
-        lambda acc, x: F.concat(acc, F.array(F.struct(F.when((F.size(acc) == 0) | (x["s"] - F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["w"] >= seconds), x["s"]).otherwise(F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["w"]).alias("w"), x["s"].alias("s"), x["t"].alias("t")))),
-    )
-    rows = ordered.select(key, F.explode(begin).alias("x")).select(key, "x.w", "x.s", "x.t")
-    return rows.groupBy(key, F.col("w").alias("window_start")).agg(F.count("*").alias("cues"), F.max("s").alias("last_start"))
+def index_text(text: str) -> str:
+    """Markdown as text to be indexed: fence lines (of back ticks or tildes, closed by their own kind) go,
+    the code in them stays as it is; elsewhere code marks, link targets, bullets, quotes and emphasis go;
+    tags become a space everywhere; runs of blank lines become one, none at the ends."""
+    out: list[str] = []
+    fence = ""
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        if (mark := _FENCE.match(line)) and fence in ("", mark[1][0]):
+            fence = "" if fence else mark[1][0]
+            continue
+        line = _TAG.sub(" ", line)
+        if not fence:
+            for pattern, to in _MARKS:
+                line = pattern.sub(to, line)
+        line = line.rstrip()
+        if line or (out and out[-1]):
+            out.append(line)
+    return "\n".join(out).rstrip("\n")
+
+
+def indexed(notes: DataFrame, key: str, text: str) -> DataFrame:
+    """key and body, the text to be indexed of each note, batch by batch; a null text gives an empty body."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"k": batch["k"], "body": [index_text(t or "") for t in batch["t"]]})
+
+    return notes.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "k long, body string").withColumnRenamed("k", key)
+
+
+def greedy_windows(rows: DataFrame, key: str, at: str, width: float) -> DataFrame:
+    """rows with window_start: a row opens a window of its key when none is open or the open one began
+    `width` or more before it (not a session: the anchor is the window's first row).
+
+    Each key's rows pass in order through one task, which holds a batch and the open window's start."""
+    schema = rows.schema.add("window_start", "double")
+    k, t = rows.columns.index(key), rows.columns.index(at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begin = None, 0.0
+        for batch in batches:
+            keys, times = batch.column(k).to_pylist(), batch.column(t).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            out, i = np.empty(len(times)), 0
+            while i < len(times):
+                if (keys[i],) != last or not times[i] < begin + width:
+                    last, begin = (keys[i],), times[i]
+                j = i + 1
+                while j < len(times) and keys[j] == keys[i] and times[j] < begin + width:
+                    j += 1
+                out[i:j] = begin
+                i = j
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "window_start"])
+
+    return rows.repartition(key).sortWithinPartitions(key, at).mapInArrow(run, schema)
+
+
+def windows_by_fold(cues: DataFrame, key: str, start: str, seconds: float) -> DataFrame:
+    """Greedy windows of cues: their start, how many cues they have and when the last begins."""
+    rows = cues.select(F.col(key), F.col(start).cast("double").alias("_at")).filter("_at is not null")
+    return greedy_windows(rows, key, "_at", seconds).groupBy(key, "window_start").agg(F.count("*").alias("cues"), F.max("_at").alias("last_start"))
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -119,12 +175,11 @@ def norm_key_resolve(s: SparkSession, d: str) -> DataFrame:
 
 
 def halfwidth(s: SparkSession, d: str) -> DataFrame:
-    return _folded(_docs(s, d), F.substring("text", 1, 200))
+    return _folded(_docs(s, d), F.col("text"))
 
 
 def halfwidth_whole(s: SparkSession, d: str) -> DataFrame:
-    """As halfwidth, whose SQL ends at character 200, over whole texts."""
-    return _folded(_docs(s, d), F.col("text"))
+    return halfwidth(s, d)
 
 
 def _folded(docs: DataFrame, text: Column) -> DataFrame:
@@ -143,7 +198,7 @@ def url_native_ids(s: SparkSession, d: str) -> DataFrame:
 
 
 def url_redact(s: SparkSession, d: str) -> DataFrame:
-    odd = F.concat(F.regexp_replace("url", "://", "://User:pw@"), F.when(F.contains("url", F.lit("?")), F.lit("&token=abc")).otherwise(F.lit("")))
+    odd = F.concat(F.regexp_replace("url", "://", "://User:pw@"), F.when(F.contains("url", F.lit("?")), F.lit("&token=abc&X-Amz-Signature=1;session_id=2&page=3&sessionToken=4&Expires=5")).otherwise(F.lit("")))
     return _pages(s, d).select("page_id", T.redacted_url(odd).alias("url"))
 
 
@@ -195,8 +250,8 @@ def page_quality(s: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_index_text(s: SparkSession, d: str) -> DataFrame:
-    marked = F.concat(F.lit("# Head\n> "), F.col("text"), F.lit("\n```py\ncode\n```\n- **bold** [link](http://x)\n"))
-    return _docs(s, d).select("doc_id", F.char_length(index_text(marked)).cast("long").alias("n"))
+    marked = F.concat(F.lit("# Head\n> "), F.col("text"), F.lit("\n```py\na *= b_c\n```\n\n\n- **bold** [link](http://x)\n"))
+    return indexed(_docs(s, d).withColumn("marked", marked), "doc_id", "marked").select("doc_id", F.sha2("body", 256).alias("digest"))
 
 
 def note_chunks_query(s: SparkSession, d: str) -> DataFrame:
@@ -205,7 +260,7 @@ def note_chunks_query(s: SparkSession, d: str) -> DataFrame:
 
 def cue_windows_60(s: SparkSession, d: str) -> DataFrame:
     cues = load(s, d, "conversations").filter("text is not null").select("conv_id", (F.col("turn") * 25 + F.char_length("text") % 20).alias("start"), "text")
-    return windows_by_fold(cues, "conv_id", "start", "text", 60.0)
+    return windows_by_fold(cues, "conv_id", "start", 60.0)
 
 
 def beat_timeline(s: SparkSession, d: str) -> DataFrame:
@@ -229,24 +284,53 @@ def negation_polarity(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", n.alias("negations"), (n % 2).alias("polarity")).filter("negations > 0")
 
 
+def holding(docs: DataFrame, items: DataFrame, text: str, quote: str) -> DataFrame:
+    """docs joined with the items whose quote their text holds word for word (case counts). Neither side
+    may have columns named _w, _q or _g.
+
+    A quote of five words and more is found by three of its inner words, which a text that holds it must
+    have in a row; only texts that do are compared. Shorter ones, without such a run, meet every text."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    gram = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
+    quotes = items.filter((F.col(quote) != "") & F.col(quote).isNotNull()).withColumn("_q", words(F.col(quote)))
+    long, short = quotes.filter(F.size("_q") >= 5), quotes.filter(F.size("_q") < 5).drop("_q")
+    middle = F.greatest(F.floor(F.size("_q") / 2), F.lit(2)).cast("int")
+    keyed = long.select(*items.columns, gram(F.col("_q"), middle).alias("_g"))
+    grams = docs.withColumn("_w", words(F.col(text))).filter(F.size("_w") >= 3)
+    grams = grams.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: gram(F.col("_w"), i))))).drop("_w")
+    found = grams.join(keyed, "_g").drop("_g").filter(F.contains(F.col(text), F.col(quote)))
+    return found.unionByName(docs.join(short, F.contains(F.col(text), F.col(quote))))
+
+
 def exact_quote_match(s: SparkSession, d: str) -> DataFrame:
     """Benchmark items that a document holds word for word."""
     items = load(s, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return _docs(s, d).join(items, F.contains("text", F.col("quote"))).select("doc_id", "item_id")
+    return holding(_docs(s, d).select("doc_id", "text"), items, "text", "quote").select("doc_id", "item_id")
 
 
 def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Where a quotation stands in a document, if it stands just once; occurrences may overlap."""
-    hits = docs.join(items.filter("quote <> ''"), F.contains("text", F.col("quote"))).withColumn("place", F.instr("text", F.col("quote")))
-    return hits.filter(F.expr("locate(quote, text, place + 1) = 0")).select("doc_id", "item_id", F.col("place").cast("long").alias("place"))
+    """Where a quotation stands in a document, if it stands just once; occurrences may overlap. Items may
+    have prefix and suffix: what stands right before and after the quotation (null: anything)."""
+    for part in ("prefix", "suffix"):
+        if part not in items.columns:
+            items = items.withColumn(part, F.lit(None).cast("string"))
+    whole = F.concat(F.coalesce("prefix", F.lit("")), F.col("quote"), F.coalesce("suffix", F.lit("")))
+    items = items.filter("quote <> ''").withColumn("whole", whole)
+    hits = holding(docs.select("doc_id", "text"), items, "text", "whole").withColumn("place", F.instr("text", F.col("whole")))
+    once = hits.filter(F.expr("locate(whole, text, place + 1) = 0"))
+    return once.select("doc_id", "item_id", (F.col("place") + F.length(F.coalesce("prefix", F.lit("")))).cast("long").alias("place"))
 
 
 def quote_anchor(s: SparkSession, d: str) -> DataFrame:
-    return anchors(_docs(s, d), load(s, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote")))
+    """The item without its first and last ten characters, anchored by those as prefix and suffix."""
+    cut = lambda a, n: F.substring(F.col("text"), a, n)
+    size = F.length("text")
+    items = load(s, d, "benchmark").filter(size > 20).select("item_id", cut(F.lit(11), size - 20).alias("quote"), cut(F.lit(1), F.lit(10)).alias("prefix"), cut(size - 9, F.lit(10)).alias("suffix"))
+    return anchors(_docs(s, d), items)
 
 
 def quote_anchor_whole(s: SparkSession, d: str) -> DataFrame:
-    """As quote_anchor, whose SQL ends at character 40, with the whole text of each item."""
+    """The whole text of each item."""
     return anchors(_docs(s, d), load(s, d, "benchmark").select("item_id", F.col("text").alias("quote")))
 
 
@@ -254,10 +338,22 @@ def body_fingerprint_dups(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", F.sha2(T.canonical_body(F.col("text")), 256).alias("h")).groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("first", "copies")
 
 
+#: Beginnings of titles that editors and series put there.
+JUNK_TITLES = ("nber working paper", "working paper", "microsoft word", "untitled", "draft")
+ONE_WORD = 24
+
+
+def suspicious(title: Column) -> Column:
+    """Whether a title is none: empty, a file name, one of the known beginnings, or a single short word."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    return (t == "") | t.rlike(r"(?i)\.(dvi|tex|pdf|docx?)$") | F.lower(t).rlike("^(?:" + "|".join(JUNK_TITLES) + ")") | (~F.contains(t, F.lit(" ")) & (F.char_length(t) <= ONE_WORD))
+
+
 def suspicious_title(s: SparkSession, d: str) -> DataFrame:
+    """Titles of pages, and of every third page its file name or first word."""
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
-    odd = title.rlike(r"(?i)\.(pdf|docx?|html?)$") | title.rlike(r"(?i)^(untitled|document|img_|scan)") | ((F.char_length(title) < 6) & ~F.contains(title, F.lit(" "))) | title.rlike(r"%%%|###|\$\$\$")
-    return _pages(s, d).select("page_id", odd.alias("suspicious"))
+    name = F.when(F.col("page_id") % 3 == 1, F.substring_index(title, " ", 1)).when(F.col("page_id") % 3 == 2, F.concat(title, F.lit(".PDF"))).otherwise(title)
+    return _pages(s, d).select("page_id", suspicious(name).alias("suspicious"))
 
 
 def heading_fill(s: SparkSession, d: str) -> DataFrame:
@@ -282,22 +378,22 @@ QUERIES = {
 _URL = """
 WITH p AS (SELECT page_id, {url} AS c FROM pages),
 q AS (SELECT page_id, lower(regexp_extract(c, '^([A-Za-z]+)://', 1)) AS sch, lower(regexp_extract(c, '^[A-Za-z]+://(?:[^/?#@]*@)?([^/?#]*)', 1)) AS host, regexp_extract(c, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
-      array_to_string(list_filter(string_split_regex(regexp_extract(c, '\\?([^#]*)', 1), '[&;]'), lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ({keys})), '&') AS qs FROM p),
+      array_to_string(list_filter(string_split_regex(regexp_extract(c, '\\?([^#]*)', 1), '[&;]'), lambda x: x <> '' AND NOT regexp_matches(lower(string_split(x, '=')[1]), '{secret}')), '&') AS qs FROM p),
 u AS (SELECT page_id, sch || '://' || host || path || (CASE WHEN qs <> '' THEN '?' || qs ELSE '' END) AS url FROM q)"""
-_KEYS = ", ".join(f"'{k}'" for k in T.SECRET_KEYS)
+_SECRET = "(?:" + "|".join(T.SECRET_PARTS) + ")|^(?:" + "|".join(T.SECRET_NAMES) + ")$|^(?:" + "|".join(T.SECRET_PREFIXES) + ")"
 
 ORACLES = {
     "norm_key_resolve": "SELECT p.p_partkey, m.entity FROM part p JOIN (SELECT p_name, min(p_partkey) AS entity FROM part GROUP BY p_name) m ON m.p_name = p.p_name",
-    "halfwidth": "SELECT doc_id, sha256(substring(text, 1, 200)) AS digest FROM documents",
+    "halfwidth": "SELECT doc_id, sha256(text) AS digest FROM documents",
     "halfwidth_whole": "SELECT doc_id, sha256(text) AS digest FROM documents",
-    "hit_terms": "WITH t AS (SELECT doc_id, u.term, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w IN (u.term, u.term || 's', u.term || 'es'))) AS n FROM documents, (VALUES "
+    "hit_terms": "WITH t AS (SELECT doc_id, u.term, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w IN (u.term, u.term || 's', u.term || 'es'))) AS n FROM documents, (VALUES "
     + ", ".join(f"('{t}')" for t in TERMS)
     + ") u(term)) SELECT doc_id, term, n::BIGINT AS n, (row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term))::INT AS place FROM t WHERE n > 0",
     "url_native_ids": "SELECT page_id, regexp_extract(url, '/([0-9]+)', 1) AS native, lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM pages",
-    "url_redact": _URL.format(keys=_KEYS, url="replace(url, '://', '://User:pw@') || (CASE WHEN contains(url, '?') THEN '&token=abc' ELSE '' END)") + " SELECT * FROM u",
-    "lineage_keys": _URL.format(keys=_KEYS, url="url") + " SELECT page_id, substring(sha1(regexp_replace(regexp_replace(url, '^https?://(www\\.|m\\.)?', ''), '[?/]*(\\?.*)?$', '')), 1, 10) AS lineage FROM u",
+    "url_redact": _URL.format(secret=_SECRET, url="replace(url, '://', '://User:pw@') || (CASE WHEN contains(url, '?') THEN '&token=abc&X-Amz-Signature=1;session_id=2&page=3&sessionToken=4&Expires=5' ELSE '' END)") + " SELECT * FROM u",
+    "lineage_keys": _URL.format(secret=_SECRET, url="url") + " SELECT page_id, substring(sha1(regexp_replace(regexp_replace(url, '^https?://(www\\.|m\\.)?', ''), '[?/]*(\\?.*)?$', '')), 1, 10) AS lineage FROM u",
     "source_class": "SELECT CASE WHEN regexp_matches(url, '^https?://blog\\.') THEN 'blog' WHEN regexp_matches(url, '^https?://m\\.') THEN 'mobile' WHEN regexp_matches(url, '\\.html?($|[?#])') THEN 'page' WHEN contains(url, 'utm_') THEN 'feed' ELSE 'web' END AS kind, count(*) AS n FROM pages GROUP BY 1",
-    "secret_scan": "SELECT * FROM (SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in T.SECRETS) + ") AS secrets FROM documents) WHERE secrets <> ''",
+    "secret_scan": "SELECT * FROM (SELECT doc_id, concat_ws(',', " + ", ".join("CASE WHEN regexp_matches(text, '" + p.replace("'", "''") + f"') THEN '{n}' END" for n, p in T.SECRETS) + ") AS secrets FROM documents) WHERE secrets <> ''",
     "html_links": "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets FROM l GROUP BY page_id",
     "html_title_meta": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages",
     "html_text": """
@@ -316,10 +412,10 @@ SELECT conv_id, w AS window_start, count(*) AS cues, max(s) AS last_start FROM w
     "part_offsets": "SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM conversations",
     "negation_polarity": "WITH n AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: w IN ('not', 'no', 'never', 'nicht', 'kein', 'ne', 'pas', 'sin', 'nunca'))) AS n FROM documents) SELECT doc_id, n::BIGINT AS negations, (n % 2)::BIGINT AS polarity FROM n WHERE n > 0",
     "exact_quote_match": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-    "quote_anchor": "WITH i AS (SELECT item_id, substring(text, 1, 40) AS q FROM benchmark) SELECT doc_id, item_id, instr(text, q)::BIGINT AS place FROM documents JOIN i ON contains(text, q) WHERE (length(text) - length(replace(text, q, ''))) // length(q) = 1",
+    "quote_anchor": "SELECT doc_id, item_id, (instr(d.text, b.text) + 10)::BIGINT AS place FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 20 AND NOT contains(substring(d.text, instr(d.text, b.text) + 1), b.text)",
     "quote_anchor_whole": "SELECT doc_id, item_id, instr(d.text, b.text)::BIGINT AS place FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> '' AND NOT contains(substring(d.text, instr(d.text, b.text) + 1), b.text)",
     "body_fingerprint_dups": "WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\s+$', ''), '^\\s+', '') AS h FROM documents) SELECT min(doc_id) AS first, count(*) AS copies FROM h GROUP BY h HAVING count(*) > 1",
-    "suspicious_title": "WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages) SELECT page_id, regexp_matches(t, '(?i)\\.(pdf|docx?|html?)$') OR regexp_matches(t, '(?i)^(untitled|document|img_|scan)') OR (length(t) < 6 AND NOT contains(t, ' ')) OR regexp_matches(t, '%%%|###|\\$\\$\\$') AS suspicious FROM t",
+    "suspicious_title": "WITH a AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages), t AS (SELECT page_id, trim(CASE page_id % 3 WHEN 1 THEN string_split(t, ' ')[1] WHEN 2 THEN t || '.PDF' ELSE t END) AS t FROM a) SELECT page_id, t = '' OR regexp_matches(lower(t), '\\.(dvi|tex|pdf|docx?)$') OR starts_with(lower(t), 'nber working paper') OR starts_with(lower(t), 'working paper') OR starts_with(lower(t), 'microsoft word') OR starts_with(lower(t), 'untitled') OR starts_with(lower(t), 'draft') OR (NOT contains(t, ' ') AND length(t) <= 24) AS suspicious FROM t",
     "heading_fill": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS under FROM conversations",
     "stable_ids": "SELECT doc_id, 'ce_' || substring(sha256(source || chr(31) || doc_id), 1, 20) AS evidence_id FROM documents",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marlstone.operators.textops import greedy_windows
 from marlstone.session import load
 
 
@@ -28,12 +29,20 @@ def sessions(rows: DataFrame, ts: str, key: str, gap: str, delay: str | None = N
     return _marked(rows, ts, delay).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def late(rows: DataFrame, ts: str, order: str, delay_seconds: int, parts: str) -> DataFrame:
-    """Rows older than the greatest time before them in arrival order less the delay, by part of the
-    arrivals (each part keeps a watermark of its own)."""
-    before = Window.partitionBy(parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max(F.unix_micros(F.col(ts).cast("timestamp"))).over(before)
-    return rows.withColumn("late", F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) < top - delay_seconds * 1_000_000, F.lit(False)))
+def late(rows: DataFrame, ts: str, order: str, delay_seconds: int, part: str, span: int) -> DataFrame:
+    """rows with late: older than the greatest time before them in arrival order less the delay, by part
+    of the arrivals (each part keeps a watermark of its own).
+
+    The greatest times of spans of `span` arrival numbers come first, then those within a span, so that
+    no task holds a part whole."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = rows.withColumn("_span", F.floor(F.col(order) / span)).withColumn("_at", at)
+    tops = rows.groupBy(part, "_span").agg(F.max("_at").alias("_top"))
+    before = Window.partitionBy(part).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(part, "_span", F.max("_top").over(before).alias("_before"))
+    within = F.max("_at").over(Window.partitionBy(part, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    top = F.greatest(F.col("_before"), F.col("_within"))
+    return rows.withColumn("_within", within).join(tops, [part, "_span"]).withColumn("late", F.coalesce(F.col("_at") < top - delay_seconds * 1_000_000, F.lit(False))).drop("_span", "_at", "_within", "_before")
 
 
 def once(rows: DataFrame, keys: list[str], ts: str | None = None, delay: str | None = None) -> DataFrame:
@@ -46,10 +55,18 @@ def fenced(rows: DataFrame, current: DataFrame, key: str, generation: str) -> Da
     return rows.join(current.select(F.col(key), F.col(generation).alias("_now")), key).filter(F.col(generation) == F.col("_now")).drop("_now")
 
 
+SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
 def limited(rows: DataFrame, key: str, ts: str, size: str, limit: int, tie: str) -> DataFrame:
-    """At most `limit` rows of a key in each fixed window, in time order."""
-    place = F.row_number().over(Window.partitionBy(key, F.window(ts, size)["start"]).orderBy(ts, tie))
-    return rows.withColumn("allowed", place <= limit)
+    """rows with allowed: at most `limit` of a key in each window of `size` ("1 minute"), in time order. A
+    key's window opens with its first row after the one before has ended; refused rows count too."""
+    n, unit = size.split()
+    seconds = float(n) * SECONDS[unit.removesuffix("s")]
+    timed = rows.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    opened = greedy_windows(timed, key, "_at", seconds)
+    place = F.row_number().over(Window.partitionBy(key, "window_start").orderBy("_at", tie))
+    return opened.withColumn("allowed", place <= limit).drop("_at", "window_start")
 
 
 #: States of a step, in the order in which it may move on.
@@ -99,7 +116,7 @@ def session_counts(s: SparkSession, d: str) -> DataFrame:
 def late_events(s: SparkSession, d: str) -> DataFrame:
     """Arrivals shuffled a little by a rule: how many are more than an hour late, by event type."""
     e = _events(s, d).withColumn("arrival", (F.col("event_id") + F.col("event_id") * 7919 % 40) * 1_000_000 + F.col("event_id"))
-    return late(e, "ts", "arrival", 3600, "event_type").groupBy("event_type").agg(F.count(F.when(F.col("late"), 1)).alias("late"), F.count("*").alias("n"))
+    return late(e, "ts", "arrival", 3600, "event_type", 1_000_000_000).groupBy("event_type").agg(F.count(F.when(F.col("late"), 1)).alias("late"), F.count("*").alias("n"))
 
 
 def event_dedup_idempotent(s: SparkSession, d: str) -> DataFrame:
@@ -143,7 +160,11 @@ s AS (SELECT user_id, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 SELECT user_id, count(*) AS sessions, max(n) AS longest, sum(n)::BIGINT AS events FROM n GROUP BY user_id""",
     "event_dedup_idempotent": "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events",
     "stale_generation_filter": "WITH e AS (SELECT event_id, user_id, event_id // 1000 AS generation FROM events) SELECT e.* FROM e JOIN (SELECT user_id, max(generation) AS g FROM e GROUP BY user_id) m ON m.user_id = e.user_id AND m.g = e.generation",
-    "rate_limit_fixed_window": "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS p FROM events) SELECT user_id, count(*) FILTER (p <= 2) AS allowed, count(*) FILTER (p > 2) AS refused FROM r GROUP BY user_id",
+    "rate_limit_fixed_window": """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t0, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, i, t0, t0 AS begun, 1 AS nth FROM e WHERE i = 1
+      UNION ALL SELECT e.user_id, e.i, e.t0, CASE WHEN e.t0 >= w.begun + 86400000000 THEN e.t0 ELSE w.begun END, CASE WHEN e.t0 >= w.begun + 86400000000 THEN 1 ELSE w.nth + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT user_id, count(*) FILTER (nth <= 2) AS allowed, count(*) FILTER (nth > 2) AS refused FROM w GROUP BY user_id""",
     "daily_digest_once": "SELECT event_type AS domain, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS event_id FROM events GROUP BY ALL",
     "poison_split": "SELECT CASE WHEN (props->>'k')::INT >= 10 THEN 'good' ELSE 'poison' END AS sink, count(*) AS n FROM events GROUP BY 1",
 }
