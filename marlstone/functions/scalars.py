@@ -175,7 +175,7 @@ def official(url: Column, original: Column) -> Column:
 
 
 def case_references(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"[〔\[（(]\s*20\d{2}\s*[〕\]）)][^，。\s]{0,8}?\d{1,4}\s*号"), F.lit(0)), F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"[〔\[（(]\s*20\d{2}\s*[〕\]）)][^，。\s]{0,8}?\d{1,4}\s*号"), F.lit(0)), lambda x: F.trim(x))))
 
 
 _SMART = r"notes_smart_([^_/]+)_([^_/]+)_(\d{8}-\d{6})\.md$"
@@ -193,7 +193,7 @@ def audio_link(html: Column) -> Column:
     """A page's audio file: its og:audio meta, else the first audio or source tag with such a file or else
     the first of them, else an enclosure, else a link to one; null without any."""
     url = r"""["']([^"'<>]+)["']"""
-    found = lambda pattern: F.filter(F.transform(F.regexp_extract_all(html, F.lit("(?i)" + pattern), F.lit(1)), F.trim), lambda x: x != "")
+    found = lambda pattern: F.filter(F.transform(F.regexp_extract_all(html, F.lit("(?i)" + pattern), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
     audio = lambda a: F.filter(a, lambda x: F.lower(F.substring_index(x, "?", 1)).rlike(r"\.(?:" + "|".join(AUDIO_ENDINGS) + ")$"))
     meta, tags = found(r"<meta[^<>]*property=[\"']og:audio[\"'][^<>]*content=" + url), found(r"<(?:audio|source)\b[^<>]*?\ssrc=" + url)
     return F.coalesce(F.get(meta, F.lit(0)), F.get(audio(tags), F.lit(0)), F.get(tags, F.lit(0)), F.get(audio(found(r"<enclosure\b[^<>]*?\surl=" + url)), F.lit(0)), F.get(audio(found(r"<a\b[^<>]*?\shref=" + url)), F.lit(0)))

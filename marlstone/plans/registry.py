@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.operators import analytics, graph, kernel, relational, search, textops
+from marlstone.operators import analytics, graph, joins, kernel, maintenance, relational, search, textops
 from marlstone.sources import html, subtitles
 from marlstone.streaming import windows
 
-MODULES = (search, relational, analytics, graph, kernel, textops, subtitles, html, windows)
+MODULES = (search, relational, analytics, graph, joins, kernel, maintenance, textops, subtitles, html, windows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
