@@ -9,9 +9,11 @@ which punishes the part of the residual that is parallel to x, as that part move
 products. Codes are found by coordinate descent over the pairs, codebooks by weighted least squares,
 on SAMPLE vectors at most (the smallest hashes of their ids); every vector is indexed.
 
-A search goes block by block: all queries pass by each block of vectors, which is read once. A
-query's table of products with the centroids, two pairs to a byte, scores the block's codes; the best
-RERANK of each block get their exact product in double precision, and the best K over all blocks stay.
+A search goes block by block: all queries pass by each block of vectors, which is read once. Queries
+travel as matrices of MATRIX rows, blocks are placed by ranges of their numbers, so that tasks get
+like shares. A query's table of products with the centroids, two pairs to a byte, scores the block's
+codes; the best RERANK of each block (at least one in RERANK_PART) get their exact product in double precision (of equal
+approximations at the cut any stay), and the best K over all blocks stay.
 
 Equal vectors are indexed once, with their K + 1 least ids, which is as many as any result can hold.
 
@@ -36,10 +38,14 @@ from marlstone.llm.common import table, written
 K = 20
 SAMPLE = 20_000
 THRESHOLD = 0.2
-RERANK = 256
-BLOCK, BLOCKS, LARGEST_BLOCK = 8192, 128, 65536
+#: Vectors of a block that are reranked for a query: so many, or a part of the block if that is more.
+RERANK, RERANK_PART = 256, 64
+BLOCK, BLOCKS, LARGEST_BLOCK = 4096, 128, 65536
 CENTROIDS = 16
-_ROUNDS, _SWEEPS, _QUERIES = 6, 2, 256
+MATRIX = 256
+_ROUNDS, _SWEEPS = 6, 2
+#: Approximate products that a task holds at a time.
+_SCORES = 1 << 22
 
 
 def _pairs(x: np.ndarray) -> np.ndarray:
@@ -104,8 +110,9 @@ def _array(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
-_ROW = "block int, kind int, id long, vector array<double>, ids binary, members binary, vectors binary, codes binary"
-_NAMES = ["block", "kind", "id", "vector", "ids", "members", "vectors", "codes"]
+#: A block of vectors (kind 0), or queries that pass by it (kind 1); members: where each vector's ids begin.
+_ROW = "block int, kind int, ids binary, members binary, vectors binary, codes binary"
+_NAMES = ["block", "kind", "ids", "members", "vectors", "codes"]
 
 
 def _pack(batches: Iterator[pa.RecordBatch], d: int, books: np.ndarray, eta: float) -> Iterator[pa.RecordBatch]:
@@ -119,56 +126,59 @@ def _pack(batches: Iterator[pa.RecordBatch], d: int, books: np.ndarray, eta: flo
         x = np.stack([r[1] for r in rows])
         codes = encode(x, books, eta).astype(np.uint8)
         packed = codes[:, ::2] << 4 | codes[:, 1::2]
-        values = [[b], [0], [None], [None], [np.concatenate([np.array(r[0], "<i8") for r in rows]).tobytes()], [np.cumsum([0, *(len(r[0]) for r in rows)]).astype("<i8").tobytes()], [x.tobytes()], [np.ascontiguousarray(packed.T).tobytes()]]
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), *(pa.binary(),) * 4)
+        values = [[b], [0], [np.concatenate([np.array(r[0], "<i8") for r in rows]).tobytes()], [np.cumsum([0, *(len(r[0]) for r in rows)]).astype("<i8").tobytes()], [x.tobytes()], [np.ascontiguousarray(packed.T).tobytes()]]
+        types = (pa.int32(), pa.int32(), *(pa.binary(),) * 4)
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], _NAMES)
 
 
+def _bundle(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBatch]:
+    """Queries as matrices: a row for MATRIX of them at most."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, MATRIX):
+            part = batch.slice(k, MATRIX)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([_array(part.column("vector"), d).tobytes()], pa.binary())], ["ids", "vectors"])
+
+
 def scan(q: np.ndarray, books: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """Approximate products of one query with all vectors of a block; packed: (bytes, n)."""
-    products = (books * _pairs(q[None])[0][:, None]).sum(2)
-    two = (products[::2, :, None] + products[1::2, None, :]).reshape(len(packed), -1).astype(np.float32)
-    out = two[0][packed[0]]
-    for t, c in zip(two[1:], packed[1:], strict=True):
-        out += t[c]
+    """Approximate products of queries (n, d) with all vectors of a block; packed: (bytes, vectors)."""
+    products = np.einsum("nmk,mck->nmc", _pairs(q), books)
+    two = (products[:, ::2, :, None] + products[:, 1::2, None, :]).reshape(len(q), len(packed), -1).astype(np.float32)
+    out = two[:, 0][:, packed[0]]
+    for k in range(1, len(packed)):
+        out += two[:, k][:, packed[k]]
     return out
 
 
 def _search(batches: Iterator[pa.RecordBatch], d: int, books: np.ndarray, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
     x = packed = ids = at = None
     for batch in batches:
-        kinds = batch.column("kind").to_pylist()
-        queries, vectors = batch.column("id").to_pylist(), batch.column("vector")
-        out_q, out_v, out_s = [], [], []
+        kinds, columns = batch.column("kind").to_pylist(), {c: batch.column(c) for c in ("ids", "members", "vectors", "codes")}
         for i, kind in enumerate(kinds):
+            own, vectors = np.frombuffer(columns["ids"][i].as_py(), "<i8"), np.frombuffer(columns["vectors"][i].as_py()).reshape(-1, d)
             if kind == 0:
-                x = np.frombuffer(batch.column("vectors")[i].as_py()).reshape(-1, d)
-                packed = np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(-1, len(x))
-                ids, at = (np.frombuffer(batch.column(c)[i].as_py(), "<i8") for c in ("ids", "members"))
-                continue
-            if x is None:
-                continue
-            q = np.array(vectors[i].as_py())
-            approx = scan(q, books, packed)
-            best = np.argpartition(-approx, rerank)[:rerank] if len(approx) > rerank else np.arange(len(approx))
-            score = (x[best] * q).sum(1)
-            owners = np.repeat(score, at[best + 1] - at[best])
-            got = np.concatenate([ids[at[b] : at[b + 1]] for b in best])
-            keep = got != queries[i]
-            got, owners = got[keep], owners[keep]
-            order = np.lexsort((got, -owners))[:k]
-            out_q.append(np.full(len(order), queries[i]))
-            out_v.append(got[order])
-            out_s.append(owners[order])
-            if len(out_q) >= _QUERIES:
-                yield _results(out_q, out_v, out_s)
-                out_q, out_v, out_s = [], [], []
-        if out_q:
-            yield _results(out_q, out_v, out_s)
-
-
-def _results(q: list, v: list, s: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(q), pa.int64()), pa.array(np.concatenate(v), pa.int64()), pa.array(np.concatenate(s), pa.float64())], ["query_id", "vec_id", "score"])
+                x, ids = vectors, own
+                packed = np.frombuffer(columns["codes"][i].as_py(), np.uint8).reshape(-1, len(x))
+                at = np.frombuffer(columns["members"][i].as_py(), "<i8")
+            elif x is not None:
+                step = max(1, _SCORES // len(x))
+                yield _results([_nearest(q, v, a, x, ids, at, k, rerank) for s in range(0, len(own), step) for q, v, a in zip(own[s : s + step], vectors[s : s + step], scan(vectors[s : s + step], books, packed), strict=True)])
+
+
+def _nearest(query: int, q: np.ndarray, approx: np.ndarray, x: np.ndarray, ids: np.ndarray, at: np.ndarray, k: int, rerank: int) -> tuple:
+    rerank = max(rerank, len(approx) // RERANK_PART)
+    best = np.argpartition(-approx, rerank)[:rerank] if len(approx) > rerank else np.arange(len(approx))
+    score, n = (x[best] * q).sum(1), at[best + 1] - at[best]
+    owners = np.repeat(score, n)
+    got = ids[np.repeat(at[best] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(len(owners))]
+    keep = got != query
+    got, owners = got[keep], owners[keep]
+    order = np.lexsort((got, -owners))[:k]
+    return np.full(len(order), query), got[order], owners[order]
+
+
+def _results(found: list[tuple]) -> pa.RecordBatch:
+    q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = K, rerank: int = RERANK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -188,10 +198,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, rerank: int = RERANK
     blocks = -(-n // min(LARGEST_BLOCK, max(BLOCK, n // BLOCKS)))
     sample = v.orderBy(F.crc32(F.col("id").cast("string")), "id").limit(SAMPLE).select("vector").toArrow().column("vector").combine_chunks()
     books = train(_array(sample, d))
-    packed = unique.withColumn("block", F.pmod(F.xxhash64(F.element_at("members", 1)), F.lit(blocks)).cast("int")).repartition(blocks, "block").mapInArrow(partial(_pack, d=d, books=books, eta=_eta(d, THRESHOLD)), _ROW)
+    placed = unique.withColumn("block", F.pmod(F.xxhash64(F.element_at("members", 1)), F.lit(blocks)).cast("int"))
+    packed = written(placed.repartitionByRange(blocks, "block").mapInArrow(partial(_pack, d=d, books=books, eta=_eta(d, THRESHOLD)), _ROW), "blocks")
     none = F.lit(None).cast("binary")
-    queries = v.filter(F.pmod("id", F.lit(every)) == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "vector", none.alias("ids"), none.alias("members"), none.alias("vectors"), none.alias("codes"))
-    found = packed.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(partial(_search, d=d, books=books, k=k, rerank=rerank), "query_id long, vec_id long, score double")
+    bundles = v.filter(F.pmod("id", F.lit(every)) == 0).mapInArrow(partial(_bundle, d=d), "ids binary, vectors binary")
+    queries = bundles.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "ids", none.alias("members"), "vectors", none.alias("codes"))
+    found = packed.unionByName(queries).repartitionByRange(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(partial(_search, d=d, books=books, k=k, rerank=rerank), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

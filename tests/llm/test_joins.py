@@ -206,3 +206,40 @@ def test_anisotropic_codes_lose_less_along_the_vectors():
         return ((r * unit).sum(1) ** 2).mean()
 
     assert parallel(0.6) < 0.5 * parallel(0.0)
+
+
+def test_search_recall_over_many_blocks_and_on_a_full_one(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(S.LARGEST_BLOCK, 16))
+    books = S.train(x[:4000])
+    codes = S.encode(x, books, S._eta(16, S.THRESHOLD)).astype(np.uint8)
+    packed = np.ascontiguousarray((codes[:, ::2] << 4 | codes[:, 1::2]).T)
+    ids, at = np.arange(len(x)), np.arange(len(x) + 1)
+    hit = []
+    for q in x[:40]:
+        got = S._nearest(-1, q, S.scan(q[None], books, packed)[0], x, ids, at, 20, S.RERANK)[1]
+        hit.append(len(set(got) & set(np.argsort(-(x @ q))[:20])) / 20)
+    assert np.mean(hit) >= 0.9
+    monkeypatch.setattr(S, "BLOCK", 100)
+    monkeypatch.setattr(S, "BLOCKS", 1 << 20)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(1000, 12)))]
+    got = {}
+    for r in S.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = nearest(rows)
+    assert set(got) == set(want)
+    assert sum(len(got[q] & {i for _, i in want[q]}) for q in want) / (20 * len(want)) >= 0.99
+
+
+def test_jaccard_with_tiny_tables_and_slices(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in J.join(docs, bits=6, slice_tokens=50)[0].collect())
+    assert got == brute(rows)
+
+
+def test_ids_of_several_texts_join_their_classes(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, b), (11, "other words here")]
+    got = sorted((r.doc_id, r.component_id) for r in J.join(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (9, 3), (9, 3), (11, 11)]
