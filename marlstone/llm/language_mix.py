@@ -9,11 +9,13 @@ single language is within one penalty of that needs no elimination.
 
 The prediction is the language of the largest proportion, the score that proportion.
 
-Trigram counts cover every training row; there is one sum for each language and range of bins.
+Trigram counts cover every training row; there is one sum for each language and range of bins. More
+than MOST_LANGUAGES languages raise an error, as every worker holds all of them.
 
 Defined results: `und` with score 0 for a null text, one without a letter, or when nothing was
 learned; repeated rows each get a row (and count in training); ties go to the smaller language by
-code point; a null doc_id is a training row (remainder 0); an empty table gives an empty result;
+code point; a null doc_id is a training row (remainder 0); texts of any length count whole, one at a
+time where they are long; an empty table gives an empty result;
 other columns are left out.
 """
 
@@ -34,6 +36,8 @@ SMOOTHING = 0.5
 PENALTY = 1.0
 ROUNDS = 8
 UNDETERMINED = "und"
+#: Languages that can be learned; each takes 128 KB in the driver and in every worker.
+MOST_LANGUAGES = 512
 #: A word's likelihoods within a text are floored at this part of its best one.
 _LEAST = 1e-30
 
@@ -88,8 +92,10 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages, and the log of each trigram bin's probability in each; docs: text and lang."""
     schema = "lang string, slice int, counts binary"
-    got = docs.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(_count, schema).repartition(SLICES * 4, "lang", "slice").mapInArrow(_add, schema).toPandas()
+    got = docs.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(_count, schema).repartition(SLICES * 4, "lang", "slice").mapInArrow(_add, schema).limit((MOST_LANGUAGES + 1) * SLICES).toPandas()
     langs = sorted(set(got.lang))
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn: join those that are one, or learn from fewer rows")
     n = np.zeros((len(langs), SLICES, BUCKETS // SLICES))
     for lang, k, counts in got.itertuples(index=False):
         n[langs.index(lang), k] += np.frombuffer(counts, "<i8")

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+import zlib
 
 import numpy as np
 import pytest
@@ -126,3 +127,60 @@ def test_gram_bins_do_not_cross_texts():
     alone = [[bins for bins, _ in T.gram_bins(np.frombuffer(x, np.uint8), np.array([0, len(x)]))] for x in (a, b)]
     for k in range(3):
         assert (both[k] == np.sort(np.concatenate([alone[0][k], alone[1][k]]))).all()
+
+
+def test_selected_sets_against_all_subsets():
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    langs, same = 4, 0
+    for _ in range(60):
+        n = int(rng.integers(5, 60))
+        true = rng.choice(langs, size=rng.integers(1, 4), replace=False)
+        of = rng.choice(true, size=n)
+        ll = np.full((n, langs), -6.0) + rng.normal(0, 1.0, (n, langs))
+        ll[np.arange(n), of] = -1.0
+        got = L.mixtures(ll, np.zeros(n, np.int64), 1)[0]
+        p, begin, count = np.exp(ll - ll.max(1, keepdims=True)), np.zeros(1, np.int64), np.array([n])
+        values = {}
+        for k in range(1, langs + 1):
+            for s in combinations(range(langs), k):
+                active = np.zeros((1, langs))
+                active[0, list(s)] = 1
+                values[s] = float(L._fit(p, begin, count, active, 200)[1][0]) - L.PENALTY * np.log(n + 1.0) * (k - 1)
+        same += tuple(np.flatnonzero(got > 0)) == max(values, key=values.get)
+    assert same >= 57
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(f"some words {k}", f"l{k}") for k in range(5)], "text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        L.learn(docs)
+
+
+def test_toxicity_ratios_and_scores_against_plain_ones(spark):
+    rows = [(k, t) for k, t in enumerate(["you idiot", "good day", "an IDIOT again", "a good text", "such a clown", "nice clown fish", "day by day", "", "idiot idiot", "good idea"])]
+    labels = [(k, int("idiot" in t.lower() or k == 4)) for k, t in rows]
+    train = [(k, t.lower().encode(), y) for (k, t), (_, y) in zip(rows, labels) if zlib.crc32(str(k).encode()) % 4 != 2]
+    bins = {k: {int(b) for part, _ in T.gram_bins(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for b in part} for k, t, _ in train}
+    n = [sum(y == v for *_, y in train) for v in (0, 1)]
+    every = sorted(set().union(*bins.values()))
+    count = lambda b, v: sum(b in bins[k] for k, _, y in train if y == v)
+    r = {b: np.log((count(b, 1) + 1) / (n[1] + 2)) - np.log((count(b, 0) + 1) / (n[0] + 2)) for b in every}
+    x = np.array([[r[b] if b in bins[k] else 0.0 for b in every] for k, *_ in train])
+    y = np.array([v for *_, v in train], float)
+    w = np.zeros(len(every) + 1)
+    for _ in range(20000):  # plain gradient descent on the same loss
+        p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+        w -= 0.02 * np.append(x.T @ (p - y) + T.L2 * w[:-1], (p - y).sum())
+    got = {q.doc_id: q.score for q in T.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    for (k, *_), want in zip(train, 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))):
+        assert abs(got[k] - want) < 0.01
+
+
+def test_sample_holds_its_bytes_and_only_ids_with_texts(spark):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(200)] + [(7, "y" * 5000)] * 40, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 100000, 1)], "doc_id long, toxic int")
+    took = T._sample(docs, labels, 6000).collect()
+    assert 0 < sum(100 for r in took) <= 6000 and all(r.doc_id < 200 and r.doc_id != 7 for r in took)
