@@ -52,9 +52,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            common.drop(before)
+        before = docs
     return docs
 
 
