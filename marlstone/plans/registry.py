@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.operators import analytics, graph, joins, kernel, maintenance, packing, relational, search, textops
+from marlstone.operators import analytics, ask, graph, joins, kernel, maintenance, packing, relational, search, study, textops
 from marlstone.sources import html, subtitles
-from marlstone.streaming import windows
+from marlstone.streaming import state, windows
 
-MODULES = (search, relational, analytics, graph, joins, kernel, maintenance, packing, textops, subtitles, html, windows)
+MODULES = (search, relational, analytics, graph, joins, kernel, maintenance, packing, study, ask, textops, subtitles, html, windows, state)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
