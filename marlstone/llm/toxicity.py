@@ -3,7 +3,8 @@
 Features are the presences of n-grams of UTF-8 bytes (SIZES long, A-Z lowered, hashed into BUCKETS
 bins). For each bin that a labelled training document holds, r = log of (documents of label 1 with it /
 documents of label 0 with it), both smoothed and relative to the labels' totals; every such bin is a
-feature of value r. A logistic regression with an L2 penalty is fitted on them by limited-memory
+feature of value r, drawn towards 0 the more the nearer r lies to its standard error (by z^2 / (z^2 +
+SHRINK^2)), so that chance counts of rare n-grams don't drown the others. A logistic regression with an L2 penalty is fitted on them by limited-memory
 quasi-Newton steps (L-BFGS), and gives the score.
 
 Counts cover every labelled training document, one row for each range of bins and task; the regression
@@ -34,9 +35,11 @@ BUCKETS, SLICES = 1 << 20, 32
 #: Text that the regression is fitted on; the driver holds a number of 4 bytes for each n-gram of it at most.
 SAMPLE_BYTES = 8 << 20
 #: Parts of the ids' hashes by which the sample is cut off, and features that a step works on at a time.
-PARTS, STRIDE = 1 << 14, 1 << 21
+PARTS, STRIDE = 1 << 14, 1 << 19
 THRESHOLD = 0.3
-L2 = 1.0
+L2 = 0.3
+#: Standard errors at which a ratio counts half.
+SHRINK = 4.0
 _SMOOTH = 1.0
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -95,6 +98,8 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c0, c1 = x.reshape(2, -1)
         n0, n1 = map(int, totals[k])
         r = np.log((c1 + _SMOOTH) / (n1 + 2 * _SMOOTH)) - np.log((c0 + _SMOOTH) / (n0 + 2 * _SMOOTH))
+        z = r**2 / (1 / (c1 + _SMOOTH) + 1 / (c0 + _SMOOTH))
+        r *= z / (z + SHRINK**2)
         r[c0 + c1 == 0] = 0
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([r.tobytes()], pa.binary()), pa.array([n0]), pa.array([n1])], ["slice", "r", "n0", "n1"])
 
@@ -121,7 +126,7 @@ def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: f
         p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
         grad = np.zeros(m)
         for a, b in spans:
-            grad += np.bincount(feature[at[a] : at[b]], np.repeat((p - y)[a:b], np.diff(at[a : b + 1])), m)
+            np.add.at(grad, feature[at[a] : at[b]], np.repeat((p - y)[a:b], np.diff(at[a : b + 1])))
         grad = np.append(r * grad + l2 * w[:-1], (p - y).sum())
         return float(np.logaddexp(0, s).sum() - (y * s).sum() + l2 / 2 * (w[:-1] ** 2).sum()), grad
 
@@ -146,7 +151,7 @@ def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: f
             t /= 2
         s, d = -t * q, new_g - g
         if s @ d > 1e-12:
-            past = [*past[-4:], (s, d)]
+            past = [*past[-4:], (s.astype(np.float32), d.astype(np.float32))]
         done = abs(f - new_f) < 1e-6 * max(1, abs(f))
         w, f, g = w - t * q, new_f, new_g
         if done:
@@ -196,10 +201,32 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
         r[k] = np.frombuffer(x)
     r = r.ravel()
     rows = docs.join(F.broadcast(_sample(docs, labels, sample_bytes)), "doc_id").select("text", "toxic").mapInArrow(_features, "toxic int, features array<int>").toArrow()
-    lists = rows.column("features").combine_chunks()
-    y = rows.column("toxic").to_numpy().astype(float)
-    w = fit(lists.offsets.to_numpy().astype(np.int64) if len(y) else np.zeros(1, np.int64), lists.values.to_numpy(), y, r)
-    return w[:-1] * r, float(w[-1])
+    y, at, feature = _gathered(rows)
+    del rows
+    pa.default_memory_pool().release_unused()
+    # only bins that the sample holds get a weight, so the fit's vectors are no longer than that
+    held = np.flatnonzero(np.bincount(feature, minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[held] = np.arange(len(held))
+    for k in range(0, len(feature), STRIDE):
+        feature[k : k + STRIDE] = number[feature[k : k + STRIDE]]
+    w = fit(at, feature, y, r[held])
+    weight = np.zeros(BUCKETS)
+    weight[held] = w[:-1] * r[held]
+    return weight, float(w[-1])
+
+
+def _gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, row starts and features of the sample, chunk after chunk into one array."""
+    lists = rows.column("features").chunks
+    n = [np.diff(c.offsets.to_numpy()) for c in lists]
+    at = np.append(0, np.cumsum(np.concatenate([np.empty(0, np.int64), *n])))
+    feature, k = np.empty(at[-1], np.int32), 0
+    for c in lists:
+        values = c.flatten().to_numpy()
+        feature[k : k + len(values)] = values
+        k += len(values)
+    return rows.column("toxic").to_numpy().astype(float), at, feature
 
 
 def _two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

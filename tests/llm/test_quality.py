@@ -168,6 +168,8 @@ def test_toxicity_ratios_and_scores_against_plain_ones(spark):
     every = sorted(set().union(*bins.values()))
     count = lambda b, v: sum(b in bins[k] for k, _, y in train if y == v)
     r = {b: np.log((count(b, 1) + 1) / (n[1] + 2)) - np.log((count(b, 0) + 1) / (n[0] + 2)) for b in every}
+    z = {b: r[b] ** 2 / (1 / (count(b, 1) + 1) + 1 / (count(b, 0) + 1)) for b in every}
+    r = {b: r[b] * z[b] / (z[b] + T.SHRINK**2) for b in every}
     x = np.array([[r[b] if b in bins[k] else 0.0 for b in every] for k, *_ in train])
     y = np.array([v for *_, v in train], float)
     w = np.zeros(len(every) + 1)
