@@ -4,8 +4,8 @@ Features are the presences of n-grams of UTF-8 bytes (SIZES long, A-Z lowered, h
 bins). For each bin that a labelled training document holds, r = log of (documents of label 1 with it /
 documents of label 0 with it), both smoothed and relative to the labels' totals; every such bin is a
 feature of value r, drawn towards 0 the more the nearer r lies to its standard error (by z^2 / (z^2 +
-SHRINK^2)), so that chance counts of rare n-grams don't drown the others. A logistic regression with an L2 penalty is fitted on them by limited-memory
-quasi-Newton steps (L-BFGS), and gives the score.
+SHRINK^2)), so that chance counts of rare n-grams don't drown the others. A logistic regression with an
+L2 penalty is fitted on them by limited-memory quasi-Newton steps (L-BFGS), and gives the score.
 
 Counts cover every labelled training document, one row for each range of bins and task; the regression
 is fitted on SAMPLE_BYTES of labelled texts at most (the smallest hashes of the ids that documents have).
@@ -151,8 +151,8 @@ def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: f
             t /= 2
         s, d = -t * q, new_g - g
         if s @ d > 1e-12:
-            past = [*past[-4:], (s.astype(np.float32), d.astype(np.float32))]
-        done = abs(f - new_f) < 1e-6 * max(1, abs(f))
+            past = [*past[-4:], (s, d)]
+        done = abs(f - new_f) < 1e-7 * max(1, abs(f))
         w, f, g = w - t * q, new_f, new_g
         if done:
             break
