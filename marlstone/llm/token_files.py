@@ -35,8 +35,8 @@ ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
 #: A file for about so many bytes of text on average.
 FILE_BYTES = 64 << 20
-#: Words whose ids a Python worker remembers at most.
-KNOWN_WORDS = 300_000
+#: Words whose ids a Python worker remembers at most (about 200 bytes each).
+KNOWN_WORDS = 450_000
 
 _known: dict[str, dict[bytes, bytes]] = {}
 
@@ -73,6 +73,14 @@ def _model(path: str):
     return _tokenizer(path).model if _plain(_tokenizer(path)) else None
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def _ids(model, part: str) -> bytes:
+    got = [x.id for x in model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+    return _PACK[len(got)](*got) if len(got) < 64 else struct.pack(f"<{len(got)}I", *got)
+
+
 def encoded(words: list[bytes], path: str) -> dict[bytes, bytes]:
     """The ids of words, each as little-endian unsigned 32-bit integers, among others known before.
 
@@ -83,30 +91,36 @@ def encoded(words: list[bytes], path: str) -> dict[bytes, bytes]:
         if len(known) + len(new) > KNOWN_WORDS:
             known.clear()
             new = set(words)
-        others, tokenize = [], model and model.tokenize
+        others, get, match = [], known.get, _PLAIN.fullmatch
         for w in new:
-            found = _PLAIN.fullmatch(w.decode().lower()) if model else None
-            if not found:
+            if not model or not (found := match(w.decode().lower())):
                 others.append(w)
                 continue
-            ids = b""
-            for part in found.groups():
-                key = part.encode()
-                if part and (got := known.get(key)) is None:
-                    got = [x.id for x in tokenize(part if part.isascii() else key.decode("latin-1").translate(_BYTE_LETTERS))]
-                    got = known[key] = struct.pack(f"<{len(got)}I", *got)
-                ids += got if part else b""
-            known[w] = ids
+            letters, marks = found.groups()
+            base = w[: -len(marks)] if marks else w
+            if (ids := get(base)) is None:
+                ids = known[base] = _ids(model, letters)
+            if marks:
+                key = w[-len(marks) :]
+                if (more := get(key)) is None:
+                    more = known[key] = _ids(model, marks)
+                known[w] = ids + more
         known.update(zip(others, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in _tokenizer(path).encode_batch([w.decode() for w in others], add_special_tokens=False)), strict=True))
     return known
 
 
+def lowered(texts: bytes) -> bytes:
+    """A-Z lowered, as the model does anyway, so that fewer words are new; not where that could change ids: a
+    letter with a combining mark composes before it is lowered, and names of special tokens are as they are."""
+    return texts if b"\xcc" in texts or b"\xcd" in texts or b"<|" in texts else texts.lower()
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """The tokenizer splits at white space first and keeps none of it, so that the ids of a text are
     those of its words one after another, and a word needs encoding only once."""
     part, total, end = pyspark.TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
     for batch, data, at in chunks(batches):
-        texts = data.tobytes()
+        texts = lowered(data.tobytes())
         words = [texts[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)]
         get = encoded([w for x in words for w in x], path).__getitem__
         ids = [b"".join(map(get, x)) + end for x in words]
