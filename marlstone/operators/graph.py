@@ -100,13 +100,14 @@ def advance(steps: DataFrame, edges: DataFrame) -> DataFrame:
         off = F.col("conditional") & ~F.col("holds")
         on = F.when(off, "skipped").otherwise("ready")
         again = F.when(F.col("conditional") & F.col("holds") & ~F.col("allow_failure"), "ready").otherwise("skipped")
-        new = F.when(~F.coalesce("met", F.lit(True)), F.col("status")).when(F.col("status") == "waiting", on).when(F.col("status") == "skipped", again).otherwise(F.col("status"))
-        moved = written(steps.join(met, "step", "left").withColumn("new", new), "moved")
-        changed = not moved.filter("new <> status").isEmpty()
-        old, steps = steps, moved.select("step", F.col("new").alias("status"), "conditional", "holds", "allow_failure")
-        if hasattr(old, "_marlstone_path"):
-            drop(old)
-        if not changed:
+        can = F.coalesce("met", F.lit(True))
+        back = F.when(can & (F.col("status") == "skipped"), again).otherwise(F.col("status"))
+        new = F.when(can & (F.col("status") == "waiting"), on).otherwise(F.col("status"))
+        moved = written(steps.join(met, "step", "left").withColumns({"back": back, "new": new}), "moved")
+        # what is no longer skipped must not count as met for others, so it moves before they do
+        to = next((c for c in ("back", "new") if not moved.filter(F.col(c) != F.col("status")).isEmpty()), None)
+        steps = moved.select("step", F.col(to or "status").alias("status"), "conditional", "holds", "allow_failure")
+        if to is None:
             return steps.select("step", "status")
 
 

@@ -99,8 +99,46 @@ def test_long_paragraphs_slide():
     assert [(c[1], c[2]) for c in chunks] == [(0, 1400), (1280, 2680), (2560, 3000)]
 
 
-def test_index_text(spark):
-    assert one(spark, textops.index_text(F.col("x")), x="# H\n- **b** [t](u)\n```py\nc\n```\n> q <b>z</b>") == "# H\nb t\n\nc\n\nq  z"
+@pytest.mark.parametrize(
+    "markdown,want",
+    [
+        ("# H\n- **b** [t](u)\n```py\nc\n```\n> q <b>z</b>", "# H\nb t\nc\nq  z"),
+        ("~~~\na *= b_c\n```\n~~~\n*x*", "a *= b_c\n```\nx"),
+        ("\n\na\n \n\n\nb\n\n", "a\n\nb"),
+        ("![i](p) `x_y`\r\n+ z", "i xy\nz"),
+        ("```\n<i>in</i>", " in"),
+    ],
+)
+def test_index_text(markdown, want):
+    assert textops.index_text(markdown) == want
+
+
+@pytest.mark.parametrize(
+    "title,want",
+    [("", True), (None, True), ("paper2", True), ("Working Paper 12: A study", True), ("A good title.tex", True), ("Untitled document", True), ("A good title", False), ("Supercalifragilisticexpialidocious", False)],
+)
+def test_suspicious_titles(spark, title, want):
+    assert spark.createDataFrame([(title,)], "x string").select(textops.suspicious(F.col("x"))).first()[0] is want
+
+
+@pytest.mark.parametrize("text,n", [("AI said AI's AIs", 3), ("SAID ai, 2AI", 1), ("AIes-AI", 2), ("ÀAI", 1)])
+def test_hit_terms_of_word_forms(spark, text, n):
+    got = textops.hit_terms(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t", ["ai", "none"]).collect()
+    assert [(r.term, r.n, r.place) for r in got] == [("ai", n, 1)]
+
+
+def test_chunks_follow_their_rules():
+    text = "  ## Head\n\nbody\n#\nmore\n" + "y" * 2600 + "\nend"
+    got = textops.chunk_note(text)
+    assert [c[0] for c in got] == ["## Head", "## Head", "## Head", "## Head", "## Head", "## Head"]
+    assert [(c[1], c[2]) for c in got[2:5]] == [(25, 1425), (1305, 2625 + 80), (2585, 2625)] or [c[2] - c[1] for c in got[2:5]] == [1400, 1320, 40]
+    assert got[0][3] == "## Head\nbody" and got[-1][3] == "end"
+
+
+def test_secrets_in_values_and_names(spark):
+    assert one(spark, T.redacted_url(F.col("x")), x="https://h/p?a=1&q=Bearer+abcdefghijklmnop1234&X-Goog-Credential=2") == "https://h/p?a=1"
+    assert one(spark, T.has_secret(F.col("x")), x="Set-Cookie: id=1") and one(spark, T.has_secret(F.col("x")), x="a\x07b")
+    assert not one(spark, T.has_secret(F.col("x")), x="a plain\tline\nof tokens")
 
 
 def test_quantities(spark):
