@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions import facts as X
 from marlstone.functions import scalars as S
 from marlstone.functions import text as T
 from marlstone.session import load
@@ -90,6 +91,22 @@ TRUTHS: dict[str, tuple[Callable[..., Column], list[tuple]]] = {
         S.source_of,
         [("https://www.bilibili.com/video/x", "bilibili"), ("BV1xx411c7mD", "bilibili"), ("https://youtu.be/x", "youtube"), ("https://arxiv.org/pdf/1.pdf", "arxiv"), ("https://x.org/a.PDF?x=1", "pdf"), ("https://x.org/a.mp3", "podcast"), ("file:///a", "local_file"), ("https://x.org", "http_article"), ("ftp://x", "other"), ("", "other")],
     ),
+    "fn_fact_quantities": (
+        lambda c: _list(X.quantities(c)),
+        [("-5% of $3,500.50 and 12 kg", "-5%|3500.50usd|12kg"), ("3 hours, 20 mins", "3h|20mins"), ("５ 3公里 7台", "3km|7device"), ("8 sheep or 9", "8unknown:sheep|9"), ("v1.2 x", ""), ("5 units −2", "5device|-2")],
+    ),
+    "fn_fact_tokens": (
+        lambda c: F.concat_ws(";", X.negations(c).cast("string"), _list(X.ranges(c)), _list(X.polarity(c)), _list(X.subjects(c))),
+        [("It did not fail, growth is at least 3", "2;>=;fail|increase;"), ("between 3 and 4, less than 5", "0;<|between;;"), ("没有超过", "1;>;absent;"), ("Model A-1 and server: B2 passed", "0;;pass;a-1|b2"), ("x <= 3 and y > 4", "0;<=|>;;")],
+    ),
+    "fn_conflicts": (
+        lambda a, b: F.concat_ws(";", _list(X.conflicts(a, b)), _list(X.conflicts(a, b, True))),
+        [("rose by 5% to 3 kg", "rose by 5% to 3 kg", ";"), ("5%", "5% and 6%", "quantity;"), ("7%", "5% and 6%", "quantity;quantity"), ("it is not so", "it is so", "negation;negation"), ("at most 3", "at least 3", "range;range"), ("model A", "model B", "subject;subject")],
+    ),
+    "fn_detected_language": (
+        X.detected_language,
+        [("the cat and the dog is in the house", "en"), ("der Hund und die Katze ist nicht da", "de"), ("les chats des voisins dans une maison", "fr"), ("los gatos del vecino que por una casa", "es"), ("这是一个关于语言识别的比较长的中文句子而已啊", "zh"), ("short", "unknown"), ("xxxxxxxxxx yyyyyyyyyyyyyy", "unknown")],
+    ),
     "fn_clock": (lambda c: subtitles.clock(c.cast("double")), [("0", "[00:00]"), ("61.9", "[01:01]"), ("6000", "[100:00]")]),
     "fn_definition_version": (lambda d, t, h: S.definition_version(d, t, F.lit(3), F.nullif(h, F.lit("")), F.lit("me")), [("d", "t", "", "cdv_9586e396360705e7e0175808287bfe3ea02165ef863c256d653fec51a01e4591")]),
 }
