@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bucket_of, chunks, numbered, table
+from marlstone.llm.common import bucket_of, chunks, drop, numbered, table, written
 
 SIZES = (3, 4, 5, 6)
 BUCKETS, SLICES = 1 << 20, 32
@@ -36,6 +36,8 @@ BUCKETS, SLICES = 1 << 20, 32
 SAMPLE_BYTES = 8 << 20
 #: Parts of the ids' hashes by which the sample is cut off, and features that a step works on at a time.
 PARTS, STRIDE = 1 << 14, 1 << 19
+#: Bytes of a long text that are looked at together, and portions in which the sample comes to the driver.
+PIECE, PORTIONS = 1 << 19, 8
 THRESHOLD = 0.3
 L2 = 0.3
 #: Standard errors at which a ratio counts half.
@@ -63,7 +65,15 @@ def gram_bins(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def _present(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """The distinct bins of each text."""
+    """The distinct bins of each text. A long text alone is gone through piece by piece."""
+    if len(at) == 2 and len(data) > PIECE:
+        seen = np.zeros(BUCKETS, bool)
+        for k in range(0, len(data), PIECE):
+            piece = data[k : k + PIECE + max(SIZES) - 1]
+            for bins, _ in gram_bins(piece, np.array([0, len(piece)])):
+                seen[bins] = True
+        yield np.flatnonzero(seen).astype(np.int32)
+        return
     grams = [*gram_bins(data, at)]
     cuts = [np.searchsorted(where, at) for _, where in grams]
     last = np.zeros(BUCKETS, np.int32)
@@ -200,10 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
     for k, x in zip(got["slice"], got["r"], strict=True):
         r[k] = np.frombuffer(x)
     r = r.ravel()
-    rows = docs.join(F.broadcast(_sample(docs, labels, sample_bytes)), "doc_id").select("text", "toxic").mapInArrow(_features, "toxic int, features array<int>").toArrow()
-    y, at, feature = _gathered(rows)
-    del rows
-    pa.default_memory_pool().release_unused()
+    y, at, feature = _gathered(docs.join(F.broadcast(_sample(docs, labels, sample_bytes)), "doc_id").select("text", "toxic"))
     # only bins that the sample holds get a weight, so the fit's vectors are no longer than that
     held = np.flatnonzero(np.bincount(feature, minlength=BUCKETS))
     number = np.zeros(BUCKETS, np.int32)
@@ -216,17 +223,24 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
     return weight, float(w[-1])
 
 
-def _gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, row starts and features of the sample, chunk after chunk into one array."""
-    lists = rows.column("features").chunks
-    n = [np.diff(c.offsets.to_numpy()) for c in lists]
-    at = np.append(0, np.cumsum(np.concatenate([np.empty(0, np.int64), *n])))
-    feature, k = np.empty(at[-1], np.int32), 0
-    for c in lists:
-        values = c.flatten().to_numpy()
-        feature[k : k + len(values)] = values
-        k += len(values)
-    return rows.column("toxic").to_numpy().astype(float), at, feature
+def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, row starts and features of the sample, in one array that is filled portion by portion."""
+    found = rows.mapInArrow(_features, "toxic int, features array<int>")
+    found = written(found.withColumn("portion", F.pmod(F.xxhash64("features"), F.lit(PORTIONS)).cast("int")), "features")
+    total = found.agg(F.sum(F.size("features").cast("long"))).first()[0] or 0
+    feature, k, labels, sizes = np.empty(total, np.int32), 0, [], []
+    for portion in range(PORTIONS):
+        part = found.filter(F.col("portion") == portion).select("toxic", "features").toArrow()
+        labels.append(part.column("toxic").to_numpy())
+        for c in part.column("features").chunks:
+            sizes.append(np.diff(c.offsets.to_numpy()))
+            values = c.flatten().to_numpy()
+            feature[k : k + len(values)] = values
+            k += len(values)
+        del part
+        pa.default_memory_pool().release_unused()
+    drop(found)
+    return np.concatenate(labels).astype(float), np.append(0, np.cumsum(np.concatenate([np.empty(0, np.int64), *sizes]))), feature
 
 
 def _two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

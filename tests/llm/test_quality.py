@@ -186,3 +186,10 @@ def test_sample_holds_its_bytes_and_only_ids_with_texts(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(0, 100000, 1)], "doc_id long, toxic int")
     took = T._sample(docs, labels, 6000).collect()
     assert 0 < sum(100 for r in took) <= 6000 and all(r.doc_id < 200 and r.doc_id != 7 for r in took)
+
+
+def test_long_texts_piece_by_piece(monkeypatch):
+    text = np.frombuffer(b"".join(b"word%d idiot " % k for k in range(3000)), np.uint8)
+    whole = next(T._present(text, np.array([0, len(text)])))
+    monkeypatch.setattr(T, "PIECE", 1000)
+    assert sorted(whole.tolist()) == next(T._present(text, np.array([0, len(text)]))).tolist()
