@@ -12,8 +12,8 @@ from marlstone.session import load
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
-    """table with the changes in: of a key's changes the last by order; columns it leaves null keep their value."""
-    last = changes.groupBy(*key).agg(*(F.max_by(c, order).alias(f"_{c}") for c in changes.columns if c not in (*key, order)), F.lit(True).alias("_hit"))
+    """table with the changes in, in order: of each column the last value that a key's changes give, else its own."""
+    last = changes.groupBy(*key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{c}") for c in changes.columns if c not in (*key, order)), F.lit(True).alias("_hit"))
     both = table.join(last, key, "full_outer")
     return both.select(*key, *(F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in last.columns else F.col(c) for c in table.columns if c not in key))
 
@@ -314,10 +314,9 @@ j AS (SELECT c.*, t.revision FROM c LEFT JOIN t ON t.c_custkey = c.c_custkey),
 o AS (SELECT *, CASE WHEN revision IS NULL THEN 'missing' WHEN expected <> revision THEN 'conflict' WHEN row_number() OVER (PARTITION BY c_custkey, expected = revision ORDER BY request) > 1 THEN 'superseded' ELSE 'applied' END AS outcome FROM j)"""
 ORACLES = {
     "upsert_rows": """
-WITH l AS (SELECT o_custkey AS k, arg_max(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END, (o_orderdate, o_orderkey)) AS b0, max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS seg FROM orders GROUP BY 1),
-n AS (SELECT o_custkey AS k, o_orderstatus = 'P' AS pending, o_totalprice AS p FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+WITH l AS (SELECT o_custkey AS k, arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_orderstatus <> 'P') AS b, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS seg FROM orders GROUP BY 1),
 c AS (SELECT * FROM customer WHERE c_custkey % 4 <> 0)
-SELECT coalesce(c_custkey, l.k) AS c_custkey, CASE WHEN n.k IS NULL OR n.pending THEN c_acctbal ELSE n.p END AS c_acctbal, coalesce(seg, c_mktsegment) AS c_mktsegment FROM c FULL JOIN l ON l.k = c_custkey LEFT JOIN n ON n.k = l.k""",
+SELECT coalesce(c_custkey, k) AS c_custkey, coalesce(b, c_acctbal) AS c_acctbal, coalesce(seg, c_mktsegment) AS c_mktsegment FROM c FULL JOIN l ON k = c_custkey""",
     "replaced_partitions": "SELECT l_orderkey, count(*) AS n, round(sum(CASE WHEN l_orderkey % 3 = 0 AND l_hit THEN l_quantity / 2 ELSE l_quantity END), 2) AS quantity FROM (SELECT *, bool_or(l_linenumber <= 2) OVER (PARTITION BY l_orderkey) AS l_hit FROM lineitem) WHERE l_orderkey % 11 <> 0 AND (l_orderkey % 3 <> 0 OR NOT l_hit OR l_linenumber <= 2) GROUP BY l_orderkey",
     "cas_table": _CAS + " SELECT t.c_custkey, t.revision + CASE WHEN a.request IS NULL THEN 0 ELSE 1 END AS revision, coalesce(a.seg, t.c_mktsegment) AS c_mktsegment FROM t LEFT JOIN (SELECT * FROM o WHERE outcome = 'applied') a ON a.c_custkey = t.c_custkey",
     "cas_outcomes": _CAS + " SELECT request, c_custkey, outcome FROM o",
