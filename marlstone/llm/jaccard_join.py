@@ -46,6 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import chunks, distinct, drop, mixed, numbered, table, word_hashes, written
+from marlstone.operators.graph import components
 
 SHINGLE = 3
 #: Least similarity, as a whole number of hundredths.
@@ -354,33 +355,6 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (the least node reachable) of every node of the edges (a, b).
-
-    Each round hooks every node onto its least neighbour, if that is less, and moves the edges along;
-    the hooks of all rounds, one after another, lead from a node to its component."""
-    first = edges = written(edges.filter("a <> b").select("a", "b"), "edges")
-    hooks: list[DataFrame] = []
-    while not edges.isEmpty():
-        ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-        hook = written(ends.groupBy("a").agg(F.min("b").alias("to")).filter("to < a"), "hooks")
-        hooks.append(hook)
-        x = hook.select("a", F.col("to").alias("ta"))
-        y = hook.select(F.col("a").alias("b"), F.col("to").alias("tb"))
-        moved = edges.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).filter("a <> b")
-        old, edges = edges, written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        if old is not first:
-            drop(old)
-    nodes = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    out = nodes.select("node", F.col("node").alias("component"))
-    for hook in hooks:
-        out = out.join(hook.select(F.col("a").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    out = written(out, "components")
-    for made in {id(x): x for x in (first, edges, *hooks)}.values():
-        drop(made)
-    return out
-
-
 def _likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """docs without most of those whose doc_id is not needed, so that their texts need no shuffle: a
     table of 2 ** FILTER_BITS bits, at most 2 ** (FILTER_BITS - 6) rows to broadcast, says which may be."""
