@@ -117,6 +117,15 @@ def stale_roots(edges: DataFrame, stale: DataFrame) -> DataFrame:
     return stale.select("step").distinct().join(behind, "step", "left_anti")
 
 
+def rebuild_order(nodes: DataFrame, edges: DataFrame, stale: DataFrame) -> DataFrame:
+    """step and place of all that must be made anew: the stale steps (column step) and what is downstream of
+    them, each behind what it needs."""
+    behind = downstream(edges, stale.select(F.col("step").alias("root"))).select(F.col("node").alias("step"))
+    all_ = behind.union(stale.select("step")).distinct()
+    order = topological(nodes, edges).select(F.col("node").alias("step"), "place")
+    return order.join(all_, "step", "left_semi").withColumn("place", F.row_number().over(Window.orderBy("place")))  # one row a step
+
+
 def next_in_chain(items: DataFrame, chain: str, position: str) -> DataFrame:
     """Of each chain in which no item (column status) runs, the first deferred item by position."""
     out = items.groupBy(chain).agg(F.bool_or(F.col("status") == "running").alias("busy"), F.min(F.when(F.col("status") == "deferred", F.col(position))).alias("next"))
@@ -260,6 +269,11 @@ def stale_root_steps(s: SparkSession, d: str) -> DataFrame:
     return stale_roots(step_edges(s), s.createDataFrame([("frames",), ("ocr",), ("transcribe",), ("publish",)], "step string"))
 
 
+def projection_rebuild(s: SparkSession, d: str) -> DataFrame:
+    """What to make anew when the evidence and the scenes are stale."""
+    return rebuild_order(step_nodes(s), step_edges(s), s.createDataFrame([("evidence",), ("dedup",)], "step string"))
+
+
 def parts_fan_in(s: SparkSession, d: str) -> DataFrame:
     """The template's edges for every customer as a job whose nation's number, mod 3 plus 1, is its parts."""
     parts = load(s, d, "customer").select(F.col("c_custkey").alias("job"), F.explode(F.sequence(F.lit(1), F.col("c_nationkey") % 3 + 1)).alias("part"))
@@ -270,7 +284,7 @@ def parts_fan_in(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (concept_graph_typed, concept_graph_stats, term_components, merge_target_choice, book_chain_next, dag_downstream, topological_order, topological_cycle, ready_steps, ready_with_conditions, stale_root_steps, parts_fan_in)
+    for f in (concept_graph_typed, concept_graph_stats, term_components, merge_target_choice, book_chain_next, dag_downstream, topological_order, topological_cycle, ready_steps, ready_with_conditions, stale_root_steps, projection_rebuild, parts_fan_in)
 }
 
 _EDGES = "edges(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{n}')" for n, deps in STEPS for a in deps) + ")"
@@ -306,6 +320,7 @@ SELECT component, first(term ORDER BY accepted DESC, length(definition) DESC, re
     "ready_steps": f"WITH {_EDGES}, {_NODES} SELECT node FROM nodes WHERE node NOT IN ({_DONE}) AND NOT EXISTS (SELECT 1 FROM edges WHERE dst = node AND src NOT IN ({_DONE}))",
     "ready_with_conditions": f"WITH {_NODES} SELECT node AS step, CASE WHEN node IN ({_DONE}) THEN 'done' WHEN node IN ('dedup', 'ocr') THEN 'skipped' WHEN node = 'merge' THEN 'ready' ELSE 'waiting' END AS status FROM nodes",
     "stale_root_steps": "SELECT unnest(['frames', 'transcribe']) AS step",
+    "projection_rebuild": f"WITH RECURSIVE {_EDGES}, {_NODES}, r(node, depth) AS (SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node), l AS (SELECT node, max(depth) AS level FROM r GROUP BY node), b(node) AS (VALUES ('evidence'), ('dedup') UNION SELECT e.dst FROM b JOIN edges e ON e.src = b.node) SELECT node AS step, (row_number() OVER (ORDER BY level, node))::INT AS place FROM l WHERE node IN (SELECT node FROM b)",
     "parts_fan_in": f"""
 WITH {_EDGES}, k(step, per_part) AS (VALUES {_PAIRS}), p AS (SELECT c_custkey AS job, unnest(range(1, c_nationkey % 3 + 2)) AS part FROM customer),
 x AS (SELECT src, dst, a.per_part AS fa, b.per_part AS fb FROM edges JOIN k a ON a.step = src JOIN k b ON b.step = dst),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.scalars import lenient_time, strict_time
 from marlstone.session import load
 
 
@@ -60,6 +61,28 @@ def jobs_window_strict(s: SparkSession, d: str) -> DataFrame:
     return _orders(s, d).filter((at >= F.lit("1997-03-01").cast("timestamp_ntz")) & (at < F.lit("1997-03-08").cast("timestamp_ntz"))).select("o_orderkey", "o_orderdate")
 
 
+def _written_times(s: SparkSession, d: str) -> DataFrame:
+    """Events with their time as text: with a zone, two hours ahead, without a zone, and no time at all."""
+    k, at = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    ahead = F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))
+    return load(s, d, "events").select("event_id", F.when(k == 0, F.concat(at, F.lit("Z"))).when(k == 1, ahead).when(k == 2, at).otherwise("soon").alias("at"))
+
+
+def _between(rows: DataFrame, at: Column) -> DataFrame:
+    """The half-open window of a day."""
+    return rows.filter((at >= F.lit("2024-01-10 00:00:00").cast("timestamp")) & (at < F.lit("2024-01-11 00:00:00").cast("timestamp"))).select("event_id")
+
+
+def window_of_strict_times(s: SparkSession, d: str) -> DataFrame:
+    """Times without a zone are no times."""
+    return _between(_written_times(s, d), strict_time(F.col("at")))
+
+
+def window_of_lenient_times(s: SparkSession, d: str) -> DataFrame:
+    """Times without a zone are UTC."""
+    return _between(_written_times(s, d), lenient_time(F.col("at")))
+
+
 def lineage_current(s: SparkSession, d: str) -> DataFrame:
     """One aggregate: no lineage is sorted whole."""
     newest = F.max_by("o_orderkey", F.struct("o_orderdate", (-F.col("o_orderkey")).alias("k")))
@@ -202,7 +225,7 @@ def next_versions(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (jobs_page, job_lookup, job_facets_grouping_sets, jobs_window_strict, lineage_current, lineage_counts, digest_per_job_cap, usage_summary, usage_by_model, cache_hit_rate, usage_cost_price_table, throughput_by_status, domain_overview, anti_unindexed, unreconciled_jobs, evidence_state, merge_classify, merge_units, sync_diff, gc_unreachable, layered_override, hash_chain, bbox_union, next_versions)
+    for f in (jobs_page, job_lookup, job_facets_grouping_sets, jobs_window_strict, window_of_strict_times, window_of_lenient_times, lineage_current, lineage_counts, digest_per_job_cap, usage_summary, usage_by_model, cache_hit_rate, usage_cost_price_table, throughput_by_status, domain_overview, anti_unindexed, unreconciled_jobs, evidence_state, merge_classify, merge_units, sync_diff, gc_unreachable, layered_override, hash_chain, bbox_union, next_versions)
 }
 
 _MERGE = """
@@ -215,6 +238,8 @@ ORACLES = {
     "job_lookup": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey IN (SELECT unnest(range(0, 900, 7)))",
     "job_facets_grouping_sets": "SELECT 'o_orderstatus' AS facet, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority",
     "jobs_window_strict": "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-03-08'",
+    "window_of_strict_times": "SELECT event_id FROM events WHERE event_id % 4 IN (0, 1) AND date_trunc('second', ts) >= TIMESTAMP '2024-01-10' AND date_trunc('second', ts) < TIMESTAMP '2024-01-11'",
+    "window_of_lenient_times": "SELECT event_id FROM events WHERE event_id % 4 <> 3 AND date_trunc('second', ts) >= TIMESTAMP '2024-01-10' AND date_trunc('second', ts) < TIMESTAMP '2024-01-11'",
     "lineage_current": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1",
     "lineage_counts": "SELECT o_custkey, count(*) AS versions FROM orders GROUP BY o_custkey HAVING count(*) > 1",
     "digest_per_job_cap": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS p FROM lineitem WHERE l_quantity >= 45) SELECT l_orderkey, l_linenumber, l_extendedprice FROM r WHERE p <= 2 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 100",
