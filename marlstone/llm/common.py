@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.shared import drop, shared_dir, shared_path, written
 
-__all__ = ["bucket_of", "chunks", "distinct", "drop", "mixed", "numbered", "shared_dir", "shared_path", "table", "word_hashes", "written"]
+__all__ = ["bucket_of", "chunks", "distinct", "drop", "give_back", "mixed", "numbered", "shared_dir", "shared_path", "table", "word_hashes", "written"]
 
 #: Text that a Python worker works on at a time; bounds its memory whatever the batch size.
 CHUNK_BYTES = 1 << 19
@@ -28,9 +29,20 @@ def bucket_of(col: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % modulus, F.lit(0))
 
 
+def give_back() -> None:
+    """Hand memory that this worker holds but doesn't use back to the machine. Workers go on from stage to
+    stage, and what one stage needed at most would else stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of about limit bytes of text (one text at least), each with the UTF-8
     bytes of its texts and the n + 1 places where they begin and end. A null text is empty."""
+    give_back()
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
         n = len(texts)

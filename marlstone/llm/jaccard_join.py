@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, distinct, drop, mixed, numbered, table, word_hashes, written
+from marlstone.llm.common import chunks, distinct, drop, give_back, mixed, numbered, table, word_hashes, written
 from marlstone.operators.graph import components
 
 SHINGLE = 3
@@ -262,6 +262,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by slice; a slice at a time is held."""
     parts: list[tuple[int, bytes]] = []
     at = None
+    give_back()
     for batch in batches:
         for k, task, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if k != at and parts:
