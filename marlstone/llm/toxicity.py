@@ -8,13 +8,16 @@ SHRINK^2)), so that chance counts of rare n-grams don't drown the others. A logi
 L2 penalty is fitted on them by limited-memory quasi-Newton steps (L-BFGS), and gives the score.
 
 Counts cover every labelled training document, one row for each range of bins and task; the regression
-is fitted on SAMPLE_BYTES of labelled texts at most (the smallest hashes of the ids that documents have).
+is fitted on SAMPLE_BYTES of labelled texts at most: of each label, in the order of the ids' hashes, as
+many as its share of those bytes holds. The shares are those of the labels' texts, but LEAST_SHARE at
+least; where that makes a label more frequent than it is, the bias is put right by the log of the odds.
 
 Defined results: a null or empty text has no feature and gets the score of the bias alone; a null
 label teaches nothing; several labels of one id count as their greatest; with labels of one kind only
 (or none), every score is that kind's share (0 without any); null doc_ids meet no label and are not
-held out; repeated rows each get a row; texts of any length count whole, one that alone exceeds the
-fit's sample counts in the ratios only; an empty table gives an empty result; other columns are left out.
+held out; repeated rows each get a row; texts of any length count whole, one that alone exceeds a quarter
+of its label's share of the sample counts in the ratios only; a label without any text in the sample (all
+of them too long) leaves the ratios alone, unweighted, as the score; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import bucket_of, chunks, drop, numbered, table, written
@@ -34,8 +37,12 @@ SIZES = (3, 4, 5, 6)
 BUCKETS, SLICES = 1 << 20, 32
 #: Text that the regression is fitted on; the driver holds a number of 4 bytes for each n-gram of it at most.
 SAMPLE_BYTES = 8 << 20
-#: Parts of the ids' hashes by which the sample is cut off, and features that a step works on at a time.
-PARTS, STRIDE = 1 << 14, 1 << 19
+#: Bytes that any labelled id counts as at least, so that the sample's rows are bounded too.
+LEAST_BYTES = 64
+#: A label's part of the sample at least.
+LEAST_SHARE = 1 / 16
+#: Features that a step works on at a time.
+STRIDE = 1 << 21
 #: Bytes of a long text that are looked at together, and portions in which the sample comes to the driver.
 PIECE, PORTIONS = 1 << 19, 8
 THRESHOLD = 0.3
@@ -125,18 +132,17 @@ def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: f
     while i < len(y):  # whole rows, about STRIDE features at a time
         i = max(i + 1, int(np.searchsorted(at, at[i] + STRIDE, "right")) - 1)
         cuts.append(i)
-    spans = [*zip(cuts[:-1], cuts[1:], strict=True)]
+    spans = [(a, b, np.diff(at[a : b + 1])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        v, s = r * w[:-1], np.empty(len(y))
-        for a, b in spans:
-            total = np.append(0, np.cumsum(v[feature[at[a] : at[b]]]))
-            s[a:b] = total[at[a + 1 : b + 1] - at[a]] - total[at[a:b] - at[a]]
-        s += w[-1]
+        v, s = r * w[:-1], np.full(len(y), w[-1])
+        for a, b, n in spans:
+            if (some := n > 0).any():
+                s[a:b][some] += np.add.reduceat(v[feature[at[a] : at[b]]], (at[a:b] - at[a])[some])
         p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
         grad = np.zeros(m)
-        for a, b in spans:
-            np.add.at(grad, feature[at[a] : at[b]], np.repeat((p - y)[a:b], np.diff(at[a : b + 1])))
+        for a, b, n in spans:
+            grad += np.bincount(feature[at[a] : at[b]], np.repeat((p - y)[a:b], n), m)
         grad = np.append(r * grad + l2 * w[:-1], (p - y).sum())
         return float(np.logaddexp(0, s).sum() - (y * s).sum() + l2 / 2 * (w[:-1] ** 2).sum()), grad
 
@@ -185,16 +191,23 @@ def _keep(batches: Iterator[pa.RecordBatch], text: str, weight, bias: float, thr
 
 
 def _sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """doc_id and toxic of the labelled ids whose texts, by parts of the ids' hashes from the first on,
-    are limit bytes together at most; a part that doesn't fit any more is passed over."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
-    known = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(labels.hint("merge"), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("size").alias("size")).withColumn("part", part)
-    took, room = [], limit
-    for k, size in sorted((r.part, r.size) for r in known.groupBy("part").agg(F.sum("size").alias("size")).collect()):  # PARTS rows at most
-        if size <= room:
-            took.append(k)
-            room -= size
-    return known.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in took], "part long")), "part").select("doc_id", "toxic")
+    """doc_id and toxic of the labelled ids that the regression is fitted on.
+
+    Only ids of hashes so small that twice a label's share is expected of them are put in order, so the
+    window over a label's rows holds no more than the share's bytes allow, however many labels there are."""
+    size = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(LEAST_BYTES)).cast("long")
+    known = docs.select("doc_id", size.alias("size")).join(labels.hint("merge"), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("size").alias("size"))
+    known = written(known, "labelled")
+    total = {r["toxic"]: r["size"] for r in known.groupBy("toxic").agg(F.sum("size").alias("size")).collect()}  # a row a label
+    parts = {k: max(LEAST_SHARE, n / sum(total.values())) for k, n in total.items()}
+    rows = known.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40))
+    out = known.select("doc_id", "toxic").limit(0)
+    for k, part in parts.items():
+        room = limit * part / sum(parts.values())
+        mine = rows.filter((F.col("toxic") == k) & (F.col("size") <= room / 4) & (F.col("at") < 2 * room / total[k]))
+        upto = F.sum("size").over(Window.orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+        out = out.unionByName(mine.withColumn("upto", upto).filter(F.col("upto") <= room).select("doc_id", "toxic"))
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
@@ -211,6 +224,8 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
         r[k] = np.frombuffer(x)
     r = r.ravel()
     y, at, feature = _gathered(docs.join(F.broadcast(_sample(docs, labels, sample_bytes)), "doc_id").select("text", "toxic"))
+    if not 0 < y.sum() < len(y):
+        return r, float(np.log(n1 / n0))
     # only bins that the sample holds get a weight, so the fit's vectors are no longer than that
     held = np.flatnonzero(np.bincount(feature, minlength=BUCKETS))
     number = np.zeros(BUCKETS, np.int32)
@@ -220,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
     w = fit(at, feature, y, r[held])
     weight = np.zeros(BUCKETS)
     weight[held] = w[:-1] * r[held]
-    return weight, float(w[-1])
+    return weight, float(w[-1] + np.log(n1 / n0) - np.log(y.sum() / (len(y) - y.sum())))
 
 
 def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

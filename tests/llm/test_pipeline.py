@@ -85,7 +85,7 @@ def test_empty_corpus(spark, tables, tmp_path):
 
 def test_registered_queries():
     names = [k for k in entry.queries() if k.startswith("op") and k[2].isdigit()]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is C.run
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert jaccard_join.PERCENT == 90 and mix_schedule.MOST == 3

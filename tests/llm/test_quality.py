@@ -2,7 +2,7 @@
 
 import random
 import zlib
-import zlib
+from functools import partial
 
 import numpy as np
 import pytest
@@ -188,6 +188,41 @@ def test_sample_holds_its_bytes_and_only_ids_with_texts(spark):
     assert 0 < sum(100 for r in took) <= 6000 and all(r.doc_id < 200 and r.doc_id != 7 for r in took)
 
 
+def labelled(spark, n=3000, toxic=0.04):
+    """Documents in which a bad word stands in all of label 1 and in a few others."""
+    rng = random.Random(4)
+    rows = [(k, rng.random() < toxic, say("en", 30, rng)) for k in range(n)]
+    docs = spark.createDataFrame([(k, f"{t} idiot moron {t}" if bad else t) for k, bad, t in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(k, int(bad)) for k, bad, _ in rows], "doc_id long, toxic int"), {k: bad for k, bad, _ in rows}
+
+
+def recall(got, want):
+    found = [r for r in got if r.held_out]
+    return np.mean([r.predicted for r in found if want[r.doc_id]]), np.mean([r.predicted for r in found if not want[r.doc_id]])
+
+
+def test_small_samples_score_as_large_ones(spark, monkeypatch):
+    """However much smaller the sample is than the labelled texts, it holds both labels and isn't empty."""
+    docs, labels, want = labelled(spark)
+    for limit in (T.SAMPLE_BYTES, 90_000, 45_000):
+        took = T._sample(docs, labels, limit).join(docs, "doc_id").selectExpr("toxic", "length(text) as n").collect()
+        assert {r.toxic for r in took} == {0, 1} and 0.5 * min(limit, 500_000) < sum(r.n for r in took) <= limit
+        monkeypatch.setattr(T, "learn", partial(T_LEARN, sample_bytes=limit))
+        found, wrong = recall(T.classify(docs, labels).collect(), want)
+        assert found > 0.95 and wrong < 0.02
+
+
+def test_a_sample_without_a_label_leaves_the_ratios(spark, monkeypatch):
+    docs, labels, want = labelled(spark, 400, 0.3)
+    monkeypatch.setattr(T, "learn", partial(T_LEARN, sample_bytes=300))
+    got = T.classify(docs, labels).collect()
+    bad, good = ([r.score for r in got if r.held_out and want[r.doc_id] == v] for v in (True, False))
+    assert len({r.score for r in got}) > 100 and np.mean([b > g for b in bad for g in good]) > 0.95
+
+
+T_LEARN = T.learn
+
+
 def test_long_texts_piece_by_piece(monkeypatch):
     text = np.frombuffer(b"".join(b"word%d idiot " % k for k in range(3000)), np.uint8)
     whole = next(T._present(text, np.array([0, len(text)])))
