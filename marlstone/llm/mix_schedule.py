@@ -14,7 +14,8 @@ all words; a target stops at MOST times its source's size, the excess goes to th
 
 Defined results: a null text has size 0 and is not taken; a null source is a source; a source with a
 target but no slot gets one at the end; null doc_ids and repeated rows are rows like any other, each
-with a result of its own; an empty table gives an empty result; other columns are left out.
+with a result of its own; texts of any length count whole, a long one is taken block by block; an empty
+table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -39,15 +40,18 @@ CHUNKS_A_SPAN = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """row (a number of its own), doc_id, source, its key, size and shuffling digest of each document."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """row (a number of its own), doc_id, source, its key, size and shuffling digest of each document. Rows
+    without id are shuffled by their texts and numbers, so that they don't lie together."""
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat_ws(" ", F.lit("no id"), F.xxhash64(text_col), row))
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit("mix "), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("digest"),
+        F.md5(F.concat(F.lit("mix "), name)).alias("digest"),
     )
 
 
@@ -109,11 +113,12 @@ def places(rows: DataFrame, n_rows: int, info: DataFrame) -> DataFrame:
     return rows.withColumn("here", here).join(ranges, ["key", "range"]).withColumn("place", F.col("start") + F.col("here")).drop("range", "start", "here", "digest")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents (row, doc_id, key, size, source_size, target), and what the slots take of them:
-    slot, row, round (0 for the first pass over the source), first and n (words of the document)."""
+    slot, row, round (0 for the first pass over the source), first and n (words of the document). row_col
+    names a column that numbers the rows; without one they are numbered here."""
     spark = docs.sparkSession
-    rows = written(sizes(docs, id_col, text_col, source_col), "sizes")
+    rows = written(sizes(docs, id_col, text_col, source_col, row_col), "sizes")
     sources = written(targets(rows, weights, most), "sources")
     n_words, n_rows = sources.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0], rows.count()
     plan = slots(spark, sources, -(-n_words // block))
@@ -137,15 +142,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs as the slots take them: a row for each pass over a document, its text cut after the words
     taken where that is not all (and length_col, where there is one, set to the cut text's length).
 
-    Rows of one id and size are alike in the mix, so they meet their passes in any fixed order."""
-    facts, taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    The rows are numbered and written first, so that schedule and texts meet by number, whatever ids,
+    sources and texts they share."""
+    id_, text, source, length = (f"_{docs.columns.index(c)}" if c in docs.columns else None for c in (id_col, text_col, source_col, length_col))
+    kept = written(numbered(docs, F.monotonically_increasing_id().alias("row")), "rows")
+    facts, taken = mix(kept, id_col=id_, text_col=text, source_col=source, row_col="row")
     rounds = [F.sum(F.when(F.col("round") == k, F.col("n"))).alias(f"t{k}") for k in range(MOST)]
-    passes = facts.select("row", F.col("doc_id").alias("id"), F.col("size").alias("words")).join(taken.groupBy("row").agg(*rounds), "row")
-    passes = passes.withColumn("nth", F.row_number().over(Window.partitionBy("id", "words").orderBy("row"))).select("id", "words", "nth", F.array(*(f"t{k}" for k in range(MOST))).alias("passes"))
-    id_, text, length = (f"_{docs.columns.index(c)}" if c in docs.columns else None for c in (id_col, text_col, length_col))
-    rows = numbered(docs, F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.filter("size > 0").withColumn("own", F.row_number().over(Window.partitionBy(id_, "size").orderBy(F.xxhash64(*rows.columns))))
-    rows = rows.join(passes, F.col(id_).eqNullSafe(F.col("id")) & (F.col("size") == F.col("words")) & (F.col("own") - F.col("nth") == 0))
+    passes = facts.select("row", "size").join(taken.groupBy("row").agg(*rounds), "row").select("row", "size", F.array(*(f"t{k}" for k in range(MOST))).alias("passes"))
+    rows = kept.join(passes, "row")
     rows = rows.withColumn("taken", F.explode("passes")).filter("taken > 0")
     white = r"[\x20\x09-\x0D]"
     pieces = F.split(F.regexp_replace(text, f"^{white}+", ""), f"(?<={white})(?={white.replace('[', '[^')})")

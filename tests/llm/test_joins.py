@@ -137,6 +137,18 @@ def test_mix(spark, block):
     assert sum(len((r.text or "").split()) for r in out.collect()) == sum(taken_of.values())
 
 
+def test_mixed_documents_give_passes_to_their_own_source(spark):
+    """Rows without id, of one id, and alike but for their source, all of one size."""
+    rows = [(None if k % 2 else 7, f"w{k % 5} " * 3, "abc"[k % 3]) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = {}
+    for r in M.mixed_documents(docs).collect():
+        out[r.source] = out.get(r.source, 0) + len(r.text.split())
+    want = fill(dict.fromkeys("abc", 240))
+    assert all(abs(out[s] - want[s]) <= 1 for s in "abc")
+    assert M.sizes(docs).filter("doc_id is null").select("digest").distinct().count() == 120
+
+
 def test_mix_runs_hold_every_source_in_proportion(spark):
     docs = spark.createDataFrame([(k, "w " * 100, "abc"[k % 3]) for k in range(300)], "doc_id long, text string, source string")
     sources = M.targets(M.sizes(docs))
