@@ -40,19 +40,21 @@ def units(text: str) -> list[str]:
 
 
 class Remembered[T]:
-    """What `encode` gives for strings, of which the short ones are remembered."""
+    """What `encode` gives for strings, of which the short ones are remembered: those met since the last
+    turn, and those of the turn before, which were met between its beginning and its end."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable[T]], most: int = KNOWN_UNITS):
-        self.encode, self.most, self.known = encode, most, {}
+        self.encode, self.most, self.known, self.before = encode, most, {}, {}
 
     def __call__(self, words: set[str]) -> dict[str, T]:
         """What is known, all of words included; valid until the next call."""
-        known = self.known
+        if len(self.known) > self.most // 2:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
         new = words.difference(known)
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = words
-        new = [*new]
+        again = new.intersection(before)
+        known.update(zip(again, map(before.__getitem__, again), strict=True))
+        new = [*new.difference(again)]
         known.update(zip(new, self.encode(new), strict=True))
         if any(len(w) > LONGEST for w in new):
             self.known = {w: x for w, x in known.items() if len(w) <= LONGEST}

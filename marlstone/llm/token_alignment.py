@@ -103,24 +103,35 @@ class Aligner:
                 self.decimal[k, i, : len(s)] = np.frombuffer(s, np.uint8)
 
     def _both(self, words: list[str], encode_a, encode_b) -> Iterator[tuple[bytes, bytes] | None]:
-        for w, a, b in zip(words, encode_a(words), encode_b(words), strict=True):
-            whole = b" " + w.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else None
+        whole = [b" " + w.encode() for w in words]
+        sizes, joined = np.fromiter(map(len, whole), np.int64, len(whole)), b"".join(whole)
+        packed, same = [], []
+        for ids, pieces, width in ((encode_a(words), self.bytes_a, self.width_a), (encode_b(words), self.bytes_b, self.width_b)):
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat = [i for x in ids for i in x]
+            numbers = np.array(flat, np.int64)
+            upto = np.append(0, np.cumsum(width[numbers]))[ends]
+            raw, at = numbers.astype(self.kind).tobytes(), [0, *(ends * self.kind.itemsize).tolist()]
+            packed.append([raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)])
+            if np.array_equal(np.diff(upto, prepend=0), sizes) and b"".join(map(pieces.__getitem__, flat)) == joined:
+                same.append([True] * len(words))
+            else:  # some word's tokens are not its bytes
+                same.append([b"".join(map(pieces.__getitem__, x)) == w for x, w in zip(ids, whole, strict=True)])
+        return ((a, b) if x and y else None for a, b, x, y in zip(*packed, *same, strict=True))
 
     def segments(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, bytes]]]:
         """Byte offset, A's and B's ids of each text's segments; none where the tokens' bytes are others than the text's."""
         split = [units(t) for t in texts]
         known = self.known({u for x in split for u in x})
         for text, words in zip(texts, split, strict=True):
-            both = [known[w] for w in words]
+            both = [*map(known.__getitem__, words)]
             yield [] if not text or None in both else self._cut(words, both)
 
     def _cut(self, words: list[str], both: list[tuple[bytes, bytes]]) -> list[tuple[int, bytes, bytes]]:
         out, offset = [], 0
         for k in range(0, len(words), SEGMENT):
-            part = both[k : k + SEGMENT]
-            out.append((offset, b"".join([x[0] for x in part]), b"".join([x[1] for x in part])))
+            ids_a, ids_b = zip(*both[k : k + SEGMENT], strict=True)
+            out.append((offset, b"".join(ids_a), b"".join(ids_b)))
             offset += sum(len(w.encode()) + 1 for w in words[k : k + SEGMENT]) if k + SEGMENT < len(words) else 0
         return out
 
@@ -160,10 +171,13 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def links(ids_a: np.ndarray, ids_b: np.ndarray, width_a: np.ndarray, width_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of two token sequences over the same bytes: the places of A's and B's tokens that each link holds,
     and how many A and B tokens lie before the end of each group. A link ends at each distinct end."""
-    ends_a, ends_b = np.cumsum(width_a[ids_a]), np.cumsum(width_b[ids_b])
-    ends = np.union1d(ends_a, ends_b)
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), np.searchsorted(ends_a, common) + 1, np.searchsorted(ends_b, common) + 1
+    ends = np.concatenate([np.cumsum(width_a[ids_a]), np.cumsum(width_b[ids_b])])
+    order = np.argsort(ends, kind="stable")
+    ends, is_a = ends[order], order < len(ids_a)
+    before = np.cumsum(is_a) - is_a  # A's ends before each, an equal one of A included
+    new = np.append(True, ends[1:] != ends[:-1]) if len(ends) else is_a
+    first, second = np.flatnonzero(new), np.flatnonzero(~new)
+    return before[first], first - before[first], before[second], second - before[second] + 1
 
 
 def grouped(ids_a: np.ndarray, ids_b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray, decimal: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -187,6 +201,7 @@ def _swept(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterato
     document's last segment a row with its counts and the digest of its groups."""
     give_back()
     both = aligner(*paths)
+    pairs = len(both.bytes_a) * len(both.bytes_b)
     state: list = []  # of the document at hand: key, copies, n_a, n_b, n_groups, n_links, sha256
     out: list[tuple] = []
 
@@ -209,10 +224,9 @@ def _swept(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterato
         n_links = np.searchsorted(in_a, upto_a - 1, "right")
         code = ids_a[in_a] * len(both.bytes_b) + ids_b[in_b]
         segment = np.searchsorted(upto_a, in_a, "right")
-        order = np.lexsort((code, segment))
-        code, segment = code[order], segment[order]
-        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (segment[1:] != segment[:-1])))
-        times, distinct = np.diff(np.append(first, len(code))), code[first]
+        held_pairs = np.sort(segment * pairs + code)
+        first = np.flatnonzero(np.append(True, held_pairs[1:] != held_pairs[:-1]))
+        times, distinct = np.diff(np.append(first, len(code))), held_pairs[first] % pairs
         cuts = np.searchsorted(first, n_links)
         a0 = b0 = g0 = l0 = c0 = t0 = 0
         for x, a1, b1, g1, l1, c1 in zip(held, upto_a.tolist(), upto_b.tolist(), n_groups.tolist(), n_links.tolist(), cuts.tolist(), strict=True):
