@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import scalars as S
 from marlstone.operators import search
+from marlstone.operators.trigrams import Index, index_of
 from marlstone.session import load
+from marlstone.shared import written
 
 #: Of notes that tie, the kind that is shown; others come last.
 NOTE_KINDS = ("smart", "translated", "original", "mechanical", "transcript")
@@ -20,21 +22,31 @@ def _sha(c: Column) -> Column:
     return F.coalesce(c.rlike("^[0-9a-f]{64}$"), F.lit(False))
 
 
-def passages(chunks: DataFrame, queries: list[str], k: int, fields: tuple[str, ...] = ("title", "section", "body")) -> DataFrame:
+FIELDS, FACTS = ("title", "section", "body"), ("job_id", "note_type", "artifact_sha256", "body_sha256")
+
+
+def chunk_index(chunks: DataFrame, name: str) -> Index:
+    """The index of chunks that passages() takes: it holds their bodies too, to give those that are shown."""
+    return index_of(chunks, name, "chunk_id", FIELDS, (*FACTS, "body"))
+
+
+def passages(chunks: DataFrame | Index, queries: list[str], k: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """place, job_id, note_type, chunk_id, score and body of a question's k passages at most.
 
-    chunks: chunk_id, job_id, note_type, title, section, body, artifact_sha256, body_sha256. Each query's
+    chunks: chunk_id, job_id, note_type, title, section, body, artifact_sha256, body_sha256, or an index of
+    those; with that no body is read but the k that are shown. Each query's
     pool of chunks scores 1 / (60 + place) for their text; chunks of one job with equal digests of note and
     body are one text, shown by the kind that comes first in NOTE_KINDS; a text's best place in a query
     counts. Texts go by score, job, kind, note type and chunk; a job has one passage, from a chunk with a
     note type and both digests, its body cut at BODY_CHARS."""
-    facts = ("job_id", "note_type", "artifact_sha256", "body_sha256", "body")
-    found = search.pools(chunks, queries, fields, "chunk_id", min(100, max(k, 4 * k)), facts)
+    pool, indexed = min(100, max(k, 4 * k)), isinstance(chunks, Index)
+    found = search.indexed_pools(chunks, queries, pool, *FACTS) if indexed else search.pools(chunks, queries, fields, "chunk_id", pool, (*FACTS, "body"))
+    extra = ("chunk", "n") if indexed else ("body",)
     valid = _sha(F.col("artifact_sha256")) & _sha(F.col("body_sha256"))
     kind = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, NOTE_KINDS)), F.coalesce("note_type", F.lit(""))), F.lit(0)), F.lit(99))
     same = F.when(valid & (F.coalesce("job_id", F.lit("")) != ""), F.concat_ws("|", "job_id", "artifact_sha256", "body_sha256")).otherwise(F.concat_ws("|", F.lit(""), "chunk_id"))
     found = found.withColumns({"valid": valid, "kind": kind, "note_type": F.coalesce("note_type", F.lit("")), "same": same})
-    shown = F.min_by(F.struct("job_id", "kind", "note_type", "chunk_id", "valid", "body"), F.struct("kind", "note_type", "chunk_id")).alias("x")
+    shown = F.min_by(F.struct("job_id", "kind", "note_type", "chunk_id", "valid", *extra), F.struct("kind", "note_type", "chunk_id")).alias("x")
     best = found.groupBy("same", "query").agg(F.min("place").alias("place"))
     scores = best.groupBy("same").agg(F.round(F.sum(1.0 / (search.RRF_K + F.col("place"))), 9).alias("score"))
     texts = scores.join(found.groupBy("same").agg(shown), "same").select("score", "x.*")
@@ -42,6 +54,8 @@ def passages(chunks: DataFrame, queries: list[str], k: int, fields: tuple[str, .
     good = texts.filter("coalesce(job_id, '') <> '' and valid and note_type <> ''")
     one = good.withColumn("nth", F.row_number().over(Window.partitionBy("job_id").orderBy(*order))).filter("nth = 1")
     placed = one.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # k rows
+    if indexed:
+        placed = chunks.facts(written(placed, "placed"), "body")
     return placed.select("place", "job_id", "note_type", "chunk_id", "score", F.substring("body", 1, BODY_CHARS).alias("body"))
 
 
@@ -124,7 +138,7 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def ask_passages(s: SparkSession, d: str) -> DataFrame:
-    return passages(_chunks(s, d), list(QUERIES_ASKED), 12).select("place", "job_id", "note_type", "chunk_id", "score", F.sha2("body", 256).alias("digest"))
+    return passages(chunk_index(_chunks(s, d), "chunks of documents"), list(QUERIES_ASKED), 12).select("place", "job_id", "note_type", "chunk_id", "score", F.sha2("body", 256).alias("digest"))
 
 
 def ask_manifest(s: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators.textops import holding
+from marlstone.operators.trigrams import Index, index_of
 from marlstone.session import load
+from marlstone.shared import written
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -30,7 +32,7 @@ def _hits(c: str, query: str, route: str) -> Column:
     """Overlapping occurrences of the query in a column; under the plain route 1 if there is any."""
     if route == "plain":
         return F.contains(c, F.lit(query)).cast("long")
-    folded = query.lower().replace("ς", "σ")
+    folded = _folded(query)
     if any(folded.startswith(folded[k:]) for k in range(1, len(folded))):
         return T.occurrences(T.fold(F.col(c)), folded)
     # occurrences that can't overlap are as many as cutting them out takes lengths of the query
@@ -38,28 +40,47 @@ def _hits(c: str, query: str, route: str) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(folded), F.lit("")))) / len(folded)).cast("long")
 
 
+def _folded(query: str) -> str:
+    return query.lower().replace("ς", "σ")
+
+
+def _scores(hits: DataFrame, routes: list[tuple[str, str]], n: Column, average: Column, df: Column) -> DataFrame:
+    """hits (with _h, each query's hits, and _dl, the length) with ranks by BM25."""
+    norm = K1 * (1 - B + B * F.col("_dl") / average)
+
+    def rank(k: int) -> Column:
+        f = F.col("_h")[k]
+        idf = F.log((n - df[k] + 0.5) / (df[k] + 0.5))
+        score = F.round(-F.when(idf > 0, idf).otherwise(IDF_FLOOR) * f * (K1 + 1) / (f + norm), 9)
+        return F.when(f > 0, score if routes[k][1] == "bm25" else F.lit(0.0))
+
+    return hits.withColumn("ranks", F.array(*map(rank, range(len(routes)))))
+
+
 def ranks(rows: DataFrame, queries: list[str], fields: tuple[str, ...]) -> DataFrame:
     """rows with ranks: an array of each query's rank of the row (least is best), null where it has no hit.
 
     One pass over the texts counts the hits of all queries for the statistics, one ranks; statistics are
-    those of all rows."""
+    those of all rows. The counts come out of a generator, so that no filter makes them anew."""
     routes = [_route(q) for q in queries]
     total = lambda parts: sum(parts[1:], parts[0])
     hits = [total([F.coalesce(_hits(c, q, how), F.lit(0)) for c in fields]) if how != "none" else F.lit(0).cast("long") for q, how in routes]
     length = total([F.greatest(F.coalesce(F.char_length(c), F.lit(0)) - 2, F.lit(0)) for c in fields])
-    counted = rows.withColumns({"_h": F.array(*hits), "_dl": length})
+    counted = rows.select("*", F.inline(F.array(F.struct(F.array(*hits).alias("_h"), length.alias("_dl")))))
     of = F.array(*(F.count(F.when(F.col("_h")[k] > 0, 1)) for k in range(len(queries))))
     stats = counted.agg(F.count("*").alias("_n"), of.alias("_df"), F.avg("_dl").alias("_avg"))
     scored = counted.filter(F.exists("_h", lambda h: h > 0)).crossJoin(F.broadcast(stats))  # stats: one row
-    norm = K1 * (1 - B + B * F.col("_dl") / F.col("_avg"))
+    return _scores(scored, routes, F.col("_n"), F.col("_avg"), F.col("_df")).drop("_h", "_dl", "_n", "_df", "_avg")
 
-    def rank(k: int) -> Column:
-        f, df = F.col("_h")[k], F.col("_df")[k]
-        idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
-        score = F.round(-F.when(idf > 0, idf).otherwise(IDF_FLOOR) * f * (K1 + 1) / (f + norm), 9)
-        return F.when(f > 0, score if routes[k][1] == "bm25" else F.lit(0.0))
 
-    return scored.withColumn("ranks", F.array(*map(rank, range(len(queries))))).drop("_h", "_dl", "_n", "_df", "_avg")
+def indexed_ranks(index: Index, queries: list[str], *keep: str) -> DataFrame:
+    """chunk and n (a document's place in the index), its key, the columns to keep, and ranks as ranks() has
+    them, by an index of the texts: the hits are written once, the statistics come from them."""
+    routes = [_route(q) for q in queries]
+    hits = written(index.hits([(_folded(q), how) for q, how in routes]), "hits")
+    df = hits.agg(F.array(*(F.count(F.when(F.col("hits")[k] > 0, 1)) for k in range(len(queries))))).first()[0]
+    found = index.facts(hits.withColumnRenamed("hits", "_h"), index.key, *keep, "size").withColumnRenamed("size", "_dl")
+    return _scores(found, routes, F.lit(index.rows), F.lit(index.average), F.array(*map(F.lit, df))).drop("_h", "_dl")
 
 
 def bm25(rows: DataFrame, query: str, fields: tuple[str, ...]) -> DataFrame:
@@ -73,6 +94,12 @@ def search(rows: DataFrame, query: str, fields: tuple[str, ...], key: str, where
     return out if where is None else out.filter(where)
 
 
+def indexed_search(index: Index, query: str, *keep: str, where: Column | None = None) -> DataFrame:
+    """The key, the columns to keep and rank of a query's hits by its route."""
+    out = indexed_ranks(index, [query], *keep).select(index.key, *keep, F.col("ranks")[0].alias("rank"))
+    return out if where is None else out.filter(where)
+
+
 def top(ranked: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
     return ranked.orderBy("rank", key).offset(offset).limit(limit)
 
@@ -84,9 +111,17 @@ def pools(rows: DataFrame, queries: list[str], fields: tuple[str, ...], key: str
     return found.withColumn("place", place).filter(F.col("place") <= pool).drop("rank")
 
 
-def fuse(rows: DataFrame, queries: list[str], fields: tuple[str, ...], key: str, k: int) -> DataFrame:
+def indexed_pools(index: Index, queries: list[str], pool: int, *keep: str) -> DataFrame:
+    """What pools() gives, by an index, with the documents' places in it."""
+    found = indexed_ranks(index, queries, *keep).select("chunk", "n", index.key, *keep, F.posexplode("ranks").alias("query", "rank")).filter("rank is not null")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("rank", index.key))
+    return found.withColumn("place", place).filter(F.col("place") <= pool).drop("rank")
+
+
+def fuse(rows: DataFrame | Index, queries: list[str], fields: tuple[str, ...], key: str, k: int) -> DataFrame:
     """Reciprocal rank fusion over the queries' pools: sum of 1 / (60 + rank), best first."""
-    found = pools(rows, queries, fields, key, min(100, max(k, 4 * k)))
+    pool = min(100, max(k, 4 * k))
+    found = indexed_pools(rows, queries, pool) if isinstance(rows, Index) else pools(rows, queries, fields, key, pool)
     return found.groupBy(key).agg(F.round(F.sum(1.0 / (RRF_K + F.col("place"))), 9).alias("score"), F.count("*").alias("n_queries")).orderBy(F.desc("score"), key).limit(k)
 
 
@@ -126,22 +161,31 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 FIELDS = ("title", "body")
 
 
+def _index(spark: SparkSession, d: str) -> Index:
+    return index_of(_documents(spark, d), "documents", "doc_id", FIELDS, ("lang",))
+
+
 def search_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return top(indexed_search(_index(spark, d), "tion"), "doc_id", 20).select("doc_id", "rank")
+
+
+def search_scanned_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index, by a scan of all texts."""
     return top(search(_documents(spark, d), "tion", FIELDS, "doc_id"), "doc_id", 20).select("doc_id", "rank")
 
 
 def search_filtered_total(spark: SparkSession, d: str) -> DataFrame:
-    hits = search(_documents(spark, d), "ment", FIELDS, "doc_id", F.col("lang") == "fr")
+    hits = indexed_search(_index(spark, d), "ment", "lang", where=F.col("lang") == "fr")
     return hits.agg(F.count("*").alias("total"), F.round(F.min("rank"), 9).alias("best"))
 
 
 def search_page(spark: SparkSession, d: str) -> DataFrame:
-    return top(search(_documents(spark, d), "ment", FIELDS, "doc_id", F.col("lang") == "fr"), "doc_id", 10, 10).select("doc_id", "rank")
+    return top(indexed_search(_index(spark, d), "ment", "lang", where=F.col("lang") == "fr"), "doc_id", 10, 10).select("doc_id", "rank")
 
 
 def search_reliable_only(spark: SparkSession, d: str) -> DataFrame:
     good = load(spark, d, "labels").filter("quality = 1").select("doc_id")
-    return top(search(_documents(spark, d), "tion", FIELDS, "doc_id").join(good, "doc_id", "left_semi"), "doc_id", 15).select("doc_id", "rank")
+    return top(indexed_search(_index(spark, d), "tion").join(good, "doc_id", "left_semi"), "doc_id", 15).select("doc_id", "rank")
 
 
 def short_query_substring(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +202,7 @@ def ask_derive_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ask_rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return fuse(_documents(spark, d), ["tion", "ment", "idiot", "ening"], FIELDS, "doc_id", 20)
+    return fuse(_index(spark, d), ["tion", "ment", "idiot", "ening"], FIELDS, "doc_id", 20)
 
 
 def quality(ranked: DataFrame, truth: DataFrame, questions: DataFrame, *by: str) -> DataFrame:
@@ -246,6 +290,7 @@ _RRF = "\n".join(
 
 QUERIES = {
     "search_bm25_topk": search_bm25_topk,
+    "search_scanned_topk": search_scanned_topk,
     "search_filtered_total": search_filtered_total,
     "search_page": search_page,
     "search_reliable_only": search_reliable_only,
@@ -259,6 +304,7 @@ QUERIES = {
 
 ORACLES = {
     "search_bm25_topk": _bm25_sql("tion") + " SELECT doc_id, rank FROM r ORDER BY rank, doc_id LIMIT 20",
+    "search_scanned_topk": _bm25_sql("tion") + " SELECT doc_id, rank FROM r ORDER BY rank, doc_id LIMIT 20",
     "search_filtered_total": _bm25_sql("ment") + " SELECT count(*) AS total, min(rank) AS best FROM r WHERE lang = 'fr'",
     "search_page": _bm25_sql("ment") + " SELECT doc_id, rank FROM r WHERE lang = 'fr' ORDER BY rank, doc_id LIMIT 10 OFFSET 10",
     "search_reliable_only": _bm25_sql("tion") + " SELECT doc_id, rank FROM r WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY rank, doc_id LIMIT 15",
