@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.operators import analytics, ask, graph, joins, kernel, maintenance, packing, relational, search, study, textops
-from marlstone.sources import feeds, html, subtitles
-from marlstone.streaming import state, windows
+from marlstone.sources import adapters, feeds, html, subtitles
+from marlstone.streaming import state, windows, work
 
-MODULES = (search, relational, analytics, graph, joins, kernel, maintenance, packing, study, ask, textops, subtitles, html, feeds, windows, state)
+MODULES = (search, relational, analytics, graph, joins, kernel, maintenance, packing, study, ask, textops, subtitles, html, feeds, adapters, windows, state, work)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,8 @@ from marlstone.session import load
 from marlstone.shared import shared_path, written
 
 #: Kinds of content by a file's ending.
-ENDINGS = {"video": ("mp4", "mkv", "webm", "mov"), "audio": ("mp3", "m4a", "wav", "aac", "flac"), "document": ("pdf", "md", "html", "txt", "epub")}
+AUDIO_ENDINGS = ("mp3", "m4a", "wav", "aac", "flac")
+ENDINGS = {"video": ("mp4", "mkv", "webm", "mov"), "audio": AUDIO_ENDINGS, "document": ("pdf", "md", "html", "txt", "epub")}
 AUDIO_FILE = r"(?i)\.(?:mp3|m4a|wav|aac|flac)(?:\?|$)"
 
 
@@ -46,8 +47,30 @@ def byte_range(content: Column, start: int, n: int) -> Column:
     return F.substring(content, start + 1, n)
 
 
+def unescaped(c: Column) -> Column:
+    """XML's own entities and numbered characters of text as what they stand for, each once."""
+    named = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
+    pieces = F.regexp_extract_all(c, F.lit(r"(&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};|&[a-z]+;|[^&]+|&)"), F.lit(1))
+
+    def one(x: Column) -> Column:
+        code = F.when(x.rlike("^&#x"), F.conv(F.substring(x, F.lit(4), F.length(x) - 4), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+);$", 1)).try_cast("int")
+        # a character by its number: its four bytes, read as UTF-32
+        out = F.when(x.rlike(r"^&#") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(x == "&amp;", "&")
+        for a, b in named:
+            out = out.when(x == a, b)
+        return out.otherwise(x)
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
 def _inner(name: str) -> str:
-    return rf"(?is)<{name}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}>"
+    return rf"(?is)<{name}\b[^>]*>\s*(.*?)\s*</{name}>"
+
+
+def _plain(c: Column) -> Column:
+    """The text of an element: what a CDATA section holds as it is, else without entities."""
+    section = F.regexp_extract(c, r"(?s)^<!\[CDATA\[(.*)\]\]>$", 1)
+    return F.trim(F.when(c.startswith("<![CDATA["), section).otherwise(unescaped(c)))
 
 
 def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
@@ -57,9 +80,9 @@ def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
     host; an entry with an audio enclosure is audio, and its url is the enclosure's."""
     entry = F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), F.lit(1)))
     rows = feeds.select(key, entry.alias("position", "_e"))
-    text = lambda *names: F.coalesce(*(F.nullif(F.trim(F.regexp_extract("_e", _inner(n), 1)), F.lit("")) for n in names))
+    text = lambda *names: F.coalesce(*(F.nullif(_plain(F.regexp_extract("_e", _inner(n), 1)), F.lit("")) for n in names))
     tags = F.regexp_extract_all("_e", F.lit(r"(?is)(<(?:link|enclosure)\b[^>]*>)"), F.lit(1))
-    attribute = lambda t, name: F.regexp_extract(t, rf"""(?i)\b{name}\s*=\s*["']([^"']*)["']""", 1)
+    attribute = lambda t, name: unescaped(F.regexp_extract(t, rf"""(?i)\b{name}\s*=\s*["']([^"']*)["']""", 1))
     is_audio = lambda t: (t.rlike("(?i)^<enclosure") | (attribute(t, "rel") == "enclosure")) & (F.lower(attribute(t, "type")).contains("audio") | attribute(t, "href").rlike(AUDIO_FILE) | attribute(t, "url").rlike(AUDIO_FILE))
     audio = F.get(F.filter(tags, is_audio), F.lit(0))
     sound = F.coalesce(F.nullif(attribute(audio, "url"), F.lit("")), F.nullif(attribute(audio, "href"), F.lit("")))
@@ -80,8 +103,7 @@ def layout_boxes(pages: DataFrame, key: str, xml: str) -> DataFrame:
     boxes = rows.select(key, "page", F.posexplode(F.regexp_extract_all("_p", F.lit(r"(?is)(<text\b[^>]*>.*?</text>|<image\b[^>]*>)"), F.lit(1))).alias("place", "_b"))
     number = lambda name: F.regexp_extract("_b", rf"""(?i)^<[^>]*?\b{name}\s*=\s*["'](-?\d+(?:\.\d+)?)""", 1).try_cast("double").alias(name)
     text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("_b", r"(?is)^<text\b[^>]*>(.*)</text>$", 1), "<[^<>]*>", ""), r"\s+", " "))
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(a), F.lit(b))
+    text = unescaped(text)
     return boxes.select(key, "page", F.when(F.col("_b").rlike("(?i)^<text"), "text").otherwise("image").alias("kind"), "place", number("left"), number("top"), number("width"), number("height"), text.alias("text"))
 
 
