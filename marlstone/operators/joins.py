@@ -36,7 +36,7 @@ def aligned(needles: DataFrame, texts: DataFrame, least: int = 8, ratio: float =
     left, right = form(needles, "id", "needle"), form(texts, "match", "body")
     equal = left.join(right, F.col("needle") == F.col("body")).groupBy("id").agg(F.count("*").alias("n"), F.min("match").alias("match"))
     rest = left.join(equal, "id", "left_anti")
-    inside = holding(right, rest, "body", "needle").unionByName(holding(rest, right, "needle", "body")).select("id", "match", (F.least(F.length("needle"), F.length("body")) / F.greatest(F.length("needle"), F.length("body"))).alias("share")).distinct()
+    inside = holding(right, rest, "body", "needle", "match", "id").unionByName(holding(rest, right, "needle", "body", "id", "match")).select("id", "match", (F.least(F.length("needle"), F.length("body")) / F.greatest(F.length("needle"), F.length("body"))).alias("share")).distinct()
     held = inside.groupBy("id").agg(F.count("*").alias("n"), F.min("match").alias("match"), F.max("share").alias("share"))
     one = F.when(F.col("n") == 1, F.col("match"))
     exact = equal.select("id", one.alias("match"), F.when(F.col("n") == 1, 1.0).otherwise(0.0).alias("confidence"), F.when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("state"))
@@ -47,13 +47,14 @@ def aligned(needles: DataFrame, texts: DataFrame, least: int = 8, ratio: float =
 
 def terms_in(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """key and term of the terms (column term) that a text holds: names of Latin letters as words, others
-    wherever they stand. A term's first word, or its first two characters, finds the texts to look at."""
+    wherever they stand. A term's first word, or its first two characters, finds the texts to look at; ids
+    meet first, texts come to the pairs that are found."""
     latin = F.col("term").rlike("^[A-Za-z0-9]")
     low = F.lower("term")
     keyed = terms.filter("term <> ''").select("term", F.when(latin, F.regexp_extract(low, "^[a-z0-9]+", 0)).otherwise(F.substring("term", 1, 2)).alias("_k")).distinct()
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
     bits = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit("[一-鿿]+"), F.lit(0)), lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substring(r, i, F.lit(2))))))
-    found = texts.select(key, text, F.explode(F.array_union(words, bits)).alias("_k")).join(keyed, "_k")
+    found = texts.select(key, F.explode(F.array_union(words, bits)).alias("_k")).join(keyed, "_k").select(key, "term").distinct().join(texts.select(key, text), key)
     word = F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.regexp_replace("term", r"([^A-Za-z0-9\s])", r"\\$1"), F.lit("(?![A-Za-z0-9])"))
     return found.filter(F.when(F.col("term").rlike("^[A-Za-z0-9]"), F.regexp_like(F.col(text), word)).otherwise(F.contains(F.col(text), F.col("term")))).select(key, "term").distinct()
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators.textops import holding
+from marlstone.operators.textops import holding, scanned
 from marlstone.operators.trigrams import Index, index_of
 from marlstone.session import load
 from marlstone.shared import written
@@ -146,8 +146,7 @@ def derived_queries(questions: DataFrame, key: str, text: str, most: int = 6, gl
     words = cut.select(key, F.substring("run", F.col("at"), F.col("size")).alias("query"), F.struct("pos", (-F.col("size")).alias("size"), "at").alias("pos"))
     words = words.filter((F.length("query") >= 2) & ~F.col("query").isin(*STOP_WORDS, *CJK_STOP_WORDS)).groupBy(key, "query").agg(F.min("pos").alias("pos")).withColumn("term", F.lit(1))
     if glossary is not None:
-        terms = glossary.select(F.trim("term").alias("_term")).filter("_term <> ''").distinct()
-        held = questions.join(terms, F.contains(text, F.col("_term"))).select(key, F.lower("_term").alias("query")).distinct()
+        held = scanned(questions, [key], text, glossary.select(F.trim("term").alias("_term")), "_term").select(key, F.lower("_term").alias("query")).distinct()
         words = words.join(held, [key, "query"], "left_anti").unionByName(held.withColumn("term", F.lit(0)), allowMissingColumns=True)
     length = F.when(F.col("term") == 1, F.length("query"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("term", F.desc(length), "pos", "query"))
@@ -188,6 +187,13 @@ def search_reliable_only(spark: SparkSession, d: str) -> DataFrame:
     return top(indexed_search(_index(spark, d), "tion").join(good, "doc_id", "left_semi"), "doc_id", 15).select("doc_id", "rank")
 
 
+def two_character_search(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with ten letters turned into Chinese characters, searched for two of those: by route, in the
+    order of keys, every hit of rank 0."""
+    rows = _documents(spark, d).withColumn("body", F.translate("body", "abcdefghij", "甲乙丙丁戊己庚辛壬癸"))
+    return top(search(rows, " 戊\0甲 ", FIELDS, "doc_id"), "doc_id", 50).select("doc_id", "rank")
+
+
 def short_query_substring(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).filter(F.contains("body", F.lit("ça"))).select("doc_id").orderBy("doc_id").limit(50)
 
@@ -249,7 +255,7 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     the documents that hold it word for word; over all and by the item's number, even or odd."""
     items = load(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text", (F.col("item_id") % 2).alias("parity"))
     docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    truth = holding(docs, items.select("q", F.col("text").alias("quote")), "text", "quote").select("q", "id")
+    truth = holding(docs, items.select("q", F.col("text").alias("quote")), "text", "quote", "id", "q").select("q", "id")
     return quality(word_ranks(items, docs, 10), truth, items.select("q", "parity"), "parity")
 
 
@@ -295,6 +301,7 @@ QUERIES = {
     "search_page": search_page,
     "search_reliable_only": search_reliable_only,
     "short_query_substring": short_query_substring,
+    "two_character_search": two_character_search,
     "substring_snippet": substring_snippet,
     "ask_derive_queries": ask_derive_queries,
     "ask_rrf_fusion": ask_rrf_fusion,
@@ -308,6 +315,7 @@ ORACLES = {
     "search_filtered_total": _bm25_sql("ment") + " SELECT count(*) AS total, min(rank) AS best FROM r WHERE lang = 'fr'",
     "search_page": _bm25_sql("ment") + " SELECT doc_id, rank FROM r WHERE lang = 'fr' ORDER BY rank, doc_id LIMIT 10 OFFSET 10",
     "search_reliable_only": _bm25_sql("tion") + " SELECT doc_id, rank FROM r WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY rank, doc_id LIMIT 15",
+    "two_character_search": "SELECT doc_id, 0.0::DOUBLE AS rank FROM documents WHERE contains(text, 'ea') OR contains(source, '戊甲') ORDER BY doc_id LIMIT 50",
     "short_query_substring": "SELECT doc_id FROM documents WHERE contains(text, 'ça') ORDER BY doc_id LIMIT 50",
     "substring_snippet": """
 WITH h AS (SELECT doc_id, text, instr(text, 'License') AS p FROM documents WHERE contains(text, 'License')),

@@ -284,28 +284,69 @@ def negation_polarity(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).select("doc_id", n.alias("negations"), (n % 2).alias("polarity")).filter("negations > 0")
 
 
-def holding(docs: DataFrame, items: DataFrame, text: str, quote: str) -> DataFrame:
-    """docs joined with the items whose quote their text holds word for word (case counts). Neither side
-    may have columns named _w, _q or _g.
+#: Characters of the strings that a scan of texts looks for at a time.
+SCAN_CHARS = 4 << 20
+
+
+def scanned(rows: DataFrame, keys: list[str], text: str, strings: DataFrame, string: str) -> DataFrame:
+    """keys and string of the strings that each text holds (case counts); null and empty ones are in none.
+
+    All strings are looked for in one pass over a text, by an automaton. Strings come in blocks of SCAN_CHARS,
+    each a pass over the texts, so that no task and no driver holds more of them."""
+    known = strings.select(F.col(string).alias("_s")).filter("_s <> ''").distinct()
+    total = known.agg(F.sum(F.length("_s") + 1)).first()[0] or 0
+    kinds = {f.name: f.dataType for f in rows.select(*keys).schema}
+    schema = ", ".join(f"`{k}` {t.simpleString()}" for k, t in kinds.items()) + ", _s string"
+    out = rows.sparkSession.createDataFrame([], schema)
+    blocks = -(-total // SCAN_CHARS)
+    for block in range(blocks):
+        words = [r[0] for r in known.filter(F.pmod(F.xxhash64("_s"), F.lit(blocks)) == block).collect()]
+        words = rows.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for w in words.value:
+                machine.add_word(w, w)
+            if words.value:
+                machine.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    here = {w for _, w in machine.iter(t)} if t and words.value else ()
+                    at += [i] * len(here)
+                    found += here
+                yield pa.RecordBatch.from_arrays([*batch.select(list(range(len(kinds)))).take(pa.array(at, pa.int64())).columns, pa.array(found, pa.string())], [*kinds, "_s"])
+
+        out = out.unionByName(rows.select(*keys, F.col(text).alias("_t")).mapInArrow(run, schema))
+    return out.withColumnRenamed("_s", string)
+
+
+def holding(docs: DataFrame, items: DataFrame, text: str, quote: str, key: str, item: str) -> DataFrame:
+    """docs joined with the items whose quote their text holds word for word (case counts). key and item
+    name the ids of both; columns named _w, _q or _g must not be there.
 
     A quote of five words and more is found by three of its inner words, which a text that holds it must
-    have in a row; only texts that do are compared. Shorter ones, without such a run, meet every text."""
+    have in a row; shorter ones by a scan of the texts. Only ids meet; texts and quotes come to the pairs
+    of ids that are found."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     gram = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
     quotes = items.filter((F.col(quote) != "") & F.col(quote).isNotNull()).withColumn("_q", words(F.col(quote)))
-    long, short = quotes.filter(F.size("_q") >= 5), quotes.filter(F.size("_q") < 5).drop("_q")
     middle = F.greatest(F.floor(F.size("_q") / 2), F.lit(2)).cast("int")
-    keyed = long.select(*items.columns, gram(F.col("_q"), middle).alias("_g"))
-    grams = docs.withColumn("_w", words(F.col(text))).filter(F.size("_w") >= 3)
-    grams = grams.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: gram(F.col("_w"), i))))).drop("_w")
-    found = grams.join(keyed, "_g").drop("_g").filter(F.contains(F.col(text), F.col(quote)))
-    return found.unionByName(docs.join(short, F.contains(F.col(text), F.col(quote))))
+    keyed = quotes.filter(F.size("_q") >= 5).select(item, gram(F.col("_q"), middle).alias("_g"))
+    grams = docs.select(key, words(F.col(text)).alias("_w")).filter(F.size("_w") >= 3)
+    grams = grams.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: gram(F.col("_w"), i)))).alias("_g"))
+    pairs = grams.join(keyed, "_g").select(key, item)
+    short = quotes.filter(F.size("_q") < 5).select(item, quote)
+    pairs = pairs.unionByName(scanned(docs, [key], text, short, quote).join(short, quote).select(key, item)).distinct()
+    return pairs.join(docs, key).join(items, item).filter(F.contains(F.col(text), F.col(quote))).select(*docs.columns, *items.columns)
 
 
 def exact_quote_match(s: SparkSession, d: str) -> DataFrame:
     """Benchmark items that a document holds word for word."""
     items = load(s, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return holding(_docs(s, d).select("doc_id", "text"), items, "text", "quote").select("doc_id", "item_id")
+    return holding(_docs(s, d).select("doc_id", "text"), items, "text", "quote", "doc_id", "item_id").select("doc_id", "item_id")
 
 
 def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -316,7 +357,7 @@ def anchors(docs: DataFrame, items: DataFrame) -> DataFrame:
             items = items.withColumn(part, F.lit(None).cast("string"))
     whole = F.concat(F.coalesce("prefix", F.lit("")), F.col("quote"), F.coalesce("suffix", F.lit("")))
     items = items.filter("quote <> ''").withColumn("whole", whole)
-    hits = holding(docs.select("doc_id", "text"), items, "text", "whole").withColumn("place", F.instr("text", F.col("whole")))
+    hits = holding(docs.select("doc_id", "text"), items, "text", "whole", "doc_id", "item_id").withColumn("place", F.instr("text", F.col("whole")))
     once = hits.filter(F.expr("locate(whole, text, place + 1) = 0"))
     return once.select("doc_id", "item_id", (F.col("place") + F.length(F.coalesce("prefix", F.lit("")))).cast("long").alias("place"))
 

@@ -85,9 +85,13 @@ def lease_stream(events: DataFrame, delay: str) -> DataFrame:
 def admitted(requests: DataFrame, resource: str, order: list[str], caps: DataFrame) -> DataFrame:
     """requests with admitted: of a resource's holders in order the first `cap` distinct ones get a slot
     (caps: resource, cap; without one all do); a holder that asks again keeps its slot."""
-    first = requests.groupBy(resource, "holder").agg(F.min(F.struct(*order)).alias("_first"))
-    nth = first.withColumn("_nth", F.row_number().over(Window.partitionBy(resource).orderBy("_first"))).drop("_first")
-    return requests.join(nth, [resource, "holder"]).join(caps, resource, "left").withColumn("admitted", F.col("cap").isNull() | (F.col("_nth") <= F.col("cap"))).drop("_nth", "cap")
+    most = caps.agg(F.max("cap")).first()[0] or 0
+    first = requests.groupBy(resource, "holder").agg(F.min(F.struct(*order)).alias("_first")).join(caps, resource)
+    # no more than the largest cap of a resource's holders leave the tasks that sort them
+    nth = first.withColumn("_nth", F.row_number().over(Window.partitionBy(resource).orderBy("_first"))).filter(F.col("_nth") <= most)
+    slots = nth.filter("_nth <= cap").select(resource, "holder", F.lit(True).alias("_slot"))
+    open_ = requests.join(caps.select(resource, F.lit(True).alias("_capped")), resource, "left").join(slots, [resource, "holder"], "left")
+    return open_.withColumn("admitted", F.col("_capped").isNull() | F.coalesce("_slot", F.lit(False))).drop("_capped", "_slot")
 
 
 def score(done: Column, step: Column, boost: dict[str, int]) -> Column:
@@ -105,11 +109,15 @@ def popped(tasks: DataFrame, pool: str) -> DataFrame:
 
 def claims(tasks: DataFrame, workers: DataFrame, full: DataFrame) -> DataFrame:
     """worker and member: the first task in the order of score, then name, that each worker may take alone:
-    ready, of its pool, matching its tags, no resource in full (resource). Tasks meet workers by pool."""
+    ready, of its pool, matching its tags, no resource in full (resource). Tasks meet the distinct sets of tags
+    that a pool's workers have, workers the first task of their set."""
     busy = tasks.select("member", F.explode("resources").alias("resource")).join(full, "resource", "left_semi").select("member").distinct()
     open_ = tasks.filter("status = 'ready'").join(busy, "member", "left_anti")
     fits = S.matches(F.col("require_tags"), F.col("tags"), F.col("allowed_providers"), F.col("worker_tags"), F.col("reject_tags"))
-    return workers.join(open_, "pool").filter(fits).groupBy("worker").agg(F.min_by("member", F.struct("score", "member")).alias("member"))
+    kind = ["pool", "worker_tags", "reject_tags"]
+    sets = workers.select("worker", "pool", *(F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))).alias(c) for c in kind[1:]))
+    best = sets.select(*kind).distinct().join(open_, "pool").filter(fits).groupBy(*kind).agg(F.min_by("member", F.struct("score", "member")).alias("member"))
+    return sets.join(best, kind).groupBy("worker").agg(F.min("member").alias("member"))
 
 
 def queue_peek(tasks: DataFrame, ages: DataFrame, pool: str, limit: int) -> DataFrame:
