@@ -51,15 +51,17 @@ def quote_text(c: Column) -> Column:
 def citation_text(c: Column) -> Column:
     """A claim's plain text: no table rules, cells by spaces, no heading and list marks, no evidence marks
     and emphasis, single spaces, no punctuation at the ends."""
+    edges = r"[ ,，.。;；:：!?！？()（）\[\]【】]+"  # a fixed value
     rule = lambda x: F.trim(F.regexp_replace(x, r"^\|+|\|+$", "")).rlike(r"^\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*$")
     cells = lambda x: F.array_join(F.filter(F.transform(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x)), lambda y: y != ""), " ")
     marks = lambda x: F.regexp_replace(F.regexp_replace(x, r"^#{1,6}\s*", ""), r"^(?:[-*+>]|\d+[.)、])\s*", "")
     lines = F.filter(F.transform(F.split(c, r"\r\n|\n|\r"), trimmed), lambda x: (x != "") & ~rule(x))
     plain = F.array_join(F.transform(lines, lambda x: F.when(x.startswith("|"), cells(x)).otherwise(marks(x))), " ")
     plain = F.regexp_replace(F.regexp_replace(plain, r"\[E(?:[1-9]|1[0-2])\]", ""), r"[`*_~]", "")
-    return F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r"^[ ,，.。;；:：!?！？()（）\[\]【】]+|[ ,，.。;；:：!?！？()（）\[\]【】]+$", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), f"^{edges}|{edges}$", "")
 
 
+#: What an English and what a Chinese name look like.
 _ENGLISH = r"^[A-Za-z][A-Za-z0-9 .+/&'-]{0,59}$"
 _CHINESE = "[一-鿿]"
 
@@ -90,6 +92,7 @@ def norm_related(items: Column) -> Column:
     return F.filter(clean, lambda x, i: F.array_position(names, x["term"]) == i + 1)
 
 
+#: Fixed value: a Chinese name with its English one behind it.
 _PAIR = r"(?<![一-鿿A-Za-z0-9·])([一-鿿·]{1,24})（([A-Za-z][A-Za-z0-9 .+/&'-]{1,59})）"
 
 
@@ -174,10 +177,15 @@ def official(url: Column, original: Column) -> Column:
     return F.when(safe & host.rlike(r"(?:^|\.)(?:" + "|".join(x.replace(".", r"\.") for x in OFFICIAL) + ")$"), "high").otherwise("low")
 
 
+#: Fixed value: numbers of cases and decisions.
+CASE = r"[〔\[（(]\s*20\d{2}\s*[〕\]）)][^，。\s]{0,8}?\d{1,4}\s*号"
+
+
 def case_references(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"[〔\[（(]\s*20\d{2}\s*[〕\]）)][^，。\s]{0,8}?\d{1,4}\s*号"), F.lit(0)), lambda x: F.trim(x))))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(CASE), F.lit(0)), lambda x: F.trim(x))))
 
 
+#: Fixed value: file names of generated notes.
 _SMART = r"notes_smart_([^_/]+)_([^_/]+)_(\d{8}-\d{6})\.md$"
 
 

@@ -93,7 +93,7 @@ def redacted_url(c: Column) -> Column:
 
 
 #: Patterns of secrets: (name, pattern); all are read by Java and RE2 alike. A header's or parameter's name
-#: begins a line or follows a separator.
+#: begins a line or follows a separator. The patterns of signed_url, cookie and authorization.
 _BEFORE = r"(?:^|[\s;,?&#\"'{(\[])"
 SECRETS = (
     ("bearer", r"(?i)bearer\s+[A-Za-z0-9._\-]{16,}"),

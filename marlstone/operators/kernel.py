@@ -1,5 +1,6 @@
-"""Queries of the column functions: every document gets one of a function's samples, by its id, and the SQL
-gives what is right for that sample, set down here next to it and not computed."""
+"""The column functions as queries over the tables: names, addresses, dates, JSON and claims made of what the
+rows hold, with SQL that computes the same from the same columns. Truth tables of the functions are among
+the tests."""
 
 from __future__ import annotations
 
@@ -10,123 +11,97 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import facts as X
 from marlstone.functions import scalars as S
-from marlstone.functions import text as T
 from marlstone.session import load
-from marlstone.sources import subtitles
-
 
 _list = lambda a: F.array_join(a, "|")
-_page = '<html>{}<a href="/x.mp3">x</a></html>'.format
-_related = lambda c: _list(F.transform(S.norm_related(F.from_json(c, "array<struct<term:string,rel:string>>")), lambda x: F.concat_ws(":", x["term"], x["rel"])))
-_tags = lambda c: F.split(F.nullif(c, F.lit("-")), " ")
-_RULES = [{"exists": "input/*.srt", "when": "skip"}, {"if_flag": "fast", "when": "skip"}, {"exists": "input/*.ass"}, {"when": "skip"}]
-
-#: name: (function of the samples' columns, samples and, last, what is right).
-TRUTHS: dict[str, tuple[Callable[..., Column], list[tuple]]] = {
-    "fn_citation_text": (S.citation_text, [("## Heading one", "Heading one"), ("- a **bold** claim.", "a bold claim"), ("| a | b |\n|---|:---:|\n| c | d |", "a b c d"), ("1. First\n\n2) Second", "First Second"), ("(见 [E3] `code_x`)", "见 codex"), ("", "")]),
-    "fn_quote_text": (S.quote_text, [("a \n\t b", "a b"), ("été", "été"), ("  ", "")]),
-    "fn_match_text": (S.match_text, [("Ｆｕｌｌ　Ｗidth", "full width"), ("Straße", "strasse"), ("ﬁne  Print", "fine print")]),
-    "fn_body_text": (S.body_text, [("a  \r\nb\t\n\n", "a\nb"), ("é\rx", "é\nx"), ("\n\n", "")]),
-    "fn_primary_fields": (
-        lambda t, z: F.concat_ws(";", *(lambda x: (x["term"], x["zh_name"], _list(x["aliases"])))(S.primary_fields(t, z))),
-        [("量化 (Quantization)", "", "Quantization;量化;量化 (Quantization)"), ("Quantization（量化）", "", "Quantization;量化;Quantization(量化)"), ("Graph (GNN)", "图", "Graph;图;Graph (GNN)"), ("注意力", "", "注意力;;"), ("Attention", " 注意 ", "Attention;注意;")],
-    ),
-    "fn_norm_related": (_related, [('[{"term":" A ","rel":"is_a"},{"term":"A","rel":"related"},{"term":"B","rel":"odd"},{"term":""}]', "A:is_a|B:related"), ("[]", "")]),
-    "fn_pairs": (
-        lambda c: _list(F.transform(F.array_sort(F.map_entries(S.pairs(c))), lambda x: F.concat_ws("=", x["key"], x["value"]))),
-        [("注意力（Attention）很重要。 注意力在此。", "Attention=注意力"), ("只有一次（Once）。", ""), ("```\n图（Graph）图\n``` 图（Graph）是图。", "Graph=图"), ("甲（Same）甲，乙（Same）乙", "Same=甲")],
-    ),
-    "fn_zh_name": (lambda t, n, d: F.concat_ws("=", *(lambda x: (x["en"], x["zh"]))(S.zh_name(t, n, d))), [("Martingale", "鞅", "", "Martingale=鞅"), ("鞅(Martingale)", "", "", "Martingale=鞅"), ("Recency bias", "", "近因偏差,过分强调近期", "Recency bias=近因偏差"), ("Recency bias", "", "no comma", ""), ("", "x", "y", "")]),
-    "fn_looks_chinese": (lambda c: S.looks_chinese(c).cast("string"), [("你好 ab", "true"), ("你好 abc", "false"), ("abc", "false"), ("", "false")]),
-    "fn_native_ids": (
-        lambda u, k: F.coalesce(S.native_id(u, k), F.lit("")),
-        [("https://www.bilibili.com/video/BV1xx411c7mD?p=2", "bilibili", "BV1xx411c7mD"), ("https://youtu.be/dQw4w9WgXcQ", "youtube", "dQw4w9WgXcQ"), ("https://www.youtube.com/watch?v=dQw4w9WgXcQ&t=1", "youtube", "dQw4w9WgXcQ"), ("https://arxiv.org/abs/2301.00001v2", "arxiv", "2301.00001v2"), ("hep-th/9901001", "arxiv", "hep-th/9901001"), ("https://x.org/", "http_article", "")],
-    ),
-    "fn_lineage_key": (
-        lambda u, k, t: S.lineage_key(u, k, t),
-        [("https://youtu.be/dQw4w9WgXcQ", "youtube", "video", "jobs_yt_dQw4w9WgXcQ"), ("https://x.org/a", "http_article", "document", "jobs_article_5be3d88a13"), ("https://x.org/a", "upload", "video", "jobs_video_5be3d88a13")],
-    ),
-    "fn_lineage_of": (S.lineage_of, [("jobs_yt_dQw4w9WgXcQ_240131235959ab12", "jobs_yt_dQw4w9WgXcQ"), ("jobs_old", "jobs_old"), ("jobs_x_240131235959AB12", "jobs_x_240131235959AB12")]),
-    "fn_slugs": (lambda a, b: F.concat_ws(";", S.slug(a), S.folder_slug(b)), [(" my list ", "/data/My Files/", "my-list;My-Files"), ("12345", "x", "12345;x"), ("https://x.org/a", "a/b.c", "5be3d88a13;b-c")]),
-    "fn_part_id": (lambda j, k: S.part_id(j, k), [("job", "1", "pt_35445e23bff595ffe0d6"), ("job", "2", "pt_ecb80011162aedda8652")]),
-    "fn_official": (lambda u, o: S.official(u, F.nullif(o, F.lit(""))), [("https://www.csrc.gov.cn/x", "", "high"), ("https://sse.com.cn", "https://a.b", "high"), ("http://www.csrc.gov.cn", "", "low"), ("https://szse.cn/x", "http://a.b", "low"), ("https://notgov.cn", "", "low")]),
-    "fn_case_references": (lambda c: _list(S.case_references(c)), [("见（2021）京01民终123号和〔2020〕5号，（2021）京01民终123号", "〔2020〕5号|（2021）京01民终123号"), ("none", "")]),
-    "fn_note_version": (lambda f: F.concat_ws("/", *(lambda x: (x["provider"], x["model"], x["version"]))(S.note_version(f))), [("out/notes_smart_acme_big-1_20240131-235959.md", "acme/big-1/20240131-235959"), ("notes_smart_a_b_c_20240131-235959.md", ""), ("notes.md", "")]),
-    "fn_audio_link": (
-        lambda h: F.coalesce(S.audio_link(h), F.lit("")),
-        [(_page('<meta property="og:audio" content="https://a/b"><audio src="/c.mp3">'), "https://a/b"), (_page('<audio src="/cover.png"><source src="/c.m4a?x=1">'), "/c.m4a?x=1"), (_page('<audio src="/stream">'), "/stream"), (_page('<enclosure url="/e.wav"/>'), "/e.wav"), (_page(""), "/x.mp3"), ("<p>", "")],
-    ),
-    "fn_redacted_text": (S.redacted_urls, [("see https://u:p@x.org/a?token=1&b=2. And (http://Y.org/?sig=3).", "see https://x.org/a?b=2. And (http://y.org/)."), ("nothing here", "nothing here"), ("https://x.org/?b=1", "https://x.org/?b=1")]),
-    "fn_redacted_url": (
-        T.redacted_url,
-        [("https://h/p?X-Amz-Signature=1&a=2", "https://h/p?a=2"), ("https://h/p?session_id=1;sessionToken=2&credential=3", "https://h/p"), ("https://h/p?my%5Ftoken=1&ok=2", "https://h/p?ok=2"), ("https://h/p?sid=1&aside=2", "https://h/p?aside=2"), ("https://h/p?expires=9&q=Authorization:x", "https://h/p"), ("HTTP://H:80/p?monkey=1", "http://h/p")],
-    ),
-    "fn_retry_delay": (lambda k, a: F.coalesce(S.retry_delay(k, a.cast("int")).cast("string"), F.lit("none")), [("ai", "0", "30"), ("ai", "2", "120"), ("ai", "3", "none"), ("processing", "0", "0"), ("processing", "1", "none"), ("ai_rate_limit", "4", "1800"), ("input_missing", "0", "none"), ("odd", "0", "none")]),
-    "fn_backoff": (lambda a: S.backoff(a.cast("int"), 30, 3600).cast("bigint").cast("string"), [("1", "30"), ("2", "60"), ("7", "1920"), ("8", "3600"), ("90", "3600")]),
-    "fn_effective_timeout": (lambda b, p, s, c: S.effective_timeout(*(x.try_cast("int") for x in (b, p, s, c))).cast("string"), [("60", "30", "61", "", "60"), ("60", "30", "200", "", "120"), ("60", "30", "6000", "900", "900"), ("60", "", "6000", "", "60"), ("60", "30", "0", "", "60")]),
-    "fn_hash_band": (lambda a, b: S.hash_band(a.cast("bigint"), b.cast("bigint")), [("0", "63", "duplicate"), ("0", "127", "gray"), ("0", "1023", "gray"), ("0", "2047", "different"), ("-1", "-2", "duplicate")]),
-    "fn_scalar": (lambda c: F.concat_ws(":", *(lambda x: (x["kind"], x["value"]))(S.scalar(c))), [("12", "int:12"), ("-07", "int:-7"), ("1.5", "float:1.5"), ("1.5x", "string:1.5x"), ("", "string:")]),
-    "fn_lenient_time": (
-        lambda c: F.coalesce(F.date_format(S.lenient_time(c), "yyyy-MM-dd HH:mm:ss"), F.lit("none")),
-        [("2021", "2021-01-01 00:00:00"), ("2021-03", "2021-03-01 00:00:00"), ("2021-03-04", "2021-03-04 00:00:00"), ("2021-03-04T05:06:07", "2021-03-04 05:06:07"), ("2021-03-04T05:06:07+02:00", "2021-03-04 03:06:07"), ("2021-03-04 05:06Z", "2021-03-04 05:06:00"), ("2021-13-04", "none"), ("soon", "none")],
-    ),
-    "fn_strict_time": (lambda c: F.coalesce(F.date_format(S.strict_time(c), "yyyy-MM-dd HH:mm:ss"), F.lit("none")), [("2021-03-04T05:06:07", "none"), ("2021-03-04T05:06:07z", "2021-03-04 05:06:07"), ("2021-03-04T23:06:07-01:00", "2021-03-05 00:06:07"), ("2021", "none")]),
-    "fn_written_date": (
-        S.written_date,
-        [("Published 2021-03-04 online", "2021-03-04"), ("2021-03", "2021-03"), ("1999", "1999"), ("Received March  4, 2021; accepted", "2021-03-04"), ("Mar 4, 2021", "2021-03-04"), ("March 2021", "2021-03"), ("Mar 2021", "2021-03"), ("4 March", ""), ("", "")],
-    ),
-    "fn_json_kind": (lambda c: F.coalesce(S.json_kind(c, "$.a"), F.lit("none")), [('{"a":1}', "integer"), ('{"a":1.5}', "real"), ('{"a":"x"}', "text"), ('{"a":null}', "null"), ('{"a":true}', "true"), ('{"a":false}', "false"), ('{"a":[1]}', "array"), ('{"a":{"b":1}}', "object"), ('{"b":1}', "none"), ("broken", "none")]),
-    "fn_json_list": (lambda c: _list(S.json_list(c)), [('["a","b"]', "a|b"), ("broken", ""), ("[]", ""), ('{"a":1}', "")]),
-    "fn_canonical_json": (lambda a, b: S.canonical_json(z=a, b=F.nullif(b, F.lit("")), m=F.lit(1)), [('é"\\/', "x", '{"b":"x","m":1,"z":"é\\"\\\\/"}'), ("", "", '{"b":null,"m":1,"z":""}')]),
-    "fn_glob": (lambda p: F.concat_ws("", *(S.globbed(p, g).cast("int").cast("string") for g in ("input/*.srt", "in?ut/[ab]*", "[!i]*"))), [("input/a.srt", "110"), ("input/b/c.txt", "010"), ("xinput/a.srt", "001"), ("input.srt", "000")]),
-    "fn_rules": (lambda a, b, c: S.first_rule(_RULES, {"input/*.srt": a == "y", "input/*.ass": b == "y"}, {"fast": c == "y"}).cast("string"), [("y", "y", "n", "false"), ("n", "y", "y", "false"), ("n", "y", "n", "true"), ("n", "n", "n", "false")]),
-    "fn_tag_match": (
-        lambda r, t, a, w, x: S.matches(_tags(r), _tags(t), _tags(a), _tags(w), _tags(x)).cast("string"),
-        [("gpu", "big", "-", "gpu cn", "slow", "true"), ("gpu cn", "-", "-", "gpu", "-", "false"), ("-", "big slow", "-", "gpu", "slow", "false"), ("-", "-", "p q", "p", "-", "true"), ("-", "-", "p q", "p q", "-", "false"), ("-", "-", "p", "z", "-", "false")],
-    ),
-    "fn_attestation": (lambda a, b, c: S.attestation(*(x.cast("int") for x in (a, b, c))), [("3", "3", "3", "strong"), ("5", "2", "3", "corroborated"), ("2", "2", "1", "supported"), ("0", "0", "0", "none"), ("1", "0", "1", "none")]),
-    "fn_progress": (lambda a, b: S.progress(a.cast("int"), b.cast("int")).cast("string"), [("1", "8", "12"), ("3", "8", "38"), ("0", "0", "0"), ("2", "3", "67")]),
-    "fn_short_definition": (S.short_definition, [("One. Two.", "One."), ("v1.5 is out", "v1.5 is out"), ("问？答。", "问？"), ("  ", ""), ("x" * 130, "x" * 120 + "…")]),
-    "fn_source_of": (
-        S.source_of,
-        [("https://www.bilibili.com/video/x", "bilibili"), ("BV1xx411c7mD", "bilibili"), ("https://youtu.be/x", "youtube"), ("https://arxiv.org/pdf/1.pdf", "arxiv"), ("https://x.org/a.PDF?x=1", "pdf"), ("https://x.org/a.mp3", "podcast"), ("file:///a", "local_file"), ("https://x.org", "http_article"), ("ftp://x", "other"), ("", "other")],
-    ),
-    "fn_fact_quantities": (
-        lambda c: _list(X.quantities(c)),
-        [("-5% of $3,500.50 and 12 kg", "-5%|3500.50usd|12kg"), ("3 hours, 20 mins", "3h|20mins"), ("５ 3公里 7台", "3km|7device"), ("8 sheep or 9", "8unknown:sheep|9"), ("v1.2 x", ""), ("5 units −2", "5device|-2")],
-    ),
-    "fn_fact_tokens": (
-        lambda c: F.concat_ws(";", X.negations(c).cast("string"), _list(X.ranges(c)), _list(X.polarity(c)), _list(X.subjects(c))),
-        [("It did not fail, growth is at least 3", "2;>=;fail|increase;"), ("between 3 and 4, less than 5", "0;<|between;;"), ("没有超过", "1;>;absent;"), ("Model A-1 and server: B2 passed", "0;;pass;a-1|b2"), ("x <= 3 and y > 4", "0;<=|>;;")],
-    ),
-    "fn_conflicts": (
-        lambda a, b: F.concat_ws(";", _list(X.conflicts(a, b)), _list(X.conflicts(a, b, True))),
-        [("rose by 5% to 3 kg", "rose by 5% to 3 kg", ";"), ("5%", "5% and 6%", "quantity;"), ("7%", "5% and 6%", "quantity;quantity"), ("it is not so", "it is so", "negation;negation"), ("at most 3", "at least 3", "range;range"), ("model A", "model B", "subject;subject")],
-    ),
-    "fn_detected_language": (
-        X.detected_language,
-        [("the cat and the dog is in the house", "en"), ("der Hund und die Katze ist nicht da", "de"), ("les chats des voisins dans une maison", "fr"), ("los gatos del vecino que por una casa", "es"), ("这是一个关于语言识别的比较长的中文句子而已啊", "zh"), ("short", "unknown"), ("xxxxxxxxxx yyyyyyyyyyyyyy", "unknown")],
-    ),
-    "fn_clock": (lambda c: subtitles.clock(c.cast("double")), [("0", "[00:00]"), ("61.9", "[01:01]"), ("6000", "[100:00]")]),
-    "fn_definition_version": (lambda d, t, h: S.definition_version(d, t, F.lit(3), F.nullif(h, F.lit("")), F.lit("me")), [("d", "t", "", "cdv_9586e396360705e7e0175808287bfe3ea02165ef863c256d653fec51a01e4591")]),
-}
+_cat = lambda *xs: F.concat(*(F.lit(x[1:]) if x.startswith("=") else F.col(x).cast("string") for x in xs))
+_whole = lambda c: F.col(c).cast("long").cast("string")
+
+#: name: (table, keys, the value, the same value in SQL, the rows).
+FUNCTIONS: dict[str, tuple[str, str, Callable[[], Column], str, str]] = {}
+
+
+def _add(name: str, table: str, keys: str, value: Callable[[], Column], sql: str, where: str = "true") -> None:
+    FUNCTIONS[name] = table, keys, value, sql, where
+
+
+_DIGITS, _NUMERALS = "0123456789", "零一二三四五六七八九"
+_zh = lambda: F.translate(F.col("p_size").cast("string"), _DIGITS, _NUMERALS)
+_ZH = f"translate(p_size::VARCHAR, '{_DIGITS}', '{_NUMERALS}')"
+_TEXT = "text IS NOT NULL"
+
+# Forms of texts.
+_add("fn_quote_text", "documents", "doc_id", lambda: F.sha2(S.quote_text(F.col("text")), 256), r"sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'), ' '))", _TEXT)
+_add("fn_match_text", "benchmark", "item_id", lambda: F.sha2(S.match_text(F.upper("text")), 256), r"sha256(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')), 'ß', 'ss'))", _TEXT)
+_add("fn_body_text", "documents", "doc_id", lambda: F.sha2(S.body_text(F.concat(F.lit("\r\n "), F.col("text"), F.lit(" \t\r\n\r"))), 256), r"sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\s+$', ''), '^\s+', ''))", _TEXT)
+_add("fn_citation_text", "benchmark", "item_id", lambda: S.citation_text(F.concat(F.lit("## "), F.regexp_replace("text", r"\s+", " "), F.lit("\n\n|---|:---:|\n- **of** `"), F.col("item_id").cast("string"), F.lit("` [E3]。"))), r"regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[`*_~]', '', 'g') || ' of ' || item_id, '^[ ,，.。;；:：!?！？()（）\[\]【】]+', '')", _TEXT)
+_add("fn_looks_chinese", "documents", "doc_id", lambda: S.looks_chinese(F.when(F.col("doc_id") % 2 == 0, F.translate("text", "etaoinshr", "甲乙丙丁戊己庚辛壬")).otherwise(F.translate("text", "eta", "甲乙丙"))), "(SELECT len(regexp_extract_all(x, '[一-鿿]')) > 0 AND len(regexp_extract_all(x, '[一-鿿]')) >= len(regexp_extract_all(x, '[A-Za-z]')) FROM (SELECT substring(CASE WHEN doc_id % 2 = 0 THEN translate(text, 'etaoinshr', '甲乙丙丁戊己庚辛壬') ELSE translate(text, 'eta', '甲乙丙') END, 1, 4000) AS x))", _TEXT)
+_add("fn_short_definition", "documents", "doc_id", lambda: S.short_definition(F.regexp_replace("text", r"\s+", " ")), r"""(SELECT CASE WHEN length(h) > 120 THEN rtrim(substring(h, 1, 120)) || '…' ELSE h END FROM (SELECT trim(substring(x, 1, least(CASE WHEN a > 0 THEN a ELSE 1000000000 END, CASE WHEN b > 0 THEN b - 1 ELSE 1000000000 END))) AS h
+  FROM (SELECT x, length(regexp_extract(x, '^[^。！？!?]*[。！？!?]')) AS a, length(regexp_extract(x, '^.*?\. ')) AS b FROM (SELECT trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS x))))""", _TEXT)
+
+# Names and relations of concepts.
+_add("fn_primary_fields", "part", "p_partkey", lambda: F.concat_ws(";", *(lambda x: (x["term"], x["zh_name"], _list(x["aliases"])))(S.primary_fields(F.when(F.col("p_partkey") % 2 == 0, F.concat(_zh(), F.lit(" ("), F.col("p_name"), F.lit(")"))).otherwise(F.concat(F.col("p_name"), F.lit("（"), _zh(), F.lit("）"))), F.lit("")))), f"p_name || ';' || {_ZH} || ';' || CASE WHEN p_partkey % 2 = 0 THEN {_ZH} || ' (' || p_name || ')' ELSE p_name || '(' || {_ZH} || ')' END")
+_add("fn_norm_related", "part", "p_partkey", lambda: _list(F.transform(S.norm_related(F.from_json(_cat('=[{"term":" ', "p_brand", '= ","rel":"is_a"},{"term":"', "p_brand", '=","rel":"related"},{"term":"', "p_type", '=","rel":"odd"},{"term":""}]'), "array<struct<term:string,rel:string>>")), lambda x: F.concat_ws(":", x["term"], x["rel"]))), "p_brand || ':is_a|' || p_type || ':related'")
+_add("fn_pairs", "part", "p_partkey", lambda: _list(F.transform(F.map_entries(S.pairs(F.concat(_zh(), F.lit("（"), F.col("p_name"), F.lit("）很重要。```\n"), _zh(), F.lit("\n``` "), F.when(F.col("p_partkey") % 3 > 0, F.concat(_zh(), F.lit("在此。"))).otherwise("")))), lambda x: F.concat_ws("=", x["key"], x["value"]))), f"CASE WHEN p_partkey % 3 > 0 THEN p_name || '=' || {_ZH} ELSE '' END")
+_add("fn_zh_name", "part", "p_partkey", lambda: F.concat_ws("=", *(lambda x: (x["en"], x["zh"]))(S.zh_name(F.when(F.col("p_partkey") % 3 == 1, F.concat(_zh(), F.lit("("), F.col("p_name"), F.lit(")"))).otherwise(F.col("p_name")), F.when(F.col("p_partkey") % 3 == 0, _zh()), F.when(F.col("p_partkey") % 2 == 0, F.concat(_zh(), F.lit("，很长"))).otherwise("no comma")))), f"CASE WHEN p_partkey % 3 < 2 OR p_partkey % 2 = 0 THEN p_name || '=' || {_ZH} ELSE '' END")
+_add("fn_definition_version", "part", "p_partkey", lambda: S.definition_version(F.col("p_brand"), F.col("p_name"), F.col("p_size"), F.when(F.col("p_partkey") % 2 == 0, F.sha2("p_type", 256)), F.lit("me")), """'cdv_' || sha256('{"actor":"me","domain":"' || p_brand || '","input_hash":' || CASE WHEN p_partkey % 2 = 0 THEN '"' || sha256(p_type) || '"' ELSE 'null' END || ',"term":"' || p_name || '","version":' || p_size || '}')""")
+_add("fn_tag_match", "part", "p_partkey", lambda: S.matches(F.array(F.split("p_type", " ")[0]), F.array("p_brand"), F.when(F.col("p_size") % 3 == 0, F.split("p_type", " ")), F.split("p_type", " "), F.when(F.col("p_size") % 2 == 0, F.array("p_brand")).otherwise(F.array(F.lit("none")))), "p_size % 2 <> 0 AND (p_size % 3 <> 0 OR len(list_distinct(string_split(p_type, ' '))) = 1)")
+_add("fn_scalar", "part", "p_partkey", lambda: F.concat_ws("|", *(F.concat_ws(":", S.scalar(c)["kind"], S.scalar(c)["value"]) for c in (F.concat(F.lit("-"), F.lpad(F.col("p_size").cast("string"), 4, "0")), F.concat(_whole("p_partkey"), F.lit(".5")), F.col("p_name")))), "'int:-' || p_size || '|float:' || p_partkey || '.5|string:' || p_name", "p_size > 0")
+
+# Addresses, files and ids.
+_SRC = "CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'bilibili' WHEN 2 THEN 'arxiv' ELSE 'http_article' END"
+_source = lambda: F.element_at(F.array(*map(F.lit, ("youtube", "bilibili", "arxiv", "http_article"))), (F.col("page_id") % 4 + 1).cast("int"))
+_k = lambda n: F.col("page_id") % 4 == n
+_video = lambda: F.when(_k(0), F.concat(F.lit("https://www.youtube.com/watch?v="), F.substring(F.md5("url"), 1, 11), F.lit("&t=1"))).when(_k(1), F.concat(F.lit("https://www.bilibili.com/video/BV"), F.substring(F.md5("url"), 1, 10), F.lit("?p=2"))).when(_k(2), F.concat(F.lit("https://arxiv.org/abs/2301."), F.lpad(F.col("page_id").cast("string"), 5, "0"), F.lit("v2"))).otherwise(F.col("url"))
+_NATIVE = "CASE page_id % 4 WHEN 0 THEN substring(md5(url), 1, 11) WHEN 1 THEN 'BV' || substring(md5(url), 1, 10) WHEN 2 THEN '2301.' || lpad(page_id::VARCHAR, 5, '0') || 'v2' ELSE '' END"
+_add("fn_native_ids", "pages", "page_id", lambda: F.coalesce(S.native_id(_video(), _source()), F.lit("")), _NATIVE)
+_add("fn_lineage_key", "pages", "page_id", lambda: S.lineage_key(_video(), _source(), F.lit("document")), f"'jobs_' || CASE page_id % 4 WHEN 0 THEN 'yt_' || {_NATIVE} WHEN 1 THEN 'bili_' || {_NATIVE} WHEN 2 THEN 'arxiv_' || {_NATIVE} ELSE 'article_' || substring(sha1(url), 1, 10) END")
+_add("fn_source_of", "pages", "page_id", lambda: S.source_of(F.when(F.col("page_id") % 9 == 5, F.concat(F.split("url", r"\?")[0], F.lit(".PDF?x=1"))).when(F.col("page_id") % 9 == 6, F.concat(F.split("url", r"\?")[0], F.lit(".mp3"))).otherwise(_video())), f"CASE page_id % 9 WHEN 5 THEN 'pdf' WHEN 6 THEN 'podcast' ELSE {_SRC} END")
+_add("fn_slugs", "pages", "page_id", lambda: F.concat_ws(";", S.slug(F.col("url")), S.slug(_cat("= page ", "page_id", "=! ")), S.folder_slug(_cat("=/data/My Page.", "page_id", "=/"))), "substring(sha1(url), 1, 10) || ';page-' || page_id || ';My-Page-' || page_id")
+_add("fn_official", "pages", "page_id", lambda: S.official(F.when(_k(0), F.regexp_replace("url", "://[^/]+", "://www.csrc.gov.cn")).when(_k(1), F.regexp_replace("url", "^https?://[^/]+", "https://sse.com.cn:443")).otherwise(F.col("url")), F.when(F.col("page_id") % 3 == 0, F.col("url"))), "CASE WHEN (page_id % 4 = 1 OR (page_id % 4 = 0 AND url LIKE 'https://%')) AND (page_id % 3 <> 0 OR url LIKE 'https://%') THEN 'high' ELSE 'low' END")
+_add("fn_audio_link", "pages", "page_id", lambda: S.audio_link(F.concat(F.lit('<audio src="/cover.png"><source src="/p'), F.col("page_id").cast("string"), F.lit('.m4a?x=1"></audio>'), F.col("html"))), "'/p' || page_id || '.m4a?x=1'", "NOT contains(html, 'og:audio')")
+_add("fn_glob", "pages", "page_id", lambda: F.concat_ws("", *(S.globbed(F.col("url"), g).cast("int").cast("string") for g in ("https://*/*.html", "http?://[a-m]*", "*/[!0-9]*[0-9]"))), "(url GLOB 'https://*/*.html')::INT || '' || (url GLOB 'http?://[a-m]*')::INT || (url GLOB '*/[!0-9]*[0-9]')::INT")
+_add("fn_redacted_text", "documents", "doc_id", lambda: S.redacted_urls(_cat("=see https://u:p@X.org/", "doc_id", "=?token=1&b=", "lang", "=. And (http://Y.org:80/?sig=3#f).")), "'see https://x.org/' || doc_id || '?b=' || lang || '. And (http://y.org/).'", "lang IS NOT NULL")
+_add("fn_part_id", "conversations", "conv_id, turn", lambda: S.part_id(F.col("conv_id").cast("string"), F.col("turn")), "'pt_' || substring(sha256(conv_id || ':part:' || turn), 1, 20)")
+_add("fn_lineage_of", "events", "event_id", lambda: S.lineage_of(F.concat(_cat("=jobs_u", "user_id", "=_"), F.date_format("ts", "yyMMddHHmmss"), F.substring(F.md5(F.col("event_id").cast("string")), 1, 4))), "'jobs_u' || user_id")
+_add("fn_case_references", "documents", "doc_id", lambda: _list(S.case_references(F.concat(F.col("text"), F.lit(" 见（2021）京01民终"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit("号和〔2020〕"), (F.col("doc_id") % 100).cast("string"), F.lit(" 号。")))), "'〔2020〕' || (doc_id % 100) || ' 号|（2021）京01民终' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || '号'", _TEXT)
+_add("fn_canonical_json", "documents", "doc_id", lambda: S.canonical_json(source=F.col("source"), id=F.col("doc_id"), chars=F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")), lang=F.concat(F.lit('"\\'), F.col("lang"))), """'{"chars":' || CASE WHEN doc_id % 2 = 0 THEN n_chars::VARCHAR ELSE 'null' END || ',"id":' || doc_id || ',"lang":"\\"\\\\' || lang || '","source":"' || source || '"}'""", "lang IS NOT NULL AND source IS NOT NULL")
+_add("fn_json_list", "documents", "doc_id", lambda: F.sha2(F.array_join(S.json_list(F.when(F.col("doc_id") % 5 == 4, F.substring("text", 1, 9)).otherwise(F.to_json(F.split("text", " ")))), " "), 256), "sha256(CASE WHEN doc_id % 5 = 4 THEN '' ELSE text END)", "text IS NOT NULL AND substring(text, 1, 1) <> '['")
+
+# Times, numbers and rules.
+_add("fn_written_date", "events", "event_id", lambda: S.written_date(F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM")).otherwise(F.concat(F.lit("Received  "), F.date_format("ts", "MMMM d, yyyy"), F.lit("; accepted")))), "CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END")
+_add("fn_json_kind", "events", "event_id", lambda: F.coalesce(S.json_kind(F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.to_json(F.struct(F.col("event_type").alias("k")))).when(F.col("event_id") % 4 == 2, F.to_json(F.struct(F.array("user_id").alias("k")))).otherwise(F.to_json(F.struct("user_id"))), "$.k"), F.lit("none")), "['integer', 'text', 'array', 'none'][(event_id % 4 + 1)::INT]")
+_add("fn_backoff", "events", "event_id", lambda: S.backoff((F.col("user_id") % 40 + 1).cast("int"), 30, 3600).cast("long"), "least(3600, 30 * (2 ** least(user_id % 40, 20)))::BIGINT")
+_add("fn_effective_timeout", "orders", "o_orderkey", lambda: S.effective_timeout(F.lit(60), F.col("o_custkey") % 40, F.floor("o_totalprice") % 7200, F.when(F.col("o_orderkey") % 3 == 0, F.lit(900))), "(SELECT CASE WHEN p = 0 OR t <= 0 THEN 60 WHEN o_orderkey % 3 = 0 THEN least(greatest(60, ceil(t / 60.0) * p), 900) ELSE greatest(60, ceil(t / 60.0) * p) END::BIGINT FROM (SELECT o_custkey % 40 AS p, floor(o_totalprice)::BIGINT % 7200 AS t))")
+_add("fn_hash_band", "events", "event_id", lambda: S.hash_band(F.col("event_id") * 123456789, (F.col("event_id") + F.col("user_id") % 5) * 123456789), "(SELECT CASE WHEN n <= 6 THEN 'duplicate' WHEN n <= 10 THEN 'gray' ELSE 'different' END FROM (SELECT bit_count(xor(event_id * 123456789, (event_id + user_id % 5) * 123456789)) AS n))")
+_add("fn_progress", "orders", "o_orderkey", lambda: S.progress(F.col("o_custkey") % 9, F.col("o_custkey") % 9 + F.col("o_orderkey") % 8), "CASE WHEN o_custkey % 9 + o_orderkey % 8 = 0 THEN 0 ELSE round_even(100.0 * (o_custkey % 9) / (o_custkey % 9 + o_orderkey % 8), 0)::BIGINT END")
+_rules = [{"exists": "input/*.srt", "when": "skip"}, {"if_flag": "fast", "when": "skip"}, {"exists": "input/*.ass"}, {"when": "skip"}]
+_add("fn_rules", "events", "event_id", lambda: S.first_rule(_rules, {"input/*.srt": F.col("event_type") == "view", "input/*.ass": F.col("user_id") % 2 == 0}, {"fast": F.col("event_id") % 3 == 0}), "CASE WHEN event_type = 'view' THEN false WHEN event_id % 3 = 0 THEN false ELSE user_id % 2 = 0 END")
+
+# Facts of claims.
+_LINE = "l_orderkey, l_linenumber"
+_add("fn_fact_quantities", "lineitem", _LINE, lambda: _list(X.quantities(F.concat(F.lit("sold "), _whole("l_quantity"), F.lit(" kg at $"), F.format_number(F.floor("l_extendedprice"), 0), F.lit(", in "), _whole("l_linenumber"), F.lit(" hours, −"), _whole("l_suppkey"), F.lit("％ of 3 sheep")))), "l_quantity::BIGINT || 'kg|' || floor(l_extendedprice)::BIGINT || 'usd|' || l_linenumber || 'h|-' || l_suppkey || '%|3unknown:sheep'")
+_add("fn_fact_tokens", "lineitem", _LINE, lambda: F.concat_ws(";", *(lambda c: (X.negations(c).cast("string"), _list(X.ranges(c)), _list(X.polarity(c)), _list(X.subjects(c))))(F.concat(F.when(F.col("l_returnflag") == "R", F.lit("It did not fail, growth is at least 3, ")).when(F.col("l_returnflag") == "A", F.lit("between 3 and 4, less than 5, ")).otherwise(F.lit("没有超过, ")), F.lit("model L"), _whole("l_linenumber")))), "CASE l_returnflag WHEN 'R' THEN '2;>=;fail|increase;l' WHEN 'A' THEN '0;<|between;;l' ELSE '1;>;absent;l' END || l_linenumber")
+_add("fn_conflicts", "lineitem", _LINE, lambda: _list(X.conflicts(F.concat(F.lit("weighs "), _whole("l_quantity"), F.lit(" kg")), F.concat(F.lit("weighs "), _whole("l_linenumber"), F.when(F.col("l_returnflag") == "R", F.lit(" kg and no more")).otherwise(F.lit(" kg"))))), "concat_ws('|', CASE WHEN l_returnflag = 'R' THEN 'negation' END, CASE WHEN l_quantity <> l_linenumber THEN 'quantity' END)")
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    function, samples = TRUTHS[name]
+    table, keys, value, _, where = FUNCTIONS[name]
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        nth = (F.pmod("doc_id", F.lit(len(samples))) + 1).cast("int")
-        columns = [F.element_at(F.array(*(F.lit(x[k]) for x in samples)), nth) for k in range(len(samples[0]) - 1)]
-        return load(s, d, "documents").select("doc_id", function(*columns).alias("value"))
+        return load(s, d, table).filter(where).select(*keys.split(", "), value().alias("value"))
 
     return run
 
 
-def _sql(name: str) -> str:
-    right = ", ".join("'" + x[-1].replace("'", "''") + "'" for x in TRUTHS[name][1])
-    return f"SELECT doc_id, [{right}][(doc_id % {len(TRUTHS[name][1])} + 1)::INT] AS value FROM documents"
+def newest_notes(s: SparkSession, d: str) -> DataFrame:
+    """Documents as files of generated notes: of each provider and model the newest file, and how many there are."""
+    file = F.concat(F.lit("out/notes_smart_"), F.col("lang"), F.lit("_"), F.col("source"), F.lit("_2024010"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("-"), F.lpad((F.col("doc_id") % 240000).cast("string"), 6, "0"), F.lit(".md"))
+    rows = load(s, d, "documents").filter("lang is not null and source is not null").select(file.alias("file"), S.note_version(file).alias("v")).filter("v is not null")
+    return rows.groupBy("v.provider", "v.model").agg(F.max_by("file", "v.version").alias("file"), F.count_distinct("v.version").alias("versions"))
 
 
-QUERIES = {name: _query(name) for name in TRUTHS}
-ORACLES = {name: _sql(name) for name in TRUTHS}
+QUERIES = {name: _query(name) for name in FUNCTIONS} | {"newest_notes": newest_notes}
+ORACLES = {name: f"SELECT {keys}, {sql} AS value FROM {table} WHERE {where}" for name, (table, keys, _, sql, where) in FUNCTIONS.items()} | {
+    "newest_notes": "WITH f AS (SELECT lang, source, '2024010' || (doc_id % 9 + 1) || '-' || lpad((doc_id % 240000)::VARCHAR, 6, '0') AS v FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) SELECT lang AS provider, source AS model, 'out/notes_smart_' || lang || '_' || source || '_' || max(v) || '.md' AS file, count(DISTINCT v) AS versions FROM f GROUP BY lang, source",
+}
