@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.operators import analytics, ask, graph, joins, kernel, maintenance, packing, relational, search, study, textops
+from marlstone.operators import analytics, ask, graph, joins, kernel, linkage, maintenance, packing, projection, relational, search, study, textops
 from marlstone.sources import adapters, feeds, html, layout, subtitles
 from marlstone.streaming import state, windows, work
 
-MODULES = (search, relational, analytics, graph, joins, kernel, maintenance, packing, study, ask, textops, subtitles, html, feeds, adapters, layout, windows, state, work)
+MODULES = (search, relational, analytics, graph, projection, joins, linkage, kernel, maintenance, packing, study, ask, textops, subtitles, html, feeds, adapters, layout, windows, state, work)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
