@@ -91,11 +91,12 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages, and the log of each trigram bin's probability in each; docs: text and lang."""
-    schema = "lang string, slice int, counts binary"
-    got = docs.filter("lang is not null and text is not null").select("text", "lang").mapInArrow(_count, schema).repartition(SLICES * 4, "lang", "slice").mapInArrow(_add, schema).limit((MOST_LANGUAGES + 1) * SLICES).toPandas()
-    langs = sorted(set(got.lang))
-    if len(langs) > MOST_LANGUAGES:
+    schema, rows = "lang string, slice int, counts binary", docs.filter("lang is not null and text is not null").select("text", "lang")
+    # before any worker holds counts of each of them
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn: join those that are one, or learn from fewer rows")
+    got = rows.mapInArrow(_count, schema).repartition(SLICES * 4, "lang", "slice").mapInArrow(_add, schema).toPandas()
+    langs = sorted(set(got.lang))
     n = np.zeros((len(langs), SLICES, BUCKETS // SLICES))
     for lang, k, counts in got.itertuples(index=False):
         n[langs.index(lang), k] += np.frombuffer(counts, "<i8")
