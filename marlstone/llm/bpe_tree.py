@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, table
+from marlstone.llm.common import chunks, keeps, table
 
 #: Pre-tokens whose ids a Python worker remembers at most.
 KNOWN_PIECES = 400_000
@@ -142,9 +142,12 @@ def vocabulary(path: str) -> SegmentTreeBpe:
     return SegmentTreeBpe(path)
 
 
+keeps(__name__, vocabulary.cache_clear)
+
+
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = vocabulary(path)
-    for batch, data, at in chunks(batches):
+    for batch, data, at in chunks(batches, user=__name__):
         raw = data.tobytes()
         split = [bpe.pieces(raw[a:b].decode()) for a, b in zip(at[:-1], at[1:], strict=True)]
         bpe.learn([p for x in split for p in x if p not in bpe.added])
@@ -162,7 +165,7 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = vocabulary(path)
-    for batch, data, at in chunks(batches):
+    for batch, data, at in chunks(batches, user=__name__):
         raw = data.tobytes()
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bpe.encode(raw[a:b].decode()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 

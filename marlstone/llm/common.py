@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.shared import drop, shared_dir, shared_path, written
 
-__all__ = ["bucket_of", "chunks", "distinct", "drop", "give_back", "mixed", "numbered", "shared_dir", "shared_path", "table", "word_hashes", "written"]
+__all__ = ["bucket_of", "chunks", "distinct", "drop", "give_back", "handed_back", "keeps", "mixed", "numbered", "shared_dir", "shared_path", "table", "word_hashes", "written"]
 
 #: Text that a Python worker works on at a time; bounds its memory whatever the batch size.
 CHUNK_BYTES = 1 << 19
@@ -29,9 +30,21 @@ def bucket_of(col: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % modulus, F.lit(0))
 
 
-def give_back() -> None:
+#: What operators keep in a worker from task to task, by operator, and how it is let go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(user: str, let_go: Callable[[], None]) -> None:
+    """An operator keeps something in its workers; it is let go when another operator's work begins there."""
+    _KEPT[user] = let_go
+
+
+def give_back(user: str = "") -> None:
     """Hand memory that this worker holds but doesn't use back to the machine. Workers go on from stage to
-    stage, and what one stage needed at most would else stay with them."""
+    stage, and what one stage needed at most, or another operator keeps, would else stay with them."""
+    for other, let_go in _KEPT.items():
+        if other != user:
+            let_go()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -39,10 +52,24 @@ def give_back() -> None:
         pass
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of about limit bytes of text (one text at least), each with the UTF-8
-    bytes of its texts and the n + 1 places where they begin and end. A null text is empty."""
+def _then_back(batches: Iterator[pa.RecordBatch], run: Callable) -> Iterator[pa.RecordBatch]:
     give_back()
+    try:
+        yield from run(batches)
+    finally:
+        give_back()
+
+
+def handed_back(run: Callable) -> Callable:
+    """run over a task's batches, with memory handed back before and after."""
+    return partial(_then_back, run=run)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, user: str = "") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about limit bytes of text (one text at least), each with the UTF-8
+    bytes of its texts and the n + 1 places where they begin and end. A null text is empty. user names the
+    operator whose work this is (see keeps)."""
+    give_back(user)
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
         n = len(texts)
@@ -56,6 +83,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+        del batch, texts, at, data
+    give_back(user)
 
 
 def numbered(docs: DataFrame, *more: Column) -> DataFrame:

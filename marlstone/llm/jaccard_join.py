@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, distinct, drop, give_back, mixed, numbered, table, word_hashes, written
+from marlstone.llm.common import chunks, distinct, drop, give_back, handed_back, mixed, numbered, table, word_hashes, written
 from marlstone.operators.graph import components
 
 SHINGLE = 3
@@ -281,7 +281,7 @@ def _postings(docs: DataFrame, levels, size: int, percent: int, total: int, bits
     crowded = math.ceil(math.log2(4 * total / (1 << bits) + 64) * 4)
     emitted = written(docs.mapInArrow(_with(_emit, levels, size=size, percent=percent, crowded=crowded, slices=slices), _EMITTED), "emitted")
     sets = emitted.filter(f"kind = {_CLASS}").groupBy(F.col("y").alias("c")).agg(F.min("x").alias("owner"), F.min("z").alias("n"), F.min("w").alias("counted"))
-    counts = emitted.filter(f"kind = {_TOKENS}").select("x", "y", "blob").repartition(slices, "x").sortWithinPartitions("x").mapInArrow(_shared, "owner long, token long, held long")
+    counts = emitted.filter(f"kind = {_TOKENS}").select("x", "y", "blob").repartition(slices, "x").sortWithinPartitions("x").mapInArrow(handed_back(_shared), "owner long, token long, held long")
     w = Window.partitionBy("owner")
     place = F.col("counted") - F.count("*").over(w) + F.row_number().over(w.orderBy("held", "token")) - 1
     prefix = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
@@ -343,14 +343,14 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs.join(p.select(F.col("c").alias("a"), F.col("prefixes").alias("pa")), "a")
         .join(p.select(F.col("c").alias("b"), F.col("prefixes").alias("pb")), "b")
         .select("a", "b", "pa", "pb")
-        .mapInArrow(_share, "a long, b long")
+        .mapInArrow(handed_back(_share), "a long, b long")
     )
     g = sets.select("c", "rep", "grams")
     return (
         pairs.join(g.select(F.col("c").alias("a"), F.col("rep").alias("ra"), F.col("grams").alias("ga")), "a")
         .join(g.select(F.col("c").alias("b"), F.col("rep").alias("rb"), F.col("grams").alias("gb")), "b")
         .select("ra", "rb", "ga", "gb")
-        .mapInArrow(partial(_verify, percent=percent), "a long, b long")
+        .mapInArrow(handed_back(partial(_verify, percent=percent)), "a long, b long")
         .filter("a <> b")
         .distinct()
     )
@@ -376,7 +376,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     representatives (least doc_ids) of classes of equal sets. bits and slice_tokens only change the work."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     summaries = written(docs.mapInArrow(partial(_summaries, size=size, bits=bits), "doc_id long, n long, d1 long, d2 long, slice int, counts binary"), "summaries")
-    got = summaries.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(partial(_levels, bits=bits), "slice int, levels binary").toPandas()
+    got = summaries.filter("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(handed_back(partial(_levels, bits=bits)), "slice int, levels binary").toPandas()
     levels = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for k, x in got.itertuples(index=False):
         levels[k] = np.frombuffer(x, np.uint8)

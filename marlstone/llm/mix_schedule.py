@@ -149,7 +149,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts, taken = mix(kept, id_col=id_, text_col=text, source_col=source, row_col="row")
     rounds = [F.sum(F.when(F.col("round") == k, F.col("n"))).alias(f"t{k}") for k in range(MOST)]
     passes = facts.select("row", "size").join(taken.groupBy("row").agg(*rounds), "row").select("row", "size", F.array(*(f"t{k}" for k in range(MOST))).alias("passes"))
-    rows = kept.join(passes, "row")
+    rows = kept.join(passes.hint("merge"), "row")
     rows = rows.withColumn("taken", F.explode("passes")).filter("taken > 0")
     white = r"[\x20\x09-\x0D]"
     pieces = F.split(F.regexp_replace(text, f"^{white}+", ""), f"(?<={white})(?={white.replace('[', '[^')})")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.byte_words import Remembered, byte_level, bytes_of, letters_of, units
-from marlstone.llm.common import chunks, table
+from marlstone.llm.common import chunks, keeps, table
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -97,6 +97,9 @@ def vocabulary(path: str, pattern: str) -> RankBpe:
     return RankBpe(path, pattern)
 
 
+keeps(__name__, vocabulary.cache_clear)
+
+
 def _texts(data: np.ndarray, at: np.ndarray) -> list[bytes]:
     raw = data.tobytes()
     return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -104,7 +107,7 @@ def _texts(data: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe, ints = vocabulary(path, pattern), pa.list_(pa.int32())
-    for batch, data, at in chunks(batches):
+    for batch, data, at in chunks(batches, user=__name__):
         texts = _texts(data, at)
         ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode([t.decode() for t in texts])]
         places = [bpe.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
@@ -128,7 +131,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
 
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = vocabulary(path, pattern)
-    for batch, data, at in chunks(batches):
+    for batch, data, at in chunks(batches, user=__name__):
         ids = bpe.encode([t.decode() for t in _texts(data, at)])
         n = [len(x) // 4 for x in ids]
         ids_hash = [hashlib.sha256(x).hexdigest() for x in ids]

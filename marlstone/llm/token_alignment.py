@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.byte_words import Remembered, byte_level, bytes_of, units
-from marlstone.llm.common import chunks, give_back, table, written
+from marlstone.llm.common import chunks, give_back, keeps, table, written
 
 #: Space-led units of a segment, tokens that a sweep takes at a time, and pairs that a task sums at a time.
 SEGMENT, SWEEP, SUMMED = 4096, 1 << 18, 1 << 21
@@ -141,10 +141,18 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+def _let_go() -> None:
+    for kept in (aligner, _side_a, _side_b):
+        kept.cache_clear()
+
+
+keeps(__name__, _let_go)
+
+
 def _events(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     """The packed events; of a document without tokens one row of side -1."""
     both = aligner(*paths)
-    for batch, data, at in chunks(batches):
+    for batch, data, at in chunks(batches, user=__name__):
         raw, copies = data.tobytes(), {}
         for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
             key = doc_id, raw[a:b]
@@ -199,7 +207,7 @@ def grouped(ids_a: np.ndarray, ids_b: np.ndarray, upto_a: np.ndarray, upto_b: np
 def _swept(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     """Of a partition's events in order: a row with the linked pairs of each segment, and after a
     document's last segment a row with its counts and the digest of its groups."""
-    give_back()
+    give_back(__name__)
     both = aligner(*paths)
     pairs = len(both.bytes_a) * len(both.bytes_b)
     state: list = []  # of the document at hand: key, copies, n_a, n_b, n_groups, n_links, sha256
@@ -299,7 +307,7 @@ def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    give_back()
+    give_back(__name__)
     kind = aligner(*paths).code
     codes, times, held, size = [], [], 0, 0
     row = lambda c, n: pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["pair", "n"])
@@ -324,7 +332,7 @@ _SCORED = "doc_id long, digest binary, pair long, times long, n_best long, count
 
 def _scored(batches: Iterator[pa.RecordBatch], paths: tuple[str, str], heavy) -> Iterator[pa.RecordBatch]:
     """Of each segment, sums over its frequent pairs (under a pair below 0) and its other pairs as rows."""
-    give_back()
+    give_back(__name__)
     kind, (known, count, best) = aligner(*paths).code, heavy.value
     for batch in batches:
         out: list[list[np.ndarray]] = []

@@ -28,7 +28,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, shared_path, table
+from marlstone.llm.common import chunks, keeps, shared_path, table
 
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
@@ -109,6 +109,9 @@ def encoded(words: list[bytes], path: str) -> dict[bytes, bytes]:
     return known
 
 
+keeps(__name__, _known.clear)
+
+
 def lowered(texts: bytes) -> bytes:
     """A-Z lowered, as the model does anyway, so that fewer words are new; not where that could change ids: a
     letter with a combining mark composes before it is lowered, and names of special tokens are as they are."""
@@ -119,7 +122,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     """The tokenizer splits at white space first and keeps none of it, so that the ids of a text are
     those of its words one after another, and a word needs encoding only once."""
     part, total, end = pyspark.TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-    for batch, data, at in chunks(batches):
+    for batch, data, at in chunks(batches, user=__name__):
         texts = lowered(data.tobytes())
         words = [texts[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)]
         get = encoded([w for x in words for w in x], path).__getitem__

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bucket_of, chunks, drop, numbered, table, written
+from marlstone.llm.common import bucket_of, chunks, drop, give_back, numbered, table, written
 
 SIZES = (3, 4, 5, 6)
 BUCKETS, SLICES = 1 << 20, 32
@@ -42,7 +42,7 @@ LEAST_BYTES = 64
 #: A label's part of the sample at least.
 LEAST_SHARE = 1 / 16
 #: Features that a step works on at a time.
-STRIDE = 1 << 21
+STRIDE = 1 << 19
 #: Bytes of a long text that are looked at together, and portions in which the sample comes to the driver.
 PIECE, PORTIONS = 1 << 19, 8
 THRESHOLD = 0.3
@@ -123,10 +123,40 @@ def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, at in chunks(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([*_present(data, at)], pa.list_(pa.int32()))], ["toxic", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([np.sort(x) for x in _present(data, at)], pa.list_(pa.int32()))], ["toxic", "features"])
 
 
-def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: float = L2, steps: int = 60) -> np.ndarray:
+#: Parts of the bins' numbers by their bits above the lowest sixteen.
+_HIGH = BUCKETS >> 16
+
+
+class Rows:
+    """Ascending features of rows in two bytes each: their lowest sixteen bits, and of each row how many
+    there are of every higher part. at: n + 1 row starts; what is asked for must begin and end with rows."""
+
+    def __init__(self, at: np.ndarray):
+        self.at, self.low, self.counts = at, np.empty(at[-1], np.uint16), np.zeros((len(at) - 1, _HIGH), np.uint32)
+
+    def __getitem__(self, asked: slice) -> np.ndarray:
+        a, b = np.searchsorted(self.at, [asked.start, asked.stop])
+        high = np.repeat(np.tile(np.arange(_HIGH, dtype=np.int32) << 16, b - a), self.counts[a:b].ravel())
+        return high | self.low[asked]
+
+    def __setitem__(self, asked: slice, features: np.ndarray) -> None:
+        a, b = np.searchsorted(self.at, [asked.start, asked.stop])
+        self.low[asked] = features & 0xFFFF
+        part = np.repeat(np.arange(b - a), np.diff(self.at[a : b + 1])) * _HIGH + (features >> 16)
+        self.counts[a:b] = np.bincount(part, minlength=(b - a) * _HIGH).reshape(-1, _HIGH)
+
+    def spans(self) -> list[slice]:
+        """Whole rows, about STRIDE features at a time."""
+        cuts = [0]
+        while cuts[-1] < len(self.at) - 1:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(self.at, self.at[cuts[-1]] + STRIDE, "right")) - 1))
+        return [slice(int(self.at[a]), int(self.at[b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def fit(at: np.ndarray, feature: np.ndarray | Rows, y: np.ndarray, r: np.ndarray, l2: float = L2, steps: int = 60) -> np.ndarray:
     """Weights and, last, the bias of the logistic regression on r-scaled presences. at: n + 1 row starts."""
     m, cuts, i = len(r), [0], 0
     while i < len(y):  # whole rows, about STRIDE features at a time
@@ -143,22 +173,26 @@ def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: f
         grad = np.zeros(m)
         for a, b, n in spans:
             grad += np.bincount(feature[at[a] : at[b]], np.repeat((p - y)[a:b], n), m)
-        grad = np.append(r * grad + l2 * w[:-1], (p - y).sum())
-        return float(np.logaddexp(0, s).sum() - (y * s).sum() + l2 / 2 * (w[:-1] ** 2).sum()), grad
+        grad *= r
+        np.multiply(w[:-1], l2, out=v)
+        grad += v
+        return float(np.logaddexp(0, s).sum() - (y * s).sum() + l2 / 2 * (w[:-1] @ w[:-1])), np.append(grad, (p - y).sum())
 
     w = np.zeros(m + 1)
     w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     f, g = loss(w)
-    past: list[tuple[np.ndarray, np.ndarray]] = []
+    # steps taken and what they changed of the gradient, in single precision: they shape the next step alone
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    scale = 1 / max(1.0, np.linalg.norm(g))
     for _ in range(steps):
         q, back = g.copy(), []
-        for s, d in reversed(past):
-            a = s @ q / (s @ d)
-            q -= a * d
+        for s, d, both in reversed(past):
+            a = float(s @ q) / both
+            q -= np.float32(a) * d
             back.append(a)
-        q *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.linalg.norm(g))
-        for (s, d), a in zip(past, reversed(back), strict=True):
-            q += s * (a - d @ q / (s @ d))
+        q *= scale
+        for (s, d, both), a in zip(past, reversed(back), strict=True):
+            q += s * np.float32(a - float(d @ q) / both)
         t = 1.0
         while True:
             new_f, new_g = loss(w - t * q)
@@ -166,8 +200,10 @@ def fit(at: np.ndarray, feature: np.ndarray, y: np.ndarray, r: np.ndarray, l2: f
                 break
             t /= 2
         s, d = -t * q, new_g - g
-        if s @ d > 1e-12:
-            past = [*past[-4:], (s, d)]
+        if (both := float(s @ d)) > 1e-12:
+            scale = both / float(d @ d)
+            past = [*past[-4:], (s.astype(np.float32), d.astype(np.float32), both)]
+        del s, d
         done = abs(f - new_f) < 1e-7 * max(1, abs(f))
         w, f, g = w - t * q, new_f, new_g
         if done:
@@ -227,35 +263,42 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
     if not 0 < y.sum() < len(y):
         return r, float(np.log(n1 / n0))
     # only bins that the sample holds get a weight, so the fit's vectors are no longer than that
-    held = np.flatnonzero(np.bincount(feature, minlength=BUCKETS))
+    there = np.zeros(BUCKETS, bool)
+    for span in feature.spans():
+        there[feature[span]] = True
+    held = np.flatnonzero(there)
     number = np.zeros(BUCKETS, np.int32)
     number[held] = np.arange(len(held))
-    for k in range(0, len(feature), STRIDE):
-        feature[k : k + STRIDE] = number[feature[k : k + STRIDE]]
+    for span in feature.spans():
+        feature[span] = number[feature[span]]
     w = fit(at, feature, y, r[held])
+    del feature, number
     weight = np.zeros(BUCKETS)
     weight[held] = w[:-1] * r[held]
+    give_back()
     return weight, float(w[-1] + np.log(n1 / n0) - np.log(y.sum() / (len(y) - y.sum())))
 
 
-def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, row starts and features of the sample, in one array that is filled portion by portion."""
+def _gathered(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, Rows]:
+    """Labels, row starts and features of the sample, filled portion by portion."""
     found = rows.mapInArrow(_features, "toxic int, features array<int>")
     found = written(found.withColumn("portion", F.pmod(F.xxhash64("features"), F.lit(PORTIONS)).cast("int")), "features")
-    total = found.agg(F.sum(F.size("features").cast("long"))).first()[0] or 0
-    feature, k, labels, sizes = np.empty(total, np.int32), 0, [], []
+    n, total = found.agg(F.count("*"), F.coalesce(F.sum(F.size("features").cast("long")), F.lit(0))).first()
+    at, labels, k, i = np.full(n + 1, total, np.int64), [], 0, 0
+    at[0] = 0
+    feature = Rows(at)
     for portion in range(PORTIONS):
-        part = found.filter(F.col("portion") == portion).select("toxic", "features").toArrow()
-        labels.append(part.column("toxic").to_numpy())
-        for c in part.column("features").chunks:
-            sizes.append(np.diff(c.offsets.to_numpy()))
+        got = found.filter(F.col("portion") == portion).select("toxic", "features").toArrow()
+        labels.append(got.column("toxic").to_numpy())
+        for c in got.column("features").chunks:
             values = c.flatten().to_numpy()
+            at[i + 1 : i + 1 + len(c)] = k + np.cumsum(np.diff(c.offsets.to_numpy()))
             feature[k : k + len(values)] = values
-            k += len(values)
-        del part
+            k, i = k + len(values), i + len(c)
+        del got
         pa.default_memory_pool().release_unused()
     drop(found)
-    return np.concatenate(labels).astype(float), np.append(0, np.cumsum(np.concatenate([np.empty(0, np.int64), *sizes]))), feature
+    return np.concatenate(labels).astype(float), at, feature
 
 
 def _two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

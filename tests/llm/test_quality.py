@@ -228,3 +228,16 @@ def test_long_texts_piece_by_piece(monkeypatch):
     whole = next(T._present(text, np.array([0, len(text)])))
     monkeypatch.setattr(T, "PIECE", 1000)
     assert sorted(whole.tolist()) == next(T._present(text, np.array([0, len(text)]))).tolist()
+
+
+def test_packed_rows_give_what_was_put_in(monkeypatch):
+    monkeypatch.setattr(T, "STRIDE", 7)
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(T.BUCKETS, size=n, replace=False)) for n in (0, 3, 9, 0, 0, 1, 20, 0)]
+    at = np.append(0, np.cumsum([len(x) for x in rows]))
+    packed, whole = T.Rows(at), np.concatenate(rows)
+    for span in packed.spans():
+        packed[span] = whole[span]
+    assert np.concatenate([packed[s] for s in packed.spans()]).tolist() == whole.tolist()
+    assert packed[slice(0, int(at[-1]))].tolist() == whole.tolist()
+    assert T.Rows(np.array([0])).spans() == []
