@@ -272,6 +272,20 @@ def strict_time(c: Column) -> Column:
     return F.when(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?" + _ZONE), lenient_time(c))
 
 
+def julian_day(c: Column) -> Column:
+    """An instant as days of the Julian calendar's count, with their fractions."""
+    return F.unix_micros(c.cast("timestamp")) / 86_400_000_000 + 2440587.5
+
+
+def days_apart(a: Column, b: Column) -> Column:
+    return F.abs(julian_day(a) - julian_day(b))
+
+
+def projected(c: Column, fields: str) -> Column:
+    """JSON with the named fields alone (a schema, nested as it may be); null where the text is no object."""
+    return F.to_json(F.from_json(c, fields))
+
+
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 

@@ -78,6 +78,9 @@ _add("fn_progress", "orders", "o_orderkey", lambda: S.progress(F.col("o_custkey"
 _rules = [{"exists": "input/*.srt", "when": "skip"}, {"if_flag": "fast", "when": "skip"}, {"exists": "input/*.ass"}, {"when": "skip"}]
 _add("fn_rules", "events", "event_id", lambda: S.first_rule(_rules, {"input/*.srt": F.col("event_type") == "view", "input/*.ass": F.col("user_id") % 2 == 0}, {"fast": F.col("event_id") % 3 == 0}), "CASE WHEN event_type = 'view' THEN false WHEN event_id % 3 = 0 THEN false ELSE user_id % 2 = 0 END")
 
+_add("fn_days_apart", "events", "event_id", lambda: F.round(S.days_apart(F.col("ts"), F.lit("2024-01-15 12:00:00").cast("timestamp")), 5), "round(abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')) / 86400000000.0::DOUBLE, 5)")
+_add("fn_json_projection", "documents", "doc_id", lambda: S.projected(F.to_json(F.struct("n_chars", F.col("doc_id").alias("id"), F.struct("source", "lang", F.array("lang").alias("more")).alias("meta"))), "id BIGINT, meta STRUCT<lang: STRING>, none INT"), """'{"id":' || doc_id || ',"meta":{"lang":"' || lang || '"}}'""", "lang IS NOT NULL")
+
 # Facts of claims.
 _LINE = "l_orderkey, l_linenumber"
 _add("fn_fact_quantities", "lineitem", _LINE, lambda: _list(X.quantities(F.concat(F.lit("sold "), _whole("l_quantity"), F.lit(" kg at $"), F.format_number(F.floor("l_extendedprice"), 0), F.lit(", in "), _whole("l_linenumber"), F.lit(" hours, −"), _whole("l_suppkey"), F.lit("％ of 3 sheep")))), "l_quantity::BIGINT || 'kg|' || floor(l_extendedprice)::BIGINT || 'usd|' || l_linenumber || 'h|-' || l_suppkey || '%|3unknown:sheep'")
@@ -101,7 +104,20 @@ def newest_notes(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("v.provider", "v.model").agg(F.max_by("file", "v.version").alias("file"), F.count_distinct("v.version").alias("versions"))
 
 
-QUERIES = {name: _query(name) for name in FUNCTIONS} | {"newest_notes": newest_notes}
+def window_rechecked(s: SparkSession, d: str) -> DataFrame:
+    """Events of two days, their times as texts with a zone, in UTC, or without one, which is none: first those
+    of a window a second wider at both ends, by days, then exactly."""
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 3
+    text = F.when(k == 0, F.concat(F.date_format(F.timestamp_micros(F.unix_micros(ts) + 7_200_000_000), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(k == 1, "Z").otherwise("")))
+    low, high = (F.lit(x).cast("timestamp") for x in ("2024-01-10 00:00:00", "2024-01-12 00:00:00"))
+    rows = load(s, d, "events").select("event_id", S.strict_time(text).alias("at"), S.julian_day(ts).alias("day"))
+    second = 1 / 86400
+    wide = rows.filter((F.col("day") >= S.julian_day(low) - second) & (F.col("day") < S.julian_day(high) + second))
+    return wide.filter((F.col("at") >= low) & (F.col("at") < high)).select("event_id")
+
+
+QUERIES = {name: _query(name) for name in FUNCTIONS} | {"newest_notes": newest_notes, "window_rechecked": window_rechecked}
 ORACLES = {name: f"SELECT {keys}, {sql} AS value FROM {table} WHERE {where}" for name, (table, keys, _, sql, where) in FUNCTIONS.items()} | {
+    "window_rechecked": "SELECT event_id FROM events WHERE event_id % 3 <> 2 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'",
     "newest_notes": "WITH f AS (SELECT lang, source, '2024010' || (doc_id % 9 + 1) || '-' || lpad((doc_id % 240000)::VARCHAR, 6, '0') AS v FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) SELECT lang AS provider, source AS model, 'out/notes_smart_' || lang || '_' || source || '_' || max(v) || '.md' AS file, count(DISTINCT v) AS versions FROM f GROUP BY lang, source",
 }
