@@ -84,7 +84,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
         del batch, texts, at, data
-    give_back(user)
+    if not user:  # who keeps something needs the memory again at once
+        give_back()
 
 
 def numbered(docs: DataFrame, *more: Column) -> DataFrame:
