@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.operators import analytics, ask, graph, joins, kernel, languages, linkage, maintenance, packing, projection, relational, search, snippets, study, textops
-from marlstone.sources import adapters, feeds, html, layout, subtitles
+from marlstone.sources import adapters, feeds, html, layout, scholarly, subtitles
 from marlstone.streaming import state, windows, work
 
-MODULES = (search, snippets, relational, analytics, graph, projection, joins, linkage, kernel, languages, maintenance, packing, study, ask, textops, subtitles, html, feeds, adapters, layout, windows, state, work)
+MODULES = (search, snippets, relational, analytics, graph, projection, joins, linkage, kernel, languages, maintenance, packing, study, ask, textops, subtitles, html, scholarly, feeds, adapters, layout, windows, state, work)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
