@@ -143,18 +143,18 @@ def ask_passages(s: SparkSession, d: str) -> DataFrame:
 
 def ask_manifest(s: SparkSession, d: str) -> DataFrame:
     """Conversations as tasks, their turns as sources, some twice, some with a wrong digest."""
-    turns = load(s, d, "conversations").filter("text is not null and turn < 12")
-    rows = turns.unionByName(turns.filter("turn = 3").withColumn("turn", F.lit(50).cast("long")))
+    turns = load(s, d, "conversations").filter("text is not null")
+    rows = turns.unionByName(turns.filter("turn = 3").withColumn("turn", F.lit(10**6).cast("long")))
     digest = F.when(F.col("turn") == 5, F.lit("0" * 64)).when(F.col("turn") % 2 == 0, F.sha2(S.body_text(F.col("text")), 256))
     rows = rows.select("conv_id", "turn", F.lit("j").alias("job_id"), F.col("role").alias("note_type"), F.sha2(F.lit("a"), 256).alias("artifact_sha256"), digest.alias("body_sha256"), F.concat("text", F.lit("  \n")).alias("body"))
     return manifest(rows, "conv_id", "turn").select("conv_id", "index", "source_fingerprint", "error")
 
 
 def _answers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Items as tasks, with a source each of their text; answers that quote it, by number mod 6: rightly; a
+    """Items as tasks, with a source each of their text; answers that quote it whole, by number mod 6: rightly; a
     source that isn't there; a claim that isn't in it; a broken mark; no mark; a line more without one."""
     items = load(s, d, "benchmark").select("item_id", F.col("text").alias("body"), F.lit(1).alias("index"))
-    quote, k = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " "), F.col("item_id") % 6
+    quote, k = F.trim(F.regexp_replace("text", r"\s+", " ")), F.col("item_id") % 6
     answer = (
         F.when(k == 0, F.concat(F.lit("- **"), quote, F.lit("** [来源1]。"))).when(k == 1, F.concat(quote, F.lit(" [来源7]"))).when(k == 2, F.lit("unheard words [来源1]"))
         .when(k == 3, F.concat(quote, F.lit(" [来源1] and [来源x]"))).when(k == 4, quote).otherwise(F.concat(quote, F.lit(" [来源1]\n\nanother line\n--")))
@@ -171,12 +171,11 @@ def ask_citation_items(s: SparkSession, d: str) -> DataFrame:
 
 
 def note_evidence_ids(s: SparkSession, d: str) -> DataFrame:
-    """Turns as chunks with the ids of two words each; conversations as notes, five ids at most."""
-    words = F.slice(F.split("text", " "), 1, 2)
-    ids = F.transform(words, lambda w: F.concat(F.lit("ce_"), F.sha2(w, 256)))
+    """Turns as chunks with the ids of all their words; conversations as notes, twenty ids at most."""
+    ids = F.transform(F.split("text", " "), lambda w: F.concat(F.lit("ce_"), F.sha2(w, 256)))
     json = F.when(F.col("turn") % 6 == 5, F.lit("{broken")).otherwise(F.to_json(F.struct(F.array_append(ids, F.lit("ce_short")).alias("canonical_evidence_ids"))))
     rows = load(s, d, "conversations").filter("text is not null").select("conv_id", "turn", json.alias("evidence"))
-    return evidence_ids(rows, ["conv_id"], "turn", "evidence", 5).withColumn("place", F.col("place").cast("long"))
+    return evidence_ids(rows, ["conv_id"], "turn", "evidence", 20).withColumn("place", F.col("place").cast("long"))
 
 
 def glossary_queries(s: SparkSession, d: str) -> DataFrame:
@@ -206,7 +205,7 @@ x AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY same ORDER BY kind
 g AS (SELECT x.*, score FROM x JOIN s ON s.same = x.same WHERE valid AND nt <> '' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY score DESC, kind, nt, chunk_id) = 1)
 SELECT row_number() OVER (ORDER BY score DESC, job_id, kind, nt, chunk_id)::INT AS place, job_id, nt AS note_type, chunk_id, score, sha256(substring(text, 1, 4000)) AS digest FROM g ORDER BY score DESC, job_id, kind, nt, chunk_id LIMIT 12""",
     "ask_manifest": """
-WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL AND turn < 12 UNION ALL SELECT conv_id, 50, role, text FROM conversations WHERE text IS NOT NULL AND turn = 3),
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL UNION ALL SELECT conv_id, 1000000, role, text FROM conversations WHERE text IS NOT NULL AND turn = 3),
 n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), '\\s+$', ''), '^\\s+', '') AS body FROM t),
 f AS (SELECT conv_id, turn, sha256('{"artifact_sha256":"' || sha256('a') || '","body_sha256":"' || sha256(body) || '","job_id":"j","note_type":"' || role || '"}') AS fp FROM n)
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS index, fp AS source_fingerprint, CASE WHEN turn = 5 THEN 'body digest differs' WHEN row_number() OVER (PARTITION BY conv_id, fp ORDER BY turn) > 1 THEN 'duplicate source' END AS error FROM f""",
@@ -216,9 +215,9 @@ SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS
   CASE WHEN k IN (1, 4) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS source, CASE WHEN k IN (0, 5) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS claim, CASE k WHEN 4 THEN 0.0::DOUBLE WHEN 5 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS coverage FROM b""",
     "ask_citation_items": _ANSWERS + " SELECT item_id, CASE WHEN k = 1 THEN 7 ELSE 1 END AS index, CASE k WHEN 1 THEN 'unknown_source_index' WHEN 2 THEN 'unsupported_claim' WHEN 3 THEN 'unsupported_claim' END AS error FROM b WHERE k <> 4",
     "note_evidence_ids": """
-WITH w AS (SELECT conv_id, turn, unnest(list_slice(string_split(text, ' '), 1, 2)) AS w, generate_subscripts(list_slice(string_split(text, ' '), 1, 2), 1) AS p FROM conversations WHERE text IS NOT NULL AND turn % 6 <> 5),
-f AS (SELECT conv_id, w, min(turn * 10 + p) AS t0 FROM w GROUP BY ALL)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY t0) AS place, 'ce_' || sha256(w) AS id FROM f QUALIFY place <= 5""",
+WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM conversations WHERE text IS NOT NULL AND turn % 6 <> 5),
+f AS (SELECT conv_id, w, min((turn, p)) AS t0 FROM w GROUP BY ALL)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY t0) AS place, 'ce_' || sha256(w) AS id FROM f QUALIFY place <= 20""",
     "glossary_queries": f"""
 WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS query, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM benchmark),
 g AS (SELECT item_id, query, min(pos) AS pos FROM w WHERE length(query) >= 2 AND query NOT IN ({_STOPS}) GROUP BY ALL),

@@ -110,6 +110,6 @@ c AS (SELECT *, row_number() OVER (ORDER BY doc_id DESC) AS p FROM b WHERE nth <
 w AS (SELECT 0::BIGINT AS p, []::VARCHAR[] AS groups, 0::BIGINT AS chars, NULL::BIGINT AS doc_id, NULL::VARCHAR AS x, false AS cut, NULL::VARCHAR AS lang
   UNION ALL SELECT p, CASE WHEN take THEN list_append(groups, source) ELSE groups END, CASE WHEN take THEN chars + length(y) ELSE chars END, CASE WHEN take THEN id END, CASE WHEN take THEN y END, length(body) > length(y), lang
   FROM (SELECT *, len(groups) < 16 AND chars < 12000 AND len(list_filter(groups, lambda g: g IS NOT DISTINCT FROM source)) < 2 AND length(y) > 0 AS take FROM (SELECT c.p, w.groups, w.chars, c.source, c.lang, c.doc_id AS id, c.body, regexp_replace(substr(c.body, 1, least(1200, 12000 - w.chars)), '\s+$', '') AS y FROM w JOIN c ON c.p = w.p + 1))),
-o AS (SELECT doc_id, x, cut, row_number() OVER (ORDER BY p) - 1 AS place, sum(20 + strlen(coalesce(lang, '')) + strlen(x)) OVER (ORDER BY p) AS held FROM w WHERE doc_id IS NOT NULL)
+o AS (SELECT doc_id, x, cut, (row_number() OVER (ORDER BY p) - 1)::INT AS place, sum(20 + strlen(coalesce(lang, '')) + strlen(x)) OVER (ORDER BY p) AS held FROM w WHERE doc_id IS NOT NULL)
 SELECT place, doc_id, sha256(x) AS digest, cut AS truncated, held <= 9000 AS kept FROM o""",
 }

@@ -154,8 +154,8 @@ def beat_bucket_join(s: SparkSession, d: str) -> DataFrame:
 
 
 def member_lists(s: SparkSession, d: str) -> DataFrame:
-    """Orders of both parities with the same first two suppliers, in order."""
-    li = load(s, d, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", "l_suppkey", "l_linenumber")
+    """Orders of both parities with the same suppliers in the same order."""
+    li = load(s, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     return same_members(li.filter("l_orderkey % 2 = 0"), li.filter("l_orderkey % 2 = 1"), "l_orderkey", "l_suppkey", "l_linenumber").groupBy("a").agg(F.count("*").alias("partners"), F.min("b").alias("first"))
 
 
@@ -263,7 +263,7 @@ ORACLES = {
     "title_lookup": "SELECT doc_id, upper(source) AS title FROM documents WHERE source NOT IN ('src2', 'src5', 'src7')",
     "frame_texts": "SELECT conv_id, count(*) AS frames, count(CASE WHEN role = 'assistant' THEN length(text) END) AS texts, sum(CASE WHEN role = 'assistant' THEN length(text) END)::BIGINT AS chars FROM conversations GROUP BY conv_id",
     "beat_bucket_join": "SELECT a.conv_id, a.turn * 10 // 30 AS beat, a.turn AS asked, b.turn AS said FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn * 10 // 30 = b.turn * 10 // 30 WHERE a.role = 'user' AND b.role = 'assistant'",
-    "member_lists": "WITH l AS (SELECT l_orderkey AS k, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS m FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) SELECT a.k AS a, count(*) AS partners, min(b.k) AS first FROM l a JOIN l b ON a.m = b.m WHERE a.k % 2 = 0 AND b.k % 2 = 1 GROUP BY a.k",
+    "member_lists": "WITH l AS (SELECT l_orderkey AS k, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS m FROM lineitem GROUP BY 1) SELECT a.k AS a, count(*) AS partners, min(b.k) AS first FROM l a JOIN l b ON a.m = b.m WHERE a.k % 2 = 0 AND b.k % 2 = 1 GROUP BY a.k",
     "text_alignment": """
 WITH t AS (SELECT item_id AS id, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')), 'ß', 'ss') AS body FROM benchmark UNION ALL SELECT item_id + 1000000, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')), 'ß', 'ss') FROM benchmark WHERE item_id % 5 = 0),
 n AS (SELECT item_id AS id, replace(lower(trim(regexp_replace(CASE item_id % 4 WHEN 1 THEN upper(text) WHEN 2 THEN substring(text, 1, length(text) - 10) WHEN 3 THEN substring(text, 1, length(text) // 3) ELSE text END, '\\s+', ' ', 'g'), ' ')), 'ß', 'ss') AS needle FROM benchmark),

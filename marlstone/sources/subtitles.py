@@ -192,10 +192,12 @@ def cue_segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def timeline_beats(s: SparkSession, d: str) -> DataFrame:
-    """Turns of users as cues, of assistants as frames (their first letter as text on screen), the rest as comments."""
+    """Turns of users as cues, of assistants as two frames of their whole text a second
+    apart (every fourth without), the rest as comments."""
     rows = _timed(s, d)
-    cues, comments = rows.filter("role = 'user'").select("conv_id", "at", "text"), rows.filter("role not in ('user', 'assistant')").select("conv_id", "at", F.substring("text", 1, 20).alias("text"))
-    frames = rows.filter("role = 'assistant'").select("conv_id", "at", F.col("turn").cast("string").alias("name"), F.when(F.col("turn") % 4 != 0, F.substring("text", 1, 1)).otherwise("").alias("ocr"))
+    cues, comments = rows.filter("role = 'user'").select("conv_id", "at", "text"), rows.filter("role not in ('user', 'assistant')").select("conv_id", "at", "text")
+    frames = rows.filter("role = 'assistant'").select("conv_id", "at", F.col("turn").cast("string").alias("name"), F.when(F.col("turn") % 4 != 0, F.col("text")).otherwise("").alias("ocr"))
+    frames = frames.unionByName(frames.withColumns({"at": F.col("at") + 1, "name": F.concat("name", F.lit("b"))}))
     return beats(cues, frames, comments, "conv_id").select("conv_id", "beat", F.sha2("text", 256).alias("digest"), "frames", "comments")
 
 
@@ -207,8 +209,8 @@ def cue_range_join(s: SparkSession, d: str) -> DataFrame:
 
 
 def ocr_words(s: SparkSession, d: str) -> DataFrame:
-    """Documents' first line with quotes of prices and marks put in between, cleaned."""
-    noisy = F.concat(F.lit("-- MACD(12) "), F.regexp_extract("text", "^[^\n]*", 0), F.lit(" 132.401.98 2.699K O22.98 bilibi1 USDT/x ..."))
+    """Whole documents between marks, labels of charts and prices, cleaned."""
+    noisy = F.concat(F.lit("-- MACD(12) "), F.col("text"), F.lit(" 132.401.98 2.699K O22.98 bilibi1 USDT/x ..."))
     return load(s, d, "documents").select("doc_id", F.sha2(clean_ocr(noisy), 256).alias("digest"))
 
 
@@ -233,7 +235,8 @@ SELECT conv_id, w AS window_start, count(*) AS cues, sha256(string_agg(glue || t
     "timeline_beats": f"""
 WITH RECURSIVE {_TIMED},
 b AS (SELECT *, floor(t0 / 30)::BIGINT AS beat FROM r),
-f AS (SELECT conv_id, beat, t0, turn::VARCHAR AS name, CASE WHEN turn % 4 <> 0 THEN substring(text, 1, 1) ELSE '' END AS ocr, row_number() OVER (PARTITION BY conv_id ORDER BY t0, turn::VARCHAR) AS i FROM b WHERE role = 'assistant'),
+g AS (SELECT conv_id, t0, turn::VARCHAR AS name, CASE WHEN turn % 4 <> 0 THEN text ELSE '' END AS ocr FROM b WHERE role = 'assistant'),
+f AS (SELECT conv_id, floor(t0 / 30)::BIGINT AS beat, t0, name, ocr, row_number() OVER (PARTITION BY conv_id ORDER BY t0, name) AS i FROM (FROM g UNION ALL SELECT conv_id, t0 + 1, name || 'b', ocr FROM g)),
 k AS (SELECT *, true AS kept, CASE WHEN ocr <> '' THEN ocr END AS last, CASE WHEN ocr <> '' THEN [ocr] ELSE []::VARCHAR[] END AS seen FROM f WHERE i = 1
       UNION ALL
       SELECT f.*, NOT x.gone, CASE WHEN f.ocr = '' OR x.gone THEN k.last ELSE f.ocr END, CASE WHEN f.ocr = '' OR x.gone THEN x.seen ELSE list_append(x.seen, f.ocr) END
@@ -241,12 +244,12 @@ k AS (SELECT *, true AS kept, CASE WHEN ocr <> '' THEN ocr END AS last, CASE WHE
 t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, beat ORDER BY ocr = '', t0, name) AS nth, count(*) FILTER (ocr <> '') OVER (PARTITION BY conv_id, beat) AS texts FROM k WHERE kept),
 s AS (SELECT conv_id, beat, string_agg(name, ',' ORDER BY nth) AS frames FROM t WHERE (texts > 0 AND ocr <> '' AND nth <= 2) OR (texts = 0 AND nth = 1) GROUP BY ALL),
 u AS (SELECT conv_id, beat, string_agg(trim(text, ' '), '' ORDER BY t0, text) AS text FROM b WHERE role = 'user' GROUP BY ALL),
-m AS (SELECT conv_id, beat, string_agg(substring(text, 1, 20), ' / ' ORDER BY t0, substring(text, 1, 20)) AS comments FROM b WHERE role NOT IN ('user', 'assistant') GROUP BY ALL),
+m AS (SELECT conv_id, beat, string_agg(text, ' / ' ORDER BY t0, text) AS comments FROM b WHERE role NOT IN ('user', 'assistant') GROUP BY ALL),
 e AS (SELECT conv_id, beat FROM s UNION SELECT conv_id, beat FROM u UNION SELECT conv_id, beat FROM m)
 SELECT conv_id, beat, sha256(coalesce(text, '')) AS digest, coalesce(frames, '') AS frames, coalesce(comments, '') AS comments FROM e LEFT JOIN u USING (conv_id, beat) LEFT JOIN s USING (conv_id, beat) LEFT JOIN m USING (conv_id, beat)""",
     "cue_range_join": f"WITH {_PARTS} SELECT id, count(*) AS matched, max(i)::INT AS last FROM p WHERE i % 7 <> 6 GROUP BY id",
     "ocr_words": r"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(trim(regexp_extract(text, '^[^\n]*'), ' '), '[ \t]+'), lambda x: x <> '') AS w FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
 n AS (SELECT doc_id, list_filter(w, lambda x: NOT (trim(x, '-=_.,;:!?()[]{}<>|/\''"~`*+') = '' OR regexp_matches(lower(trim(x, '-=_.,;:!?()[]{}<>|/\''"~`*+')), 'paken|usdt|macd|diff|change|^[a-z][0-9][0-9.,]+$|^ma\(')
   OR (contains(lower(x), 'b') AND regexp_matches(lower(trim(x, '-=_.,;:!?()[]{}<>|/\''"~`*+')), '^[bil1]{5,}$')) OR regexp_matches(trim(x, '-=_.,;:!?()[]{}<>|/\''"~`*+'), '^[0-9][0-9.,:]{4,}$|^[0-9][0-9.,]*[KkMm]$'))) AS w FROM w)
 SELECT doc_id, sha256(array_to_string(w, ' ')) AS digest FROM n""",

@@ -267,8 +267,10 @@ def stuck_steps(s: SparkSession, d: str) -> DataFrame:
 
 
 def secret_chunks(s: SparkSession, d: str) -> DataFrame:
-    """Documents in chunks of 100 characters with a secret put across the second cut of every third."""
-    put = F.when(F.col("doc_id") % 3 == 0, F.concat(F.rpad(F.regexp_replace(F.substring("text", 1, 190), "[^a-z ]", "x"), 190, "x"), F.lit(" password=abcdefghijk "))).otherwise(F.regexp_replace("text", "[^a-z ]", "x"))
+    """Whole documents in chunks of 100 characters, all but letters and spaces blotted out; every third has a
+    secret put across one of its cuts, the second to the eighth by its id."""
+    plain, at = F.regexp_replace("text", "[^a-z ]", "x"), (F.floor(F.col("doc_id") / 3) % 7 * 100 + 190).cast("int")
+    put = F.when(F.col("doc_id") % 3 == 0, F.concat(F.rpad(plain, at, F.lit("x")), F.lit(" password=abcdefghijk "), F.substring(plain, at + 1, F.length(plain)))).otherwise(plain)
     rows = load(s, d, "documents").filter("text is not null").select("doc_id", put.alias("t"))
     cut = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 100)), lambda i: F.substring("t", (i * 100 + 1).cast("int"), F.lit(100)))).alias("k", "t"))
     return overlapped(cut, "doc_id", "k", "t", 64).filter("secret").groupBy("doc_id").agg(F.max("k").alias("chunk"))
@@ -309,7 +311,7 @@ WITH h AS (SELECT strftime(ts, '%d') AS d, user_id AS holder, bool_or(event_type
 SELECT holder, CASE WHEN holder IN (SELECT holder FROM h WHERE d = '10' AND NOT live) THEN 'freed' ELSE 'suspect' END AS state FROM h WHERE d = '11' AND NOT live""",
     "orphan_steps": f"WITH {_STEPS} SELECT step, CASE WHEN step % 7 = 0 THEN 'no worker' WHEN step % 5 = 0 THEN 'worker lost' ELSE 'claim lost' END AS reason FROM st WHERE step % 7 = 0 OR step % 5 = 0 OR ((age IS NULL OR age >= 21600000000) AND since >= 86400000000)",
     "stuck_steps": f"WITH {_STEPS} SELECT step FROM st WHERE age > 21600000000",
-    "secret_chunks": "SELECT doc_id, 2 AS chunk FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0",
+    "secret_chunks": "SELECT doc_id, (doc_id // 3 % 7 + 2)::INT AS chunk FROM documents WHERE text IS NOT NULL AND doc_id % 3 = 0",
     "poison_attempts": """
 WITH e AS (SELECT event_id % 17 <> 0 AS valid, event_type <> 'purchase' AS ok, sum(CASE WHEN event_id % 17 <> 0 AND event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM events)
 SELECT CASE WHEN NOT valid THEN 'poison' WHEN ok THEN 'done' WHEN f >= 3 THEN 'poison' ELSE 'again' END AS fate, count(*) AS n FROM e GROUP BY 1""",
