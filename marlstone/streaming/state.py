@@ -157,8 +157,8 @@ def stuck(steps: DataFrame, now: Column, limit: float = 180.0) -> DataFrame:
     return steps.filter(age > limit)
 
 
-#: Tasks of a reconciling tick, in order.
-TICK = ("orphans", "slots", "stuck", "retries", "ready")
+#: Tasks of a reconciling tick, in order; ticks.tick has their plans.
+TICK = ("orphans", "stuck", "no_worker", "workers", "slots", "staging", "effects", "batches", "digest")
 
 
 def reconcile(stream: DataFrame, tasks: dict, seconds: int = 30):
