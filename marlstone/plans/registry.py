@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.operators import analytics, ask, budgets, graph, joins, kernel, languages, linkage, maintenance, packing, projection, relational, search, snippets, study, textops
+from marlstone.operators import analytics, ask, budgets, graph, joins, kernel, languages, linkage, maintenance, packing, projection, relational, search, snippets, study, textops, validity
 from marlstone.sources import adapters, feeds, html, layout, scholarly, subtitles, tables
 from marlstone.streaming import state, ticks, windows, work
 
-MODULES = (search, snippets, relational, analytics, graph, projection, joins, linkage, kernel, languages, maintenance, packing, budgets, study, ask, textops, subtitles, html, scholarly, tables, feeds, adapters, layout, windows, state, ticks, work)
+MODULES = (search, snippets, relational, analytics, graph, projection, joins, linkage, kernel, languages, maintenance, packing, budgets, study, ask, textops, validity, subtitles, html, scholarly, tables, feeds, adapters, layout, windows, state, ticks, work)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
