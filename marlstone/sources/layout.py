@@ -11,7 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from marlstone.functions import text as T
 from marlstone.operators.packing import caption
@@ -36,6 +36,18 @@ def _gaps(spans: list[tuple[float, float]], least: float) -> list[float]:
     return out
 
 
+def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The spans with those that meet made one, from left to right."""
+    out: list[tuple[float, float]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            if b > out[-1][1]:
+                out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    return out
+
+
 def _bands(boxes: list[Box]) -> list[list[Box]]:
     """Boxes cut at every horizontal strip of white, from top to bottom."""
     out: list[list[Box]] = []
@@ -70,9 +82,10 @@ def reading(boxes: list[Box]) -> list[tuple[int, str]]:
         bands = _bands(part)
         i = 0
         while i < len(bands):
-            stretch, j = bands[i], i + 1
-            while j < len(bands) and len(columns(stretch + bands[j])) > 1:
-                stretch, j = stretch + bands[j], j + 1
+            j, spans = i + 1, _merged([(b[0], b[2]) for b in bands[i]])
+            while j < len(bands) and _gaps(spans := _merged(spans + [(b[0], b[2]) for b in bands[j]]), strip):
+                j += 1
+            stretch = [b for band in bands[i:j] for b in band]
             found = columns(stretch) if j > i + 1 else [stretch]
             if len(found) > 1:
                 for k, column in enumerate(found):
@@ -85,23 +98,44 @@ def reading(boxes: list[Box]) -> list[tuple[int, str]]:
     return out
 
 
+_ORDER = StructType([StructField("number", ArrayType(IntegerType())), StructField("column", ArrayType(StringType()))])
+
+
+@F.pandas_udf(_ORDER)
+def _read(left: pd.Series, top: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+    """Number and column of each box of the pages, a page a row, whose boxes come in the order of their places."""
+    numbers, columns = [], []
+    for x, y, w, h in zip(left, top, width, height, strict=True):
+        boxes = [(a, b, a + c, b + d, i) for i, (a, b, c, d) in enumerate(zip(x.tolist(), y.tolist(), w.tolist(), h.tolist(), strict=True)) if not _unknown(a, b, c, d)]
+        number, column = [-1] * len(x), [""] * len(x)
+        for n, (i, path) in enumerate(reading(boxes)):
+            number[i], column[i] = n, path
+        rest = len(boxes)
+        for i, n in enumerate(number):
+            if n < 0:
+                number[i] = rest
+                rest += 1
+        numbers.append(number)
+        columns.append(column)
+    return pd.DataFrame({"number": numbers, "column": columns})
+
+
+def _unknown(*sides: float | None) -> bool:
+    return any(s is None or s != s for s in sides)
+
+
 def ordered(boxes: DataFrame, key: str) -> DataFrame:
     """boxes (key, page, kind, place, left, top, width, height, text) with number (from 0, in the page's
-    reading order) and column (the path of its columns). Boxes without a place on the page come last."""
-    schema = StructType([*boxes.schema, StructField("number", IntegerType()), StructField("column", StringType())])
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        sides = page[["left", "top", "width", "height"]]
-        known = sides.notna().all(axis=1)
-        found = reading([(a, b, a + w, b + h, i) for i, (a, b, w, h) in zip(sides.index[known], sides[known].itertuples(index=False), strict=True)])
-        at = {i: (n, path) for n, (i, path) in enumerate(found)}
-        rest = len(found)
-        for i in page.index[~known][page.loc[~known, "place"].argsort()]:
-            at[i] = (rest, "")
-            rest += 1
-        return page.assign(number=[at[i][0] for i in page.index], column=[at[i][1] for i in page.index])
+    reading order) and column (the path of its columns). Boxes without a place on the page come last.
 
-    return boxes.groupBy(key, "page").applyInPandas(run, schema)
+    A page becomes one row of arrays, and Python gets many pages at once, of them only the four sides."""
+    names = [c for c in boxes.columns if c not in (key, "page")]
+    first = sorted(names, key=lambda c: c != "place")
+    found = boxes.groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct(*first))).alias("_b"))
+    sides = (F.col("_b")[c].cast("array<double>") for c in ("left", "top", "width", "height"))
+    found = found.withColumn("_r", _read(*sides))
+    held = found.select(key, "page", F.explode(F.arrays_zip("_b", F.col("_r.number").alias("number"), F.col("_r.column").alias("column"))).alias("_x"))
+    return held.select(*(F.col(c) if c in (key, "page") else F.col("_x._b")[c].alias(c) for c in boxes.columns), F.col("_x.number").alias("number"), F.col("_x.column").alias("column"))
 
 
 def lines(boxes: DataFrame, key: str) -> DataFrame:
@@ -151,9 +185,10 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
     rows = load(s, d, "documents").filter("text is not null").select("doc_id", words.alias("w")).filter("size(w) > 0")
     pages = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 24))).alias("page"))
     here = F.slice(F.col("w"), (F.col("page") * 24 + 1).cast("int"), F.lit(24))
+    pages = pages.select("doc_id", "page", here.alias("here")).repartition("doc_id", "page")  # one file's documents go to many tasks
     number = lambda x: x.cast("string")
     box = lambda top, left, width, text: F.concat(F.lit('<text top="'), number(top), F.lit('" left="'), number(left), F.lit('" width="'), number(width), F.lit('" height="10" font="0">'), text, F.lit("</text>"))
-    texts = F.transform(here, lambda x, i: box(40 + F.pmod(F.floor(i / 2), F.lit(6)) * 14, F.when(i % 2 == 0, 0).otherwise(90) + F.when(i >= 12, 220).otherwise(0), F.lit(84), T.escape_html(x)))
+    texts = F.transform("here", lambda x, i: box(40 + F.pmod(F.floor(i / 2), F.lit(6)) * 14, F.when(i % 2 == 0, 0).otherwise(90) + F.when(i >= 12, 220).otherwise(0), F.lit(84), T.escape_html(x)))
     shown = F.reverse(texts)
     page = F.concat(
         F.lit('<page number="'), number(F.col("page") + 1), F.lit('" top="0" left="0" height="300" width="420">'), box(F.lit(290), F.lit(230), F.lit(150), F.concat(F.lit("Figure "), number(F.col("page") + 1), F.lit(": mea-"))), box(F.lit(302), F.lit(230), F.lit(80), F.lit("sured &amp; drawn")),

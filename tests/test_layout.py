@@ -76,3 +76,12 @@ def test_captions_go_to_the_nearest_picture(pages):
 
 def test_no_pages(pages):
     assert L.ordered(pages.limit(0), "k").count() == 0 and L.captions(L.ordered(pages.limit(0), "k"), "k").count() == 0
+
+
+def test_many_pages_go_to_python_at_once_and_ties_follow_places(spark):
+    rows = [(k, p, "text", n, 0.0, 10.0, 5.0, 5.0, str(n)) for k in range(3) for p in range(4) for n in (2, 1, 0)]
+    rows.append((0, 0, "text", 3, None, 0.0, 1.0, 1.0, "nowhere"))
+    got = L.ordered(spark.createDataFrame(rows, BOX).repartition(3, "place"), "k")
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()  # a call for each page took most of the time
+    found = got.collect()
+    assert len(found) == len(rows) and all(r["number"] == r["place"] and r["column"] == "" for r in found)
