@@ -59,7 +59,16 @@ _add("fn_lineage_key", "pages", "page_id", lambda: S.lineage_key(_video(), _sour
 _add("fn_source_of", "pages", "page_id", lambda: S.source_of(F.when(F.col("page_id") % 9 == 5, F.concat(F.split("url", r"\?")[0], F.lit(".PDF?x=1"))).when(F.col("page_id") % 9 == 6, F.concat(F.split("url", r"\?")[0], F.lit(".mp3"))).otherwise(_video())), f"CASE page_id % 9 WHEN 5 THEN 'pdf' WHEN 6 THEN 'podcast' ELSE {_SRC} END")
 _add("fn_slugs", "pages", "page_id", lambda: F.concat_ws(";", S.slug(F.col("url")), S.slug(_cat("= page ", "page_id", "=! ")), S.folder_slug(_cat("=/data/My Page.", "page_id", "=/"))), "substring(sha1(url), 1, 10) || ';page-' || page_id || ';My-Page-' || page_id")
 _add("fn_official", "pages", "page_id", lambda: S.official(F.when(_k(0), F.regexp_replace("url", "://[^/]+", "://www.csrc.gov.cn")).when(_k(1), F.regexp_replace("url", "^https?://[^/]+", "https://sse.com.cn:443")).otherwise(F.col("url")), F.when(F.col("page_id") % 3 == 0, F.col("url"))), "CASE WHEN (page_id % 4 = 1 OR (page_id % 4 = 0 AND url LIKE 'https://%')) AND (page_id % 3 <> 0 OR url LIKE 'https://%') THEN 'high' ELSE 'low' END")
-_add("fn_audio_link", "pages", "page_id", lambda: S.audio_link(F.concat(F.lit('<audio src="/cover.png"><source src="/p'), F.col("page_id").cast("string"), F.lit('.m4a?x=1"></audio>'), F.col("html"))), "'/p' || page_id || '.m4a?x=1'", "NOT contains(html, 'og:audio')")
+_AUDIO_TAGS = ('<meta property="og:audio" content="https://a/{}"><audio src="/c.mp3">', '<audio src="/cover.png"><source src="/p{}.m4a?x=1"></audio>', '<audio src="/stream{}">', '<enclosure url="/e{}.wav"/>', '<a href="/page"></a><a href="/x{}.mp3">', "")  # by page_id % 6, before the page
+_audio_page = lambda: F.concat(F.replace(F.element_at(F.array(*map(F.lit, _AUDIO_TAGS)), (F.col("page_id") % 6 + 1).cast("int")), F.lit("{}"), F.col("page_id").cast("string")), F.col("html"))
+_found = lambda pattern: f"list_filter(list_transform(regexp_extract_all(h, '(?i){pattern}[\"\'\']([^\"\'\'<>]+)[\"\'\']', 1), lambda x: trim(x)), lambda x: x <> '')"
+_audio = lambda found: f"list_filter({found}, lambda x: regexp_matches(lower(split_part(x, '?', 1)), '\\.({'|'.join(S.AUDIO_ENDINGS)})$'))[1]"
+_SOURCES = _found("<(?:audio|source)\\b[^<>]*?\\ssrc=")
+_add(
+    "fn_audio_link", "pages", "page_id", lambda: F.coalesce(S.audio_link(_audio_page()), F.lit("")),
+    f"""(SELECT coalesce({_found('<meta[^<>]*property=["' + "''" + ']og:audio["' + "''" + '][^<>]*content=')}[1], {_audio(_SOURCES)}, {_SOURCES}[1], {_audio(_found("<enclosure\\b[^<>]*?\\surl="))}, {_audio(_found("<a\\b[^<>]*?\\shref="))}, '')
+  FROM (SELECT replace([{', '.join(f"'{x}'" for x in _AUDIO_TAGS)}][(page_id % 6 + 1)::INT], '{{}}', page_id::VARCHAR) || html AS h))""",
+)
 _add("fn_glob", "pages", "page_id", lambda: F.concat_ws("", *(S.globbed(F.col("url"), g).cast("int").cast("string") for g in ("https://*/*.html", "http?://[a-m]*", "*/[!0-9]*[0-9]"))), "(url GLOB 'https://*/*.html')::INT || '' || (url GLOB 'http?://[a-m]*')::INT || (url GLOB '*/[!0-9]*[0-9]')::INT")
 _add("fn_redacted_text", "documents", "doc_id", lambda: S.redacted_urls(_cat("=see https://u:p@X.org/", "doc_id", "=?token=1&b=", "lang", "=. And (http://Y.org:80/?sig=3#f).")), "'see https://x.org/' || doc_id || '?b=' || lang || '. And (http://y.org/).'", "lang IS NOT NULL")
 _add("fn_part_id", "conversations", "conv_id, turn", lambda: S.part_id(F.col("conv_id").cast("string"), F.col("turn")), "'pt_' || substring(sha256(conv_id || ':part:' || turn), 1, 20)")
@@ -70,7 +79,15 @@ _add("fn_json_list", "documents", "doc_id", lambda: F.sha2(F.array_join(S.json_l
 
 # Times, numbers and rules.
 _add("fn_written_date", "events", "event_id", lambda: S.written_date(F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM")).otherwise(F.concat(F.lit("Received  "), F.date_format("ts", "MMMM d, yyyy"), F.lit("; accepted")))), "CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m') ELSE strftime(ts, '%Y-%m-%d') END")
-_add("fn_json_kind", "events", "event_id", lambda: F.coalesce(S.json_kind(F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.to_json(F.struct(F.col("event_type").alias("k")))).when(F.col("event_id") % 4 == 2, F.to_json(F.struct(F.array("user_id").alias("k")))).otherwise(F.to_json(F.struct("user_id"))), "$.k"), F.lit("none")), "['integer', 'text', 'array', 'none'][(event_id % 4 + 1)::INT]")
+_json = lambda value: F.to_json(F.struct(value.alias("k")))
+_KINDS = (
+    lambda: F.col("props"), lambda: _json(F.col("event_type")), lambda: _json(F.array("user_id")), lambda: F.to_json(F.struct("user_id")), lambda: _json(F.col("user_id") + F.lit(0.5)), lambda: F.concat(F.lit('{"k":null,"user":'), F.col("user_id").cast("string"), F.lit("}")),
+    lambda: _json(F.col("user_id") % 2 == 0), lambda: _json(F.struct(F.col("user_id").alias("b"))), lambda: F.concat(F.lit('{"k":'), F.col("event_type")),
+)
+_add(
+    "fn_json_kind", "events", "event_id", lambda: F.coalesce(S.json_kind(F.coalesce(*(F.when(F.col("event_id") % 9 == n, x()) for n, x in enumerate(_KINDS))), "$.k"), F.lit("none")),
+    "CASE event_id % 9 WHEN 6 THEN (user_id % 2 = 0)::VARCHAR ELSE ['integer', 'text', 'array', 'none', 'real', 'null', '', 'object', 'none'][(event_id % 9 + 1)::INT] END",
+)
 _add("fn_backoff", "events", "event_id", lambda: S.backoff((F.col("user_id") % 40 + 1).cast("int"), 30, 3600).cast("long"), "least(3600, 30 * (2 ** least(user_id % 40, 20)))::BIGINT")
 _add("fn_effective_timeout", "orders", "o_orderkey", lambda: S.effective_timeout(F.lit(60), F.col("o_custkey") % 40, F.floor("o_totalprice") % 7200, F.when(F.col("o_orderkey") % 3 == 0, F.lit(900))), "(SELECT CASE WHEN p = 0 OR t <= 0 THEN 60 WHEN o_orderkey % 3 = 0 THEN least(greatest(60, ceil(t / 60.0) * p), 900) ELSE greatest(60, ceil(t / 60.0) * p) END::BIGINT FROM (SELECT o_custkey % 40 AS p, floor(o_totalprice)::BIGINT % 7200 AS t))")
 _add("fn_hash_band", "events", "event_id", lambda: S.hash_band(F.col("event_id") * 123456789, (F.col("event_id") + F.col("user_id") % 5) * 123456789), "(SELECT CASE WHEN n <= 6 THEN 'duplicate' WHEN n <= 10 THEN 'gray' ELSE 'different' END FROM (SELECT bit_count(xor(event_id * 123456789, (event_id + user_id % 5) * 123456789)) AS n))")

@@ -31,3 +31,16 @@ def test_anchor_is_the_whole_item_found_once(spark, tmp_path):
     d = tables(spark, tmp_path, documents=[(1, f"{head} a, {head} b"), (2, f"{head} c"), (3, "banana"), (4, None)], benchmark=[(1, f"{head} b"), (2, "ana"), (3, "nan"), (4, ""), (5, None)])
     assert {tuple(r) for r in textops.quote_anchor_whole(spark, d).collect()} == {(1, 1, 45), (3, 3, 3)}
     assert (3, 2) not in {(r.doc_id, r.item_id) for r in textops.quote_anchor(spark, d).collect()}  # overlaps count
+
+
+def test_audio_links_and_json_kinds_of_every_sort(spark):
+    """Both queries once left sorts out, and pages that name their audio."""
+    from marlstone.operators import kernel as K
+
+    d = "/root/testdata/sf0.001"
+    links = K.QUERIES["fn_audio_link"](spark, d).collect()
+    assert len(links) == spark.read.parquet(f"{d}/pages.parquet").count()
+    assert {"".join(c for c in r["value"] if not c.isdigit()) for r in links} == {"https://a/", "/p.ma?x=", "/stream", "/e.wav", "/x.mp", ""}
+    kinds = {r["value"] for r in K.QUERIES["fn_json_kind"](spark, d).select("value").distinct().collect()}
+    assert kinds == {"integer", "text", "array", "none", "real", "null", "true", "false", "object"}
+    assert not any("WHERE NOT" in K.ORACLES[q] for q in ("fn_audio_link", "fn_json_kind"))
