@@ -10,7 +10,9 @@ on how a stream is cut into batches. A key's rows of one batch are held together
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -50,41 +52,52 @@ class Timed(StatefulProcessor):
 
     def _until(self, entries: list[tuple], now: int) -> list[tuple]:
         out = []
-        while entries and min(entries)[0] <= now:
-            entry = min(entries)
+        while entries and (entry := min(entries))[0] <= now:
             entries.remove(entry)
             out += self.due(entries, entry)
         return out
 
-    def _put(self, key: tuple, entries: list[tuple], before: set[int], out: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _rows(self, entries: list[tuple], rows: list[tuple]) -> list[tuple]:
+        """What rows (when, then the processor's columns), in order, put out; entries are changed."""
+        out = []
+        for now, *row in rows:
+            out += self._until(entries, now - 1 + self.ends)
+            out += self.row(entries, now, tuple(row))
+        return out
+
+    def _put(self, key: tuple, entries: list[tuple], held: list[tuple], before: set[int], out: list[tuple]) -> Iterator[pd.DataFrame]:
         times = {e[0] for e in entries if e[0] < FAR}
         for t in before - times:
             self.handle.deleteTimer(t)
         for t in times - before:
             self.handle.registerTimer(t)
-        if entries:
-            self.held.put(entries)
-        else:
-            self.held.clear()
-        names = [x.split()[0] for x in self.out.split(", ")]
-        yield pd.DataFrame([(*key, *r) for r in out], columns=names)
+        if entries != held:  # each call goes to the state server and back
+            if entries:
+                self.held.put(entries)
+            else:
+                self.held.clear()
+        if out:
+            names = [x.split()[0] for x in self.out.split(", ")]
+            yield pd.DataFrame([(*key, *r) for r in out], columns=names)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        entries = [tuple(e) for e in self.held.get()]
-        before = {e[0] for e in entries if e[0] < FAR}
-        whole, out = pd.concat([*rows]), []
-        for now, *row in whole.sort_values(["ms", "id"])[["ms", *self.columns]].itertuples(index=False):
-            out += self._until(entries, now - 1 + self.ends)
-            out += self.row(entries, now, tuple(row))
-        yield from self._put(key, entries, before, out)
+        held = [tuple(e) for e in self.held.get()]
+        entries, before = [*held], {e[0] for e in held if e[0] < FAR}
+        taken = []
+        for part in rows:
+            taken += zip(*(part[c].tolist() for c in ("ms", "id", *self.columns)), strict=True)
+        taken.sort(key=lambda r: r[:2])
+        out = self._rows(entries, [(r[0], *r[2:]) for r in taken])
+        yield from self._put(key, entries, held, before, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        entries = [tuple(e) for e in self.held.get()]
+        held = [tuple(e) for e in self.held.get()]
+        entries = [*held]
         fired = expiredTimerInfo.getExpiryTimeInMs()
         before = {e[0] for e in entries if e[0] < FAR and e[0] != fired}
         # what becomes due on the way, up to the watermark, would else wait for the next batch
         out = self._until(entries, max(fired, timerValues.getCurrentWatermarkInMs()))
-        yield from self._put(key, entries, before, out)
+        yield from self._put(key, entries, held, before, out)
 
     def close(self) -> None:
         pass
@@ -171,19 +184,44 @@ class Group(Timed):
     columns = ("id", "kind", "consumer", "count", "message")
     idle = 5
 
-    def row(self, entries, now, row):
-        id_, kind, consumer, count, message = row
-        if kind == "add":
-            entries.append((FAR, -1, int(message), "", 0))
-        elif kind == "ack":
-            entries[:] = [e for e in entries if e[2] != message]
-        else:
-            old = sorted((e for e in entries if 0 <= e[1] <= now - self.idle * 1000), key=lambda e: (e[1], e[2]))[: int(count)]
-            take = old or sorted((e for e in entries if e[1] < 0), key=lambda e: e[2])[: int(count)]
-            for e in take:
-                entries[entries.index(e)] = (FAR, now, e[2], consumer, e[4] + 1)
-            return [(e[2], consumer, e[4] + 1, "claimed" if old else "new", now) for e in take]
-        return []
+    def _rows(self, entries, rows):
+        """Messages wait in two heaps, by number and by when they were given out; those that were handled or
+        given out again since are passed over when their turn comes. A row takes no more than its own messages."""
+        waiting = {n: e for n, e in enumerate(entries)}
+        of: dict[int, list[int]] = defaultdict(list)
+        for n, e in waiting.items():
+            of[e[2]].append(n)
+        new = [(e[2], n) for n, e in waiting.items() if e[1] < 0]
+        given = [(e[1], e[2], n) for n, e in waiting.items() if e[1] >= 0]
+        heapify(new)
+        heapify(given)
+        out, number = [], len(entries)
+        for now, _, kind, consumer, count, message in rows:
+            if kind == "add":
+                waiting[number] = (FAR, -1, int(message), "", 0)
+                of[int(message)].append(number)
+                heappush(new, (int(message), number))
+                number += 1
+            elif kind == "ack":
+                for n in of.pop(message, ()):
+                    del waiting[n]
+            else:
+                take: list[int] = []
+                while given and len(take) < int(count) and given[0][0] <= now - self.idle * 1000:
+                    at, _, n = heappop(given)
+                    if n in waiting and waiting[n][1] == at:
+                        take.append(n)
+                fate = "claimed" if take else "new"
+                while fate == "new" and new and len(take) < int(count):
+                    if (n := heappop(new)[1]) in waiting:
+                        take.append(n)
+                for n in take:
+                    _, _, id_, _, times = waiting[n]
+                    waiting[n] = (FAR, now, id_, consumer, times + 1)
+                    heappush(given, (now, id_, n))
+                    out.append((id_, consumer, times + 1, fate, now))
+        entries[:] = waiting.values()
+        return out
 
     def due(self, entries, entry):
         return []

@@ -92,3 +92,20 @@ def test_group_query_equals_the_plain_version(spark):
         last[m] = max(last.get(m, (0,)), (times, kind, who))
     got = {r.message: (r.times, r.kind, r.consumer) for r in W.stream_group(spark, d).collect()}
     assert got == last
+
+
+def test_a_group_of_many_messages_takes_time_in_proportion():
+    """A row once searched and sorted all that was pending; 60,000 rows took minutes."""
+    import time
+
+    rng = random.Random(7)
+    rows = [(t, t, rng.choice(["add", "add", "read", "ack"]), "x", 2, t if t < 9 else rng.randrange(t)) for t in range(60_000)]
+    rows = [(*r[:5], r[0]) if r[2] == "add" else r for r in rows]
+    held, start = [], time.monotonic()
+    group = W.Group()
+    got = group._rows(held, rows[:50_000]) + group._rows(held, rows[50_000:])
+    assert time.monotonic() - start < 10
+    few, mine = [], W.Group()
+    out = mine._rows(few, rows[:300]) + mine._rows(few, rows[300:2000])
+    assert out == got[: len(out)]
+    assert sorted((1, r[0], r[1], r[2], r[3], r[4]) for r in out) == sorted(plain_group([(1, *r) for r in rows[:2000]], 5000))
