@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,12 +74,28 @@ def near_hashes(frames: DataFrame, group: str, near: int) -> DataFrame:
     return close.select(group, "earlier", "later").distinct()
 
 
-def kept_pictures(frames: DataFrame, group: str, near: int = 6) -> DataFrame:
-    """frames (index, phash) with keep: a picture goes if one kept before it is near. Those with no
-    undecided one before them are decided, round by round; a null hash is never kept."""
-    hashed = frames.filter("phash is not null")
-    pairs = written(near_hashes(hashed, group, near), "pairs")
-    undecided = written(hashed.groupBy(group, "phash").agg(F.min("index").alias("index")).select(group, "index"), "undecided")
+#: Pictures of a group in the first of its blocks; each further block is so many times as long as all before it.
+FIRST_BLOCK, GROWTH = 500, 3
+
+
+def _banded(rows: DataFrame, group: str, near: int) -> DataFrame:
+    width = -(-64 // (near + 1))
+    band = lambda k: F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("phash", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v"))
+    return rows.withColumn("_b", F.explode(F.array(*map(band, range(near + 1)))))
+
+
+def _near_any(rows: DataFrame, kept: DataFrame, group: str, near: int) -> DataFrame:
+    """group and index of the rows near to a kept picture."""
+    other = _banded(kept.select(group, "phash"), group, near).withColumnRenamed("phash", "_p")
+    met = _banded(rows.select(group, "index", "phash"), group, near).join(other, [group, "_b"])
+    return met.filter(F.bit_count(F.col("phash").bitwiseXOR(F.col("_p"))) <= near).select(group, "index").distinct()
+
+
+def _kept_of(block: DataFrame, group: str, near: int) -> DataFrame:
+    """The kept ones of pictures of which none is near to one kept before them: those with no undecided one
+    before them are decided, round by round."""
+    pairs = written(near_hashes(block, group, near), "pairs")
+    undecided = written(block.select(group, "index"), "undecided")
     kept: list[DataFrame] = []
     while not undecided.isEmpty():
         waits = pairs.join(undecided.select(group, F.col("index").alias("earlier")), [group, "earlier"], "left_semi").select(group, F.col("later").alias("index")).distinct()
@@ -86,10 +104,39 @@ def kept_pictures(frames: DataFrame, group: str, near: int = 6) -> DataFrame:
         gone = pairs.join(keep.select(group, F.col("index").alias("earlier")), [group, "earlier"], "left_semi").select(group, F.col("later").alias("index")).distinct()
         old, undecided = undecided, written(undecided.join(keep, [group, "index"], "left_anti").join(gone, [group, "index"], "left_anti"), "undecided")
         drop(old)
-    drop(pairs, undecided)
-    marks = kept[0].limit(0) if kept else hashed.select(group, "index").limit(0)
-    for k in kept:
-        marks = marks.unionByName(k)
+    marks = reduce(DataFrame.unionByName, kept, block.select(group, "index").limit(0))
+    out = written(block.join(marks, [group, "index"], "left_semi"), "kept")
+    drop(pairs, undecided, *kept)
+    return out
+
+
+def kept_pictures(frames: DataFrame, group: str, near: int = 6) -> DataFrame:
+    """frames (index, phash) with keep: a picture goes if one kept before it is near; a null hash is never kept.
+
+    A group's pictures are taken in blocks by index, each longer than all before it. What is near to one kept
+    from the blocks before goes at once, so that pairs are formed only of the rest: crowds of near pictures,
+    which make pairs with the square of their size, lie behind the few that are kept of them."""
+    hashed = frames.filter("phash is not null")
+    first = written(hashed.groupBy(group, "phash").agg(F.min("index").alias("index")), "first")
+    sizes = first.groupBy(group).agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    shares: list[float] = []
+    while largest * (1 + GROWTH) ** -(len(shares)) > FIRST_BLOCK:
+        shares.insert(0, (1 + GROWTH) ** -(len(shares) + 1.0))
+    blocks = first.withColumn("_block", F.lit(0))
+    if shares:
+        cuts = first.groupBy(group).agg(F.percentile_approx("index", shares).alias("_cuts"))  # near them is enough
+        blocks = first.join(cuts, group).withColumn("_block", F.size(F.filter("_cuts", lambda x: x < F.col("index")))).drop("_cuts")
+    kept: list[DataFrame] = []
+    for k in range(len(shares) + 1):
+        block = blocks.filter(F.col("_block") == k).select(group, "phash", "index")
+        for before in kept:
+            block = block.join(_near_any(block, before, group, near), [group, "index"], "left_anti")
+        block = written(block, "block")
+        kept.append(_kept_of(block, group, near))
+        drop(block)
+    drop(first)
+    marks = reduce(DataFrame.unionByName, kept).select(group, "index")
     return frames.join(marks.withColumn("_keep", F.lit(True)), [group, "index"], "left").withColumn("keep", F.coalesce("_keep", F.lit(False))).drop("_keep")
 
 
