@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.shared import drop, shared_path, written
+from marlstone.shared import shared_path
 
 #: Characters of a chunk's texts (a longer text is a chunk of its own), and bytes of a row group.
 CHUNK, ROW_GROUP = 2 << 20, 4 << 20
 #: Chunks that a filter names one by one.
 FEW_CHUNKS = 1000
+#: Bytes of postings that a file is to have, characters of the sample that says where files begin.
+FILE_BYTES, SAMPLE_CHARS = 64 << 20, 8 << 20
 POSTINGS = "gram long, chunk long, blob binary"
 _DOCS = -1
 
@@ -73,18 +75,28 @@ def postings(texts: list[str]) -> Iterator[tuple[int, bytes]]:
         yield int(grams[a]), packed(codes[a:b])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], fields: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Postings of chunk after chunk, and under _DOCS each chunk's other columns as an Arrow stream."""
+def _segments(batches: Iterator[pa.RecordBatch], fields: int, most: int, bounds: np.ndarray, files: int) -> Iterator[pa.RecordBatch]:
+    """Postings of chunk after chunk, and under _DOCS each chunk's other columns as an Arrow stream. part: the
+    file of a row, by the bounds between the files of postings (a gram that is a bound spreads over the files
+    on its sides), behind which `files` more take the other columns."""
     import pyspark
 
     task, count = pyspark.TaskContext.get().partitionId(), 0
-    rows = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "chunk", "blob"])
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        grams, chunks, blobs = zip(*found, strict=True)
+        g, c = np.array(grams, np.int64), np.array(chunks, np.int64)
+        mixed = (c >> 32) * 7919 + (c & 0xFFFFFFFF)
+        low = np.searchsorted(bounds, g, "left")
+        spread = low + mixed % (np.searchsorted(bounds, g, "right") - low + 1)
+        part = np.where(g == _DOCS, len(bounds) + 1 + mixed % files, spread).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(blobs, pa.binary()), pa.array(part)], ["gram", "chunk", "blob", "part"])
 
     def chunk(part: pa.RecordBatch, texts: list[list[str]]) -> Iterator[pa.RecordBatch]:
         nonlocal count
         name, count = task << 32 | count, count + 1
         sink = io.BytesIO()
-        with pa.ipc.new_stream(sink, part.schema) as out:
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(part)
         found = [(_DOCS, name, sink.getvalue())]
         for g, blob in postings([t[k] for k in range(len(texts[0])) for t in texts]):
@@ -194,18 +206,33 @@ def build(rows: DataFrame, key: str, fields: tuple[str, ...], keep: tuple[str, .
         length = length + F.greatest(F.coalesce(F.char_length(f), F.lit(0)) - 2, F.lit(0))
     names = [key, *keep, "size"]
     plain = rows.select(*(T.fold(F.col(f)).alias(f"_{k}") for k, f in enumerate(fields)), key, *keep, length.cast("long").alias("size"))
-    # written first: every later read of a chunk's rows sees one and the same run of its task
-    segments = written(plain.mapInArrow(partial(_segments, fields=len(fields), most=chunk), POSTINGS), "segments")
+    n, total = rows.select(length.cast("long").alias("size")).agg(F.count("*"), F.sum("size")).first()
+    total = total or 0
+    segments = lambda df, bounds, files: df.mapInArrow(partial(_segments, fields=len(fields), most=chunk, bounds=bounds, files=files), POSTINGS + ", part int")
+    bounds = _bounds(segments(plain.sample(min(1.0, SAMPLE_CHARS / max(total, 1)), 1), np.empty(0, np.int64), 1), total)
+    files = len(bounds) // 4 + 1
+    # one shuffle makes postings and documents: both see one and the same run of a chunk's task
     (
-        segments.filter(F.col("gram") != _DOCS).repartitionByRange("gram", "chunk").sortWithinPartitions("gram", "chunk")
+        segments(plain, bounds, files).repartitionById(len(bounds) + 1 + files, F.col("part")).drop("part").sortWithinPartitions("gram", "chunk")
         .write.option("parquet.block.size", str(ROW_GROUP)).option("compression", "uncompressed").parquet(f"{path}/postings")
     )
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*names).schema)
-    docs = segments.filter(F.col("gram") == _DOCS).select("chunk", "blob").mapInArrow(partial(_documents, names=names), f"chunk long, n long, {kinds}")
-    docs.repartitionByRange("chunk").sortWithinPartitions("chunk", "n").write.option("parquet.block.size", str(ROW_GROUP)).parquet(f"{path}/documents")
-    drop(segments)
-    n, total = spark.read.parquet(f"{path}/documents").agg(F.count("*"), F.sum("size")).first()
-    return Index(spark, path, key, len(fields), n, (total or 0) / n if n else 0.0)
+    stored = spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter(F.col("gram") == _DOCS)
+    stored.select("chunk", "blob").mapInArrow(partial(_documents, names=names), f"chunk long, n long, {kinds}").write.option("parquet.block.size", str(ROW_GROUP)).parquet(f"{path}/documents")
+    return Index(spark, path, key, len(fields), n, total / n if n else 0.0)
+
+
+def _bounds(sample: DataFrame, total: int) -> np.ndarray:
+    """Grams at which files of postings end, so that they are about equal by bytes: from a sample's postings,
+    as Spark's own ranges are but for their being equal by rows, of which those of frequent grams are large."""
+    files = -(-total * 4 // FILE_BYTES)
+    if files < 2:
+        return np.empty(0, np.int64)
+    seen = sample.filter(F.col("gram") != _DOCS).groupBy("gram").agg(F.sum(F.length("blob") + 32).alias("bytes")).orderBy("gram").toArrow()
+    ends = np.cumsum(seen.column("bytes").to_numpy())
+    if not len(ends):
+        return np.empty(0, np.int64)
+    return seen.column("gram").to_numpy()[np.searchsorted(ends, ends[-1] * np.arange(1, files) / files)].astype(np.int64)
 
 
 #: Indexes that a session has built, by what they are of.

@@ -76,3 +76,16 @@ def test_empty_table_and_new_files(spark, rows, tmp_path):
     assert read() is first
     rows.filter("id >= 9").write.mode("append").parquet(path)
     assert read() is not first and read().rows == rows.count()
+
+
+def test_files_are_about_equal_by_bytes(rows, monkeypatch):
+    """One frequent gram's postings are spread and no file has most of the bytes; nothing is written twice."""
+    monkeypatch.setattr(X, "FILE_BYTES", 4096)
+    texts = rows.select("id", F.concat(F.repeat(F.lit("abab"), 40), F.coalesce("body", F.lit(""))).alias("body")).cache()
+    index = X.build(texts, "id", ("body",), chunk=200)
+    files = index.postings().filter("gram <> -1").groupBy(F.col("_metadata.file_name").alias("f")).agg(F.min("gram").alias("a"), F.max("gram").alias("b"), F.sum(F.length("blob") + 32).alias("n")).orderBy("a", "b").collect()
+    assert len(files) >= 8 and max(f.n for f in files) < 4 * sum(f.n for f in files) / len(files)
+    assert all(x.b <= y.a for x, y in zip(files[:-1], files[1:], strict=True))
+    for q in ("abab", "cab"):
+        want = S.search(texts, q, ("body",), "id").select("id", F.round("rank", 9)).collect()
+        assert sorted(map(tuple, S.indexed_search(index, q).select("id", F.round("rank", 9)).collect())) == sorted(map(tuple, want)) != []
