@@ -45,8 +45,8 @@ def linked(left: DataFrame, right: DataFrame, least: int = LEAST, ratio: float =
     labelled = labelled.select("id", known("label", F.lit(1.0), F.greatest("own", "n")).alias("x"))
     rest = rest.join(labelled, "id", "left_anti").filter(F.length("needle") >= least)
 
-    a, b = rest.select("id", "doc", "needle"), long_there.select("match", F.col("doc").alias("_doc"), "body")
-    inside = holding(b, a, "body", "needle", "match", "id").unionByName(holding(a, b, "needle", "body", "id", "match")).filter("doc = _doc")
+    a, b = rest.select("id", "doc", "needle"), long_there.select("match", "doc", "body")
+    inside = holding(b, a, "body", "needle", "match", "id", "doc").unionByName(holding(a, b, "needle", "body", "id", "match", "doc"))
     share = F.least(F.length("needle"), F.length("body")) / F.greatest(F.length("needle"), F.length("body"))
     held = inside.select("id", "match", share.alias("share")).distinct().groupBy("id").agg(F.count("*").alias("n"), F.min("match").alias("match"), F.max("share").alias("share"))
     held = held.select("id", known("contained", F.round("share", 6), F.when((F.col("n") == 1) & (F.col("share") >= ratio), 1).otherwise(2).cast("long")).alias("x"))

@@ -323,23 +323,32 @@ def scanned(rows: DataFrame, keys: list[str], text: str, strings: DataFrame, str
     return out.withColumnRenamed("_s", string)
 
 
-def holding(docs: DataFrame, items: DataFrame, text: str, quote: str, key: str, item: str) -> DataFrame:
+def holding(docs: DataFrame, items: DataFrame, text: str, quote: str, key: str, item: str, within: str | None = None) -> DataFrame:
     """docs joined with the items whose quote their text holds word for word (case counts). key and item
-    name the ids of both; columns named _w, _q or _g must not be there.
+    name the ids of both; columns named _w, _q, _g or _in must not be there. within: a column of docs and items
+    that must be equal; the result has it once, and only ids of one of its values meet.
 
     A quote of five words and more is found by three of its inner words, which a text that holds it must
     have in a row; shorter ones by a scan of the texts. Only ids meet; texts and quotes come to the pairs
     of ids that are found."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     gram = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
+    place = [F.col(within).alias("_in")] if within else []
+    same = ["_in"] if within else []
     quotes = items.filter((F.col(quote) != "") & F.col(quote).isNotNull()).withColumn("_q", words(F.col(quote)))
     middle = F.greatest(F.floor(F.size("_q") / 2), F.lit(2)).cast("int")
-    keyed = quotes.filter(F.size("_q") >= 5).select(item, gram(F.col("_q"), middle).alias("_g"))
-    grams = docs.select(key, words(F.col(text)).alias("_w")).filter(F.size("_w") >= 3)
-    grams = grams.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: gram(F.col("_w"), i)))).alias("_g"))
-    pairs = grams.join(keyed, "_g").select(key, item)
-    short = quotes.filter(F.size("_q") < 5).select(item, quote)
-    pairs = pairs.unionByName(scanned(docs, [key], text, short, quote).join(short, quote).select(key, item)).distinct()
+    keyed = quotes.filter(F.size("_q") >= 5).select(item, *place, gram(F.col("_q"), middle).alias("_g"))
+    grams = docs.select(key, *place, words(F.col(text)).alias("_w")).filter(F.size("_w") >= 3)
+    grams = grams.select(key, *same, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: gram(F.col("_w"), i)))).alias("_g"))
+    pairs = grams.join(keyed, [*same, "_g"]).select(key, item)
+    short = quotes.filter(F.size("_q") < 5).select(item, *place, quote)
+    if within:
+        # the texts of one value are few: each is looked through for that value's short quotes alone
+        texts = docs.select(key, *place, F.col(text).alias("_w"))
+        pairs = pairs.unionByName(texts.join(short.withColumnRenamed(quote, "_q"), "_in").filter(F.contains("_w", F.col("_q"))).select(key, item)).distinct()
+        items = items.drop(within)
+    else:
+        pairs = pairs.unionByName(scanned(docs, [key], text, short, quote).join(short, quote).select(key, item)).distinct()
     return pairs.join(docs, key).join(items, item).filter(F.contains(F.col(text), F.col(quote))).select(*docs.columns, *items.columns)
 
 

@@ -63,3 +63,14 @@ def test_languages_of_held_out_texts(spark):
     assert n > 100 and hits / n > 0.95
     few = spark.createDataFrame([(1, "short"), (2, None), (3, "12345 " * 20)], "doc_id long, text string")
     assert {r.lang for r in L.detected(few, "doc_id", "text", L.profiles(docs, "lang", "text")).collect()} == {"unknown"}
+
+
+def test_holding_within_a_group_meets_no_other_group(spark, texts):
+    docs, quotes = texts
+    d = spark.createDataFrame([(i, i % 3, t) for i, t in dict(docs).items()], "id long, doc long, text string")
+    q = spark.createDataFrame([(j, j % 3, s) for j, s in quotes], "item long, doc long, quote string")
+    want = sorted((i, j) for i, t in dict(docs).items() for j, s in quotes if s and t and s in t and i % 3 == j % 3)
+    found = X.holding(d, q, "text", "quote", "id", "item", "doc")
+    assert sorted((r.id, r.item) for r in found.collect()) == want != [] and found.columns == ["id", "doc", "text", "item", "quote"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_in" in plan and all("_in" in line for line in plan.splitlines() if "Join" in line and "_g#" in line)
