@@ -34,11 +34,24 @@ def radar(rows: DataFrame, term: str, ts: str, now: Column, days: int) -> DataFr
     return out.withColumn("delta", F.col("recent") - F.col("prior"))
 
 
+#: Rows of jobs that a task pairs.
+PAIR_ROWS = 500_000
+
+
+def pairs(rows: DataFrame, job: str, term: str) -> DataFrame:
+    """src, tgt (src < tgt) and weight: how many jobs two terms share. Jobs here hold few terms each.
+
+    Rows are dealt by their number, not by the session's partitions, and before anything is summed, so that
+    what a task sorts and sums stays the same however many rows there are."""
+    tasks = max(1, -(-rows.count() // PAIR_ROWS))
+    terms = rows.select(F.col(job).alias("job"), F.col(term).alias("term")).repartition(tasks, "job").distinct()
+    a, b = terms.withColumnRenamed("term", "src"), terms.withColumnRenamed("term", "tgt")
+    return a.join(b, "job").filter("src < tgt").select("src", "tgt").repartition(2 * tasks, "src", "tgt").groupBy("src", "tgt").agg(F.count("*").alias("weight"))
+
+
 def cooccurrence(rows: DataFrame, job: str, term: str, least: int) -> DataFrame:
-    """Unordered pairs of terms that share `least` jobs or more. Jobs here hold few terms each."""
-    pairs = rows.select(F.col(job).alias("job"), F.col(term).alias("term")).distinct()
-    a, b = pairs.withColumnRenamed("term", "src"), pairs.withColumnRenamed("term", "tgt")
-    return a.join(b, "job").filter("src < tgt").groupBy("src", "tgt").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+    """Unordered pairs of terms that share `least` jobs or more."""
+    return pairs(rows, job, term).filter(F.col("weight") >= least)
 
 
 def degrees(edges: DataFrame) -> DataFrame:

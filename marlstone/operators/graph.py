@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.analytics import pairs
 from marlstone.session import load
 from marlstone.shared import drop, written
 
@@ -189,9 +190,8 @@ def _concepts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     nodes = load(s, d, "supplier").filter("s_suppkey % 9 <> 0").select(F.col("s_suppkey").cast("long").alias("node"))
     part = load(s, d, "part").filter("p_size <= 20")
     typed = part.select((F.col("p_partkey") % 97).alias("src"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 97).alias("tgt"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("position"))
-    pairs = load(s, d, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("long").alias("t")).distinct()
-    a, b = pairs.withColumnRenamed("t", "src"), pairs.withColumnRenamed("t", "tgt")
-    together = a.join(b, "l_orderkey").filter("src < tgt").groupBy("src", "tgt").agg(F.count("*").alias("weight"))
+    lines = load(s, d, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("long").alias("t"))
+    together = pairs(lines, "l_orderkey", "t")
     return nodes, typed, together.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("tgt")), "tgt", "left_semi")
 
 

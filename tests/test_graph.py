@@ -62,3 +62,19 @@ def test_empty_graphs(spark):
     assert G.downstream(none, spark.createDataFrame([("a",)], "root string")).count() == 0
     assert G.topological(spark.createDataFrame([], "node string"), none).count() == 0
     assert G.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """As many tasks as the rows need, whatever the session's number of partitions, and the pairs of a plain count."""
+    from collections import Counter
+    from itertools import combinations
+
+    from marlstone.operators import analytics as A
+
+    monkeypatch.setattr(A, "PAIR_ROWS", 50)
+    data = [(j, j * t % 11) for j in range(100) for t in range(5)]
+    want = Counter(p for j in range(100) for p in combinations(sorted({t for k, t in data if k == j}), 2))
+    got = A.pairs(spark.createDataFrame(data, "job long, term long"), "job", "term")
+    assert {(r.src, r.tgt): r.weight for r in got.collect()} == want
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(src" in plan and ", 20)" in plan.replace(", REPARTITION_BY_NUM", ")").replace("))", ")") and ", 10" in plan
