@@ -55,7 +55,9 @@ class PaperLinks:
         return _analyzed("block int, kind string, target string, label string", html, url)
 
     def eval(self, html: str, url: str) -> Iterator[tuple]:
-        yield from scholarly._Paper(html or "", url or "").links()
+        paper = scholarly._Paper(html or "", url or "")
+        paper.walk()
+        yield from paper.links()
 
 
 FUNCTIONS = {"page_blocks": PageBlocks, "page_cells": PageCells, "paper_links": PaperLinks}

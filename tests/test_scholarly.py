@@ -63,3 +63,18 @@ def test_nulls_deep_and_broken_pages(spark):
     got = {r.page_id: (r.status, len(r.blocks)) for r in S.papers(rows).collect()}
     assert got == {1: ("rejected", 0), 2: ("degraded", 1), 3: ("rejected", 0), None: ("degraded", 20000), 5: ("rejected", 0)}
     assert S.references(S.papers(rows.limit(0))).count() == 0
+
+
+def test_only_the_fields_asked_for(spark):
+    text = "<article><h1>T</h1><p>x <a href='#b'>c</a> <a href='javascript:y'>j</a></p><p>Permission to <b>reproduce</b> this figure</p><div class='ltx_creator'><span class='ltx_personname'>A</span></div><li class='ltx_bibitem' id='b'>B 2001</li></article>"
+    rows = spark.createDataFrame([(1, text, None)], PAGE)
+    whole = S.papers(rows).first().asDict(recursive=True)
+    assert [b["text"] for b in whole["blocks"]] == ["T", "x c j"] and whole["reasons"] == ["html_unsafe_reference_ignored"]
+    for fields in (("authors",), ("status",), ("blocks", "anchors"), ("links",), ("title", "reasons")):
+        got = S.papers(rows, fields=fields).first().asDict(recursive=True)
+        assert got == {k: whole[k] for k in ("page_id", *fields)}
+
+
+def test_entries_of_pages_without_a_key_keep_their_texts(spark):
+    rows = spark.createDataFrame([(None, "<article><ul><li class='ltx_bibitem' id='b'>B 2001 doi:10.1000/x</li></ul></article>", None)], PAGE)
+    assert [(r.entry, r.doi, r.year) for r in S.bibliography(S.papers(rows)).collect()] == [("b", "10.1000/x", 2001)]
