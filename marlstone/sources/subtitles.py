@@ -131,20 +131,26 @@ OCR_PLATFORM, OCR_PREFIX, OCR_CHARTS = "paken", "派克财经", ("usdt", "macd",
 _EDGES = r"-=_.,;:!?()\[\]{}<>|/\\'\"~`*+，。、：；！？（）【】《》"
 
 
+#: What a noisy word holds at least, lowered: most words hold none of it and need no closer look.
+_MAYBE = rf"[0-9]|{OCR_PLATFORM}|{OCR_PREFIX}|{'|'.join(OCR_CHARTS)}|ma\(|[bil1]{{5}}|^[{_EDGES}]*$"
+
+
 def clean_ocr(text: Column) -> Column:
     """Words of a screen without what is noise: only marks, a platform's name in its misread forms, chart
     labels and prices, long numbers without a Chinese character."""
 
     def noise(word: Column) -> Column:
-        t = F.regexp_replace(word, f"^[{_EDGES}]+|[{_EDGES}]+$", "")
-        low = F.lower(t)
+        t, low = word["t"], word["low"]
         charts = low.startswith("ma(")
         for x in OCR_CHARTS:
             charts = charts | F.contains(low, F.lit(x))
         price = ~t.rlike("[一-鿿]") & (t.rlike(r"^\d[\d.,:]{4,}$") | t.rlike(r"^\d[\d.,]*[KkMm]$"))
         return (t == "") | F.contains(low, F.lit(OCR_PLATFORM)) | t.startswith(OCR_PREFIX) | (F.contains(low, F.lit("b")) & low.rlike("^[bil1]{5,}$")) | charts | low.rlike(r"^[a-z]\d[\d.,]+$") | price
 
-    return F.array_join(F.filter(F.split(F.trim(text), r"\s+"), lambda w: ~noise(w)), " ")
+    def bare(word: Column) -> Column:  # an array of one, so that a word is stripped once
+        return F.transform(F.array(F.regexp_replace(word, f"^[{_EDGES}]+|[{_EDGES}]+$", "")), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+
+    return F.array_join(F.filter(F.split(F.trim(text), r"\s+"), lambda w: ~(F.lower(w).rlike(_MAYBE) & F.exists(bare(w), noise))), " ")
 
 
 def confident(boxes: Column, least: float = 0.6) -> Column:

@@ -44,3 +44,26 @@ def test_audio_links_and_json_kinds_of_every_sort(spark):
     kinds = {r["value"] for r in K.QUERIES["fn_json_kind"](spark, d).select("value").distinct().collect()}
     assert kinds == {"integer", "text", "array", "none", "real", "null", "true", "false", "object"}
     assert not any("WHERE NOT" in K.ORACLES[q] for q in ("fn_audio_link", "fn_json_kind"))
+
+
+def test_words_of_a_screen_are_looked_at_closely_where_they_may_be_noise(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from marlstone.sources import subtitles as S
+
+    edges = "-=_.,;:!?()[]{}<>|/\\'\"~`*+，。、：；！？（）【】《》"
+    words = "word 派克财经x x派克财经 PAKEN.tv xpakenx KEN paKen USDT/x Macd(12) diffs 'change' MA(5) xMA(5) (ma(3 bilibi1 BIL1B liiil illllb1x 12345 1234 12,345. 2.699K 9m a1. O22.98 中12345 12345中 ... 、。 《a》 -b- ١٢٣٤٥ 1a ǅb bbbbb".split()
+
+    def noise(w):
+        t = w.strip(edges)
+        low = t.lower()
+        price = not re.search("[一-鿿]", t) and (re.search(r"^[0-9][0-9.,:]{4,}$", t) or re.search(r"^[0-9][0-9.,]*[KkMm]$", t))
+        return bool(not t or "paken" in low or t.startswith("派克财经") or ("b" in low and re.search("^[bil1]{5,}$", low)) or low.startswith("ma(") or any(x in low for x in ("usdt", "macd", "diff", "change")) or re.search(r"^[a-z][0-9][0-9.,]+$", low) or price)
+
+    rows = spark.createDataFrame([(" ".join(words),), (None,), ("",), *((w,) for w in words)], "t string")
+    got = [r.x for r in rows.select(S.clean_ocr(F.col("t")).alias("x")).collect()]
+    kept = [w for w in words if not noise(w)]
+    assert got == [" ".join(kept), None, "", *("" if noise(w) else w for w in words)] and 10 < len(kept) < len(words) - 10
+    assert [r.x for r in rows.select(F.lower("t").rlike(S._MAYBE).alias("x")).collect()][3:] != [True] * len(words)
