@@ -24,6 +24,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
 #: A file for about so many bytes of text on average.
 FILE_BYTES = 64 << 20
-#: Words whose ids a Python worker remembers at most (about 200 bytes each).
+#: Text that a task works on at a time: of more text, fewer words are distinct.
+CHUNK_BYTES = 4 << 20
+#: When a Python worker remembers the ids of more words than these (about 200 bytes each), it forgets.
 KNOWN_WORDS = 450_000
 
 _known: dict[str, dict[bytes, bytes]] = {}
@@ -53,10 +56,13 @@ def _tokenizer(path: str):
 
 
 #: A run of these letters is one pre-token of the model, and so are the marks after it.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 #: Byte-level models write a byte as the character of its number, where that is printable.
 _BYTE_LETTERS = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
 _BYTE_LETTERS |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTE_LETTERS)}
+#: Those of the bytes of such letters that are not their own.
+_ODD = [(chr(b), x) for b, x in _BYTE_LETTERS.items() if b in set("".join(map(chr, range(0xDF, 0x100))).encode()) and x != chr(b)]
 
 
 def _plain(tokenizer) -> bool:
@@ -77,36 +83,47 @@ _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 def _ids(model, part: str) -> bytes:
-    got = [x.id for x in model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+    if not part.isascii():
+        part = part.encode().decode("latin-1")
+        for letter, by in _ODD:
+            part = part.replace(letter, by)
+    got = [x.id for x in model.tokenize(part)]
     return _PACK[len(got)](*got) if len(got) < 64 else struct.pack(f"<{len(got)}I", *got)
 
 
 def encoded(words: list[bytes], path: str) -> dict[bytes, bytes]:
-    """The ids of words, each as little-endian unsigned 32-bit integers, among others known before.
+    """The ids of distinct words in their order, each as little-endian unsigned 32-bit integers.
 
     Most new words are plain letters, with marks after them at times: the library's model takes both
-    as they are, which spares its pipeline for each; the pipeline takes all others."""
+    as they are, which spares its pipeline for each; the pipeline takes all others. Letters and marks are
+    known apart from each other. When too many are known, only those of the words at hand stay."""
     known, model = _known.setdefault(path, {}), _model(path)
-    if new := set(words).difference(known):
-        if len(known) + len(new) > KNOWN_WORDS:
-            known.clear()
-            new = set(words)
-        others, get, match = [], known.get, _PLAIN.fullmatch
-        for w in new:
-            if not model or not (found := match(w.decode().lower())):
-                others.append(w)
-                continue
-            letters, marks = found.groups()
-            base = w[: -len(marks)] if marks else w
+    if len(known) > KNOWN_WORDS:
+        here = {x for w in words for base in (w.rstrip(_MARKS),) for x in (w, base, w[len(base) :])}
+        known = _known[path] = {x: known[x] for x in here if x in known}
+    out: dict[bytes, bytes] = {}
+    others, get = [], known.get
+    for w in words:
+        if (ids := get(w)) is None:
+            base = w.rstrip(_MARKS)
             if (ids := get(base)) is None:
+                letters = base.decode().lower() if model else ""
+                if not (base.isalpha() and letters) and not _LETTERS.fullmatch(letters):
+                    others.append(w)
+                    out[w] = b""  # its place
+                    continue
                 ids = known[base] = _ids(model, letters)
-            if marks:
-                key = w[-len(marks) :]
-                if (more := get(key)) is None:
-                    more = known[key] = _ids(model, marks)
-                known[w] = ids + more
-        known.update(zip(others, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in _tokenizer(path).encode_batch([w.decode() for w in others], add_special_tokens=False)), strict=True))
-    return known
+            if len(base) < len(w):
+                marks = w[len(base) :]
+                if (more := get(marks)) is None:
+                    more = known[marks] = _ids(model, marks.decode())
+                ids += more
+        out[w] = ids
+    if others:
+        new = dict(zip(others, (struct.pack(f"<{len(e.ids)}I", *e.ids) for e in _tokenizer(path).encode_batch([w.decode() for w in others], add_special_tokens=False)), strict=True))
+        known.update(new)
+        out.update(new)
+    return out
 
 
 keeps(__name__, _known.clear)
@@ -122,24 +139,30 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     """The tokenizer splits at white space first and keeps none of it, so that the ids of a text are
     those of its words one after another, and a word needs encoding only once."""
     part, total, end = pyspark.TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-    for batch, data, at in chunks(batches, user=__name__):
-        texts = lowered(data.tobytes())
-        words = [texts[a:b].split() for a, b in zip(at[:-1], at[1:], strict=True)]
-        get = encoded([w for x in words for w in x], path).__getitem__
-        ids = [b"".join(map(get, x)) + end for x in words]
-        n = np.array([len(x) // 4 for x in ids], np.int64)
+    for batch, data, at in chunks(batches, limit=CHUNK_BYTES, user=__name__):
+        texts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(lowered(data.tobytes())))
+        words = pc.ascii_split_whitespace(texts)
+        after, words = words.offsets.to_numpy()[1:], words.values.dictionary_encode()
+        ids = [*encoded(words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), path).values(), end]
+        # of each word of the texts, and of the end after each text: which it is, how many ids it has, where they begin
+        which = np.insert(words.indices.to_numpy(), after, len(ids) - 1)
+        lengths, flat = np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<i4")
+        begins, n = (np.cumsum(lengths) - lengths)[which], lengths[which]
         ends = np.cumsum(n)
+        flat = flat[np.repeat(begins - (ends - n), n) + np.arange(ends[-1])]
+        ends = np.append(0, ends[after + np.arange(len(after))])
+        n = np.diff(ends)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array(np.full(len(n), part, np.int32)),
-                pa.array(total + ends - n),
+                pa.array(total + ends[:-1]),
                 pa.array(n),
-                pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4"))),
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)),
             ],
             ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
         )
-        total += int(n.sum())
+        total += int(ends[-1])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, files: int, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -59,6 +59,18 @@ def test_words_are_forgotten_when_there_are_too_many(monkeypatch):
         assert all(np.frombuffer(got[w], "<u4").tolist() == library("word_bpe_49k.json").encode(w.decode(), add_special_tokens=False).ids for w in words)
 
 
+def test_words_at_hand_are_not_forgotten_and_marks_are_known_apart(monkeypatch):
+    asked, path, ids = [], P.path("word_bpe_49k.json"), token_files._ids
+    monkeypatch.setattr(token_files, "_ids", lambda model, part: asked.append(part) or ids(model, part))
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(token_files, "_known", {})
+    for words in ([b"ab", b"cd", b"ef,", b"gh"], [b"ab", b"\xc3\xa0b,", b"ab,", b"4.5,", b"cd.,"], [b"ab.,"]):
+        got = token_files.encoded(words, path)
+        assert list(got) == words
+        assert all(np.frombuffer(got[w], "<u4").tolist() == library("word_bpe_49k.json").encode(w.decode(), add_special_tokens=False).ids for w in words)
+    assert sorted(asked) == sorted(["ab", "cd", "ef", ",", "gh", "àb", ".,"])
+
+
 def test_segment_tree_equals_the_library(spark, docs):
     import hashlib
 
