@@ -3,12 +3,35 @@ again only where something that it reads is another than before."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.graph import STEPS, step_edges, step_nodes, topological
 from marlstone.session import load
-from marlstone.shared import drop, written
+
+_DONE = "array<struct<step: string, outcome: string, reason: string, input: string, output: string>>"
+
+
+def _made(done: Column, x: Column, needs: Column) -> Column:
+    """done and what came of the step x, once those before it are in done."""
+    needed = needs[x["step"]]
+    reads = F.filter(done, lambda r: F.array_contains(needed, r["step"]))
+    behind = F.filter(reads, lambda r: r["outcome"].isin("failed", "blocked"))
+    read = F.concat_ws("|", F.array_sort(F.transform(reads, lambda r: F.concat_ws("=", r["step"], r["output"]))))
+    now = F.sha2(F.concat_ws("\u001f", F.lit("in"), x["definition"], read), 256)
+    by = F.array_min(F.transform(behind, lambda r: r["step"]))
+
+    def fate(v: Column) -> Column:
+        now, by, bad = v["now"], v["by"], v["by"].isNotNull()
+        same, there = F.coalesce(now == x["input"], F.lit(False)), F.coalesce(x["valid"], F.lit(False)) & x["output"].isNotNull()
+        fails = F.coalesce(x["fails"], F.lit(False))
+        outcome = F.when(bad, "blocked").when(same & there, "reused").when(fails, "failed").otherwise("rebuilt")
+        reason = F.when(bad, F.concat(F.lit("behind "), by)).when(same & there, None).when(x["input"].isNull(), "never made").when(~same, "input changed").otherwise("output lost")
+        output = F.when(bad, None).when(same & there, x["output"]).when(~fails, F.coalesce(x["makes"], F.sha2(F.concat(F.lit("out"), now), 256)))
+        return F.struct(x["step"].alias("step"), outcome.alias("outcome"), reason.alias("reason"), F.when(~bad, now).alias("input"), output.alias("output"))
+
+    # an array of one, so that what is used more than once is found once
+    return F.concat(done, F.transform(F.array(F.struct(now.alias("now"), by.alias("by"))), fate)).cast(_DONE)
 
 
 def reprojected(steps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -22,40 +45,22 @@ def reprojected(steps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     A step's input digest is that of its definition and of the outputs of the steps it needs, by name.
     reused: the input is as it was and the output valid; rebuilt; failed; blocked: a step that it needs has
     failed or is blocked. A rebuilt step with the output it had before leaves those behind it as they are.
-    Levels are as many as the template is deep; each is a join of one level's rows with those before."""
+    A job's steps meet once, and are gone through by level: a task holds one job's, which are as many as the
+    template's. A row without a job is by itself."""
     level = {r.node: r.level for r in topological(nodes, edges).collect()}  # the template's nodes
     if loops := sorted(n for n, k in level.items() if k is None):
         raise ValueError(f"steps on a cycle or behind one: {', '.join(loops)}")
-    spark = steps.sparkSession
-    depth = spark.createDataFrame([(n, k) for n, k in level.items()], "step string, level int")
-    rows = written(steps.join(F.broadcast(depth), "step"), "steps")
-    needs = F.broadcast(edges.select(F.col("src").alias("_from"), F.col("dst").alias("step")).distinct())
-    done: list[DataFrame] = []
-    for k in range(max(level.values(), default=-1) + 1):
-        here = rows.filter(F.col("level") == k)
-        if done:
-            before = done[0]
-            for d in done[1:]:
-                before = before.unionByName(d)
-            before = before.select("job", F.col("step").alias("_from"), "output", F.col("outcome").isin("failed", "blocked").alias("_bad"))
-            reads = here.select("job", "step").join(needs, "step").join(before, ["job", "_from"])
-            reads = reads.groupBy("job", "step").agg(F.max("_bad").alias("_bad"), F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws("=", "_from", "output")))).alias("_read"), F.min(F.when(F.col("_bad"), F.col("_from"))).alias("_by"))
-            here = here.join(reads, ["job", "step"], "left")
-        else:
-            here = here.withColumns({"_bad": F.lit(False), "_read": F.lit(""), "_by": F.lit(None).cast("string")})
-        bad = F.coalesce("_bad", F.lit(False))
-        now = F.sha2(F.concat_ws("\u001f", F.lit("in"), "definition", F.coalesce("_read", F.lit(""))), 256)
-        same, there = F.coalesce(now == F.col("input"), F.lit(False)), F.coalesce("valid", F.lit(False)) & F.col("output").isNotNull()
-        fails = F.coalesce("fails", F.lit(False))
-        outcome = F.when(bad, "blocked").when(same & there, "reused").when(fails, "failed").otherwise("rebuilt")
-        reason = F.when(bad, F.concat(F.lit("behind "), F.col("_by"))).when(same & there, None).when(F.col("input").isNull(), "never made").when(~same, "input changed").otherwise("output lost")
-        output = F.when(outcome == "reused", F.col("output")).when(outcome == "rebuilt", F.coalesce("makes", F.sha2(F.concat(F.lit("out"), now), 256)))
-        done.append(written(here.select("job", "step", outcome.alias("outcome"), reason.alias("reason"), F.when(~bad, now).alias("input"), output.alias("output")), "level"))
-    drop(rows)
-    out = done[0] if done else steps.select("job", "step", *(F.lit("").alias(c) for c in ("outcome", "reason", "input", "output"))).limit(0)
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    if not level:
+        return steps.select("job", "step", *(F.lit("").alias(c) for c in ("outcome", "reason", "input", "output"))).limit(0)
+    before: dict[str, list[str]] = {n: [] for n in level}
+    for r in edges.select("src", "dst").distinct().collect():  # the template's edges
+        if r.dst in before:
+            before[r.dst].append(r.src)
+    depth = steps.sparkSession.createDataFrame(list(level.items()), "step string, level int")
+    needs = F.create_map(*(c for n, names in before.items() for c in (F.lit(n), F.array(*map(F.lit, names)).cast("array<string>"))))
+    rows = steps.join(F.broadcast(depth), "step").withColumn("_alone", F.when(F.col("job").isNull(), F.monotonically_increasing_id()))
+    jobs = rows.groupBy("job", "_alone").agg(F.array_sort(F.collect_list(F.struct("level", "step", "definition", "input", "output", "valid", "fails", "makes"))).alias("_steps"))
+    return jobs.select("job", F.inline(F.aggregate("_steps", F.array().cast(_DONE), lambda done, x: _made(done, x, needs))))
 
 
 def rebuilt_steps(s: SparkSession, d: str) -> DataFrame:
