@@ -31,9 +31,9 @@ def without_worker(steps: DataFrame, workers: DataFrame, waiting: DataFrame, now
     the next tick. A job can't go on if no step runs, some are ready, and no pool of these has a worker
     online. steps: job, status, pool; workers: pool, online."""
     pools = workers.filter("online").select("pool").distinct().withColumn("_able", F.lit(True))
-    has = lambda test: F.max(F.when(test, 1).otherwise(0))
-    found = steps.join(pools, "pool", "left").groupBy("job").agg(has(F.col("status") == "running").alias("runs"), has(F.col("status") == "ready").alias("ready"), has((F.col("status") == "ready") & F.col("_able")).alias("able"))
-    now_waiting = found.filter("runs = 0 and ready = 1 and able = 0").select("job").join(waiting, "job", "left").withColumn("since", F.coalesce("since", now.cast("timestamp")))
+    states = steps.join(pools, "pool", "left").select("job", (F.col("status") == "running").alias("runs"), (F.col("status") == "ready").alias("ready"), ((F.col("status") == "ready") & F.col("_able")).alias("able"))
+    found = state.together("job", states, waiting.select("job", "since").filter("job is not null")).agg(*(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("runs", "ready", "able")), F.min("since").alias("since"))
+    now_waiting = found.filter("not runs and ready and not able").select("job", F.coalesce("since", now.cast("timestamp")).alias("since"))
     due = _age(now, "since") >= grace
     told = _actions(now_waiting.filter(due), "job", F.lit("no worker"))
     return told, now_waiting.withColumn("since", F.when(due, now.cast("timestamp")).otherwise(F.col("since")))
@@ -49,15 +49,19 @@ def stale_workers(workers: DataFrame, now: Column, limit: float = GONE) -> DataF
 def staged_orphans(files: DataFrame, live: DataFrame, now: Column, grace: float = STAGED) -> DataFrame:
     """Staged files (execution, modified) of executions that no running step names (live: execution), older
     than `grace` seconds: an action for each execution all of whose files are that old."""
-    old = files.groupBy("execution").agg(F.max("modified").alias("modified")).filter(_age(now, "modified") > grace)
-    return _actions(old.join(live.select("execution").distinct(), "execution", "left_anti"), "execution", F.lit("deleted"))
+    runs = live.filter("execution is not null").select("execution", F.lit(True).alias("runs"))
+    found = state.together("execution", files.select("execution", "modified"), runs).agg(F.max("modified").alias("modified"), F.max("runs").alias("runs"))
+    return _actions(found.filter((_age(now, "modified") > grace) & F.col("runs").isNull()), "execution", F.lit("deleted"))
 
 
 def completions(steps: DataFrame, active: DataFrame, finished: DataFrame, indexed: DataFrame) -> DataFrame:
     """Active jobs all of whose steps are done or skipped are finished; finished jobs without an index are
     indexed. steps: job, status; the others: job."""
-    ended = steps.join(active.select("job").distinct(), "job", "left_semi").groupBy("job").agg(F.every(F.coalesce(F.col("status").isin("done", "skipped"), F.lit(False))).alias("all")).filter("all")
-    bare = finished.select("job").distinct().join(indexed.select("job").distinct(), "job", "left_anti")
+    is_ = lambda rows, name: rows.select("job", F.lit(True).alias(name))
+    named = lambda rows: rows.filter("job is not null")
+    all_ = F.every("ended").alias("all")  # null without steps
+    ended = state.together("job", steps.select("job", F.coalesce(F.col("status").isin("done", "skipped"), F.lit(False)).alias("ended")), is_(named(active), "active")).agg(all_, F.max("active").alias("active")).filter("all and active")
+    bare = state.together("job", is_(finished, "finished"), is_(named(indexed), "indexed")).agg(F.max("finished").alias("finished"), F.max("indexed").alias("indexed")).filter("finished and indexed is null")
     return _actions(ended, "job", F.lit("finished")).unionByName(_actions(bare, "job", F.lit("indexed")))
 
 

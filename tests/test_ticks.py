@@ -54,6 +54,21 @@ def test_completions_and_digests(spark):
     assert rows(ticks.digests(domains, sent, noon())) == [("a", "digest")] and rows(ticks.digests(domains, sent, noon(), 1)) == []
 
 
+def test_sides_meet_in_one_aggregate_and_nulls_meet_nothing(spark):
+    frame = lambda c, *ids: spark.createDataFrame([(i,) for i in ids], f"{c} string")
+    free, now = state.leaked(frame("holder", "a", "a", "b", "c", None), frame("holder", "b", "b", None), frame("holder", "a", "b", "d", None))
+    assert [r.holder for r in free.collect()] == ["a"] and sorted(str(r.holder) for r in now.collect()) == ["None", "a", "c"]
+    files = spark.createDataFrame([("x", ago(30000)), ("y", ago(30000)), ("z", None), (None, ago(30000))], "execution string, modified timestamp")
+    left = ticks.staged_orphans(files, frame("execution", "y", None), noon())
+    assert sorted(str(r.subject) for r in left.collect()) == ["None", "x"]
+    job = lambda *ids: spark.createDataFrame([(i,) for i in ids], "job long")
+    steps = spark.createDataFrame([(1, "done"), (None, "done"), (3, "done")], "job long, status string")
+    done = ticks.completions(steps, job(1, 1, None, 7), job(5, None, None), job(None))
+    assert sorted((str(r.subject), r.action) for r in done.collect()) == [("1", "finished"), ("5", "indexed"), ("None", "indexed")]
+    for df in (free, now, left, done):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_an_empty_state_has_no_actions(spark):
     empty = {k: v.limit(0) for k, v in ticks._state(spark, "/root/testdata/sf0.001").items()}
     empty |= {"waiting": spark.createDataFrame([], "job long, since timestamp"), "suspects": spark.createDataFrame([], "holder string")}
