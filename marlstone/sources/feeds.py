@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from itertools import accumulate, chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from marlstone.operators.maintenance import put
 from marlstone.session import load
@@ -95,16 +101,69 @@ def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
     return rows.select(key, "position", item.alias("item_id"), "title", url.alias("url"), kind.alias("content_type")).filter("item_id is not null")
 
 
+#: A box as XML, with its sides if they come first and in the usual order; others are looked for one by one.
+_BOX = re.compile(r"<(?:(text)|image)\b(?:" + "".join(rf"""\s+{x}="(-?\d+(?:\.\d+)?)\"""" for x in ("top", "left", "width", "height")) + r")?([^>]*)>(?(1)(.*?)</text>)", re.I | re.S | re.A)
+_SIDES = ("left", "top", "width", "height")
+_SIDE = [re.compile(rf"""\b{x}\s*=\s*["'](-?\d+(?:\.\d+)?)""", re.I | re.A) for x in _SIDES]
+#: What makes a box's text more than its characters, and an entity (each stands for what unescaped() says).
+_ODD = r"[<&\t\n\x0b\f\r]|  |^ | $"
+_ENTITY = re.compile(r"&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|&(lt|gt|quot|apos|amp);")
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+_FOUND = pa.struct({"kind": pa.string(), "place": pa.int32(), **dict.fromkeys(_SIDES, pa.float64()), "text": pa.string()})
+#: Pages whose boxes are Python's own values at once.
+PAGES = 64
+
+
+def _character(m: re.Match) -> str:
+    if m[3]:
+        return _NAMED[m[3]]
+    code = int(m[1], 16) if m[1] else int(m[2])
+    return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code <= 0xDFFF else m[0]
+
+
+def _plain_text(x: str) -> str:
+    return _ENTITY.sub(_character, re.sub(r"[ \t\n\x0b\f\r]+", " ", re.sub("<[^<>]*>", "", x)).strip(" "))
+
+
+def _side(tag: str, side: re.Pattern) -> float | None:
+    return float(m[1]) if (m := side.search(tag)) else None
+
+
+@F.arrow_udf(from_arrow_type(pa.list_(_FOUND)))
+def _boxes_of(pages: pa.Array) -> pa.Array:
+    """The boxes of pages, a page a value, in the order of the XML."""
+    return pa.concat_arrays([_boxes_of_some(pages.slice(i, PAGES).to_pylist()) for i in range(0, max(1, len(pages)), PAGES)])
+
+
+def _boxes_of_some(pages: list[str]) -> pa.Array:
+    found = [_BOX.findall(p) for p in pages]
+    tags, top, left, width, height, rest, texts = zip(*chain.from_iterable(found), strict=True) if any(found) else [()] * 7
+    if all(top):
+        sides = [pa.array(c, pa.string()).cast(pa.float64()) for c in (left, top, width, height)]
+    else:  # a tag with other attributes has all of them in rest
+        sides = [pa.array([float(c) if c else _side(r, side) for c, r in zip(column, rest, strict=True)], pa.float64()) for column, side in zip((left, top, width, height), _SIDE, strict=True)]
+    text = list(texts)
+    for i in np.flatnonzero(pc.match_substring_regex(pa.array(text, pa.string()), _ODD).to_numpy(zero_copy_only=False)).tolist():
+        text[i] = _plain_text(text[i])
+    kinds = ["text" if t else "image" for t in tags]
+    places = [*chain.from_iterable(range(len(f)) for f in found)]
+    flat = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(places, pa.int32()), *sides, pa.array(text, pa.string())], fields=[*_FOUND])
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, found))], pa.int32()), flat, type=pa.list_(_FOUND))
+
+
+def layout_pages(pages: DataFrame, key: str, xml: str) -> DataFrame:
+    """key, page and boxes (kind, text or image; place, left, top, width, height and text) of PDF layout XML
+    (pages of text and image tags with top, left, width, height), a page a row."""
+    # a page ends at the next end of one, and begins at the first tag of one before it
+    pieces = pages.select(key, F.split(xml, "</(?i)page>").alias("_e"))
+    page = F.transform(F.slice("_e", F.lit(1), F.size("_e") - 1), lambda x: F.regexp_extract(x, r"<(?is)page\b[^>]*>.*", 0))
+    rows = pieces.select(key, F.explode(page).alias("_p")).filter("_p != ''")
+    return rows.select(key, F.regexp_extract("_p", r"""(?i)^<page\b[^>]*?\bnumber\s*=\s*["'](\d+)""", 1).cast("int").alias("page"), _boxes_of("_p").alias("boxes"))
+
+
 def layout_boxes(pages: DataFrame, key: str, xml: str) -> DataFrame:
-    """key, page, kind (text or image), place, left, top, width, height and text of the boxes of PDF layout
-    XML (pages of text and image tags with top, left, width, height)."""
-    page = F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?is)(<page\b[^>]*>.*?</page>)"), F.lit(1)))
-    rows = pages.select(key, page.alias("_n", "_p")).select(key, F.regexp_extract("_p", r"""(?i)^<page\b[^>]*?\bnumber\s*=\s*["'](\d+)""", 1).cast("int").alias("page"), "_p")
-    boxes = rows.select(key, "page", F.posexplode(F.regexp_extract_all("_p", F.lit(r"(?is)(<text\b[^>]*>.*?</text>|<image\b[^>]*>)"), F.lit(1))).alias("place", "_b"))
-    number = lambda name: F.regexp_extract("_b", rf"""(?i)^<[^>]*?\b{name}\s*=\s*["'](-?\d+(?:\.\d+)?)""", 1).try_cast("double").alias(name)
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("_b", r"(?is)^<text\b[^>]*>(.*)</text>$", 1), "<[^<>]*>", ""), r"\s+", " "))
-    text = unescaped(text)
-    return boxes.select(key, "page", F.when(F.col("_b").rlike("(?i)^<text"), "text").otherwise("image").alias("kind"), "place", number("left"), number("top"), number("width"), number("height"), text.alias("text"))
+    """The boxes of layout_pages(), a box a row: key, page, kind, place, left, top, width, height and text."""
+    return layout_pages(pages, key, xml).select(key, "page", F.inline("boxes"))
 
 
 def box_union(boxes: DataFrame, *by: str) -> DataFrame:

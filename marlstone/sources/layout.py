@@ -8,15 +8,21 @@ page by page.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from bisect import bisect_left
+from collections.abc import Callable
+from itertools import pairwise
+from operator import itemgetter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from marlstone.functions import text as T
 from marlstone.operators.packing import caption
 from marlstone.session import load
-from marlstone.sources.feeds import layout_boxes
+from marlstone.sources.feeds import PAGES, layout_pages
 
 #: A strip is white space between columns if it is so many times as wide as a line is high.
 STRIP = 1.0
@@ -26,37 +32,36 @@ CAPTION = r"(?i)^(?:figure|fig\.?|table|tab\.?|图|表)\s*(\d+)"
 Box = tuple[float, float, float, float, int]  # left, top, right, bottom, number
 
 
-def _gaps(spans: list[tuple[float, float]], least: float) -> list[float]:
-    """Places in the middle of the gaps, of least width and more, between spans."""
-    out, end = [], None
-    for a, b in sorted(spans):
-        if end is not None and a - end >= least:
-            out.append((end + a) / 2)
-        end = b if end is None else max(end, b)
-    return out
-
-
-def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The spans with those that meet made one, from left to right."""
+def _fused(spans: list[tuple[float, float]], strip: float) -> list[tuple[float, float]]:
+    """The spans from left to right, those with less white than a strip between them made one."""
+    if len(spans) == 1:
+        return spans
     out: list[tuple[float, float]] = []
+    begin = end = None
     for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = out[-1][0], b
-        else:
-            out.append((a, b))
+        if end is None:
+            begin, end = a, b
+        elif a - end >= strip:
+            out.append((begin, end))
+            begin, end = a, b
+        elif b > end:
+            end = b
+    out.append((begin, end))
     return out
 
 
 def _bands(boxes: list[Box]) -> list[list[Box]]:
-    """Boxes cut at every horizontal strip of white, from top to bottom."""
+    """Boxes, which come from top to bottom, cut at every horizontal strip of white."""
     out: list[list[Box]] = []
-    end = None
-    for box in sorted(boxes, key=lambda b: (b[1], b[0], b[4])):
-        if end is None or box[1] >= end:
-            out.append([])
-        out[-1].append(box)
-        end = box[3] if end is None else max(end, box[3])
+    end = float("-inf")
+    for box in boxes:
+        if box[1] >= end:
+            out.append([box])
+            end = box[3]
+        else:
+            out[-1].append(box)
+            if box[3] > end:
+                end = box[3]
     return out
 
 
@@ -67,89 +72,142 @@ def reading(boxes: list[Box]) -> list[tuple[int, str]]:
     between two columns; such a stretch of two bands and more is read column by column."""
     if not boxes:
         return []
-    heights = sorted(b[3] - b[1] for b in boxes)
+    heights = sorted([b[3] - b[1] for b in boxes])
     strip = max(1.0, STRIP * heights[len(heights) // 2])
     out: list[tuple[int, str]] = []
 
-    def columns(part: list[Box]) -> list[list[Box]]:
-        cuts = _gaps([(b[0], b[2]) for b in part], strip)
-        held: list[list[Box]] = [[] for _ in range(len(cuts) + 1)]
-        for b in part:
-            held[sum(b[0] > c for c in cuts)].append(b)
-        return held
-
     def read(part: list[Box], path: str) -> None:
         bands = _bands(part)
+        across = [_fused([(b[0], b[2]) for b in band], strip) for band in bands]
         i = 0
         while i < len(bands):
-            j, spans = i + 1, _merged([(b[0], b[2]) for b in bands[i]])
-            while j < len(bands) and _gaps(spans := _merged(spans + [(b[0], b[2]) for b in bands[j]]), strip):
-                j += 1
-            stretch = [b for band in bands[i:j] for b in band]
-            found = columns(stretch) if j > i + 1 else [stretch]
-            if len(found) > 1:
-                for k, column in enumerate(found):
+            j, spans = i + 1, across[i]
+            while j < len(bands) and len(both := spans if across[j] == spans else _fused(spans + across[j], strip)) > 1:
+                j, spans = j + 1, both
+            if j > i + 1:
+                cuts = [(a[1] + b[0]) / 2 for a, b in pairwise(spans)]
+                held: list[list[Box]] = [[] for _ in range(len(cuts) + 1)]
+                for band in bands[i:j]:
+                    for b in band:
+                        held[bisect_left(cuts, b[0])].append(b)
+                for k, column in enumerate(held):
                     read(column, f"{path}{k}.")
+            elif len(bands[i]) == 1:
+                out.append((bands[i][0][4], path))
             else:
-                out.extend((b[4], path) for b in sorted(stretch, key=lambda b: (b[0], b[1], b[4])))
+                out.extend([(b[4], path) for b in sorted(bands[i], key=_FROM_LEFT)])
             i = j
 
-    read(boxes, "")
+    read(sorted(boxes, key=_FROM_TOP), "")
     return out
 
 
-_ORDER = StructType([StructField("number", ArrayType(IntegerType())), StructField("column", ArrayType(StringType()))])
+_FROM_TOP, _FROM_LEFT = itemgetter(1, 0, 4), itemgetter(0, 1, 4)
 
 
-@F.pandas_udf(_ORDER)
-def _read(left: pd.Series, top: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    """Number and column of each box of the pages, a page a row, whose boxes come in the order of their places."""
-    numbers, columns = [], []
-    for x, y, w, h in zip(left, top, width, height, strict=True):
-        boxes = [(a, b, a + c, b + d, i) for i, (a, b, c, d) in enumerate(zip(x.tolist(), y.tolist(), w.tolist(), h.tolist(), strict=True)) if not _unknown(a, b, c, d)]
-        number, column = [-1] * len(x), [""] * len(x)
-        for n, (i, path) in enumerate(reading(boxes)):
-            number[i], column[i] = n, path
-        rest = len(boxes)
-        for i, n in enumerate(number):
-            if n < 0:
-                number[i] = rest
-                rest += 1
-        numbers.append(number)
-        columns.append(column)
-    return pd.DataFrame({"number": numbers, "column": columns})
+def _read(pages: pa.Array) -> pa.Array:
+    """The boxes of pages, a page a value, in reading order, each with number and column."""
+    return pa.concat_arrays([_read_some(pages.slice(i, PAGES)) for i in range(0, max(1, len(pages)), PAGES)])
 
 
-def _unknown(*sides: float | None) -> bool:
-    return any(s is None or s != s for s in sides)
+def _read_some(pages: pa.Array) -> pa.Array:
+    flat, sizes = pages.flatten(), pages.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    left, top, width, height = (flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("left", "top", "width", "height"))
+    unknown = np.isnan(left) | np.isnan(top) | np.isnan(width) | np.isnan(height)
+    some = unknown.any()
+    boxes = [*zip(left.tolist(), top.tolist(), (left + width).tolist(), (top + height).tolist(), range(len(flat)), strict=True)]
+    found: list[tuple[int, str]] = []
+    ends = np.cumsum(sizes)
+    for begin, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        if some and (rest := np.flatnonzero(unknown[begin:end]) + begin).size:
+            found += reading([b for b in boxes[begin:end] if not unknown[b[4]]]) + [(i, "") for i in rest.tolist()]
+        else:
+            found += reading(boxes[begin:end])
+    held = flat.take(pa.array([i for i, _ in found], pa.int32()))
+    numbers = pa.array(np.arange(len(found)) - np.repeat(ends - sizes, sizes), pa.int32())
+    names = [f.name for f in flat.type if f.name not in ("number", "column")]
+    held = pa.StructArray.from_arrays([*map(held.field, names), numbers, pa.array([path for _, path in found], pa.string())], [*names, "number", "column"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), held)
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """pages, whose boxes (place, left, top, width, height and what else they have) come in the order of their
+    places, with boxes in reading order, each with number (from 0) and column (the path of its columns). Boxes
+    without a place on the page come last."""
+    kind = pages.schema["boxes"].dataType.elementType
+    kind = StructType([f for f in kind if f.name not in ("number", "column")]).add("number", IntegerType()).add("column", StringType())
+    return pages.withColumn("boxes", F.arrow_udf(_read, ArrayType(kind))("boxes"))
+
+
+def _gathered(boxes: DataFrame, key: str, *order: str) -> DataFrame:
+    """Boxes, a box a row, as pages of a row each."""
+    names = [c for c in boxes.columns if c not in (key, "page")]
+    first = sorted(names, key=lambda c: order.index(c) if c in order else len(order))
+    return boxes.groupBy(key, "page").agg(F.sort_array(F.collect_list(F.struct(*first))).alias("boxes"))
 
 
 def ordered(boxes: DataFrame, key: str) -> DataFrame:
     """boxes (key, page, kind, place, left, top, width, height, text) with number (from 0, in the page's
-    reading order) and column (the path of its columns). Boxes without a place on the page come last.
+    reading order) and column (the path of its columns). Boxes without a place on the page come last."""
+    held = read_pages(_gathered(boxes, key, "place")).select(key, "page", F.inline("boxes"))
+    return held.select(*boxes.columns, "number", "column")
 
-    A page becomes one row of arrays, and Python gets many pages at once, of them only the four sides."""
-    names = [c for c in boxes.columns if c not in (key, "page")]
-    first = sorted(names, key=lambda c: c != "place")
-    found = boxes.groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct(*first))).alias("_b"))
-    sides = (F.col("_b")[c].cast("array<double>") for c in ("left", "top", "width", "height"))
-    found = found.withColumn("_r", _read(*sides))
-    held = found.select(key, "page", F.explode(F.arrays_zip("_b", F.col("_r.number").alias("number"), F.col("_r.column").alias("column"))).alias("_x"))
-    return held.select(*(F.col(c) if c in (key, "page") else F.col("_x._b")[c].alias(c) for c in boxes.columns), F.col("_x.number").alias("number"), F.col("_x.column").alias("column"))
+
+def _by_column(pages: DataFrame, kept: Callable[[Column], Column]) -> DataFrame:
+    """Pages with boxes b, those of their texts that are kept, column by column in the order of reading."""
+    texts = F.transform(F.filter("boxes", lambda x: (x["kind"] == "text") & kept(x)), lambda x: F.struct(*(x[c].alias(c) for c in ("column", "number", "place", "left", "top", "width", "height", "text"))))
+    return pages.withColumn("b", F.sort_array(texts))
+
+
+def _cut(pages: DataFrame, first: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pages with groups, b cut where a box is the first of a group: first() has a box and the one before it
+    in its column, or null."""
+    with_last = F.transform("b", lambda x, i: F.struct(x.alias("x"), F.when(F.get("b", i - 1)["column"] == x["column"], F.get("b", i - 1)).alias("last")))
+    begins = F.transform(with_last, lambda p, i: F.when(p["last"].isNull() | first(p["x"], p["last"]), i))
+    rows = pages.withColumn("_i", F.filter(begins, lambda i: i.isNotNull()))
+    group = F.transform("_i", lambda i, k: F.slice("b", i + 1, F.coalesce(F.get("_i", k + 1), F.size("b")) - i))
+    return rows.withColumn("groups", group)
+
+
+def _joined(group: Column) -> Column:
+    return F.array_join(F.transform(group, lambda x: x["text"]), " ")
+
+
+def page_lines(pages: DataFrame, key: str) -> DataFrame:
+    """lines() of the pages that read_pages() gives."""
+    bottom = lambda x: x["top"] + x["height"]
+    shared = lambda x, b: F.least(bottom(x), bottom(b)) - F.greatest(x["top"], b["top"])
+    new = lambda x, b: ~F.coalesce(shared(x, b) * 2 >= F.least(x["height"], b["height"]), F.lit(False))
+    rows = _cut(_by_column(pages, lambda _: F.lit(True)), new).withColumn("_c", F.transform("groups", lambda g: g[0]["column"]))
+    line = F.transform("groups", lambda g, k: F.struct(F.get("_c", k).alias("column"), (k + 1 - F.array_position("_c", F.get("_c", k))).cast("int").alias("line"), g[0]["number"].alias("first"), _joined(g).alias("text")))
+    return rows.select(key, "page", F.inline(line))
 
 
 def lines(boxes: DataFrame, key: str) -> DataFrame:
-    """key, page, column, line and text of the lines of ordered text boxes: neighbours in reading order that
-    overlap in height by half of the lower one are one line."""
-    w = Window.partitionBy(key, "page", "column").orderBy("number")
-    bottom = F.col("top") + F.col("height")
-    before = F.lag(F.struct("top", bottom.alias("bottom"), "height")).over(w)
-    rows = boxes.filter("kind = 'text'").withColumn("_b", before)
-    shared = F.least(bottom, F.col("_b.bottom")) - F.greatest("top", F.col("_b.top"))
-    new = F.when(F.coalesce(shared * 2 >= F.least("height", F.col("_b.height")), F.lit(False)), 0).otherwise(1)
-    rows = rows.withColumn("_new", new).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: x["text"])
-    return rows.groupBy(key, "page", "column", "line").agg(F.min("number").alias("first"), F.array_join(pieces, " ").alias("text"))
+    """key, page, column, line (from 0), first (its first box's number) and text of the lines of ordered text boxes:
+    neighbours in reading order that overlap in height by half of the lower one are one line."""
+    return page_lines(_gathered(boxes, key, "number"), key)
+
+
+def page_captions(pages: DataFrame, key: str) -> DataFrame:
+    """captions() of the pages that read_pages() gives."""
+    right, bottom = lambda x: x["left"] + x["width"], lambda x: x["top"] + x["height"]
+    placed = lambda x: x["left"].isNotNull() & x["top"].isNotNull() & x["width"].isNotNull() & x["height"].isNotNull()
+    begins = lambda x: x["text"].rlike(CAPTION)
+    far = lambda x, b: F.coalesce(x["top"] - bottom(b) > x["height"], F.lit(True))
+    rows = _cut(_by_column(pages, placed), lambda x, b: far(x, b) | begins(x))
+    sides = lambda g: (f(F.transform(g, of)).alias(c) for c, f, of in (("c0", F.array_min, lambda x: x["left"]), ("d0", F.array_min, lambda x: x["top"]), ("c1", F.array_max, right), ("d1", F.array_max, bottom)))
+    found = F.transform(F.filter("groups", lambda g: begins(g[0])), lambda g: F.struct(g[0]["place"].alias("caption"), *sides(g), F.transform(g, lambda x: x["text"]).alias("pieces")))
+    pictures = F.transform(F.filter("boxes", lambda x: (x["kind"] == "image") & placed(x)), lambda x: F.struct(x["place"].alias("picture"), x["left"].alias("left"), x["top"].alias("top"), right(x).alias("right"), bottom(x).alias("bottom")))
+    rows = rows.select(key, "page", pictures.alias("_pictures"), found.alias("_found"))
+    # one expression: an exploded column would be asked for its size first, and so be made twice
+    pairs = F.flatten(F.transform("_pictures", lambda p: F.transform("_found", lambda f: F.struct(*(p[c].alias(c) for c in ("picture", "left", "top", "right", "bottom")), *(f[c].alias(c) for c in ("caption", "c0", "d0", "c1", "d1", "pieces"))))))
+    both = rows.select(key, "page", F.inline(pairs)).filter("left < c1 and c0 < right")  # a page's pictures and captions
+    distance = F.greatest(F.col("d0") - F.col("bottom"), F.col("top") - F.col("d1"), F.lit(0.0))
+    both = both.withColumn("distance", distance)
+    first = lambda side, other: F.row_number().over(Window.partitionBy(key, "page", side).orderBy("distance", other)) == 1
+    both = both.withColumns({"_a": first("picture", "caption"), "_b": first("caption", "picture")}).filter("_a and _b").withColumn("text", caption(F.col("pieces")))
+    return both.select(key, "page", "picture", "caption", F.regexp_extract("text", CAPTION, 1).alias("label"), "text")
 
 
 def captions(boxes: DataFrame, key: str) -> DataFrame:
@@ -157,60 +215,46 @@ def captions(boxes: DataFrame, key: str) -> DataFrame:
     those that are nearest to each other, both ways (ties to the one placed first). Only boxes that share a
     part of their width meet; a caption's text takes in the lines that follow it in its column, as long as
     none is further away than its own height."""
-    plain = boxes.filter("left is not null and top is not null and width is not null and height is not null")
-    text = plain.filter("kind = 'text'")
-    after = Window.partitionBy(key, "page", "column").orderBy("number")
-    begins = F.col("text").rlike(CAPTION)
-    far = F.col("top") - F.lag(F.col("top") + F.col("height")).over(after) > F.col("height")
-    marked = text.withColumn("_begin", begins).withColumn("_cut", F.when(begins | F.coalesce(far, F.lit(True)), 1).otherwise(0))
-    marked = marked.withColumn("_group", F.sum("_cut").over(after.rowsBetween(Window.unboundedPreceding, 0)))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: x["text"])
-    found = marked.groupBy(key, "page", "column", "_group").agg(
-        F.max("_begin").alias("_begin"), F.min_by("place", "number").alias("caption"), F.min("left").alias("c0"), F.min("top").alias("d0"), F.max(F.col("left") + F.col("width")).alias("c1"), F.max(F.col("top") + F.col("height")).alias("d1"), caption(pieces).alias("text"),
-    ).filter("_begin")
-    pictures = plain.filter("kind = 'image'").select(key, "page", F.col("place").alias("picture"), "left", "top", (F.col("left") + F.col("width")).alias("right"), (F.col("top") + F.col("height")).alias("bottom"))
-    both = pictures.join(found, [key, "page"]).filter("left < c1 and c0 < right")  # a page's pictures and captions
-    distance = F.greatest(F.col("d0") - F.col("bottom"), F.col("top") - F.col("d1"), F.lit(0.0))
-    both = both.withColumn("distance", distance)
-    first = lambda side, other: F.row_number().over(Window.partitionBy(key, "page", side).orderBy("distance", other)) == 1
-    both = both.withColumns({"_a": first("picture", "caption"), "_b": first("caption", "picture")}).filter("_a and _b")
-    return both.select(key, "page", "picture", "caption", F.regexp_extract("text", CAPTION, 1).alias("label"), "text")
+    return page_captions(_gathered(boxes, key, "number"), key)
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    """Documents as layout XML: on each page a title over the whole width, 24 words in two columns of six
+    """Documents as pages read from layout XML: on each page a title over the whole width, 24 words in two columns of six
     lines with two words each, and a picture over its caption in the second one. Boxes stand in the XML
     from the bottom to the top, columns mixed."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    rows = load(s, d, "documents").filter("text is not null").select("doc_id", words.alias("w")).filter("size(w) > 0")
-    pages = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 24))).alias("page"))
+    words = F.filter(F.split(T.escape_html(F.col("text")), r"\s+"), lambda w: w != "")
+    rows = load(s, d, "documents").filter("text is not null").select("doc_id", words.alias("w"))
+    pages = rows.select("doc_id", "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 24)))).alias("page"))
     here = F.slice(F.col("w"), (F.col("page") * 24 + 1).cast("int"), F.lit(24))
-    pages = pages.select("doc_id", "page", here.alias("here")).repartition("doc_id", "page")  # one file's documents go to many tasks
+    tasks = max(int(s.conf.get("spark.sql.shuffle.partitions")), 4 * s.sparkContext.defaultParallelism)
+    pages = pages.select("doc_id", "page", here.alias("here")).repartition(tasks, "doc_id", "page")  # one file's documents go to many tasks
+    tag = lambda top, left, width: f'<text top="{top}" left="{left}" width="{width}" height="10" font="0">'
+    box = lambda *x: F.concat(F.lit(tag(*x[:3])), *x[3:], F.lit("</text>"))
+    tags = F.array(*(F.lit(tag(40 + i // 2 % 6 * 14, 90 * (i % 2) + 220 * (i >= 12), 84)) for i in range(24)))
+    shown = F.reverse(F.transform("here", lambda x, i: F.concat(F.get(tags, i), x, F.lit("</text>"))))
     number = lambda x: x.cast("string")
-    box = lambda top, left, width, text: F.concat(F.lit('<text top="'), number(top), F.lit('" left="'), number(left), F.lit('" width="'), number(width), F.lit('" height="10" font="0">'), text, F.lit("</text>"))
-    texts = F.transform("here", lambda x, i: box(40 + F.pmod(F.floor(i / 2), F.lit(6)) * 14, F.when(i % 2 == 0, 0).otherwise(90) + F.when(i >= 12, 220).otherwise(0), F.lit(84), T.escape_html(x)))
-    shown = F.reverse(texts)
     page = F.concat(
-        F.lit('<page number="'), number(F.col("page") + 1), F.lit('" top="0" left="0" height="300" width="420">'), box(F.lit(290), F.lit(230), F.lit(150), F.concat(F.lit("Figure "), number(F.col("page") + 1), F.lit(": mea-"))), box(F.lit(302), F.lit(230), F.lit(80), F.lit("sured &amp; drawn")),
-        F.lit('<image top="150" left="230" width="120" height="130" src="a.png"/>'), F.array_join(shown, ""), box(F.lit(10), F.lit(60), F.lit(260), F.concat(F.lit("Title &lt;"), number(F.col("page")), F.lit("&gt;"))), F.lit("</page>"),
+        F.lit('<page number="'), number(F.col("page") + 1), F.lit('" top="0" left="0" height="300" width="420">'), box(290, 230, 150, F.lit("Figure "), number(F.col("page") + 1), F.lit(": mea-")), box(302, 230, 80, F.lit("sured &amp; drawn")),
+        F.lit('<image top="150" left="230" width="120" height="130" src="a.png"/>'), F.array_join(shown, ""), box(10, 60, 260, F.lit("Title &lt;"), number(F.col("page")), F.lit("&gt;")), F.lit("</page>"),
     )
-    return layout_boxes(pages.select("doc_id", F.concat(F.lit("<pdf2xml>"), page, F.lit("</pdf2xml>")).alias("xml")), "doc_id", "xml")
+    return read_pages(layout_pages(pages.select("doc_id", F.concat(F.lit("<pdf2xml>"), page, F.lit("</pdf2xml>")).alias("xml")), "doc_id", "xml"))
 
 
 def pdf_reading_order(s: SparkSession, d: str) -> DataFrame:
     """The words of laid-out pages come out in the order in which they were laid out."""
-    rows = ordered(_pages(s, d), "doc_id").filter("kind = 'text' and top between 20 and 120")
-    words = F.transform(F.array_sort(F.collect_list(F.struct("page", "number", "text"))), lambda x: x["text"])
-    return rows.groupBy("doc_id").agg(F.sha2(F.array_join(words, " "), 256).alias("digest"), F.count_distinct("page").alias("pages"))
+    words = F.transform(F.filter("boxes", lambda x: (x["kind"] == "text") & x["top"].between(20, 120)), lambda x: x["text"])
+    rows = _pages(s, d).select("doc_id", "page", F.array_join(words, " ").alias("t"))  # no page is without words
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), " ")
+    return rows.groupBy("doc_id").agg(F.sha2(text, 256).alias("digest"), F.count_distinct("page").alias("pages"))
 
 
 def pdf_lines(s: SparkSession, d: str) -> DataFrame:
     """Lines of the pages: the title, then the lines of both columns, then the caption."""
-    return lines(ordered(_pages(s, d), "doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count(F.when(F.col("text").startswith("Title <"), 1)).alias("titles"), F.sum(F.when(F.col("text").startswith("Title"), F.col("first")).otherwise(0)).alias("place"))
+    return page_lines(_pages(s, d), "doc_id").groupBy("doc_id").agg(F.count("*").alias("lines"), F.count(F.when(F.col("text").startswith("Title <"), 1)).alias("titles"), F.sum(F.when(F.col("text").startswith("Title"), F.col("first")).otherwise(0)).alias("place"))
 
 
 def pdf_captions(s: SparkSession, d: str) -> DataFrame:
-    return captions(ordered(_pages(s, d), "doc_id"), "doc_id").select("doc_id", "page", "label", "text")
+    return page_captions(_pages(s, d), "doc_id").select("doc_id", "page", "label", "text")
 
 
 QUERIES = {f.__name__: f for f in (pdf_reading_order, pdf_lines, pdf_captions)}

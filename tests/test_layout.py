@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marlstone.sources import layout as L
+from marlstone.sources.feeds import layout_boxes, layout_pages
 
 BOX = "k long, page int, kind string, place int, left double, top double, width double, height double, text string"
 
@@ -85,3 +86,23 @@ def test_many_pages_go_to_python_at_once_and_ties_follow_places(spark):
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()  # a call for each page took most of the time
     found = got.collect()
     assert len(found) == len(rows) and all(r["number"] == r["place"] and r["column"] == "" for r in found)
+
+
+@pytest.mark.parametrize("query", [L.pdf_captions, L.pdf_lines, L.pdf_reading_order], ids=lambda q: q.__name__)
+def test_a_page_stays_one_row_and_is_read_once(spark, query):
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "_read(_boxes_of(" in plan  # boxes of their own were grouped and sorted over and over
+    assert plan.count("RepartitionByExpression") == 1 and "collect_list(struct(kind" not in plan and len(plan) < 20_000
+
+
+def test_odd_pages_of_layout_xml(spark):
+    xml = (
+        'junk</page><PAGE number="3"><text top="1" left="2" width="3" height="4"><b>a  &amp;lt;</b> &#x42;&#0; </text><text height="8" data-left="1" LEFT = \'-5.5\' top="12px" width="x">c</text>'
+        '<texts top="1"><image top="1" left="2" width="3" height="4"/><TEXT left="1"></TEXT><text top="9"></page><page number="4"></Page><page number="5"><text top="1">unclosed'
+    )
+    rows = spark.createDataFrame([(1, xml), (2, None), (3, "")], "k long, x string")
+    got = [tuple(r) for r in layout_boxes(rows, "k", "x").orderBy("place").collect()]
+    assert got == [
+        (1, 3, "text", 0, 2.0, 1.0, 3.0, 4.0, "a &lt; B&#0;"), (1, 3, "text", 1, 1.0, 12.0, None, 8.0, "c"), (1, 3, "image", 2, 2.0, 1.0, 3.0, 4.0, ""), (1, 3, "text", 3, 1.0, None, None, None, ""),
+    ]
+    assert [(r.k, r.page, len(r.boxes)) for r in layout_pages(rows, "k", "x").orderBy("page").collect()] == [(1, 3, 4), (1, 4, 0)]
