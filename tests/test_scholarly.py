@@ -78,3 +78,18 @@ def test_only_the_fields_asked_for(spark):
 def test_entries_of_pages_without_a_key_keep_their_texts(spark):
     rows = spark.createDataFrame([(None, "<article><ul><li class='ltx_bibitem' id='b'>B 2001 doi:10.1000/x</li></ul></article>", None)], PAGE)
     assert [(r.entry, r.doi, r.year) for r in S.bibliography(S.papers(rows)).collect()] == [("b", "10.1000/x", 2001)]
+
+
+def test_what_links_lead_to_is_found_within_the_page(spark):
+    """Exploded anchors and blocks went to all tasks, as their table is small: by the driver, which can't hold them."""
+    page = '<article><h1 id="t">T</h1><p id="p">a <a href="#t">x</a><a href="#none">y</a><a href="https://x.org/#t">z</a><a href="#">top</a></p><ul><li id="b" class="ltx_bibitem">B <a href="#b">b</a></li></ul></article>'
+    rows = spark.createDataFrame([*((k, page) for k in range(100)), (None, page), (200, "<p>no link</p>"), (201, None)], "page_id long, html string")
+    got = S.references(S.papers(rows, fields=("blocks", "links", "anchors")))
+    assert got.columns == ["page_id", "place", "block", "kind", "target", "label", "to_block", "to_entry", "status"]
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.page_id, []).append((r.place, r.target, r.status, r.to_block, r.to_entry))
+    want = [(0, "#t", "resolved", 0, False), (1, "#none", "unresolved", None, None), (2, "https://x.org/#t", "outside", None, None), (3, "#", "unresolved", None, None), (4, "#b", "resolved", 3, True)]
+    assert set(found) == {*range(100), None} and all(sorted(x) == want for x in found.values())
+    query = S.scholarly_references(spark, "/root/testdata/sf0.001")
+    assert "Join" not in query._jdf.queryExecution().optimizedPlan().toString() and query.count() > 0
