@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from marlstone.functions import text as T
@@ -169,18 +170,53 @@ def _cut(pages: DataFrame, first: Callable[[Column, Column], Column]) -> DataFra
     return rows.withColumn("groups", group)
 
 
-def _joined(group: Column) -> Column:
-    return F.array_join(F.transform(group, lambda x: x["text"]), " ")
+def _in_one_line(top: float | None, height: float | None, top2: float | None, height2: float | None) -> bool:
+    """Whether two boxes overlap in height by half of the lower one. A side that is not known does not count, as
+    in SQL's least and greatest; there NaN is the largest number."""
+    if None not in (top, height, top2, height2) and (x := top + height + top2 + height2) == x:
+        return (min(top + height, top2 + height2) - max(top, top2)) * 2 >= min(height, height2)
+    order = lambda x: (1, 0.0) if x != x else (0, x)
+    known = lambda *xs: [x for x in xs if x is not None]
+    bottoms = [a + b for a, b in ((top, height), (top2, height2)) if a is not None and b is not None]
+    tops, heights = known(top, top2), known(height, height2)
+    return bool(bottoms and tops and heights) and order((min(bottoms, key=order) - max(tops, key=order)) * 2) >= order(min(heights, key=order))
+
+
+_LINE = pa.struct({"column": pa.string(), "line": pa.int32(), "first": pa.int32(), "text": pa.string()})
+
+
+@F.arrow_udf(from_arrow_type(pa.list_(_LINE)))
+def _lines_of(pages: pa.Array) -> pa.Array:
+    """The lines of pages with ordered boxes, a page a value."""
+    return pa.concat_arrays([_lines_of_some(pages.slice(i, PAGES)) for i in range(0, max(1, len(pages)), PAGES)])
+
+
+def _lines_of_some(pages: pa.Array) -> pa.Array:
+    flat, sizes = pages.flatten(), pages.value_lengths().fill_null(0).to_pylist()
+    kind, column, number, top, height, text = (flat.field(c).to_pylist() for c in ("kind", "column", "number", "top", "height", "text"))
+    found: list[tuple[str, int, int, list]] = []
+    ends, end = [0], 0
+    for size in sizes:
+        begin, end, last, pieces = end, end + size, None, []
+        for i in sorted([i for i in range(begin, end) if kind[i] == "text"], key=lambda i: (column[i], number[i])):
+            if last is not None and column[i] == column[last] and _in_one_line(top[i], height[i], top[last], height[last]):
+                pieces.append(text[i])
+            else:
+                line = found[-1][1] + 1 if last is not None and column[i] == column[last] else 0
+                pieces = [text[i]]
+                found.append((column[i], line, number[i], pieces))
+            last = i
+        ends.append(len(found))
+    columns = [*zip(*found, strict=True)] or [()] * 4
+    columns[3] = [" ".join([t for t in pieces if t is not None]) for pieces in columns[3]]
+    held = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LINE, strict=True)], fields=[*_LINE])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held, type=pa.list_(_LINE))
 
 
 def page_lines(pages: DataFrame, key: str) -> DataFrame:
     """lines() of the pages that read_pages() gives."""
-    bottom = lambda x: x["top"] + x["height"]
-    shared = lambda x, b: F.least(bottom(x), bottom(b)) - F.greatest(x["top"], b["top"])
-    new = lambda x, b: ~F.coalesce(shared(x, b) * 2 >= F.least(x["height"], b["height"]), F.lit(False))
-    rows = _cut(_by_column(pages, lambda _: F.lit(True)), new).withColumn("_c", F.transform("groups", lambda g: g[0]["column"]))
-    line = F.transform("groups", lambda g, k: F.struct(F.get("_c", k).alias("column"), (k + 1 - F.array_position("_c", F.get("_c", k))).cast("int").alias("line"), g[0]["number"].alias("first"), _joined(g).alias("text")))
-    return rows.select(key, "page", F.inline(line))
+    found = pages.select(key, "page", _lines_of("boxes").alias("_l"))
+    return found.select(key, "page", F.inline(F.flatten(F.array("_l"))))  # a column would be asked for its size first, and so be made twice
 
 
 def lines(boxes: DataFrame, key: str) -> DataFrame:
