@@ -191,9 +191,14 @@ def _lines_of(pages: pa.Array) -> pa.Array:
     return pa.concat_arrays([_lines_of_some(pages.slice(i, PAGES)) for i in range(0, max(1, len(pages)), PAGES)])
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; by numpy, which takes a tenth of the time, where none is null."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _lines_of_some(pages: pa.Array) -> pa.Array:
     flat, sizes = pages.flatten(), pages.value_lengths().fill_null(0).to_pylist()
-    kind, column, number, top, height, text = (flat.field(c).to_pylist() for c in ("kind", "column", "number", "top", "height", "text"))
+    kind, column, number, top, height, text = (_values(flat.field(c)) for c in ("kind", "column", "number", "top", "height", "text"))
     found: list[tuple[str, int, int, list]] = []
     ends, end = [0], 0
     for size in sizes:
