@@ -2,7 +2,7 @@
 
 A page's boxes (layout_boxes) are cut where white space allows: as long as a vertical strip of white runs
 through a stretch of the page, the stretch is read column by column, each cut again; else from top to
-bottom. A page is one group of rows, as it has one reading order; documents of any length spread over tasks
+bottom. A page is one row, as it has one reading order; documents of any length spread over tasks
 page by page.
 """
 
